@@ -33,13 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import LOWER, Membership, mix, prefix_sums, row_runs, span_hash, text_bytes, word_spans
-from .shared import connected_components, cut, identified, restored
+from .flat import LOWER, mix, prefix_sums, row_runs, span_hash, text_bytes, word_spans
+from .shared import connected_components, cut, identified, members_of, restored
 
 #: Shingles of one side of a verification block (8 bytes each).
 BLOCK_SHINGLES = 1 << 18
-#: Bits of the filter that picks the classes whose shingles are sent on.
-FILTER_BITS = 1 << 24
 
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64))
 
@@ -232,30 +230,15 @@ def divide_skip(sets: list[np.ndarray], left: np.ndarray | None, percent: int) -
 
 def verified_links(docs: DataFrame, neighbourhoods: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of classes whose components are those of all links."""
-    spark = docs.sparkSession
-
-    def filled(batches):
-        found = Membership(FILTER_BITS)
-        for batch in batches:
-            found.add(batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64))
-        pieces = found.table.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "bits"])
-
-    def merged(table: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in table.column("bits")])
-        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    pieces = neighbourhoods.select("node").coalesce(16).mapInArrow(filled, "piece int, bits binary").groupBy("piece").applyInArrow(merged, "piece int, bits binary").collect()
-    table = np.frombuffer(b"".join(bytes(r.bits) for r in sorted(pieces, key=lambda r: r.piece)), np.uint8) if pieces else np.zeros(FILTER_BITS // 8, np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    wanted = members_of(neighbourhoods, "node")
 
     def sets(batches):
-        found, seen = Membership(FILTER_BITS, shared.value), set()
+        seen = set()
         for batch in batches:
             ids, blobs = [], []
             for shingles in shingle_sets(batch.column("text"), words):
                 own = class_id(shingles) if len(shingles) else 0
-                if own and own not in seen and found.has(np.array([own], np.int64).view(np.uint64))[0]:
+                if own and own not in seen and wanted([own])[0]:
                     if len(seen) < 1 << 20:
                         seen.add(own)
                     ids.append(own)

@@ -5,8 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, html, media, packing, quality, secrets, suffix, toxicity, urls
 from .jaccard import jaccard_components
 
+#: Rules of the URL query: host, path, verdict (fixed values).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file; the files stay where they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -16,8 +33,65 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"), words=4, percent=85).drop("class_id")
 
 
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = toxicity.fit_toxicity(docs, labels.where(~held_out()))
+    scores = toxicity.scored(docs, model, threshold=0.7)
+    return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), window=2048, end_id=1)
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(_table(spark, folder, "pages"), URL_RULES, default="allow")
+
+
+def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return secrets.secret_report(docs, secrets.fit_random_strings(docs))
+
+
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    rules = quality.fit_list(docs, _table(spark, folder, "labels"))
+    judged = quality.verdicts(docs, rules)
+    return judged.select("row.doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines", "stats.n_repeat_words", "base_failed", "kept")
+
+
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.repeat_report(_table(spark, folder, "documents"), length=100)
+
+
+def op9_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    rows = media.with_metadata(media.stored(_table(spark, folder, "documents")))
+    return media.with_features(rows)
+
+
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_texts(_table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
+    "op4_bpe": op4_bpe,
+    "op5_url_filters": op5_url_filters,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_media_columns": op9_media_columns,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
