@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .shared import cut, identified, restored, shared_dir
 
@@ -159,9 +160,7 @@ def with_metadata(rows: DataFrame) -> DataFrame:
             columns = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*batch.schema.names, *names])
 
-    schema = rows.schema
-    for name in names:
-        schema = schema.add(name, "long")
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
     return rows.mapInArrow(run, schema)
 
 

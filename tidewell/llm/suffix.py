@@ -5,8 +5,8 @@ in a document with a smaller doc_id, or earlier in the same document. Strings
 are judged on the input and never cross documents.
 
 1. Every window of `length` bytes is keyed by the least hash among its k-grams,
-   so equal windows have equal keys. Consecutive windows with one key form a
-   *run*; a run is sent on as 30 bytes. Of equal runs all but the first are
+   so equal windows have equal keys. Consecutive windows keyed by the same
+   k-gram form a *run*; a run is sent on as 30 bytes. Of equal runs all but the first are
    covered at once, within a task before the shuffle and within a key after it.
 2. Keys that still hold different runs need the bytes. They are suffix-sorted
    in bounded batches: suffixes that are smaller than their successor are
@@ -33,8 +33,6 @@ from .shared import cut, identified, members_of, restored
 
 #: Different runs of one key from which its windows are grouped one by one.
 WIDE_KEY = 20_000
-#: Windows in one run at most, so that periodic texts make bounded runs.
-LONGEST_RUN = 4096
 #: Bytes that are suffix-sorted at once, unless one key has more.
 SORT_BYTES = 1 << 20
 
@@ -54,25 +52,22 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         return None
     sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
-    keys = sliding_min(span_hash(sums, at, at + gram), length - gram + 1)
-    n = len(keys)
+    grams = span_hash(sums, at, at + gram)
+    # the position in the low bits lets the leftmost of equal grams win
+    low = np.uint64(len(grams).bit_length())
+    anchor = sliding_min(grams >> low << low | at.astype(np.uint64), length - gram + 1) & ((np.uint64(1) << low) - np.uint64(1))
+    n = len(anchor)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     inside = np.arange(n) + length <= offsets[row + 1]
     new = np.ones(n, bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     heads = np.flatnonzero(new & inside)
     if not len(heads):
         return None
     stop = np.append(np.flatnonzero(new | ~inside), n)
-    stop = stop[np.searchsorted(stop, heads, "right")]
-    if (count := stop - heads).max() > LONGEST_RUN:
-        pieces = -(-count // LONGEST_RUN)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        stop = np.repeat(stop, pieces)
-        heads = np.repeat(heads, pieces) + nth * LONGEST_RUN
-        count = np.minimum(stop - heads, LONGEST_RUN)
+    count = stop[np.searchsorted(stop, heads, "right")] - heads
     content = span_hash(sums, heads, heads + count + (length - 1))
-    return row[heads], heads - offsets[row[heads]], count, keys[heads], content
+    return row[heads], heads - offsets[row[heads]], count, grams[anchor[heads].astype(np.int64)], content
 
 
 def first_of_equal(content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
