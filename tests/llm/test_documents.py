@@ -234,22 +234,21 @@ def test_quality_counts(spark, tables, small, name):
 
 
 def test_quality_rules_learn(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    train = labels.where("doc_id % 2 = 0")
-    rules = quality.fit_list(docs, train)
+    rules = quality.fit_list(docs, labels.where("doc_id % 2 = 0"))
     assert rules.rules
-    got = quality.verdicts(docs, rules).select("row.doc_id", "kept").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    got = quality.verdicts(docs, rules).where("NOT base_failed").select("row.doc_id", "kept").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     clean = [r.kept for r in got if r.quality == 1]
     bad = [r.kept for r in got if r.quality == 0]
-    assert sum(clean) >= 0.98 * len(clean) and sum(bad) <= 0.25 * len(bad)
+    assert sum(clean) >= 0.995 * len(clean) and sum(bad) <= 0.1 * len(bad)
 
 
 def test_decision_list_matches_its_sql(spark):
     rng = np.random.default_rng(4)
-    values = {n: rng.random(600) for n in ("symbol_share", "upper_share")}
+    values = {n: rng.random(6000) for n in ("symbol_share", "upper_share")}
     bad = (values["symbol_share"] > 0.7) | (values["upper_share"] < 0.1)
-    rules = quality.learn_list(values, bad, np.arange(600) % 3 == 0)
+    rules = quality.learn_list(values, bad, np.arange(6000) % 3 == 0)
     assert (rules.hits(values) == bad).mean() > 0.97
     assert quality.DecisionList(()).sql() == "false"
 

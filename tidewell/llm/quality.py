@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ FEATURES = {
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "mark_share": "n_marks / greatest(n_words, 1)",
     "digit_share": "n_digits / greatest(word_chars, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "variety": "ln(n_distinct + 1) / ln(n_words + 2)",
 }
 MORE_COUNTS = ("n_upper", "n_marks", "n_digits", "n_distinct")
 
@@ -97,12 +98,13 @@ def text_counts(raw: bytes, window: int = 5) -> tuple[int, ...]:
 def with_counts(docs: DataFrame, keep: tuple[str, ...], as_struct: str = "stats") -> DataFrame:
     """The kept columns of docs, and a struct of counts; the text is read whole."""
     names = (*COUNTS, *MORE_COUNTS)
-    base = docs.select(F.col("text").alias("__text"), F.struct(*keep).alias("row"))
+    own = "text" in keep  # then the text travels once, inside the row
+    base = docs.select(F.struct(*keep).alias("row"), *[] if own else [F.col("text").alias("__text")])
     stats = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column("__text"))
+            data, offsets = text_bytes(pc.struct_field(batch.column("row"), "text") if own else batch.column("__text"))
             raw, ends = data.tobytes(), offsets.tolist()
             columns = list(zip(*(text_counts(raw[a:z]) for a, z in zip(ends, ends[1:])))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))], ["row", as_struct])
@@ -173,7 +175,7 @@ def _best_test(values, bad, covered) -> Test | None:
     return best[1]
 
 
-def learn_list(values: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, most_rules: int = 12, most_tests: int = 3, precision: float = 0.97, least: int = 5) -> DecisionList:
+def learn_list(values: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, most_rules: int = 12, most_tests: int = 3, precision: float = 0.95, least: int = 3) -> DecisionList:
     """Sequential covering; `held` rows prune and accept rules, the others grow them."""
     rules, left = [], np.ones(len(bad), bool)
     while len(rules) < most_rules:

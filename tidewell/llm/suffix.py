@@ -34,7 +34,7 @@ from .shared import cut, identified, members_of, restored
 #: Different runs of one key from which its windows are grouped one by one.
 WIDE_KEY = 20_000
 #: Bytes that are suffix-sorted at once, unless one key has more.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -211,7 +211,7 @@ def covered_windows(doc: np.ndarray, start: np.ndarray, segments: list[bytes], l
 _RUN = "doc_id long, start int, count int, content long, key long, wide boolean"
 
 
-def _matched_runs(docs: DataFrame, length: int, gram: int, flush: int = 1 << 20) -> DataFrame:
+def _matched_runs(docs: DataFrame, length: int, gram: int, flush: int = 1 << 19) -> DataFrame:
     """Covered runs (key null) and the runs whose key holds other contents too."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ("key", "content", "doc", "start", "count")
@@ -342,8 +342,11 @@ def covered_ranges(docs: DataFrame, length: int) -> DataFrame:
     return cut(runs.where("key is null").select("doc_id", "start", "count").union(sorted_).union(later))
 
 
-def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, *carry) → doc_id, row (the carried columns), n_bytes, n_removed, n_spans, kept (bytes)."""
+def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """docs(doc_id, text, *carry) → doc_id, row (the carried columns), n_bytes, n_removed, n_spans, kept.
+
+    kept is bytes, or with as_text a string without characters that a cut broke.
+    """
     base = identified(docs, "text", F.struct(F.lit(1).alias("_"), *carry).alias("row"))
     narrow = base.select("doc_id", "text")
     covered = covered_ranges(narrow, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
@@ -364,7 +367,9 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
         for batch in batches:
             ranges = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * len(batch)
             done = [keep(t, r) for t, r in zip(batch.column("text").to_pylist(), ranges)]
-            columns = [pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            if as_text:
+                done = [(*d[:3], d[3].decode("utf-8", "ignore")) for d in done]
+            columns = [pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     def untouched(batches):
@@ -375,7 +380,7 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
         for batch in batches:
             yield batch.filter(pa.array(touched(batch.column("doc_id"))))
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), base.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), base.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     changed = base.mapInArrow(maybe, base.schema).join(covered, "doc_id", "left").mapInArrow(finish, schema)
     same = base.mapInArrow(untouched, base.schema).mapInArrow(finish, schema)
     return changed.union(same)

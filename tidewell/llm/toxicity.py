@@ -62,10 +62,10 @@ class Ftrl:
     """FTRL-proximal state for one pass or more over texts of distinct features."""
 
     bits: int
-    alpha: float = 0.1
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
+    l1: float = 20.0
+    l2: float = 0.0
 
     def __post_init__(self):
         self.z, self.n = np.zeros((1 << self.bits) + 1), np.zeros((1 << self.bits) + 1)
@@ -91,11 +91,13 @@ class Ftrl:
         return ToxicityModel(self.bits, float(w[-1]), kept, w[kept])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bits: int = 20, passes: int = 3) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bits: int = 20, passes: int = 5, min_texts: int = 3) -> ToxicityModel:
     """Train on labels(doc_id, toxic): at most `sample` rows of each label, the first by a hash of doc_id.
 
     The bound is for the fit alone. Rows without an id, a label or a text are
     not learned from. One task walks through the sample; it is bounded by `sample`.
+    Features of fewer than `min_texts` sampled texts are left out, and both labels
+    weigh the same in all.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
     order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
@@ -119,13 +121,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bits:
         if rows:
             rows.sort(key=lambda r: (int(r[0]) * 0x9E3779B97F4A7C15 % (1 << 64), r[1], r[2]))
             positive = sum(r[1] for r in rows)
-            weigh = {1: 1.0, 0: 1.0}
-            if 0 < positive < len(rows):
-                weigh[1] = min(10.0, ((len(rows) - positive) / positive) ** 0.5)
+            importance = max(1.0, (len(rows) - positive) / max(1, positive))
+            walked = [(label, np.frombuffer(f, np.int32).astype(np.int64)) for _, label, f in rows]
+            seen = np.zeros(1 << bits, np.int32)
+            for _, features in walked:
+                seen[features] += 1  # distinct within a text
             state = Ftrl(bits)
+            walked = [(label, features[seen[features] >= min_texts]) for label, features in walked]
             for _ in range(passes):
-                for _, label, features in rows:
-                    state.learn(np.frombuffer(features, np.int32).astype(np.int64), label, weigh[label])
+                for label, features in walked:
+                    state.learn(features, label, importance if label else 1.0)
             model = state.model()
             yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([model.features.astype(np.int64).tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "features", "weights"])
 
