@@ -1,0 +1,779 @@
+"""Named queries over the test tables, each with the SQL it must equal.
+
+`query(name, sql)` registers a function of (Tables) → DataFrame; the SQL is put
+after the entity definitions of sources.tables.SQL and run by DuckDB.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, pages, tags, text, urls
+from ..operators import aggregates as agg
+from ..operators import filters, joins, judge, ordering, retrieval, writes
+from ..sources.tables import SQL, Tables
+from . import browse as browsing
+from . import export
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[name] = SQL + sql
+        return f
+
+    return register
+
+
+def day(column: str):
+    return F.col(column).cast("string").alias(column)
+
+
+def dated(t: Tables) -> DataFrame:
+    return browsing.dated(t.articles())
+
+
+FACETS = {"domain": ["en", "de"], "content-type": ["tutorial", "tool-release"]}
+_ANY = """id IN (SELECT article_id FROM tags WHERE facet = 'domain' AND tag IN ('en', 'de'))
+  AND id IN (SELECT article_id FROM tags WHERE facet = 'content-type' AND tag IN ('tutorial', 'tool-release'))"""
+_TOOL = "id IN (SELECT article_id FROM tags WHERE facet = 'framework-library-tool' OR (facet = 'content-type' AND tag IN ('tool-release', 'tooling', 'library-release', 'product-launch')))"
+_KIND = f"CASE WHEN kind IN ('tool', 'release') THEN 'tool' WHEN kind = 'news' THEN 'news' WHEN {_TOOL} THEN 'tool' ELSE 'news' END"
+
+# ---- browsing: scans, filters, pages ----
+
+
+@query("browse_page", f"""SELECT v.id, v.source_id, s.name AS source_name, v.title, CAST(date_iso AS VARCHAR) AS date_iso, verify_status, substr(coalesce(blurb, content, ''), 1, 280) AS snippet,
+  (SELECT string_agg(facet || '=' || tag, ' ' ORDER BY facet, rank, tag) FROM tags WHERE article_id = v.id) AS tag_list
+  FROM verified v LEFT JOIN sources s ON v.source_id = s.id
+  WHERE date_iso >= DATE '2024-02-01' AND date_iso <= DATE '2025-07-31' AND {_ANY.replace('id IN', 'v.id IN')} ORDER BY v.date_iso DESC, v.id DESC LIMIT 24""")
+def _(t):
+    rows = browsing.browse(browsing.dated(t.verified()), t.tags(), t.sources(), since="2024-02-01", until="2025-07-31", facets=FACETS)
+    pairs = F.flatten(F.transform(F.map_entries("tags"), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit("="), v))))
+    return rows.select("id", "source_id", "source_name", "title", day("date_iso"), "verify_status", "snippet", F.array_join(pairs, " ").alias("tag_list"))
+
+
+@query("browse_count", f"SELECT count(*) AS n FROM articles WHERE date_iso >= DATE '2024-02-01' AND {_ANY}")
+def _(t):
+    return browsing.filtered(dated(t), t.tags(), since="2024-02-01", facets=FACETS).agg(F.count("*").alias("n"))
+
+
+@query("facet_filter_or", f"SELECT id FROM articles WHERE {_ANY}")
+def _(t):
+    return filters.by_facets_any(t.articles(), t.tags(), FACETS | {"empty": ["", None]}).select("id")
+
+
+@query("facet_filter_and", "SELECT id FROM articles WHERE id IN (SELECT article_id FROM tags WHERE facet = 'domain' AND tag = 'en') AND id IN (SELECT article_id FROM tags WHERE facet = 'topic-technology' AND tag = 'src3') AND id IN (SELECT article_id FROM tags WHERE facet = 'topic-technology' AND tag = 't3')")
+def _(t):
+    return filters.by_facets_all(t.articles(), t.tags(), {"domain": ["en"], "topic-technology": ["src3", "t3"]}).select("id")
+
+
+for _wanted in ("tool", "news", "release"):
+
+    @query(f"kind_filter_{_wanted}" if _wanted != "tool" else "kind_filter", "SELECT id FROM articles WHERE kind = 'release'" if _wanted == "release" else f"SELECT id FROM articles WHERE {_KIND} = '{_wanted}'")
+    def _(t, wanted=_wanted):
+        return filters.by_kind(t.articles(), t.tags(), wanted).select("id")
+
+
+@query("effective_kind_counts", f"SELECT {_KIND} AS effective_kind, count(*) AS n FROM articles GROUP BY 1")
+def _(t):
+    return agg.counts_by(filters.with_effective_kind(t.articles(), t.tags()), "effective_kind")
+
+
+@query("kind_from_tags", "SELECT article_id, CASE WHEN bool_or(facet = 'content-type' AND tag IN ('version-release', 'release-announcement')) THEN 'release' WHEN bool_or(facet = 'framework-library-tool' OR (facet = 'content-type' AND tag IN ('tool-release', 'tooling', 'library-release', 'product-launch'))) THEN 'tool' ELSE 'news' END AS kind FROM tags GROUP BY 1")
+def _(t):
+    f, g = F.col("facet"), F.col("tag")
+    kind = F.when(F.bool_or(tags.release_tag(f, g)), "release").when(F.bool_or(tags.tool_tag(f, g)), "tool").otherwise("news")
+    return t.tags().groupBy("article_id").agg(kind.alias("kind"))
+
+
+@query("status_filter", "SELECT id FROM verified WHERE verify_status = 'suspect'")
+def _(t):
+    return filters.by_status(t.verified(), "suspect").select("id")
+
+
+@query("text_and_terms", "SELECT id FROM articles WHERE contains(lower(concat_ws(' ', title, content)), 'the') AND contains(lower(concat_ws(' ', title, content)), 'ation')")
+def _(t):
+    return filters.by_terms(t.articles(), " THE  ation", "title", "content", accents=False).select("id")
+
+
+@query("text_terms_folded", "SELECT id FROM articles WHERE contains(strip_accents(lower(title)), 'ete')")
+def _(t):
+    return filters.by_terms(t.articles(), "Été", "title").select("id")
+
+
+@query("scope_count", "SELECT count(*) AS n FROM articles WHERE source_id IN (1, 2, 3) AND date_iso BETWEEN DATE '2024-03-01' AND DATE '2024-12-31'")
+def _(t):
+    return filters.scope(dated(t), [1, 2, 3], "2024-03-01", "2024-12-31").agg(F.count("*").alias("n"))
+
+
+@query("lite_scan", "SELECT id, title, substr(coalesce(content, ''), 1, 400) AS content_head FROM articles")
+def _(t):
+    return t.articles().select("id", "title", F.substring(F.coalesce("content", F.lit("")), 1, 400).alias("content_head"))
+
+
+@query("run_scan", "SELECT id FROM articles WHERE run_id = (SELECT max(run_id) FROM articles)")
+def _(t):
+    latest = t.articles().agg(F.max("run_id").alias("run_id"))
+    return t.articles().join(latest, "run_id", "left_semi").select("id")
+
+
+@query("source_scan", "SELECT id, url FROM articles WHERE source_id = 7 AND run_id = 2")
+def _(t):
+    return t.articles().where("source_id = 7 AND run_id = 2").select("id", "url")
+
+
+@query("point_lookup", "SELECT id, content_hash FROM (SELECT id, sha256(content) AS content_hash FROM articles) x WHERE content_hash = (SELECT sha256(content) FROM articles WHERE id = 5)")
+def _(t):
+    hashed = t.articles().select("id", text.content_hash(F.col("content")).alias("content_hash"))
+    return joins.with_key_in(hashed, hashed.where("id = 5"), "content_hash")
+
+
+@query("fetch_by_ids", "SELECT * FROM (VALUES (0, 9), (1, 3), (2, 150), (3, 4)) w(pos, wanted) JOIN (SELECT id, title FROM articles) a ON a.id = w.wanted".replace("SELECT *", "SELECT CAST(pos AS INTEGER) AS pos, id, title"))
+def _(t):
+    ids = t.spark.createDataFrame([("[9, 3, 150, 4]",)], "ids string")
+    return joins.fetch_in_order(t.articles().select("id", "title"), ids)
+
+
+@query("pending_verify", "SELECT id FROM verified WHERE verify_status IS NULL")
+def _(t):
+    return t.verified().where("verify_status IS NULL").select("id")
+
+
+@query("url_substring", "SELECT id, url FROM articles WHERE url ILIKE '%SRC1.example%' ORDER BY id LIMIT 50")
+def _(t):
+    return filters.url_contains(t.articles(), "SRC1.example").select("id", "url")
+
+
+@query("date_floor", "SELECT id FROM articles WHERE published_at IS NULL OR date_iso >= DATE '2024-06-15' OR issue_url IS NULL")
+def _(t):
+    published = F.to_date(dates.parse_date(F.col("published_at")))
+    return t.articles().where(dates.at_floor(published, F.lit("2024-06-15").cast("date"), F.col("issue_url").isNull())).select("id")
+
+
+@query("blocked_flag", r"SELECT id, regexp_matches(coalesce(title, '') || chr(10) || substr(content, 1, 600), '(?i)just a moment|attention required|are you a robot|\bcaptcha\b|access denied|checking your browser') AS blocked FROM articles")
+def _(t):
+    return t.articles().select("id", text.is_blocked_page(F.col("title"), F.col("content")).alias("blocked"))
+
+
+@query("nav_menu_flag", r"""SELECT id, len(p) >= 4 AND len(list_filter(p[1:4], lambda x: length(trim(x)) > 24 OR regexp_matches(x, '[:.]'))) = 0 AND len(list_filter(p[2:4], lambda x: trim(x) = '')) = 0 AS menu
+  FROM (SELECT id, regexp_split_to_array(substr(content, 1, 120), '\s*(?:[•·|/]\s*)+') AS p FROM articles) x""")
+def _(t):
+    return t.articles().select("id", text.starts_with_menu(F.col("content")).alias("menu"))
+
+
+@query("thin_and_readable", "SELECT id, length(trim(content)) < 50 AS thin, length(trim(content)) >= 400 AS readable FROM articles")
+def _(t):
+    return t.articles().select("id", text.is_thin(F.col("content")).alias("thin"), text.is_readable(F.col("content")).alias("readable"))
+
+
+@query("json_page_flag", r"SELECT event_id, json_valid(trim(props)) AND regexp_matches(trim(props), '^[\[{]') AS is_json FROM ledger")
+def _(t):
+    return t.events().select("event_id", text.is_json_page(F.col("props")).alias("is_json"))
+
+
+@query("sponsor_flag", r"SELECT id FROM articles WHERE regexp_matches(concat_ws(' ', title, blurb), '(?i)\bsponsor(?:ed|ship)?\b|\bpatrocin|\bpublieditorial\b|the')")
+def _(t):
+    hit = text.is_sponsor(F.col("title"), F.lit(None).cast("string"), F.col("blurb"))
+    return t.articles().where(hit | F.concat_ws(" ", "title", "blurb").rlike("(?i)the")).select("id")
+
+
+@query("real_item_flag", r"SELECT id FROM articles WHERE length(trim(coalesce(blurb, ''))) >= 30 AND length(trim(title)) >= 6")
+def _(t):
+    return t.articles().where(text.is_real_item(F.col("title"), F.col("blurb"))).select("id")
+
+
+# ---- metadata and joins ----
+
+
+@query("meta_sources", "SELECT s.id, s.name, count(a.id) AS n FROM sources s LEFT JOIN articles a ON a.source_id = s.id GROUP BY 1, 2")
+def _(t):
+    return joins.source_counts(t.sources(), t.articles())
+
+
+@query("meta_tags", "SELECT facet, tag, count(*) AS n FROM tags GROUP BY 1, 2")
+def _(t):
+    return agg.tag_catalogue(t.tags())
+
+
+@query("meta_dates", "SELECT CAST(min(date_iso) AS VARCHAR) AS min_date, CAST(max(date_iso) AS VARCHAR) AS max_date FROM articles")
+def _(t):
+    return agg.date_bounds(dated(t)).select(day("min_date"), day("max_date"))
+
+
+@query("facet_cooccurrence", f"SELECT facet, tag, count(*) AS n FROM tags WHERE article_id IN (SELECT id FROM articles WHERE {_ANY}) GROUP BY 1, 2")
+def _(t):
+    return agg.facet_counts(filters.by_facets_any(t.articles(), t.tags(), FACETS), t.tags())
+
+
+@query("facet_chips", "SELECT facet, tag, n, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, tag) AS nth FROM (SELECT facet, tag, count(*) AS n FROM tags GROUP BY 1, 2) c) x WHERE nth <= 14 OR tag IN ('t12', 'src19')")
+def _(t):
+    return ordering.chips(agg.tag_catalogue(t.tags()), ["t12", "src19"])
+
+
+@query("facet_order", "SELECT facet, CAST(place AS INTEGER) AS place FROM (SELECT DISTINCT facet, CASE facet WHEN 'domain' THEN 1 WHEN 'content-type' THEN 2 WHEN 'topic-technology' THEN 3 WHEN 'framework-library-tool' THEN 7 ELSE 999 END AS place FROM tags) x")
+def _(t):
+    return ordering.facet_order(t.tags().select("facet").distinct(), tags.FACETS)
+
+
+@query("article_with_source", "SELECT a.id, a.source_id, s.name AS source_name FROM articles a LEFT JOIN sources s ON a.source_id = s.id")
+def _(t):
+    return joins.with_source(t.articles(), t.sources()).select("id", "source_id", "source_name")
+
+
+@query("tags_match_count", "SELECT article_id, count(DISTINCT tag) AS matches FROM tags WHERE tag IN ('en', 'spark', 't1', 'src1') GROUP BY 1 ORDER BY matches DESC, article_id LIMIT 100")
+def _(t):
+    return agg.tag_matches(t.tags(), ["en", "spark", "t1", "src1"]).orderBy(F.desc("matches"), "article_id").limit(100)
+
+
+@query("unclassified_anti", "SELECT id FROM articles WHERE id NOT IN (SELECT article_id FROM tags WHERE facet = 'framework-library-tool')")
+def _(t):
+    return joins.missing_from(t.articles(), t.tags().where("facet = 'framework-library-tool'"), "id", "article_id").select("id")
+
+
+@query("unembedded_anti", "SELECT id FROM articles WHERE id NOT IN (SELECT vec_id FROM embeddings)")
+def _(t):
+    return joins.missing_from(t.articles(), t.raw("embeddings"), "id", "vec_id").select("id")
+
+
+@query("url_known_union", "SELECT DISTINCT url FROM (SELECT url FROM articles UNION ALL SELECT url FROM pages UNION ALL SELECT url FROM frontier WHERE state = 'done' UNION ALL SELECT issue_url FROM articles) u WHERE url IS NOT NULL")
+def _(t):
+    return joins.known_urls(t.articles().select("url"), t.raw("pages").select("url"), t.frontier().where("state = 'done'").select("url"), t.articles().select("issue_url"))
+
+
+@query("requeue_semi", "SELECT f.id, CASE WHEN f.state IN ('done', 'failed') AND f.url IN (SELECT url FROM articles WHERE needs_enrich AND enrich_attempts < 3) THEN 'pending' ELSE f.state END AS state FROM frontier f")
+def _(t):
+    return writes.requeued(t.frontier(), t.articles()).select("id", "state")
+
+
+@query("enrich_bump", "SELECT id, enrich_attempts + CASE WHEN needs_enrich AND url IN (SELECT url FROM frontier WHERE state = 'failed') THEN 1 ELSE 0 END AS enrich_attempts FROM articles")
+def _(t):
+    return writes.bumped(t.articles(), t.frontier()).select("id", "enrich_attempts")
+
+
+@query("enrich_at_cap", "SELECT source_id, count(*) AS n FROM articles WHERE needs_enrich AND enrich_attempts >= 3 GROUP BY 1")
+def _(t):
+    return t.articles().where("needs_enrich AND enrich_attempts >= 3").groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query("issue_dates", "SELECT issue_url, arg_min(published_at, id) AS issue_date FROM articles WHERE issue_url IS NOT NULL AND published_at IS NOT NULL GROUP BY 1")
+def _(t):
+    return joins.sibling_dates(t.articles())
+
+
+@query("history_rehydrate", "SELECT h.search_id, count(*) AS hits, count(*) FILTER (WHERE a.id IS NULL) AS gone FROM hits h LEFT JOIN articles a ON a.id = h.id GROUP BY 1")
+def _(t):
+    return joins.rehydrate(t.searches(), t.articles()).groupBy("search_id").agg(F.count("*").alias("hits"), F.count_if("gone").alias("gone"))
+
+
+@query("history_list", "SELECT s.search_id, s.hits, round(coalesce(c.cost, 0), 6) AS cost FROM (SELECT search_id, count(*) AS hits FROM hits GROUP BY 1) s LEFT JOIN (SELECT run_id, sum(cost_usd) AS cost FROM ledger GROUP BY 1) c ON c.run_id = s.search_id % 150")
+def _(t):
+    listed = t.searches().select("search_id", "run_id", F.size("hits").cast("long").alias("hits"))
+    return joins.per_run_cost(listed, t.events()).select("search_id", "hits", F.round("cost_usd", 6).alias("cost"))
+
+
+@query("verdict_merge", "SELECT a.id, coalesce(r.relation, 'none') AS relation, coalesce(r.kind, 'news') AS kind, r.id IS NULL AS missing FROM articles a LEFT JOIN (SELECT id, arg_min(relation, search_id * 100 + pos) AS relation, arg_min(kind, search_id * 100 + pos) AS kind FROM hits GROUP BY 1) r ON r.id = a.id")
+def _(t):
+    said = t.searches().select("search_id", F.inline("hits")).withColumn("pos", F.col("search_id") * 100 + F.col("pos"))
+    return joins.merge_verdicts(t.articles(), said)
+
+
+@query("unjudged", "SELECT id FROM articles WHERE id NOT IN (SELECT id FROM hits)")
+def _(t):
+    return joins.missing_from(t.articles().select("id"), t.searches().select(F.explode("hits.id").alias("hit")), "id", "hit")
+
+
+@query("coverage_difference", "SELECT url FROM frontier WHERE url NOT IN (SELECT url FROM articles)")
+def _(t):
+    return joins.missing_from(t.frontier().select("url"), t.articles(), "url")
+
+
+# ---- costs, counts, evaluation ----
+
+
+@query("run_cost_join", "SELECT c_custkey AS run_id, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd, count(event_id) AS calls FROM customer LEFT JOIN ledger ON run_id = c_custkey GROUP BY 1")
+def _(t):
+    return joins.per_run_cost(t.raw("customer").select(F.col("c_custkey").alias("run_id")), t.events()).select("run_id", F.round("cost_usd", 6).alias("cost_usd"), "calls")
+
+
+@query("cost_by_stage", "SELECT stage, round(sum(cost_usd), 6) AS cost_usd, count(*) AS calls FROM ledger GROUP BY 1")
+def _(t):
+    return agg.cost_by(t.events(), "stage").select("stage", F.round("cost_usd", 6).alias("cost_usd"), "calls")
+
+
+@query("cost_total", "SELECT round(coalesce(sum(cost_usd), 0), 4) AS cost_usd, count(*) AS calls FROM ledger")
+def _(t):
+    return agg.cost_by(t.events()).select(F.round("cost_usd", 4).alias("cost_usd"), "calls")
+
+
+@query("avg_positive_cost", "SELECT stage, round(avg(cost_usd), 6) AS mean_cost, count(*) AS n FROM ledger WHERE cost_usd > 0 GROUP BY 1 HAVING count(*) >= 3")
+def _(t):
+    return agg.mean_positive_cost(t.events()).select("stage", F.round("mean_cost", 6).alias("mean_cost"), "n")
+
+
+@query("cost_ema", """SELECT stage, round(list_reduce(list_prepend(0.005, list(CAST(cost_usd AS DOUBLE) ORDER BY event_id)), lambda a, x: a * 0.8 + x * 0.2), 5) AS ema
+  FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY event_id DESC) AS rn FROM ledger) l WHERE rn <= 64 GROUP BY 1""")
+def _(t):
+    return agg.cost_ema(t.events(), "event_id").select("stage", F.round("ema", 5).alias("ema"))
+
+
+@query("search_estimate", "SELECT id, CAST(ceil((1 + id % 9000) / 40.0) + 1 AS BIGINT) AS calls, (1 + id % 9000) > 4000 AS confirm FROM articles")
+def _(t):
+    e = agg.search_estimate(1 + F.col("id") % 9000, F.lit(0.001), F.lit(False))
+    return t.articles().select("id", e["calls"].alias("calls"), e["confirm"].alias("confirm"))
+
+
+@query("count_by_state", "SELECT state, count(*) AS n FROM frontier GROUP BY 1")
+def _(t):
+    return agg.counts_by(t.frontier(), "state")
+
+
+@query("count_by_verify", "SELECT coalesce(verify_status, 'pending') AS verify_status, count(*) AS n FROM verified GROUP BY 1")
+def _(t):
+    return agg.counts_by(t.verified(), "verify_status", label="pending")
+
+
+@query("global_counts", "SELECT (SELECT count(*) FROM articles) AS articles, (SELECT count(*) FROM pages) AS pages, (SELECT count(DISTINCT source_id) FROM articles) AS sources, (SELECT max(run_id) FROM articles) AS latest_run")
+def _(t):
+    a = t.articles().agg(F.count("*").alias("articles"), F.count_distinct("source_id").alias("sources"), F.max("run_id").alias("latest_run"))
+    return a.join(t.raw("pages").agg(F.count("*").alias("pages")), F.lit(True))
+
+
+@query("status_rollup", "SELECT (SELECT count(*) FROM articles) AS total, (SELECT count(DISTINCT id) FROM statuses) AS done, greatest((SELECT count(*) FROM articles) - (SELECT count(DISTINCT id) FROM statuses), 0) AS pending")
+def _(t):
+    return agg.status_rollup(t.articles(), t.statuses())
+
+
+@query("phase_rollup", "SELECT CASE kind WHEN 'listing' THEN 'discovery' WHEN 'roundup' THEN 'curation' ELSE 'articles' END AS phase, count(*) FILTER (WHERE state = 'done') AS done, count(*) FILTER (WHERE state IN ('pending', 'in_progress')) AS open, count(*) FILTER (WHERE state = 'failed') AS failed, CAST(round(100.0 * count(*) FILTER (WHERE state = 'done') / count(*)) AS INTEGER) AS pct FROM frontier GROUP BY 1")
+def _(t):
+    return agg.phases(t.frontier())
+
+
+@query("progress_pct", "SELECT source_id, CAST(least(greatest(round(100.0 * (DATE '2025-09-30' - min(date_iso)) / (DATE '2025-09-30' - DATE '2023-06-01')), 0), 100) AS INTEGER) AS pct FROM articles GROUP BY 1")
+def _(t):
+    items = dated(t).select("source_id", F.col("date_iso").alias("date"), F.lit(False).alias("floor_hit"))
+    return agg.progress(items, "2025-09-30", "2023-06-01").select("source_id", "pct")
+
+
+@query("top_terms", "SELECT tag AS term, count(*) AS n FROM tags GROUP BY 1 ORDER BY n DESC, term LIMIT 10")
+def _(t):
+    return agg.top(t.tags().withColumnRenamed("tag", "term"), "term", 10)
+
+
+@query("tag_map", "SELECT article_id, string_agg(facet || '=' || l, ';' ORDER BY facet) AS tags FROM (SELECT article_id, facet, string_agg(tag, ',' ORDER BY rank, tag) AS l FROM tags GROUP BY 1, 2) x GROUP BY 1")
+def _(t):
+    listed = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))
+    return agg.tag_map(t.tags()).select("article_id", F.array_join(listed, ";").alias("tags"))
+
+
+@query("report_by_issue", "SELECT issue_url, count(*) AS n, string_agg(DISTINCT coalesce(kind, 'unknown'), ',' ORDER BY coalesce(kind, 'unknown')) AS kinds FROM articles WHERE run_id = 3 GROUP BY 1")
+def _(t):
+    run = t.articles().where("run_id = 3").withColumn("k", F.coalesce("kind", F.lit("unknown")))
+    return run.groupBy("issue_url").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("k")), ",").alias("kinds"))
+
+
+_EVAL = "(SELECT search_id % 5 AS scn, relation AS gt_rel, CASE WHEN id % 4 = 0 THEN 'none' ELSE relation END AS pred_rel, id FROM hits)"
+
+
+def records(t: Tables) -> DataFrame:
+    hits = t.searches().select("search_id", F.inline("hits"))
+    return hits.select((F.col("search_id") % 5).alias("scn"), "id", F.col("relation").alias("gt_rel"), F.when(F.col("id") % 4 == 0, "none").otherwise(F.col("relation")).alias("pred_rel"))
+
+
+_PER = f"""(SELECT scn, tp * 1.0 / nullif(tp + fp, 0) AS p, tp * 1.0 / nullif(tp + fn, 0) AS r, acc FROM (SELECT scn, count(*) FILTER (WHERE gt_rel <> 'none' AND pred_rel <> 'none') AS tp,
+  count(*) FILTER (WHERE gt_rel = 'none' AND pred_rel <> 'none') AS fp, count(*) FILTER (WHERE gt_rel <> 'none' AND pred_rel = 'none') AS fn, avg(CASE WHEN gt_rel = pred_rel THEN 1.0 ELSE 0 END) AS acc FROM {_EVAL} e GROUP BY 1) c)"""
+
+
+@query("eval_macro_f1", f"SELECT round(avg(coalesce(p, 0)), 6) AS precision, round(avg(coalesce(r, 0)), 6) AS recall, round(avg(coalesce(2 * p * r / (p + r), 0)), 6) AS f1, round(avg(acc), 6) AS accuracy3 FROM {_PER} x")
+def _(t):
+    return agg.macro(agg.relevance_scores(records(t))).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy3")))
+
+
+@query("eval_rounds", f"SELECT scn % 2 AS variant, round(avg(coalesce(2 * p * r / (p + r), 0)), 6) AS mean_f1, round(stddev_pop(coalesce(2 * p * r / (p + r), 0)), 6) AS sd_f1 FROM {_PER} x GROUP BY 1")
+def _(t):
+    scores = agg.relevance_scores(records(t)).withColumn("variant", F.col("scn") % 2)
+    return agg.over_rounds(scores, "variant").select("variant", F.round("mean_f1", 6).alias("mean_f1"), F.round("sd_f1", 6).alias("sd_f1"))
+
+
+@query("eval_misses", f"SELECT scn, id, CASE WHEN gt_rel <> 'none' THEN 'false_negative' ELSE 'false_positive' END AS miss FROM {_EVAL} e WHERE (gt_rel <> 'none') <> (pred_rel <> 'none')")
+def _(t):
+    return agg.misses(records(t)).select("scn", "id", "miss")
+
+
+# ---- ordered computations ----
+
+
+@query("round_robin_order", "SELECT id, CAST(date_iso AS VARCHAR) AS date_iso, CAST(row_number() OVER (PARTITION BY date_iso, source_id ORDER BY id) - 1 AS INTEGER) AS round FROM articles")
+def _(t):
+    named = dated(t).withColumn("source_name", F.col("source_id").cast("string"))
+    return ordering.round_robin(named).select("id", day("date_iso"), "round")
+
+
+@query("dedup_first_wins", "SELECT key, min(id) AS id FROM (SELECT regexp_replace(url, '[0-9]+$', '') AS key, id FROM articles) x GROUP BY 1")
+def _(t):
+    keyed = t.articles().select(F.regexp_replace("url", "[0-9]+$", "").alias("key"), "id")
+    return ordering.first_of(keyed, ["key"], "id")
+
+
+@query("dedup_content_hash", "SELECT min(id) AS id, sha256(content) AS content_hash FROM articles GROUP BY sha256(content)")
+def _(t):
+    hashed = t.articles().select("id", text.content_hash(F.col("content")).alias("content_hash"))
+    return ordering.first_of(hashed, ["content_hash"], "id")
+
+
+@query("coalesce_islands", """SELECT run_id, island, min(stage) AS stage, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS island FROM (
+  SELECT *, CASE WHEN lag(stage) OVER w IS NULL OR lag(stage) OVER w <> stage OR epoch_ms(ts) - epoch_ms(lag(ts) OVER w) > 7200000 THEN 1 ELSE 0 END AS new FROM ledger WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)) a) b GROUP BY 1, 2""".replace("SELECT run_id, island", "SELECT run_id, CAST(island AS BIGINT) AS island"))
+def _(t):
+    return ordering.coalesced(t.events(), within_ms=7_200_000).select("run_id", F.col("island").cast("long").alias("island"), "stage", "n")
+
+
+@query("host_gate_timeline", """SELECT id, start FROM (SELECT id, g + max(arrival - g) OVER (PARTITION BY host ORDER BY id ROWS UNBOUNDED PRECEDING) AS start FROM (
+  SELECT *, CAST(coalesce(sum(gap) OVER (PARTITION BY host ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM (SELECT id, source_id AS host, id * 10 AS arrival, 500 + id % 700 AS gap FROM frontier) a) b) c""")
+def _(t):
+    requests = t.frontier().select("id", F.col("source_id").alias("host"), F.col("id").alias("seq"), (F.col("id") * 10).alias("arrival"), (500 + F.col("id") % 700).alias("gap"))
+    return ordering.host_timeline(requests).select("id", "start")
+
+
+_PAGES = "(SELECT source_id, page, page % 7 AS hash, n AS links, CASE WHEN page % 5 = 4 THEN n ELSE 0 END AS known, page % 11 = 10 AS below_floor, n % 3 AS new_links, page < 30 AS has_next FROM (SELECT source_id, id % 40 + 1 AS page, count(*) AS n FROM frontier GROUP BY 1, 2) g)"
+
+
+@query("paging_stop", f"""SELECT source_id, min(page) AS page, arg_min(reason, page) AS reason FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_id, hash ORDER BY page) > 1 THEN 'repeated page' WHEN links = 0 THEN 'no links' WHEN known = links THEN 'all known' WHEN below_floor THEN 'below floor' WHEN new_links = 0 THEN 'nothing new' WHEN page >= 20 THEN 'page limit' WHEN NOT has_next THEN 'no next page' END AS reason FROM {_PAGES} p) q WHERE reason IS NOT NULL GROUP BY 1""")
+def _(t):
+    g = t.frontier().groupBy("source_id", (F.col("id") % 40 + 1).alias("page")).agg(F.count("*").alias("links"))
+    walk = g.withColumns({"hash": F.col("page") % 7, "known": F.when(F.col("page") % 5 == 4, F.col("links")).otherwise(0), "below_floor": F.col("page") % 11 == 10, "new_links": F.col("links") % 3, "has_next": F.col("page") < 30})
+    return ordering.paging_stop(walk, 20)
+
+
+@query("budget_admission", "SELECT event_id, rn = 1 OR coalesce(spent, 0) + cost_usd <= 300 AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS rn, sum(cost_usd) OVER (PARTITION BY run_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent FROM ledger) x")
+def _(t):
+    return ordering.admitted(t.events().withColumn("seq", F.col("event_id")), 300.0).select("event_id", "admitted")
+
+
+@query("claim_priority", "SELECT id, retries FROM frontier WHERE state = 'pending' AND kind = 'article' ORDER BY retries, id LIMIT 20")
+def _(t):
+    return ordering.claims(t.frontier(), 20, articles=True).select("id", "retries")
+
+
+@query("claim_other", "SELECT id, retries FROM frontier WHERE state = 'pending' AND kind <> 'article' ORDER BY retries, id LIMIT 20")
+def _(t):
+    return ordering.claims(t.frontier(), 20, articles=False).select("id", "retries")
+
+
+@query("recent_events", "SELECT event_id, stage FROM ledger ORDER BY ts DESC, event_id DESC LIMIT 100")
+def _(t):
+    return ordering.recent(t.events(), 100, "ts", "event_id").select("event_id", "stage")
+
+
+@query("batches", "SELECT source_id, floor((row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) / 40) AS batch, id FROM articles".replace("floor(", "CAST(floor(").replace(" AS batch", " AS BIGINT) AS batch"))
+def _(t):
+    return ordering.in_batches(t.articles(), 40, "source_id", "id").select("source_id", "batch", "id")
+
+
+@query("kind_order", "SELECT id, CASE kind WHEN 'news' THEN 0 WHEN 'tool' THEN 1 WHEN 'release' THEN 2 ELSE 3 END AS place FROM articles ORDER BY place, id LIMIT 200")
+def _(t):
+    return t.articles().select("id", tags.kind_rank(F.col("kind")).alias("place")).orderBy("place", "id").limit(200)
+
+
+# ---- writes ----
+
+
+@query("upsert_last_wins", "SELECT id, arg_max(kind, v) AS kind FROM (SELECT id, kind, 0 AS v FROM articles UNION ALL SELECT id + 500, 'new', 1 FROM articles WHERE id % 3 = 0) x GROUP BY 1".replace("arg_max(kind, v)", "CASE WHEN max(v) = 1 THEN 'new' ELSE max(kind) END"))
+def _(t):
+    old = t.articles().select("id", "kind", F.lit(0).alias("at"))
+    new = t.articles().where("id % 3 = 0").select((F.col("id") + 500).alias("id"), F.lit("new").alias("kind"), F.lit(1).alias("at"))
+    return writes.upsert(old, new, ["id"], "at").select("id", "kind")
+
+
+@query("insert_or_ignore", "SELECT id, CASE WHEN id IN (SELECT id FROM articles) THEN 'old' ELSE 'new' END AS origin FROM (SELECT id FROM articles UNION SELECT id + 500 FROM articles) x")
+def _(t):
+    old = t.articles().select("id", F.lit("old").alias("origin"))
+    return writes.insert_or_ignore(old, t.articles().select((F.col("id") + 500).alias("id"), F.lit("new").alias("origin")), ["id"], "origin")
+
+
+@query("merge_fields", "SELECT coalesce(a.id, b.id) AS id, coalesce(b.kind, a.kind) AS kind FROM (SELECT id, kind FROM articles WHERE id % 2 = 0) a FULL JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN 'x' END AS kind FROM articles WHERE id % 3 = 0) b ON a.id = b.id")
+def _(t):
+    old = t.articles().where("id % 2 = 0").select("id", "kind")
+    new = t.articles().where("id % 3 = 0").select("id", F.when(F.col("id") % 5 == 0, "x").alias("kind"))
+    return writes.merge_fields(old, new, "id")
+
+
+@query("null_only_update", "SELECT a.id, coalesce(a.kind, CASE WHEN a.id % 2 = 0 THEN 'tool' END) AS kind FROM articles a")
+def _(t):
+    new = t.articles().where("id % 2 = 0").select("id", F.lit("tool").alias("kind"))
+    return writes.fill_nulls(t.articles().select("id", "kind"), new, "id", "kind")
+
+
+@query("date_siblings", "SELECT a.id, CASE WHEN d.issue_date IS NOT NULL AND a.published_at IS DISTINCT FROM d.issue_date THEN d.issue_date ELSE a.published_at END AS published_at FROM articles a LEFT JOIN (SELECT issue_url, arg_min(published_at, id) AS issue_date FROM articles WHERE issue_url IS NOT NULL AND published_at IS NOT NULL GROUP BY 1) d ON a.issue_url = d.issue_url")
+def _(t):
+    rows = t.articles().select("id", "issue_url", "published_at")
+    return writes.date_siblings(rows, joins.sibling_dates(t.articles())).select("id", "published_at")
+
+
+@query("cascade_delete", "SELECT article_id, facet, tag FROM tags WHERE article_id NOT IN (SELECT id FROM articles WHERE source_id = 3)")
+def _(t):
+    return writes.delete_keys(t.tags(), t.articles().where("source_id = 3"), "article_id", "id").select("article_id", "facet", "tag")
+
+
+@query("orphan_searches", "SELECT search_id FROM hits GROUP BY 1 HAVING NOT bool_and(id IN (SELECT id FROM articles WHERE source_id <> 3 OR id % 2 = 0))".replace("source_id <> 3 OR id % 2 = 0", "source_id % 2 = 0"))
+def _(t):
+    evens = t.articles().withColumn("source_id", F.when(F.col("source_id") % 2 == 0, 3).otherwise(1))
+    return writes.without_source(3, evens, {}, t.searches())["searches"].select("search_id")
+
+
+@query("refresh_listings", "SELECT id, CASE WHEN kind = 'listing' AND state IN ('done', 'failed') THEN 'pending' WHEN state = 'in_progress' THEN 'pending' ELSE state END AS state FROM frontier")
+def _(t):
+    return writes.resumed(writes.refreshed(t.frontier())).select("id", "state")
+
+
+@query("retry_transition", """SELECT id, CASE id % 6 WHEN 0 THEN 'done' WHEN 1 THEN 'pending' WHEN 2 THEN CASE WHEN retries < 3 THEN 'pending' ELSE 'failed' END WHEN 3 THEN 'done' ELSE state END AS state,
+  CAST(CASE WHEN id % 6 = 2 AND retries < 3 THEN retries + 1 ELSE retries END AS INTEGER) AS retries FROM frontier""")
+def _(t):
+    f = t.frontier()
+    what = F.element_at(F.array(*map(F.lit, ("success", "budget", "error", "timeout"))), (F.col("id") % 6 + 1).cast("int"))
+    outcomes = f.where("id % 6 < 4").select("id", what.alias("outcome"), (F.col("id") % 6 == 3).alias("curated"))
+    return writes.settled(f, outcomes).select("id", "state", "retries")
+
+
+@query("frozen_hits", """SELECT search_id, '[' || string_agg('{"id":' || id || ',"relation":"' || relation || '","kind":"' || kind || '"}', ',' ORDER BY pos) || ']' AS hits_json FROM hits GROUP BY 1""")
+def _(t):
+    return writes.frozen_hits(t.searches().select("search_id", F.inline("hits")))
+
+
+# ---- scalar functions ----
+
+
+@query("iso_dates", "SELECT id, CASE WHEN id % 4 > 0 THEN CAST(date_iso AS VARCHAR) END AS iso FROM articles")
+def _(t):
+    return t.articles().select("id", dates.iso_date(F.col("published_at")).alias("iso"))
+
+
+@query("clamp_future", "SELECT id, CASE WHEN id % 4 > 0 AND date_iso + CASE WHEN id % 4 = 3 THEN INTERVAL 10 HOUR ELSE INTERVAL 0 HOUR END > TIMESTAMP '2024-09-02 00:00:00' THEN '2024-09-01' ELSE published_at END AS clamped FROM articles")
+def _(t):
+    return t.articles().select("id", dates.clamp_future(F.col("published_at"), F.lit("2024-09-01 00:00:00").cast("timestamp")).alias("clamped"))
+
+
+_QUERY = "list_sort(list_filter(string_split(CASE WHEN contains(u, '?') THEN substr(u, strpos(u, '?') + 1) ELSE '' END, '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '(?i)^(utm_.*|ref|fbclid|gclid|mc_cid|mc_eid)$')))"
+
+
+@query("url_normalize", f"SELECT page_id, regexp_replace(split_part(u, '?', 1), '/+$', '') || CASE WHEN len({_QUERY}) > 0 THEN '?' || array_to_string({_QUERY}, '&') ELSE '' END AS url FROM (SELECT page_id, split_part(url, '#', 1) AS u FROM pages) x")
+def _(t):
+    return t.raw("pages").select("page_id", urls.normalize_url(F.col("url")).alias("url"))
+
+
+@query("host_signature", r"SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) || ':listing:/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '/'), lambda s: s <> '')[1:2], lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 24 THEN '*' ELSE s END), '/') AS sig FROM pages")
+def _(t):
+    return t.raw("pages").select("page_id", urls.domain_signature(F.col("url")).alias("sig"))
+
+
+@query("slug_fold", "SELECT id, coalesce(nullif(substr(regexp_replace(regexp_replace(replace(strip_accents(lower(title)), 'ß', '-'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'untitled') AS slug FROM articles")
+def _(t):
+    return t.articles().select("id", text.slugify(F.col("title")).alias("slug"))
+
+
+@query("cjk_ratio", "SELECT id, round(len(regexp_extract_all(content || '日本', '[㐀-䶿一-鿿぀-ヿ가-힯豈-﫿]')) * 1.0 / length(content || '日本'), 8) AS ratio FROM articles")
+def _(t):
+    return t.articles().select("id", F.round(text.cjk_ratio(F.concat("content", F.lit("日本"))), 8).alias("ratio"))
+
+
+@query("snippets", r"SELECT id, substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 200) AS snippet, substr(coalesce(blurb, content, ''), 1, 280) AS raw_snippet FROM articles")
+def _(t):
+    return t.articles().select("id", text.snippet(F.col("content")).alias("snippet"), text.raw_snippet(F.col("blurb"), F.col("content")).alias("raw_snippet"))
+
+
+@query("redact", "SELECT id, regexp_replace(content || ' hf_abcdefghijklmnopqrstuv', 'AKIA[0-9A-Z]{16}|hf_[A-Za-z0-9]{20,}', '[REDACTED]', 'g') AS clean FROM articles")
+def _(t):
+    return t.articles().select("id", text.redact(F.concat("content", F.lit(" hf_abcdefghijklmnopqrstuv"))).alias("clean"))
+
+
+@query("match_terms", "SELECT item_id, '\"' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 2)[1:24], '\" OR \"') || '\"' AS expression FROM benchmark")
+def _(t):
+    return t.raw("benchmark").select("item_id", text.match_expression(F.col("text")).alias("expression"))
+
+
+@query("sanity_check", "SELECT id, length(trim(blurb)) > 0 AND length(trim(blurb)) >= floor(least(greatest(200.0, length(trim(content)) * 0.15), length(trim(content)) * 0.6)) AND length(trim(blurb)) <= length(trim(content)) * 1.2 + 500 AS sane FROM articles WHERE blurb IS NOT NULL")
+def _(t):
+    return t.articles().where("blurb IS NOT NULL").select("id", text.sane_cleaning(F.col("content"), F.col("blurb")).alias("sane"))
+
+
+@query("tag_validation", "SELECT id, CASE WHEN lang = 'en' THEN 'english' WHEN lang = 'de' THEN 'german' ELSE '' END AS tags, CASE WHEN lang IN ('en', 'de') THEN '' ELSE lang END AS dropped FROM articles")
+def _(t):
+    vocabulary, aliases = F.array(F.lit("english"), F.lit("german")), F.create_map(F.lit("en"), F.lit("english"), F.lit("de"), F.lit("german"), F.lit("fr"), F.lit("french"))
+    v = tags.valid_tags(F.array(F.concat(F.lit(" "), F.upper("lang")), F.col("lang")), vocabulary, aliases, 3)
+    return t.articles().select("id", F.array_join(v["tags"], ",").alias("tags"), F.array_join(F.array_distinct(v["dropped"]), ",").alias("dropped"))
+
+
+# ---- retrieval and judging ----
+_TERMS = ["the", "and", "ation", "the", "stupid", "password"]
+_BM25 = r"""(WITH toks AS (SELECT id, 'w' AS f, unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term, 10.0 AS w FROM articles
+  UNION ALL SELECT id, 'c', unnest(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda t: t <> '')), 1.0 FROM articles),
+  lens AS (SELECT id, count(*) AS len FROM toks GROUP BY 1), tf AS (SELECT id, term, sum(w) AS wtf FROM toks GROUP BY 1, 2),
+  q AS (SELECT term, count(*) AS times FROM (VALUES ('the'), ('and'), ('ation'), ('the'), ('stupid'), ('password')) v(term) GROUP BY 1),
+  stats AS (SELECT (SELECT count(*) FROM articles) AS docs, (SELECT sum(len) FROM lens) / (SELECT count(*) FROM articles) AS avg_len),
+  idf AS (SELECT q.term, q.times, greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) AS idf FROM q JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) d ON d.term = q.term, stats)
+  SELECT tf.id, -sum(times * idf * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM tf JOIN idf ON tf.term = idf.term JOIN lens ON lens.id = tf.id, stats GROUP BY 1)"""
+
+
+@query("bm25_plain", f"SELECT id, round(score, 6) AS score FROM {_BM25} s ORDER BY s.score, id LIMIT 50")
+def _(t):
+    a = t.articles()
+    found = retrieval.bm25(retrieval.postings(a), retrieval.corpus_stats(a), _TERMS, 50)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+_KNN = "(SELECT e.vec_id AS id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)"
+
+
+def nearest(t: Tables, most: int) -> DataFrame:
+    asked = [float(x) for x in t.raw("embeddings").where("vec_id = 7").first()["embedding"]]
+    return retrieval.knn(t.raw("embeddings"), asked, most, id="vec_id")
+
+
+@query("knn_cosine", f"SELECT id, round(distance, 6) AS distance FROM {_KNN} k ORDER BY k.distance, id LIMIT 20")
+def _(t):
+    return nearest(t, 20).select("id", F.round("distance", 6).alias("distance"))
+
+
+_FUSED = f"""(SELECT id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM (SELECT 0 AS list, id, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM (SELECT * FROM {_BM25} s ORDER BY score, id LIMIT 50) a
+  UNION ALL SELECT 1, id, row_number() OVER (ORDER BY distance, id) - 1 FROM (SELECT * FROM {_KNN} k ORDER BY distance, id LIMIT 50) b) r GROUP BY 1)"""
+
+
+def lexical(t: Tables) -> DataFrame:
+    a = t.articles()
+    return retrieval.bm25(retrieval.postings(a), retrieval.corpus_stats(a), _TERMS, 50)
+
+
+@query("rrf_fusion", f"SELECT id, round(score, 8) AS score FROM {_FUSED} f")
+def _(t):
+    both = retrieval.ranked(lexical(t), 0, "score").union(retrieval.ranked(nearest(t, 50), 1, "distance"))
+    return ordering.reciprocal_ranks(both).select("id", F.round("score", 8).alias("score"))
+
+
+@query("hybrid_topk", f"SELECT id, round(score, 8) AS score FROM {_FUSED} f WHERE id IN (SELECT id FROM articles WHERE source_id < 12) ORDER BY f.score DESC, seen LIMIT 30")
+def _(t):
+    return retrieval.hybrid(t.articles().where("source_id < 12"), lexical(t), nearest(t, 50), 30).select("id", F.round("score", 8).alias("score"))
+
+
+_WORDS = ["thing", "stupid", "ation", "para"]
+_N = " + ".join(f"CAST(contains(lower(concat_ws(' ', title, blurb)), '{w}') AS INTEGER)" for w in _WORDS)
+
+
+@query("spec_priority", f"SELECT id, {_N} AS overlap FROM articles ORDER BY {_N} DESC, id LIMIT 100")
+def _(t):
+    return ordering.by_spec(t.articles().withColumn("pos", F.col("id")), _WORDS).select("id", "overlap").limit(100)
+
+
+_M = " + ".join(f"CAST(contains(lower(concat_ws(' ', title, substr(content, 1, 8000))), '{w}') AS INTEGER)" for w in _WORDS)
+
+
+@query("judge_rows", f"SELECT id, CASE WHEN 2 * ({_M}) >= 4 THEN 'direct' WHEN ({_M}) > 0 THEN 'similar' ELSE 'none' END AS relation, CASE WHEN kind = 'tool' THEN 'tool' ELSE 'news' END AS judged_kind FROM articles")
+def _(t):
+    return judge.judged(t.articles(), _WORDS).select("id", "relation", "judged_kind")
+
+
+@query("search_hits", f"SELECT id, CASE WHEN 2 * ({_M}) >= 4 THEN 0 ELSE 1 END AS rank FROM articles WHERE ({_M}) > 0 ORDER BY rank, id LIMIT 500")
+def _(t):
+    return judge.search(t.articles().withColumn("pos", F.col("id")), _WORDS).select("id", "rank")
+
+
+@query("result_buckets", f"SELECT count(*) AS scanned, count(*) FILTER (WHERE ({_M}) > 0) AS relevant, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (WHERE ({_M}) = 1) AS hidden_similar FROM articles")
+def _(t):
+    return judge.buckets(judge.judged(t.articles(), _WORDS).withColumn("failed", F.lit(False)))
+
+
+@query("verify_rules", r"""SELECT id, CASE WHEN length(trim(content)) < 50 THEN 'suspect' WHEN len(p) >= 4 AND len(list_filter(p[1:4], lambda x: length(trim(x)) > 24 OR regexp_matches(x, '[:.]'))) = 0 AND len(list_filter(p[2:4], lambda x: trim(x) = '')) = 0 THEN 'suspect' ELSE 'ok' END AS verdict
+  FROM (SELECT id, content, regexp_split_to_array(substr(content, 1, 120), '\s*(?:[•·|/]\s*)+') AS p FROM articles) x""")
+def _(t):
+    return judge.verify(t.articles()).select("id", "verdict")
+
+
+@query("classify_stub", r"""SELECT id AS article_id, 'concept' AS facet, tag, CAST(row_number() OVER (PARTITION BY id ORDER BY position) - 1 AS INTEGER) AS rank FROM (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+')) AS tag FROM articles) w
+  JOIN (VALUES (0, 'the'), (1, 'of'), (2, 'der'), (3, 'que'), (4, 'les')) v(position, word) ON v.word = w.tag QUALIFY row_number() OVER (PARTITION BY id ORDER BY position) <= 2""")
+def _(t):
+    words = t.spark.createDataFrame([("concept", w, k) for k, w in enumerate(("the", "of", "der", "que", "les"))], "facet string, tag string, position int")
+    return judge.classify(t.articles(), words, {"concept": 2})
+
+
+# ---- exports and pages ----
+
+
+@query("export_snapshot", "SELECT count(*) AS articles, count(DISTINCT source_id) AS sources, CAST(min(date_iso) AS VARCHAR) AS min_date, CAST(max(date_iso) AS VARCHAR) AS max_date FROM articles")
+def _(t):
+    return export.snapshot(dated(t), t.tags())["meta"].select("articles", "sources", day("min_date"), day("max_date"))
+
+
+@query("public_corpus", r"""SELECT id, source_id AS "sourceId", url, title, CAST(date_iso AS VARCHAR) AS "dateIso", kind, verify_status AS "verifyStatus", regexp_replace(substr(trim(regexp_replace(content, '\s+', ' ', 'g')), 1, 400), 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g') AS snippet FROM verified""")
+def _(t):
+    return export.public_corpus(browsing.dated(t.verified())).withColumn("dateIso", F.col("dateIso").cast("string"))
+
+
+@query("by_kind", "SELECT coalesce(kind, 'unknown') AS kind, count(*) AS n FROM articles GROUP BY 1")
+def _(t):
+    return export.by_kind(t.articles())
+
+
+@query("export_markdown")
+def _(t):
+    return export.markdown_file(t.articles(), t.tags())
+
+
+@query("html_links", """SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]+"')) AS link FROM pages) x GROUP BY 1""")
+def _(t):
+    return pages.link_rows(t.raw("pages")).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("html_titles", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+def _(t):
+    return pages.extracted(t.raw("pages"), 2026).select("page_id", "title")
+
+
+@query("html_text")
+def _(t):
+    return pages.extracted(t.raw("pages"), 2026).select("page_id", "text", "readable")
+
+
+@query("html_markdown")
+def _(t):
+    return t.raw("pages").select("page_id", pages.as_markdown(F.col("html")).alias("markdown"))
+
+
+@query("page_signals", """SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]+"')) AS link FROM pages) x GROUP BY 1""")
+def _(t):
+    links = pages.link_rows(t.raw("pages"))
+    signals = agg.page_signals(links)
+    ids = links.select("page_id", "page_url").distinct()
+    return signals.join(ids, "page_url").select("page_id", (F.col("internal") + F.col("external")).alias("links"))
+
+
+# ---- not in the inventory, but free ----
+
+
+@query("as_of_price", "SELECT e.event_id, (SELECT arg_max(p.cost_usd, p.ts) FROM ledger p WHERE p.run_id = e.run_id AND p.stage = 'purchase' AND p.ts <= e.ts) AS price FROM ledger e WHERE e.stage = 'click'")
+def _(t):
+    events = t.events()
+    clicks = events.where("stage = 'click'").select("run_id", "ts", "event_id")
+    bought = events.where("stage = 'purchase'").select("run_id", "ts", F.col("cost_usd").alias("price"))
+    return joins.as_of(clicks, bought, "run_id", "ts", "price").select("event_id", "price")
+
+
+@query("grouping_sets", "SELECT kind, state, count(*) AS n FROM frontier GROUP BY GROUPING SETS ((kind, state), (kind), ())")
+def _(t):
+    return t.frontier().groupingSets([("kind", "state"), ("kind",), ()], "kind", "state").agg(F.count("*").alias("n"))
+
+
+@query("tumbling_counts", "SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, stage, count(*) AS n FROM ledger GROUP BY 1, 2")
+def _(t):
+    counted = t.events().groupBy(F.window("ts", "1 hour").alias("w"), "stage").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").cast("string").alias("start"), "stage", "n")
+
+
+@query("session_counts", "SELECT run_id, count(*) AS n FROM (SELECT run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ledger) x WHERE new = 1 GROUP BY 1")
+def _(t):
+    return t.events().groupBy("run_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("k")).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
