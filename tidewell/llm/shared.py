@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .flat import Membership
 
+#: Bytes of one Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 #: Bits of the filters that pick rows before a shuffle: 2 MiB, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -40,9 +42,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded to BATCH_BYTES unless they were set otherwise.
+
+    Whole texts go to Python workers; the usual bound of 64 MiB a batch, held on
+    both sides of the pipe by every task, is most of a small executor's spare memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) in (None, "67108864b", "64m", "64MB"):
+        df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def identified(docs: DataFrame, *columns: str) -> DataFrame:
     """(doc_id, columns) alone, so extra columns can't clash; null ids get NULL_ID."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), *columns)
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), *columns)
 
 
 def restored(column: str = "doc_id"):
