@@ -130,7 +130,8 @@ def stored(docs: DataFrame, folder: str | None = None) -> DataFrame:
         if shard:
             yield closed()
 
-    return cut(identified(docs, "text").mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"))
+    rows = identified(docs, "text").mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+    return cut(rows.withColumn("doc_id", restored()))
 
 
 class _Reader:
@@ -172,20 +173,22 @@ def feature(payload: bytes) -> str:
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what the members, read back, hold."""
+    """doc_id, n_bytes and what the members hold: width and height by a range read of the header, the rest read back."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
 
     def run(batches):
         reader = _Reader()
         for batch in batches:
             out = []
-            for doc, n, shard, offset, length, width, height in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "shard", "offset", "length", "width", "height"))):
+            for doc, n, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "shard", "offset", "length"))):
+                width, height, *_ = png_header(reader.read(shard, offset, min(HEADER_BYTES, length)))
                 media = reader.read(shard, offset, length)
                 payload = from_png(media)
                 out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), width, height))
             columns = list(zip(*out)) or [()] * len(names)
             kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            pa.default_memory_pool().release_unused()
 
     out = rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
     return out.withColumn("doc_id", restored())

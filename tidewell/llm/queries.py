@@ -73,8 +73,7 @@ def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = media.with_metadata(media.stored(_table(spark, folder, "documents")))
-    return media.with_features(rows)
+    return media.with_features(media.stored(_table(spark, folder, "documents")))
 
 
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,4 +93,24 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: What SQL can say: set links with their components, and URL rules.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+reached AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM reached JOIN links ON x = reached.doc_id)
+SELECT r.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY 1, 2""",
+    "op5_url_filters": """
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '?', 1), '#', 1) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM rests),
+fits AS (SELECT p.*, rule_host || rule_path AS rule, rule_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS nth FROM parts p
+  LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE nth = 1""",
+}
