@@ -167,6 +167,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = [i for part in _runs(texts) for i in bpe.encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        bpe.known.clear()
 
     return identified(docs, "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary").withColumn("doc_id", restored())
 
@@ -196,5 +197,6 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                     first.append(hashlib.sha256(ids).hexdigest())
                     second.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.known.clear()  # the worker may serve other stages next
 
     return identified(docs, "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", restored())

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import SPACE, text_bytes
+from .shared import small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios that rules may test, as SQL over the counts and a few more (fixed list).
@@ -99,14 +100,14 @@ def with_counts(docs: DataFrame, keep: tuple[str, ...], as_struct: str = "stats"
     """The kept columns of docs, and a struct of counts; the text is read whole."""
     names = (*COUNTS, *MORE_COUNTS)
     own = "text" in keep  # then the text travels once, inside the row
-    base = docs.select(F.struct(*keep).alias("row"), *[] if own else [F.col("text").alias("__text")])
+    base = small_batches(docs).select(F.struct(*keep).alias("row"), *[] if own else [F.col("text").alias("__text")])
     stats = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(pc.struct_field(batch.column("row"), "text") if own else batch.column("__text"))
-            raw, ends = data.tobytes(), offsets.tolist()
-            columns = list(zip(*(text_counts(raw[a:z]) for a, z in zip(ends, ends[1:])))) or [()] * len(names)
+            ends = offsets.tolist()
+            columns = list(zip(*(text_counts(data[a:z].tobytes()) for a, z in zip(ends, ends[1:])))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))], ["row", as_struct])
 
     return base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField(as_struct, stats)]))

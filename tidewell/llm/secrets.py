@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import row_runs, text_bytes, word_spans
-from .shared import identified, restored
+from .shared import identified, restored, small_batches
 
 # Fixed patterns; a match counts when the named part is long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -191,4 +191,4 @@ def redacted(docs: DataFrame, model: RandomStringModel, mark: str = "[SECRET]")
             new = pa.array([None if null else t for t, null in zip(out, old.is_null().to_pylist())], old.type)
             yield batch.set_column(where, batch.schema.field(where), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
