@@ -46,7 +46,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark_id, self.mark = next((k, t.content) for k, t in self.library.get_added_tokens_decoder().items() if t.special and t.content.startswith("<"))
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or "\0"
+        self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends_word[[k for token, k in self.library.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -60,17 +62,21 @@ class WordEncoder:
         # a mark after a letter is a token run of its own, and its word is often known
         marked = [w for w in words if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()]
         words = (words.difference(marked) | {w[:-1] for w in marked} | {w[-1] for w in marked}).difference(self.known)
-        plain = sorted(w for w in words if "<" not in w)
-        for lo in range(0, len(plain), 4096):
-            part = plain[lo : lo + 4096]
-            # words between two special tokens are encoded as if each stood alone
-            ids = np.array(self.library.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, "<u4")
-            flat, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)]
-            self.known.update((w, flat[a:z]) for w, a, z in zip(part, [0, *(e + 4 for e in ends[:-1])], ends))
-        rest = [w for w in words if "<" in w]
-        if rest:
-            for word, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
+        # a word of letters is one run, and its last id ends a word: many are encoded in one call and told apart
+        groups = [plain[lo : lo + 256] for lo in range(0, len(plain), 256)]
+        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = 4 * np.flatnonzero(self.ends_word[ids]) + 4
+            if len(ends) == len(group):
+                flat, ends = ids.tobytes(), ends.tolist()
+                self.known.update((w, flat[a:z]) for w, a, z in zip(group, [0, *ends], ends))
+            else:
+                rest += group
+        for word, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
         self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in marked)
 
 
@@ -158,6 +164,7 @@ def token_pieces(docs: DataFrame, path: str, window: int, end_id: int = 1, with_
                 lo = hi
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns)], names)
+        own.known = {"": b""}  # the worker may serve other stages next
 
     return identified(docs, "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
