@@ -14,7 +14,7 @@ def value(spark, expression, **columns):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("2026-06-18T10:00:00.123Z", "2026-06-18"), ("2026-06-18T23:30:00-03:00", "2026-06-19"), ("2026-06-18", "2026-06-18"), (" June 18, 2026 ", "2026-06-18"), ("Jun 8, 2026", "2026-06-08"), ("Thu, 18 Jun 2026 10:00:00 +0000", "2026-06-18"), ("", None), ("soon", None), (None, None)],
+    [("2026-06-18T10:00:00.123Z", "2026-06-18"), ("2026-06-18T23:30:00-03:00", "2026-06-19"), ("2026-06-18", "2026-06-18"), ("2026-06-18 23:59:59", "2026-06-18"), ("18 June 2026", "2026-06-18"), ("2026/06/18", "2026-06-18"), ("06/18/2026", "2026-06-18"), ("May 4, 2026", "2026-05-04"), (" June 18, 2026 ", "2026-06-18"), ("Jun 8, 2026", "2026-06-08"), ("Thu, 18 Jun 2026 10:00:00 +0000", "2026-06-18"), ("", None), ("soon", None), (None, None)],
 )
 def test_iso_date(spark, raw, want):
     assert value(spark, dates.iso_date(F.col("x")), x=raw) == want

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns tried in order (fixed list).
+#: Patterns tried in order (fixed list); brackets are optional parts.
 PATTERNS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy HH:mm:ss Z",
+    "yyyy-MM-dd[['T'][ ]HH:mm:ss[.SSS][XXX]]",
+    "[MMMM][MMM] d, yyyy",
+    "d [MMMM][MMM] yyyy[ HH:mm:ss Z]",
     "yyyy/MM/dd",
     "MM/dd/yyyy",
 )
