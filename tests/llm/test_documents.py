@@ -9,7 +9,7 @@ import pytest
 from cases import documents, plain
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, media, packing, quality, secrets, suffix, toxicity
+from tidewell.llm import bpe, jaccard, media, packing, quality, secrets, suffix, toxicity
 from tidewell.llm.jaccard import divide_skip, jaccard_components
 from tidewell.llm.queries import QUERIES, vocabulary
 
@@ -55,6 +55,14 @@ def test_jaccard(tables, name):
         assert r.component_id == find(r.doc_id)
 
 
+@pytest.mark.parametrize("block", [40, 2000])
+def test_heavy_neighbourhoods_keep_their_links(spark, monkeypatch, block):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()} == want
+
+
 def test_divide_skip_links_components():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
@@ -271,7 +279,10 @@ def test_toxicity_cases(spark, tables, small):
 @pytest.mark.parametrize("name", ["small", "cases", "empty"])
 def test_media(tables, name):
     docs = tables[name]
-    got = media.with_features(media.with_metadata(media.stored(docs))).collect()
+    rows = media.stored(docs)
+    got = media.with_features(rows).collect()
+    heads = {(r.doc_id, r.width, r.height, r.bits, r.colour) for r in media.with_metadata(rows).collect()}
+    assert heads == {(r.doc_id, r.width, r.height, 8, 0) for r in got}
     texts = dict(plain(docs))
     assert len(got) == len(plain(docs))
     by_text = {}

@@ -9,6 +9,7 @@ classes, so a group of exact copies costs one member.
    these is not among the s smallest. Hashes of the larger parts are inverted
    lists; classes on one list form a candidate neighbourhood. This step keeps
    every link, emits one edge for each list member and no pairs.
+   Neighbourhoods heavier than a block are cut again by other ranges.
 2. Inside a neighbourhood (in blocks of bounded weight) DivideSkip finds the
    links: of a query's inverted lists, the T - 1 longest are set aside, the
    short ones are heap-merged, and each text met there is counted up in the
@@ -122,55 +123,101 @@ def shingle_classes(docs: DataFrame, words: int = 4) -> DataFrame:
     return identified(docs, "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long")
 
 
-def candidate_edges(docs: DataFrame, words: int, percent: int, flush: int = 1 << 20) -> DataFrame:
+def _signature_rows(sets, buckets: int, percent: int, salt: int = 0, flush: int = 1 << 19):
+    """(bucket, blob) batches from (class, neighbourhood, shingles): signatures and their classes by bucket."""
+    parts, held, size = Parts(percent), [], 0
+
+    def flushed():
+        sig, own = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        bucket = (mix(sig) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        where = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        ids, blobs = [], []
+        for k in np.flatnonzero(np.diff(where)):
+            pick = order[where[k] : where[k + 1]]
+            ids.append(int(k))
+            blobs.append(sig[pick].tobytes() + own[pick].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    for own, root, shingles in sets:
+        if salt:  # other ranges of the same shingles, within the neighbourhood alone
+            shingles = np.sort(mix(shingles ^ np.uint64(salt)))
+        sig = parts.signatures(shingles)
+        if len(sig):
+            held.append((sig ^ mix(np.full(1, root, np.int64).view(np.uint64)), np.full(len(sig), own, np.int64)))
+            size += len(sig)
+        if size >= flush:
+            yield flushed()
+            held, size = [], 0
+    if held:
+        yield flushed()
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """An edge from each class of a list to the list's least class."""
+    blobs = [b.as_py() for b in table.column("blob")]
+    sig = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 16) for b in blobs])
+    own = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in blobs])
+    order = np.argsort(sig, kind="stable")
+    sig, own = sig[order], own[order]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    heads = np.flatnonzero(first)
+    hub = np.minimum.reduceat(own, heads)[np.cumsum(first) - 1]
+    far = own != hub
+    edges = np.unique(np.stack([hub[far], own[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
+    return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+
+def _buckets(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) of classes that put any two linking classes in one neighbourhood."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(docs)
 
     def emit(batches):
-        parts, seen, held, size = Parts(percent), set(), [], 0
+        seen = set()
 
-        def flushed():
-            sig, own = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            bucket = (mix(sig) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            where = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ids, blobs = [], []
-            for k in np.flatnonzero(np.diff(where)):
-                pick = order[where[k] : where[k + 1]]
-                ids.append(int(k))
-                blobs.append(sig[pick].tobytes() + own[pick].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        def sets():
+            for batch in batches:
+                for shingles in shingle_sets(batch.column("text"), words):
+                    own = class_id(shingles) if len(shingles) else 0
+                    if own and own not in seen:  # copies met in this task are skipped
+                        if len(seen) < 1 << 20:
+                            seen.add(own)
+                        yield own, 0, shingles
 
-        for batch in batches:
-            for shingles in shingle_sets(batch.column("text"), words):
-                own = class_id(shingles) if len(shingles) else 0
-                if own and own not in seen:  # copies met in this task are skipped
-                    if len(seen) < 1 << 20:
-                        seen.add(own)
-                    if len(sig := parts.signatures(shingles)):
-                        held.append((sig, np.full(len(sig), own, np.int64)))
-                        size += len(sig)
-                if size >= flush:
-                    yield flushed()
-                    held, size = [], 0
-        if held:
-            yield flushed()
+        yield from _signature_rows(sets(), buckets, percent)
+
+    return identified(docs, "text").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
+
+
+def refined(weighed: DataFrame, percent: int, salt: int) -> DataFrame | None:
+    """weighed with neighbourhoods over a block's weight cut again by other ranges; None if there are none.
+
+    Two linking classes share a range under any choice of ranges, so they stay
+    together, while classes that only chance had put on one list part.
+    """
+    big = cut(weighed.groupBy("root").agg(F.sum("weight").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("root"))
+    if big.isEmpty():
+        return None
+    buckets = _buckets(weighed)
+
+    def emit(batches):
+        def sets():
+            for batch in batches:
+                for node, root, blob in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "shingles"))):
+                    yield node, root, np.frombuffer(blob, np.uint64)
 
-    def stars(table: pa.Table) -> pa.Table:
-        blobs = [b.as_py() for b in table.column("blob")]
-        sig = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 16) for b in blobs])
-        own = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in blobs])
-        order = np.argsort(sig, kind="stable")
-        sig, own = sig[order], own[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        heads = np.flatnonzero(first)
-        hub = np.minimum.reduceat(own, heads)[np.cumsum(first) - 1]
-        far = own != hub
-        edges = np.unique(np.stack([hub[far], own[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+        yield from _signature_rows(sets(), buckets, percent, salt)
 
-    return identified(docs, "text").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(stars, "a long, b long").distinct()
+    inside = weighed.join(big, "root", "left_semi")
+    edges = inside.select("node", "root", "shingles").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
+    roots = connected_components(edges)
+    again = inside.drop("root").join(roots, "node").select(*weighed.columns)  # without an edge there is no link
+    return cut(weighed.join(big, "root", "left_anti").unionByName(again))
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -246,7 +293,12 @@ def verified_links(docs: DataFrame, neighbourhoods: DataFrame, words: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
     weighed = identified(docs, "text").mapInArrow(sets, "node long, shingles binary").join(neighbourhoods, "node")
-    weighed = cut(weighed.dropDuplicates(["node"]).withColumn("weight", F.length("shingles") / 8))
+    weighed = cut(weighed.groupBy("node", "root").agg(F.first("shingles").alias("shingles")).withColumn("weight", F.length("shingles") / 8))
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        smaller = refined(weighed, percent, salt)
+        if smaller is None:
+            break
+        weighed = smaller
     blocks = weighed.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = weighed.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each block meets itself and every other block of its neighbourhood once

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import SPACE, text_bytes
-from .shared import small_batches
+from .shared import hash_sample, small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios that rules may test, as SQL over the counts and a few more (fixed list).
@@ -209,7 +209,7 @@ def fit_list(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Decisi
     Rows without a label, id or text are not learned from.
     """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("__quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "__quality").limit(sample)
+    chosen = hash_sample(known, sample, 7, "__quality")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     stats = with_counts(rows, ("doc_id", "__quality"))
     flat = stats.select("row.doc_id", F.col("row.__quality").alias("quality"), "stats.*").selectExpr("doc_id", "quality", *(f"double({sql}) AS f_{n}" for n, sql in FEATURES.items())).toPandas()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import row_runs, text_bytes, word_spans
-from .shared import identified, restored, small_batches
+from .shared import hash_sample, identified, restored, small_batches
 
 # Fixed patterns; a match counts when the named part is long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -103,7 +103,8 @@ def fit_random_strings(docs: DataFrame, sample: int = 2000) -> RandomStringModel
     Runs inside pattern spans are labelled random, all others ordinary; drawn
     random strings stand beside them. The bound is for the fit alone.
     """
-    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "text").limit(sample)
+    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    chosen = hash_sample(chosen, sample, 3, "text")
 
     def run(batches):
         for batch in batches:

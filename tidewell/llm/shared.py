@@ -59,6 +59,19 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), *columns)
 
 
+def hash_sample(rows: DataFrame, most: int, seed: int, *ties: str) -> DataFrame:
+    """The `most` rows that come first by a hash of doc_id; for fits, whose bound is a parameter.
+
+    Where there are many more, rows beyond twice the expected last place are
+    dropped in the scan, so the sort does not get `most` rows from every task.
+    """
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 31))
+    total = rows.count()
+    if total > 4 * most:
+        rows = rows.where(place < F.lit(2 * most * (1 << 31) // total))
+    return rows.orderBy(place, "doc_id", *ties).limit(most)
+
+
 def restored(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, mix, prefix_sums, row_runs, span_hash, text_bytes, word_spans
-from .shared import identified, restored, small_batches
+from .shared import hash_sample, identified, restored, small_batches
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -100,8 +100,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bits:
     weigh the same in all.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    order = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
-    chosen = known.where("label = 1").orderBy(*order).limit(sample).union(known.where("label = 0").orderBy(*order).limit(sample))
+    chosen = hash_sample(known.where("label = 1"), sample, 5).union(hash_sample(known.where("label = 0"), sample, 5))
     texts = small_batches(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
 
     def grams(batches):
