@@ -9,8 +9,9 @@ classes, so a group of exact copies costs one member.
    these is not among the s smallest. Hashes of the larger parts are inverted
    lists; classes on one list form a candidate neighbourhood. This step keeps
    every link, emits one edge for each list member and no pairs.
-   Neighbourhoods heavier than a block are cut again by other ranges.
-2. Inside a neighbourhood (in blocks of bounded weight) DivideSkip finds the
+2. Inside a neighbourhood (in blocks of bounded weight, each with the pivots of
+   its neighbourhood; blocks meet only where several components are left, after
+   another cut by other ranges) DivideSkip finds the
    links: of a query's inverted lists, the T - 1 longest are set aside, the
    short ones are heap-merged, and each text met there is counted up in the
    long lists by binary probes until it reaches the required overlap T or can
@@ -194,16 +195,14 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return identified(docs, "text").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
 
 
-def refined(weighed: DataFrame, percent: int, salt: int) -> DataFrame | None:
-    """weighed with neighbourhoods over a block's weight cut again by other ranges; None if there are none.
+def refined(rest: DataFrame, percent: int, salt: int) -> DataFrame:
+    """(node, root) of rest(node, root, shingles) after its neighbourhoods are cut again by other ranges.
 
     Two linking classes share a range under any choice of ranges, so they stay
-    together, while classes that only chance had put on one list part.
+    together, while classes that only chance had put on one list part. Classes
+    left alone link with nothing and get no row.
     """
-    big = cut(weighed.groupBy("root").agg(F.sum("weight").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select("root"))
-    if big.isEmpty():
-        return None
-    buckets = _buckets(weighed)
+    buckets = _buckets(rest)
 
     def emit(batches):
         def sets():
@@ -213,22 +212,19 @@ def refined(weighed: DataFrame, percent: int, salt: int) -> DataFrame | None:
 
         yield from _signature_rows(sets(), buckets, percent, salt)
 
-    inside = weighed.join(big, "root", "left_semi")
-    edges = inside.select("node", "root", "shingles").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
-    roots = connected_components(edges)
-    again = inside.drop("root").join(roots, "node").select(*weighed.columns)  # without an edge there is no link
-    return cut(weighed.join(big, "root", "left_anti").unionByName(again))
+    edges = rest.select("node", "root", "shingles").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
+    return connected_components(edges)
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def divide_skip(sets: list[np.ndarray], left: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], left: np.ndarray | None, percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that join the sets' components; with `left` only across the two sides.
 
-    A link inside a component that is already joined is not looked for: the
-    components are the same with it.
+    A link inside a component that is already joined (`joined`: labels known
+    before) is not looked for: the components are the same with it.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -238,7 +234,7 @@ def divide_skip(sets: list[np.ndarray], left: np.ndarray | None, percent: int) -
     members = np.repeat(np.arange(n), sizes)[order]  # inverted lists, each in set order
     lists = np.searchsorted(codes[order], np.arange(len(tokens) + 1))
     lengths = np.diff(lists)
-    root = np.arange(n)
+    root = np.arange(n) if joined is None else np.unique(joined, return_inverse=True)[1]
     links = []
     for i in range(n):
         own = codes[at[i] : at[i + 1]]
@@ -275,8 +271,22 @@ def divide_skip(sets: list[np.ndarray], left: np.ndarray | None, percent: int) -
     return links
 
 
-def verified_links(docs: DataFrame, neighbourhoods: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of classes whose components are those of all links."""
+def _in_blocks(weight: str):
+    return F.ceil(F.sum(weight) / BLOCK_SHINGLES).cast("int")
+
+
+def _block_of(blocks: str):
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+
+def class_components(docs: DataFrame, classes: DataFrame, neighbourhoods: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root): components of the links between classes(node, weight) within neighbourhoods(node, root).
+
+    The sets are shuffled by block once. Each block is searched with the pivots
+    of its neighbourhood, which join the blocks of one group of near copies.
+    What is then one component is settled; only other neighbourhoods go on to
+    `_across_blocks`.
+    """
     wanted = members_of(neighbourhoods, "node")
 
     def sets(batches):
@@ -292,25 +302,62 @@ def verified_links(docs: DataFrame, neighbourhoods: DataFrame, words: int, perce
                     blobs.append(shingles.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
-    weighed = identified(docs, "text").mapInArrow(sets, "node long, shingles binary").join(neighbourhoods, "node")
-    weighed = cut(weighed.groupBy("node", "root").agg(F.first("shingles").alias("shingles")).withColumn("weight", F.length("shingles") / 8))
-    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-        smaller = refined(weighed, percent, salt)
-        if smaller is None:
-            break
-        weighed = smaller
-    blocks = weighed.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = weighed.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other block of its neighbourhood once
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("root", "node", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    members = cut(neighbourhoods.join(classes, "node"))
+    places = members.join(members.groupBy("root").agg(_in_blocks("weight").alias("blocks")), "root")
+    # an eighth of a block, at random, is searched with every block of the neighbourhood
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), 8 * F.col("blocks")) == 0)
+    spots = F.when(pivot, F.expr("sequence(0, blocks - 1)")).otherwise(F.array(_block_of("blocks")))
+    found = identified(docs, "text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    stored = cut(found.join(places.select("node", "root", "weight", "blocks", spots.alias("spots")), "node"))
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        nodes = pdf["node"].to_numpy()
-        found = divide_skip([np.frombuffer(b, np.uint64) for b in pdf["shingles"]], None if key[1] == key[2] else pdf["block"].to_numpy(), percent)
-        return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=np.int64)
+        return _pairs(pdf["node"].to_numpy(), divide_skip([np.frombuffer(b, np.uint64) for b in pdf["shingles"]], None, percent))
+
+    links = cut(stored.select("root", "node", "shingles", F.explode("spots").alias("i")).groupBy("root", "i").applyInPandas(verify, "a long, b long"))
+    groups = cut(connected_components(links))
+    several = stored.where("blocks > 1").select("node", "root").join(groups.select("node", F.col("root").alias("part")), "node", "left")
+    several = cut(_with_parts(several).select("root"))
+    if several.isEmpty():
+        return groups
+    rest = stored.join(several, "root", "left_semi").select("node", "root", "weight", "shingles")
+    return connected_components(links.union(_across_blocks(rest, groups, percent)))
 
+
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """Roots of rows(node, root, part) that hold several parts; a null part is the node's own."""
+    part = F.coalesce("part", "node")
+    return rows.groupBy("root").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low <> high")
+
+
+def _pairs(nodes: np.ndarray, found: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype=np.int64)
+
+
+def _across_blocks(rest: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different known groups in rest(node, root, weight, shingles).
+
+    Neighbourhoods are cut again by other ranges. In each that still holds
+    several parts, the heaviest part is not asked: the classes of the others, in
+    blocks, meet every block of the neighbourhood.
+    """
+    known = groups.select("node", F.col("root").alias("part"))
+    roots = refined(rest, percent, 0x5851F42D4C957F2D)
+    members = cut(roots.join(rest.select("node", "weight"), "node").join(known, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    parts = members.groupBy("root", "part").agg(F.sum("weight").alias("w"))
+    heaviest = parts.groupBy("root").agg(F.max_by("part", F.struct("w", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    sided = members.join(heaviest, "root").withColumn("asked", F.col("part") != F.col("main"))
+    counts = sided.groupBy("root").agg(_in_blocks("weight").alias("blocks"), F.ceil(F.sum(F.when(F.col("asked"), F.col("weight"))) / BLOCK_SHINGLES).cast("int").alias("lanes"))
+    sided = sided.join(counts, "root")
+    base = sided.select("node", "root", "part", F.lit(False).alias("asked"), F.explode(F.expr("sequence(0, lanes - 1)")).alias("i"), _block_of("blocks").alias("j"))
+    asking = sided.where("asked").select("node", "root", "part", "asked", _block_of("lanes").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["node", "asked"])
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
+        return _pairs(pdf["node"].to_numpy(), divide_skip(sets, pdf["asked"].to_numpy(), percent, pdf["part"].to_numpy()))
+
+    placed = rest.select("node", "shingles").join(base.union(asking), "node")
     return placed.groupBy("root", "i", "j").applyInPandas(verify, "a long, b long")
 
 
@@ -318,9 +365,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     """(doc_id, n_shingles, component_id, class_id) for each row of docs(doc_id, text)."""
     classes = cut(shingle_classes(docs, words))
     neighbourhoods = cut(connected_components(candidate_edges(docs, words, percent)))
-    groups = connected_components(verified_links(docs, neighbourhoods, words, percent)).select(F.col("node").alias("class_id"), "root")
-    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"))
-    rooted = first.join(groups, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("weight"))
+    found = class_components(docs, first.select(F.col("class_id").alias("node"), "weight"), neighbourhoods, words, percent)
+    groups = found.select(F.col("node").alias("class_id"), "root")
+    rooted = first.drop("weight").join(groups, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(smallest, "root").select("class_id", "component_id")
     out = classes.join(labels, "class_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
