@@ -13,6 +13,8 @@ from .flat import Membership
 
 #: Bytes of one Arrow batch of texts.
 BATCH_BYTES = 4 << 20
+#: Edges of one task of a connected-components step, and the fewest tasks it has.
+TASK_EDGES, LEAST_TASKS = 1 << 17, 32
 #: Bits of the filters that pick rows before a shuffle: 2 MiB, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -82,9 +84,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (2014),
     which need a number of rounds logarithmic in the component size and never
     hold a component in one task: each step is one aggregation with partial
-    results before its shuffle and one join.
+    results before its shuffle and one join. Few edges are read by few tasks, so
+    the shuffles of a step are not made of near-empty blocks.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, tasks: int) -> DataFrame:
         if large:
             both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
@@ -95,7 +98,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        out = out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return out.coalesce(tasks).distinct().coalesce(tasks)
 
     def mark(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -103,7 +107,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(pairs)
     for _ in range(max_rounds):
-        pairs = cut(star(star(pairs, True), False))
+        tasks = max(LEAST_TASKS, before[0] // TASK_EDGES)
+        pairs = cut(star(star(pairs.coalesce(tasks), True, tasks), False, tasks))
         after = mark(pairs)
         if after == before:
             break
