@@ -75,6 +75,22 @@ def test_copied_page_keeps_its_text(spark):
     assert {r.text for r in got} == {"The same words on two pages of one single host"}
 
 
+@pytest.mark.parametrize("copies", [2, 3, 12])
+def test_near_copies_keep_their_text(spark, copies):
+    body = "<div>The council met on a cold evening to speak of the bridge that nobody had crossed for years</div>"
+    rows = [(k, f"http://h/{k}", f"<p>Headline number {k}</p>{body}", None, None) for k in range(copies)]
+    rows += [(None, "http://h/n", f"<p>Null {k}</p><p>One of the {k} pages that have no name at all</p>", None, None) for k in range(3)]
+    got = {r.text for r in html.main_texts(page_table(spark, rows)).where("page_id is not null").collect()}
+    assert got == {f"Headline number {k} The council met on a cold evening to speak of the bridge that nobody had crossed for years" for k in range(copies)}
+
+
+def test_copies_on_part_of_a_host_keep_every_block(spark):
+    body = "<p>The council met on a cold evening to speak of it</p><p>Nobody had crossed the old bridge for more than ten long years</p>"
+    rows = [(k, f"http://h/{k}", f"<p>Page {k}</p>" + (body if k < 4 else f"<p>Other page {k} with words {k + 1} of its own {k + 2}</p>"), None, None) for k in range(12)]
+    got = {r.page_id: r.text for r in html.main_texts(page_table(spark, rows)).collect()}
+    assert all("cold evening" in got[k] and "old bridge" in got[k] for k in range(4))
+
+
 def test_empty_tables(spark):
     empty = page_table(spark, [])
     assert html.main_texts(empty).count() == 0 and urls.judged(empty, URL_RULES).count() == 0

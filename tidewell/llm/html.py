@@ -7,19 +7,22 @@ article of the page's own) or *open*. Scripts, styles
 and other unseen elements are no blocks. Where a page names its article, that is
 its text. Else its open blocks are, without those that a host's pages repeat:
 
-1. The words outside articles form one token stream a page. Every window of
-   `width` tokens is keyed by its least hash, and runs of windows with one key
-   go to that key of their host, so no host is ever gathered in one task.
+1. The words of open blocks form one token stream a page. Every window of
+   `width` tokens is keyed by its least hash of half as many tokens, and runs of
+   windows with one key go to that key of their host, so no host is ever gathered
+   in one task. Keys that fewer than three pages have are not sent on.
 2. The runs of a batch of keys are concatenated and their suffixes sorted by
-   prefix doubling; neighbours that share `width` tokens on distinct pages are
-   repeated, and their tokens are covered.
-3. Open blocks of which most tokens are covered go; unique ones stay. If none
-   would stay, the page is a copy of another one and keeps its open blocks.
+   prefix doubling, and the pages of equal windows are counted. Windows on three
+   pages or more, and on more than half of the pages of the host, are covered: a
+   copied article is on some pages, furniture on most.
+3. Open blocks of which most tokens are covered go; unique ones stay, and the
+   block with the most words does. If none would stay, the page is a copy of
+   another one and keeps its open blocks.
 
 Inside a block character references are decoded and white space runs become one
 space; blocks are joined in page order by one space. Null html, and html
-without any block, gives an empty text. Rows that repeat a page_id are one page
-to step 2. A null url has the empty host.
+without any block, gives an empty text. Rows that repeat page_id, url and html
+are one page to step 2. A null url has the empty host.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import mix
-from .shared import NULL_ID, small_batches
+from .shared import cut, members_of, small_batches
 from .suffix import sliding_min
 from .urls import host_and_path
 
@@ -61,6 +64,10 @@ HEADER_WORDS = frozenset(["header", "topbar"])
 #: Containers whose inner articles are not the page's own.
 CLOSED_TAGS = frozenset("nav aside form dialog menu search footer".split())
 CLOSED_WORDS = frozenset("comment comments reply replies respond disqus related recommended recommendations sidebar aside footer".split())
+#: Zones whose tokens are looked for on other pages of the host.
+JUDGED = frozenset(["open"])
+#: Keys that several pages share, for each bucket of runs that are sorted together.
+BUCKET_KEYS = 20_000
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -122,11 +129,6 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def _zones(page: str | None):
-    found = blocks(page or "")
-    return found, any(z == "article" for z, _ in found)
-
-
 def _token_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
@@ -142,26 +144,66 @@ def token_suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.nd
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: str = "url") -> DataFrame:
-    """(page_id, start, count) of token windows outside articles that other pages of the host have too."""
-    buckets = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` tokens that follow each other."""
+    out = np.zeros(max(0, len(tokens) - width + 1), np.uint64)
+    for k in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + len(out)]
+    return mix(out)
+
+
+def _page_tokens(page: str | None) -> np.ndarray:
+    return _token_hashes([w for zone, text in blocks(page or "") if zone in JUDGED for w in text.split()])
+
+
+def _page_runs(page: str | None, address: str | None, width: int):
+    """Tokens, host hash, and first, last and key of the runs of windows that are new on the page."""
+    tokens, host = _page_tokens(page), xxhash.xxh64_intdigest(host_and_path(address)[0])
+    if len(tokens) < width:
+        return None
+    gram = max(1, width // 2)
+    keys = sliding_min(mix(_window_hashes(tokens, gram) ^ np.uint64(host)), width - gram + 1)
+    at = np.sort(np.unique(_window_hashes(tokens, width), return_index=True)[1])
+    cuts = (np.diff(at) != 1) | (keys[at[1:]] != keys[at[:-1]])
+    heads = at[np.append(True, cuts)]
+    return tokens, host, heads, at[np.append(cuts, True)], keys[heads].view(np.int64)
+
+
+def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: str = "url", least: int = 3, common: float = 0.5) -> DataFrame:
+    """(page, start, count) of token windows that `least` pages and more than `common` of the pages of the host have.
+
+    pages has one row for each page. Of equal windows of a page only the first is told.
+    """
+    spark = pages.sparkSession
+
+    def tell(batches):
+        for batch in batches:
+            keys, hosts = [np.zeros(0, np.int64)], []
+            for address, source in zip(batch.column(url).to_pylist(), batch.column(html).to_pylist()):
+                if found := _page_runs(source, address, width):
+                    hosts.append(found[1])
+                    keys.append(np.unique(found[4]))
+            keys = np.concatenate([*keys, np.array(hosts, np.uint64).view(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)) >= len(keys) - len(hosts))], ["key", "host"])
+
+    # one row a page and key, so the count is that of pages
+    told = cut(pages.select(url, html).mapInArrow(tell, "key long, host boolean").groupBy("key", "host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least))
+    shared = members_of(told.where("not host"), "key")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), told.count() // BUCKET_KEYS)
 
     def emit(batches):
         for batch in batches:
             rows = []
-            for page, address, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", url, html))):
-                tokens = _token_hashes([w for zone, text in _zones(source)[0] if zone != "article" for w in text.split()])
-                if len(tokens) < width:
+            for page, address, source in zip(*(batch.column(c).to_pylist() for c in ("page", url, html))):
+                if not (found := _page_runs(source, address, width)):
                     continue
-                host = xxhash.xxh64_intdigest(host_and_path(address)[0])
-                keys = sliding_min(mix(tokens ^ np.uint64(host)), width)
-                heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)]):
-                    run = tokens[a : z + width - 1]
-                    rows.append((int(keys[a] % np.uint64(buckets)), page, a, xxhash.xxh64_intdigest(run.tobytes(), host) - (1 << 63), host - (1 << 63), run.tobytes()))
+                tokens, host, heads, lasts, keys = found
+                for k in np.flatnonzero(shared(keys)).tolist():
+                    run = tokens[heads[k] : lasts[k] + width].tobytes()
+                    rows.append((int(keys[k].view(np.uint64) % np.uint64(buckets)), page, int(heads[k]), xxhash.xxh64_intdigest(run, host) - (1 << 63), host - (1 << 63), run))
             columns = list(zip(*rows)) or [()] * 6
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "page_id", "start", "content", "host", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "page", "start", "content", "host", "tokens"])
 
     def sort(table: pa.Table) -> pa.Table:
         runs = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
@@ -173,24 +215,25 @@ def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: s
         # doubling may compare more than `width` tokens: neighbours need not, so equal windows are grouped by their own rank
         window = rank if width & (width - 1) == 0 else _window_ranks(codes, width)
         order = order[(inner + width <= sizes[owner])[order]]
-        many, group = table.column("many").to_numpy()[owner[order]], window[order]
-        page = table.column("page_id").to_numpy()[owner[order]]
-        most, least = np.full(len(codes), -(1 << 63)), np.full(len(codes), (1 << 63) - 1)
-        np.maximum.at(most, group, page)
-        np.minimum.at(least, group, page)
-        hit = np.sort(order[(most[group] != least[group]) | many])
+        # a page has a window once, so the pages of the contents that hold it add up
+        total = np.zeros(len(codes), np.int64)
+        np.add.at(total, window[order], table.column("pages").to_numpy()[owner[order]])
+        hit = np.sort(order[total[window[order]] >= least])
+        seen = total[window[hit]]
         new = np.ones(len(hit), bool)
-        new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
+        new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]) | (seen[1:] != seen[:-1])
         heads = np.flatnonzero(new)
         at = hit[heads]
-        return pa.table({"content": table.column("content").to_numpy()[owner[at]], "host": table.column("host").to_numpy()[owner[at]], "start": inner[at].astype(np.int32), "count": np.diff(np.append(heads, len(hit))).astype(np.int32)})
+        return pa.table({"content": table.column("content").to_numpy()[owner[at]], "host": table.column("host").to_numpy()[owner[at]], "start": inner[at].astype(np.int32), "count": np.diff(np.append(heads, len(hit))).astype(np.int32), "pages": seen[heads]})
 
-    runs = pages.select("page_id", url, html).mapInArrow(emit, "bucket int, page_id long, start int, content long, host long, tokens binary")
+    runs = pages.select("page", url, html).mapInArrow(emit, "bucket int, page long, start int, content long, host long, tokens binary")
     # equal runs of a host are sorted once, however many pages have them
-    once = runs.groupBy("bucket", "host", "content").agg(F.first("tokens").alias("tokens"), F.min("page_id").alias("page_id"), (F.min("page_id") != F.max("page_id")).alias("many"))
-    covered = once.groupBy("bucket").applyInArrow(sort, "content long, host long, start int, count int")
-    places = runs.select("page_id", "host", "content", F.col("start").alias("first"))
-    return places.join(covered, ["host", "content"]).select("page_id", (F.col("first") + F.col("start")).alias("start"), "count")
+    once = runs.groupBy("bucket", "host", "content").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
+    covered = once.groupBy("bucket").applyInArrow(sort, "content long, host long, start int, count int, pages long")
+    hosts = told.where("host").select(F.col("key").bitwiseXOR(F.lit(-(1 << 63))).alias("host"), F.col("pages").alias("of"))
+    covered = covered.join(hosts, "host").where(F.col("pages") > F.lit(common) * F.col("of"))
+    places = runs.select("page", "host", "content", F.col("start").alias("first"))
+    return places.join(covered.select("host", "content", "start", "count"), ["host", "content"]).select("page", (F.col("first") + F.col("start")).alias("start"), "count")
 
 
 def _window_ranks(codes: np.ndarray, width: int) -> np.ndarray:
@@ -204,42 +247,53 @@ def _window_ranks(codes: np.ndarray, width: int) -> np.ndarray:
 
 def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages(page_id, url, html)."""
-    base = small_batches(pages).select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id"), "url", "html")
-    covered = repeated_tokens(base, width).groupBy("page_id").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
+    base = small_batches(pages).select(F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("page"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    again = members_of(base.groupBy("page").count().where("count > 1"), "page")
 
-    def rows(batch, texts):
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def chosen(test):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(test(batch.column("page"))))
 
-    def named(batches):
-        for batch in batches:
-            found = [_zones(h) for h in batch.column("html").to_pylist()]
-            batch = batch.filter(pa.array([has for _, has in found], pa.bool_()))
-            yield rows(batch, [" ".join(t for z, t in b if z == "article") for b, has in found if has])
+        return run
 
-    def unnamed(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([not _zones(h)[1] for h in batch.column("html").to_pylist()], pa.bool_()))
+    once = base.mapInArrow(chosen(lambda c: ~again(c)), base.schema).union(base.mapInArrow(chosen(again), base.schema).dropDuplicates(["page"]))
+    covered = cut(repeated_tokens(once, width).groupBy("page").agg(F.collect_list(F.struct("start", "count")).alias("ranges")))
+    touched = members_of(covered, "page")
 
     def kept(page: str | None, ranges) -> str:
-        found, at, spans = blocks(page or ""), 0, []
-        for zone, text in found:
-            n = len(text.split())
-            spans.append((at, at + n))
-            at += n
-        gone = np.zeros(at + 1, np.int64)
-        for r in ranges or ():
-            gone[r["start"]] += 1
-            gone[r["start"] + r["count"] + width - 1] -= 1
-        gone = np.cumsum(gone)[:at] > 0
-        own = [k for k, (zone, _) in enumerate(found) if zone == "open"]
-        stay = [k for k in own if gone[spans[k][0] : spans[k][1]].mean() < share]
-        return " ".join(found[k][1] for k in stay or own)
+        found = blocks(page or "")
+        if any(z == "article" for z, _ in found):
+            return " ".join(t for z, t in found if z == "article")
+        own = [text for zone, text in found if zone in JUDGED]
+        if not ranges:
+            return " ".join(own)
+        counts = [len(text.split()) for text in own]
+        tokens = _page_tokens(page)
+        windows = _window_hashes(tokens, width)
+        told = np.zeros(len(windows), bool)
+        for r in ranges:
+            told[r["start"] : r["start"] + r["count"]] = True
+        # equal windows of the page go the same way
+        step = np.zeros(len(tokens) + 1, np.int64)
+        hit = np.flatnonzero(np.isin(windows, windows[told]))
+        np.add.at(step, hit, 1)
+        np.add.at(step, hit + width, -1)
+        gone = np.cumsum(step)[:-1] > 0
+        ends = np.cumsum(counts)
+        hidden = [int(gone[z - n : z].sum()) for z, n in zip(ends, counts)]
+        stay = [k for k in range(len(own)) if hidden[k] < share * counts[k]]
+        if stay:
+            stay = sorted({*stay, max(range(len(own)), key=lambda k: counts[k])})
+        return " ".join(own[k] for k in stay or range(len(own)))
 
     def finish(batches):
         for batch in batches:
-            yield rows(batch, [kept(h, r) for h, r in zip(batch.column("html").to_pylist(), batch.column("ranges").to_pylist())])
+            ranges = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * len(batch)
+            texts = [kept(h, r) for h, r in zip(batch.column("html").to_pylist(), ranges)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = "page_id long, url string, text string, n_chars long"
-    rest = base.mapInArrow(unnamed, base.schema).join(covered, "page_id", "left").mapInArrow(finish, schema)
-    out = base.mapInArrow(named, schema).union(rest)
-    return out.withColumn("page_id", F.when(F.col("page_id") != NULL_ID, F.col("page_id")))
+    changed = base.mapInArrow(chosen(touched), base.schema).join(covered, "page", "left").mapInArrow(finish, schema)
+    same = base.mapInArrow(chosen(lambda c: ~touched(c)), base.schema).mapInArrow(finish, schema)
+    return changed.union(same)
