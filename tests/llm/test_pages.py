@@ -91,6 +91,16 @@ def test_copies_on_part_of_a_host_keep_every_block(spark):
     assert all("cold evening" in got[k] and "old bridge" in got[k] for k in range(4))
 
 
+def test_articles_are_judged_by_their_own_words(spark):
+    ask = "<p>Please support our work by telling all your friends about this site</p>"
+    story = "Story {0} tells at length of thing {1} and of thing {2} and of all that came after {3}"
+    rows = [(k, f"http://h/{k}", f"<article><p>{story.format(k, 3 * k, 5 * k, 7 * k)}</p>{ask}</article>", None, None) for k in range(9)]
+    rows += [(50, "http://i/", f"<div><p>{story.format(1, 2, 3, 4)}</p></div><article><h2>Read this next</h2></article>", None, None)]
+    got = {r.page_id: r.text for r in html.main_texts(page_table(spark, rows)).collect()}
+    assert all(got[k] == story.format(k, 3 * k, 5 * k, 7 * k) for k in range(9))
+    assert got[50].startswith(story.format(1, 2, 3, 4))
+
+
 def test_empty_tables(spark):
     empty = page_table(spark, [])
     assert html.main_texts(empty).count() == 0 and urls.judged(empty, URL_RULES).count() == 0

@@ -4,10 +4,11 @@ A page is read as blocks, each in a zone: *article* (inside article or main),
 *chrome* or *closed* (inside navigation, headers, footers, sidebars, notices, adverts,
 forms or reader comments, by tag, role, class or id; a closed one holds no
 article of the page's own) or *open*. Scripts, styles
-and other unseen elements are no blocks. Where a page names its article, that is
-its text. Else its open blocks are, without those that a host's pages repeat:
+and other unseen elements are no blocks. The text of a page is its article and
+open blocks without those that a host's pages repeat; where its article has at
+least as many words of its own as its open blocks have, the article's alone:
 
-1. The words of open blocks form one token stream a page. Every window of
+1. The words of article and open blocks form one token stream a page. Every window of
    `width` tokens is keyed by its least hash of half as many tokens, and runs of
    windows with one key go to that key of their host, so no host is ever gathered
    in one task. Keys that fewer than three pages have are not sent on.
@@ -15,9 +16,9 @@ its text. Else its open blocks are, without those that a host's pages repeat:
    prefix doubling, and the pages of equal windows are counted. Windows on three
    pages or more, and on more than half of the pages of the host, are covered: a
    copied article is on some pages, furniture on most.
-3. Open blocks of which most tokens are covered go; unique ones stay, and the
-   block with the most words does. If none would stay, the page is a copy of
-   another one and keeps its open blocks.
+3. Blocks of which most tokens are covered go; unique ones stay, and so does the
+   container with the most words where more than half of them would go, since
+   that is the body of a copy. If no block would stay, all do.
 
 Inside a block character references are decoded and white space runs become one
 space; blocks are joined in page order by one space. Null html, and html
@@ -65,15 +66,16 @@ HEADER_WORDS = frozenset(["header", "topbar"])
 CLOSED_TAGS = frozenset("nav aside form dialog menu search footer".split())
 CLOSED_WORDS = frozenset("comment comments reply replies respond disqus related recommended recommendations sidebar aside footer".split())
 #: Zones whose tokens are looked for on other pages of the host.
-JUDGED = frozenset(["open"])
+JUDGED = frozenset(["open", "article"])
 #: Keys that several pages share, for each bucket of runs that are sorted together.
 BUCKET_KEYS = 20_000
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block that has text, in page order."""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = [("", "open")]
+def blocks(page: str) -> list[tuple[str, str, int]]:
+    """(zone, text, number of its container) of each block that has text, in page order."""
+    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int]] = [("", "open", 0)]
+    containers = 0
     text: list[str] = []
     paragraph = ""  # zone of a chrome paragraph that is open
 
@@ -81,7 +83,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append((paragraph or stack[-1][1], joined))
+                out.append((paragraph or stack[-1][1], joined, stack[-1][2]))
             text.clear()
 
     at = 0
@@ -121,7 +123,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 zone = "article"
             elif chrome:
                 zone = "chrome"
-            stack.append((tag, zone))
+            containers += 1
+            stack.append((tag, zone, containers))
         elif chrome and tag not in VOID and tag != "body":
             paragraph = "chrome"
     text.append(page[at:] if at < len(page) else "")
@@ -153,7 +156,7 @@ def _window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
 
 
 def _page_tokens(page: str | None) -> np.ndarray:
-    return _token_hashes([w for zone, text in blocks(page or "") if zone in JUDGED for w in text.split()])
+    return _token_hashes([w for zone, text, _ in blocks(page or "") if zone in JUDGED for w in text.split()])
 
 
 def _page_runs(page: str | None, address: str | None, width: int):
@@ -262,30 +265,37 @@ def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFram
     touched = members_of(covered, "page")
 
     def kept(page: str | None, ranges) -> str:
-        found = blocks(page or "")
-        if any(z == "article" for z, _ in found):
-            return " ".join(t for z, t in found if z == "article")
-        own = [text for zone, text in found if zone in JUDGED]
-        if not ranges:
-            return " ".join(own)
-        counts = [len(text.split()) for text in own]
-        tokens = _page_tokens(page)
-        windows = _window_hashes(tokens, width)
-        told = np.zeros(len(windows), bool)
-        for r in ranges:
-            told[r["start"] : r["start"] + r["count"]] = True
-        # equal windows of the page go the same way
-        step = np.zeros(len(tokens) + 1, np.int64)
-        hit = np.flatnonzero(np.isin(windows, windows[told]))
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + width, -1)
-        gone = np.cumsum(step)[:-1] > 0
-        ends = np.cumsum(counts)
-        hidden = [int(gone[z - n : z].sum()) for z, n in zip(ends, counts)]
-        stay = [k for k in range(len(own)) if hidden[k] < share * counts[k]]
+        own = [(zone, where, text) for zone, text, where in blocks(page or "") if zone in JUDGED]
+        counts = np.array([len(text.split()) for _, _, text in own], np.int64)
+        hidden = np.zeros(len(own), np.int64)
+        if ranges:
+            tokens = _page_tokens(page)
+            windows = _window_hashes(tokens, width)
+            told = np.zeros(len(windows), bool)
+            for r in ranges:
+                told[r["start"] : r["start"] + r["count"]] = True
+            # equal windows of the page go the same way
+            step = np.zeros(len(tokens) + 1, np.int64)
+            hit = np.flatnonzero(np.isin(windows, windows[told]))
+            np.add.at(step, hit, 1)
+            np.add.at(step, hit + width, -1)
+            gone = np.append(0, np.cumsum(np.cumsum(step)[:-1] > 0))
+            ends = np.cumsum(counts)
+            hidden = gone[ends] - gone[ends - counts]
+        article = np.array([zone == "article" for zone, _, _ in own], bool)
+        named, other = ((counts - hidden)[pick].sum() for pick in (article, ~article))
+        if named == other == 0:
+            named, other = counts[article].sum(), counts[~article].sum()
+        take = np.flatnonzero(article) if article.any() and named >= other else np.arange(len(own))
+        stay = [k for k in take.tolist() if hidden[k] < share * counts[k]]
         if stay:
-            stay = sorted({*stay, max(range(len(own)), key=lambda k: counts[k])})
-        return " ".join(own[k] for k in stay or range(len(own)))
+            sizes: dict[int, np.ndarray] = {}
+            for k in take.tolist():
+                sizes[own[k][1]] = sizes.get(own[k][1], 0) + np.array([counts[k], 0 if k in stay else counts[k]])
+            heaviest = max(sizes, key=lambda w: sizes[w][0])
+            if 2 * sizes[heaviest][1] > sizes[heaviest][0]:
+                stay = sorted({*stay, *(k for k in take.tolist() if own[k][1] == heaviest)})
+        return " ".join(own[k][2] for k in stay or take.tolist())
 
     def finish(batches):
         for batch in batches:
