@@ -101,6 +101,29 @@ def test_articles_are_judged_by_their_own_words(spark):
     assert got[50].startswith(story.format(1, 2, 3, 4))
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><div><p>{}</p></div></div>",
+        "<main class='with-sidebar'><p>{}</p></main>",
+        "<article class='post no-comments'><p>{}</p></article>",
+        "<article class='sidebar'><p>{}</p></article>",
+        "<div class='share-price legal-news'><p id='notice-of-meeting'>{}</p></div>",
+        "<div aria-label='How to fill in a search form'><p>{}</p></div>",
+        "<nav>Home</nav><div class='sidebar'><p>{}</p></div>",
+        "<div class='comment-list'><article>Nice</article></div><div class='sidebar-inner'><main>{}</main></div>",
+    ],
+)
+def test_names_do_not_close_the_content(page):
+    assert html.page_text(page.format("The body of the page")) == "The body of the page"
+
+
+def test_names_close_furniture():
+    names = ("sidebar", "left-sidebar", "sidebar-1", "comments-area", "siteFooter", "cookie-notice", "ad ad-300x250", "share-buttons")
+    page = "".join(f"<div class='{name}'><p>Furniture of the page</p></div>" for name in names)
+    assert html.page_text(page + "<p>Body</p>") == "Body" and html.page_text("<nav>Home</nav><footer>End</footer>") == ""
+
+
 def test_empty_tables(spark):
     empty = page_table(spark, [])
     assert html.main_texts(empty).count() == 0 and urls.judged(empty, URL_RULES).count() == 0

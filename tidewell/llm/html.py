@@ -2,8 +2,10 @@
 
 A page is read as blocks, each in a zone: *article* (inside article or main),
 *chrome* or *closed* (inside navigation, headers, footers, sidebars, notices, adverts,
-forms or reader comments, by tag, role, class or id; a closed one holds no
-article of the page's own) or *open*. Scripts, styles
+forms or reader comments, by tag, role, or a whole name in class, id or label; a
+closed one holds no article of the page's own) or *open*. Names do not close
+main or article, and where they leave no block, the largest container they took
+is the text. Scripts, styles
 and other unseen elements are no blocks. The text of a page is its article and
 open blocks without those that a host's pages repeat; where its article has at
 least as many words of its own as its open blocks have, the article's alone:
@@ -49,9 +51,10 @@ _MARKUP = re.compile(
     rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{_ATTRIBUTES})>",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Fixed lists of element names and of the words that name page furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -65,12 +68,31 @@ HEADER_WORDS = frozenset(["header", "topbar"])
 #: Containers whose inner articles are not the page's own.
 CLOSED_TAGS = frozenset("nav aside form dialog menu search footer".split())
 CLOSED_WORDS = frozenset("comment comments reply replies respond disqus related recommended recommendations sidebar aside footer".split())
+#: First words of a name that says what else the element has, and last words that say no more than the first.
+MODIFIERS = frozenset("has have no non not with without is show hide js".split())
+GENERIC = frozenset("area bar block body bottom box btn button buttons column container content form group icons inner item items left links list main outer panel primary right row secondary section text top wrap wrapper".split())
 #: Zones whose tokens are looked for on other pages of the host.
 JUDGED = frozenset(["open", "article"])
 #: Keys that several pages share, for each bucket of runs that are sorted together.
 BUCKET_KEYS = 20_000
 
 
+def furniture(value: str, label: bool = False) -> set[str]:
+    """Words that name an element by its class, id or role: each name's only, last, or first word before a generic one.
+
+    A label is read as one name, of three words at most.
+    """
+    out = set()
+    for name in [value] if label else value.split():
+        words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+        if not words or words[0] in MODIFIERS or "with" in words or label and len(words) > 3:
+            continue
+        out.add(words[-1])
+        if all(w in GENERIC for w in words[1:]):
+            out.add(words[0])
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(zone, text, number of its container) of each block that has text, in page order."""
     out: list[tuple[str, str, int]] = []
@@ -113,20 +135,24 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         zone, attributes = stack[-1][1], m["attributes"]
         named = set()
         if "=" in attributes:
-            for found in _NAMED.findall(attributes):
-                named.update(_WORD.findall("".join(found).lower()))
-        chrome = tag in CHROME_TAGS or bool(named & CHROME_WORDS) or zone != "article" and (tag == "header" or bool(named & HEADER_WORDS)) or bool(attributes and _HIDDEN.search(attributes))
+            for kind, *values in _NAMED.findall(attributes):
+                named |= furniture("".join(values), kind.lower() == "aria-label")
+        hidden = bool(attributes and _HIDDEN.search(attributes))
+        chrome = tag in CHROME_TAGS or bool(named & CHROME_WORDS) or zone != "article" and (tag == "header" or bool(named & HEADER_WORDS)) or hidden
+        sure = tag in CHROME_TAGS or tag == "header" or hidden
         if tag in CONTAINERS and tag != "body" and not attributes.endswith("/"):
-            if zone == "closed" or tag in CLOSED_TAGS or named & CLOSED_WORDS:
+            if zone == "closed" or tag in CLOSED_TAGS:
                 zone = "closed"
-            elif tag in ("article", "main"):
+            elif tag == "main" or tag == "article" and zone != "closed by name":
                 zone = "article"
+            elif zone == "closed by name" or named & CLOSED_WORDS:
+                zone = "closed" if sure else "closed by name"
             elif chrome:
-                zone = "chrome"
+                zone = "chrome" if sure or zone == "chrome" else "chrome by name"
             containers += 1
             stack.append((tag, zone, containers))
         elif chrome and tag not in VOID and tag != "body":
-            paragraph = "chrome"
+            paragraph = "chrome" if sure else "chrome by name"
     text.append(page[at:] if at < len(page) else "")
     end_block()
     return out
@@ -248,6 +274,52 @@ def _window_ranks(codes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _named_away(page: str | None) -> str:
+    """The largest container of a page of which names alone leave nothing."""
+    texts: dict[int, list[str]] = {}
+    for zone, text, where in blocks(page or ""):
+        if zone.endswith("by name"):
+            texts.setdefault(where, []).append(text)
+    return max((" ".join(t) for t in texts.values()), key=lambda t: len(t.split()), default="")
+
+
+def page_text(page: str | None, ranges=(), width: int = 6, share: float = 0.8) -> str:
+    """The text of a page of which the ranges (start, count) of windows are covered."""
+    own = [(zone, where, text) for zone, text, where in blocks(page or "") if zone in JUDGED]
+    if not own:
+        return _named_away(page)
+    counts = np.array([len(text.split()) for _, _, text in own], np.int64)
+    hidden = np.zeros(len(own), np.int64)
+    if ranges:
+        tokens = _page_tokens(page)
+        windows = _window_hashes(tokens, width)
+        told = np.zeros(len(windows), bool)
+        for r in ranges:
+            told[r["start"] : r["start"] + r["count"]] = True
+        # equal windows of the page go the same way
+        step = np.zeros(len(tokens) + 1, np.int64)
+        hit = np.flatnonzero(np.isin(windows, windows[told]))
+        np.add.at(step, hit, 1)
+        np.add.at(step, hit + width, -1)
+        gone = np.append(0, np.cumsum(np.cumsum(step)[:-1] > 0))
+        ends = np.cumsum(counts)
+        hidden = gone[ends] - gone[ends - counts]
+    article = np.array([zone == "article" for zone, _, _ in own], bool)
+    named, other = ((counts - hidden)[pick].sum() for pick in (article, ~article))
+    if named == other == 0:
+        named, other = counts[article].sum(), counts[~article].sum()
+    take = np.flatnonzero(article) if article.any() and named >= other else np.arange(len(own))
+    stay = [k for k in take.tolist() if hidden[k] < share * counts[k]]
+    if stay:
+        sizes: dict[int, np.ndarray] = {}
+        for k in take.tolist():
+            sizes[own[k][1]] = sizes.get(own[k][1], 0) + np.array([counts[k], 0 if k in stay else counts[k]])
+        heaviest = max(sizes, key=lambda w: sizes[w][0])
+        if 2 * sizes[heaviest][1] > sizes[heaviest][0]:
+            stay = sorted({*stay, *(k for k in take.tolist() if own[k][1] == heaviest)})
+    return " ".join(own[k][2] for k in stay or take.tolist())
+
+
 def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages(page_id, url, html)."""
     base = small_batches(pages).select(F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("page"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -264,43 +336,10 @@ def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFram
     covered = cut(repeated_tokens(once, width).groupBy("page").agg(F.collect_list(F.struct("start", "count")).alias("ranges")))
     touched = members_of(covered, "page")
 
-    def kept(page: str | None, ranges) -> str:
-        own = [(zone, where, text) for zone, text, where in blocks(page or "") if zone in JUDGED]
-        counts = np.array([len(text.split()) for _, _, text in own], np.int64)
-        hidden = np.zeros(len(own), np.int64)
-        if ranges:
-            tokens = _page_tokens(page)
-            windows = _window_hashes(tokens, width)
-            told = np.zeros(len(windows), bool)
-            for r in ranges:
-                told[r["start"] : r["start"] + r["count"]] = True
-            # equal windows of the page go the same way
-            step = np.zeros(len(tokens) + 1, np.int64)
-            hit = np.flatnonzero(np.isin(windows, windows[told]))
-            np.add.at(step, hit, 1)
-            np.add.at(step, hit + width, -1)
-            gone = np.append(0, np.cumsum(np.cumsum(step)[:-1] > 0))
-            ends = np.cumsum(counts)
-            hidden = gone[ends] - gone[ends - counts]
-        article = np.array([zone == "article" for zone, _, _ in own], bool)
-        named, other = ((counts - hidden)[pick].sum() for pick in (article, ~article))
-        if named == other == 0:
-            named, other = counts[article].sum(), counts[~article].sum()
-        take = np.flatnonzero(article) if article.any() and named >= other else np.arange(len(own))
-        stay = [k for k in take.tolist() if hidden[k] < share * counts[k]]
-        if stay:
-            sizes: dict[int, np.ndarray] = {}
-            for k in take.tolist():
-                sizes[own[k][1]] = sizes.get(own[k][1], 0) + np.array([counts[k], 0 if k in stay else counts[k]])
-            heaviest = max(sizes, key=lambda w: sizes[w][0])
-            if 2 * sizes[heaviest][1] > sizes[heaviest][0]:
-                stay = sorted({*stay, *(k for k in take.tolist() if own[k][1] == heaviest)})
-        return " ".join(own[k][2] for k in stay or take.tolist())
-
     def finish(batches):
         for batch in batches:
             ranges = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * len(batch)
-            texts = [kept(h, r) for h, r in zip(batch.column("html").to_pylist(), ranges)]
+            texts = [page_text(h, r, width, share) for h, r in zip(batch.column("html").to_pylist(), ranges)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = "page_id long, url string, text string, n_chars long"
