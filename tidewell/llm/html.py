@@ -158,8 +158,21 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
+class _Hashes(dict):
+    """Hashes of words, kept for the next page; bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+
+_hashes = _Hashes()
+
+
 def _token_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def token_suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +336,7 @@ def page_text(page: str | None, ranges=(), width: int = 6, share: float = 0.8) -
 def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages(page_id, url, html)."""
     base = small_batches(pages).select(F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("page"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    again = members_of(base.groupBy("page").count().where("count > 1"), "page")
+    repeated = cut(base.groupBy("page").count().where("count > 1"))
 
     def chosen(test):
         def run(batches):
@@ -332,7 +345,10 @@ def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFram
 
         return run
 
-    once = base.mapInArrow(chosen(lambda c: ~again(c)), base.schema).union(base.mapInArrow(chosen(again), base.schema).dropDuplicates(["page"]))
+    once = base
+    if not repeated.isEmpty():
+        again = members_of(repeated, "page")
+        once = base.mapInArrow(chosen(lambda c: ~again(c)), base.schema).union(base.mapInArrow(chosen(again), base.schema).dropDuplicates(["page"]))
     covered = cut(repeated_tokens(once, width).groupBy("page").agg(F.collect_list(F.struct("start", "count")).alias("ranges")))
     touched = members_of(covered, "page")
 
