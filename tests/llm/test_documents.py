@@ -213,6 +213,19 @@ def test_random_strings_are_told_from_words(spark, tables):
     assert [r.n_random for r in secrets.secret_report(docs, model).orderBy("doc_id").collect()] == list(cases.values())
 
 
+@pytest.mark.parametrize("form", ["{}", "see path/to/some/ordinary/folder/of/files/{}", "an-ordinary-name-of-some-service={}", "ordinary_setting_of_the_service_{}_and_more_words"])
+def test_drawn_keys_are_recalled(spark, tables, form):
+    import random
+
+    model, rng = secrets.fit_random_strings(tables["small"]), random.Random(5)
+    base62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choices(base62[10 * (k % 4 == 0) :], k=24 + k % 3 * 4)) for k in range(300)]
+    docs = spark.createDataFrame([(k, form.format(key)) for k, key in enumerate(keys)], "doc_id long, text string")
+    left = [r.text for r in secrets.redacted(docs, model).collect()]
+    hidden = sum(key not in text and "[SECRET]" in text for key, text in zip(keys, left))
+    assert hidden >= 0.95 * len(keys), hidden
+
+
 def brute_counts(text):
     words = WORD.findall(text)
     lines, dup = set(), 0

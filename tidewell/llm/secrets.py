@@ -1,9 +1,9 @@
 """Secret spans: three fixed patterns, and random strings found by Markov models.
 
 Two character models, one of random strings and one of ordinary identifiers,
-give the log-likelihood ratio of each long run of identifier characters. Runs
-whose ratio, in all and for each character, passes its threshold are added to
-the pattern spans unless they overlap one. Spans are (kind, start, end) in code
+give the log-likelihood ratio of each part of long runs of identifier characters.
+The best parts whose ratio, in all and for each character, passes its threshold
+are added to the pattern spans unless they overlap one. Spans are (kind, start, end) in code
 points, end exclusive. Null text is empty and has none.
 """
 
@@ -32,11 +32,8 @@ ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=
 _CODE = np.full(256, len(ALPHABET), np.int64)
 _CODE[list(ALPHABET)] = np.arange(len(ALPHABET))
 _OUTSIDE = _CODE == len(ALPHABET)
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
-_LETTER = np.zeros(256, np.int64)
-_LETTER[65:91] = 1
-_LETTER[97:123] = 1
+#: Codes of letters and digits come first.
+_ALNUM = 62
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,17 +62,47 @@ class RandomStringModel:
         starts, ends, row = starts[long], ends[long], row[long]
         if not len(starts):
             return row, starts, ends
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-        mixed = (digits[ends] - digits[starts] >= 3) & (letters[ends] - letters[starts] >= 3)
-        starts, ends, row = starts[mixed], ends[mixed], row[mixed]
         code = _CODE[data]
-        steps = np.concatenate([[0.0], np.cumsum(np.append(0.0, self.ratio[code[:-1], np.minimum(code[1:], len(ALPHABET) - 1)]))])
-        score = steps[ends] - steps[starts + 1] + self.ratio[len(ALPHABET), code[starts]]
-        good = (score >= self.total) & (score >= self.each * (ends - starts))
-        starts, ends, row = starts[good], ends[good], row[good]
+        steps = np.append(0.0, self.ratio[code[:-1], np.minimum(code[1:], len(ALPHABET) - 1)])
+        steps[starts] = self.ratio[len(ALPHABET), code[starts]]
+        gains = np.concatenate([[0.0], np.cumsum(np.maximum(steps, 0))])
+        out = []
+        for k in np.flatnonzero(gains[ends] - gains[starts] >= self.total).tolist():
+            out += [(int(row[k]), a, z) for a, z in self._segments(steps, code, int(starts[k]), int(ends[k]))]
+        row, starts, ends = np.array(out, np.int64).reshape(-1, 3).T
         return row, starts - offsets[row], ends - offsets[row]
 
+    def _passes(self, steps: np.ndarray, a: int, z: int) -> bool:
+        score = steps[a:z].sum()
+        return z - a >= self.shortest and score >= self.total and score >= self.each * (z - a)
+
+    def _segments(self, steps: np.ndarray, code: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
+        """The best segment of a run, widened to the letters and digits around it, and those beside it; else the run."""
+        out, rest = [], [(start, end)]
+        while rest:
+            lo, hi = rest.pop()
+            if hi - lo < self.shortest:
+                continue
+            sums = np.concatenate([[0.0], np.cumsum(steps[lo:hi] - self.each)])
+            z = int(np.argmax(sums - np.minimum.accumulate(sums)))
+            a = lo + int(np.argmin(sums[: z + 1]))
+            z += lo
+            first, last = a, z
+            while a > lo and code[a] < _ALNUM and code[a - 1] < _ALNUM:
+                a -= 1
+            while lo < z < hi and code[z - 1] < _ALNUM and code[z] < _ALNUM:
+                z += 1
+            for x, y in ((a, z), (first, last)):
+                if self._passes(steps, x, y):
+                    out.append((x, y))
+                    rest += [(lo, x), (y, hi)]
+                    break
+            else:
+                rest += [(lo, first), (last, hi)] if last > first else []
+        if not out and self._passes(steps, start, end):
+            out.append((start, end))
+        return out
+
 
 def train(samples: list[tuple[str, int]], smoothing: float = 0.5) -> RandomStringModel:
     """From labelled strings: 1 random, 0 ordinary. Characters outside ALPHABET end a run."""
