@@ -226,6 +226,14 @@ def test_drawn_keys_are_recalled(spark, tables, form):
     assert hidden >= 0.95 * len(keys), hidden
 
 
+def test_all_documents_are_in_the_random_string_model(spark):
+    odd = "QJ7" * 40
+    docs = spark.createDataFrame([(k, "plain words of the ordinary language") for k in range(2500)] + [(None, "x" * 70 + odd)] * 50, "doc_id long, text string")
+    ratio = secrets.fit_random_strings(docs).ratio
+    code = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    assert ratio[code[ord("Q")], code[ord("J")]] < ratio[code[ord("Q")], code[ord("K")]] - 3
+
+
 def brute_counts(text):
     words = WORD.findall(text)
     lines, dup = set(), 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import row_runs, text_bytes, word_spans
-from .shared import hash_sample, identified, restored, small_batches
+from .shared import identified, restored, small_batches
 
 # Fixed patterns; a match counts when the named part is long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -104,14 +104,27 @@ class RandomStringModel:
         return out
 
 
-def train(samples: list[tuple[str, int]], smoothing: float = 0.5) -> RandomStringModel:
-    """From labelled strings: 1 random, 0 ordinary. Characters outside ALPHABET end a run."""
+def transitions(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Counts [a, b] of the characters b after a in the runs; the last row is a run's start."""
     size = len(ALPHABET)
-    counts = np.full((2, size + 1, size), smoothing)
-    for label in (0, 1):
-        data = np.frombuffer(b" ".join([b"", *(s.encode() for s, k in samples if k == label)]), np.uint8)
-        a, b = _CODE[data[:-1]], _CODE[data[1:]]
-        np.add.at(counts[label], (a[b < size], b[b < size]), 1)
+    step = np.zeros(len(data) + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    at = np.flatnonzero(np.cumsum(step)[:-1])
+    code = _CODE[data]
+    before = np.append(size, code[:-1])
+    before[starts] = size
+    return np.bincount(before[at] * size + code[at], minlength=(size + 1) * size).reshape(size + 1, size)
+
+
+def train(ordinary: np.ndarray, found: np.ndarray, smoothing: float = 0.5) -> RandomStringModel:
+    """From transition counts of ordinary runs and of those found by pattern; drawn random strings stand beside the latter.
+
+    The found ones weigh no more than the drawn ones, however often a secret is repeated.
+    """
+    data, offsets = text_bytes(pa.array([s for s, _ in random_samples()]))
+    drawn = transitions(data, offsets[:-1], offsets[1:])
+    counts = np.stack([ordinary, drawn + found * min(1.0, drawn.sum() / max(1, found.sum()))]) + smoothing
     logs = np.log(counts / counts.sum(axis=2, keepdims=True))
     return RandomStringModel(logs[1] - logs[0])
 
@@ -124,30 +137,43 @@ def random_samples(count: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
     return [("".join(rng.choices(sets[k % len(sets)], k=rng.randint(20, 48))), 1) for k in range(count)]
 
 
-def fit_random_strings(docs: DataFrame, sample: int = 2000) -> RandomStringModel:
-    """Train on labelled strings of at most `sample` documents, the first by a hash of doc_id.
+def fit_random_strings(docs: DataFrame) -> RandomStringModel:
+    """Train on the transitions of characters of all documents.
 
-    Runs inside pattern spans are labelled random, all others ordinary; drawn
-    random strings stand beside them. The bound is for the fit alone.
+    Runs of 16 characters or more inside pattern spans count as random, all
+    others of 6 or more as ordinary. Tasks and Spark add them up: only one table
+    of counts for each of the two reaches the driver.
     """
-    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    chosen = hash_sample(chosen, sample, 3, "text")
+    size = len(ALPHABET)
 
     def run(batches):
+        counts = np.zeros((2, size + 1, size), np.int64)
         for batch in batches:
-            out = set()
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text):
-                    inside = any(a < m.end() and m.start() < z for a, _, z in spans)
-                    if not inside or m.end() - m.start() >= 16:
-                        out.add((m[0][:64], int(inside)))
-            out = sorted(out)
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([k for _, k in out], pa.int64())], ["value", "random"])
-
-    rows = chosen.repartition(8).mapInArrow(run, "value string, random long").distinct()
-    strings = rows.orderBy(F.xxhash64("value"), "value").limit(200_000).collect()  # bounded by the sample
-    return train([(r.value, r.random) for r in strings] + random_samples())
+            column = batch.column("text")
+            data, offsets = text_bytes(column)
+            texts = column.to_pylist()
+            for lo, hi in row_runs(offsets):
+                part = data[offsets[lo] : offsets[hi]]
+                starts, ends, _ = word_spans(part, offsets[lo : hi + 1] - offsets[lo], _OUTSIDE)
+                long = ends - starts >= 6
+                starts, ends = starts[long], ends[long]
+                inside = np.zeros(len(starts), bool)
+                for k in range(lo, hi):
+                    text = texts[k] or ""
+                    for a, _, z in base_spans(text):
+                        a, z = (int(offsets[k] - offsets[lo]) + len(text[:x].encode()) for x in (a, z))
+                        inside[np.searchsorted(ends, a, "right") : np.searchsorted(starts, z, "left")] = True
+                counts[0] += transitions(part, starts[~inside], ends[~inside])
+                inside &= ends - starts >= 16
+                counts[1] += transitions(part, starts[inside], ends[inside])
+        label, before, after = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(counts[label, before, after])], ["label", "before", "after", "n"])
+
+    told = small_batches(docs).select("text").mapInArrow(run, "label int, before int, after int, n long")
+    counts = np.zeros((2, size + 1, size))
+    for r in told.groupBy("label", "before", "after").agg(F.sum("n").alias("n")).collect():
+        counts[r.label, r.before, r.after] = r.n
+    return train(*counts)
 
 
 def _code_points(raw: bytes, at: int) -> int:
