@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
 the columns of documents; its result is written as Parquet in the shared folder
 and read again as the next one's input. The last returns the packed pieces.
-Rows that repeat a doc_id are one document and stay or go together.
+Rows that repeat a doc_id and its text are one document and stay or go together.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     groups = jaccard_components(docs, words=5, percent=80)
-    later = groups.where("NOT component_id <=> doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    later = groups.where("NOT component_id <=> doc_id").select(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__text_id")).distinct()
+    return docs.join(later, (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_id")), "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,18 @@ def test_repeats(tables, name):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == removed[r.doc_id], r.doc_id
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_texts_of_one_id_keep_their_own_ranges(spark, monkeypatch, wide):
+    if wide:
+        monkeypatch.setattr(suffix, "WIDE_KEY", 1)
+    passage = "".join(f"passage word {k} of many " for k in range(12))
+    own = ["".join(f"{name} tells {k * 37 % 101} things " for k in range(20)) for name in ("anna", "bert", "carl", "dora")]
+    docs = spark.createDataFrame([(1, passage), (None, passage + own[0]), (None, own[1]), (2, passage + own[2]), (2, own[3])], "doc_id long, text string")
+    kept = {r.kept.decode() for r in suffix.without_repeats(docs).select("kept").collect()}
+    assert {own[1], own[3], passage + own[0]} <= kept and not any(passage in k and own[2] in k for k in kept)
+    assert "" in kept
+
+
 def test_wide_keys_are_settled_exactly(tables, monkeypatch):
     want = {(r.doc_id, r.n_removed, r.kept_sha256) for r in suffix.repeat_report(tables["cases"]).collect()}
     monkeypatch.setattr(suffix, "WIDE_KEY", 1)

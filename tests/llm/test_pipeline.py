@@ -71,3 +71,9 @@ def test_run_and_awkward_documents(spark, small, tmp_path):
     docs = documents(spark)
     some = corpus_pipeline.near_duplicates(spark, docs, folder)
     assert some.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_a_repeated_id_loses_only_its_duplicate_text(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, text), (2, text), (2, "quite another text that nothing else in the table has")], "doc_id long, text string")
+    assert {tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {(1, text), (2, "quite another text that nothing else in the table has")}

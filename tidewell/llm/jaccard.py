@@ -114,14 +114,14 @@ class Parts:
 
 
 def shingle_classes(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, class_id): equal sets share a class; it is null for an empty set."""
+    """(doc_id, text_id, n_shingles, class_id): equal sets share a class; it is null for an empty set."""
 
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "class_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "text_id", "n_shingles", "class_id"])
 
-    return identified(docs, "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long")
+    return identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, "doc_id long, text_id long, n_shingles long, class_id long")
 
 
 def _signature_rows(sets, buckets: int, percent: int, salt: int = 0, flush: int = 1 << 19):
@@ -362,7 +362,7 @@ def _across_blocks(rest: DataFrame, groups: DataFrame, percent: int) -> DataFram
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) for each row of docs(doc_id, text)."""
+    """(doc_id, n_shingles, component_id, class_id, text_id) for each row of docs(doc_id, text)."""
     classes = cut(shingle_classes(docs, words))
     neighbourhoods = cut(connected_components(candidate_edges(docs, words, percent)))
     first = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("weight"))
@@ -372,4 +372,4 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(smallest, "root").select("class_id", "component_id")
     out = classes.join(labels, "class_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(restored(), "n_shingles", restored("component_id"), "class_id")
+    return out.select(restored(), "n_shingles", restored("component_id"), "class_id", "text_id")

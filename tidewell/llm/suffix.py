@@ -1,12 +1,13 @@
 """Repeated-substring removal with two-stage suffix sorting.
 
 A byte goes when a string of `length` bytes that covers it also starts earlier:
-in a document with a smaller doc_id, or earlier in the same document. Strings
+in a document with a smaller doc_id, or earlier in the same document. Different
+texts of one doc_id, or of none, are documents in the order of a hash of theirs. Strings
 are judged on the input and never cross documents.
 
 1. Every window of `length` bytes is keyed by the least hash among its k-grams,
    so equal windows have equal keys. Consecutive windows keyed by the same
-   k-gram form a *run*; a run is sent on as 30 bytes. Of equal runs all but the first are
+   k-gram form a *run*; a run is sent on as 38 bytes. Of equal runs all but the first are
    covered at once, within a task before the shuffle and within a key after it.
 2. Keys that still hold different runs need the bytes. They are suffix-sorted
    in bounded batches: suffixes that are smaller than their successor are
@@ -16,8 +17,8 @@ are judged on the input and never cross documents.
    windows instead, so no task holds an unbounded key.
 3. Covered ranges are joined to the texts and cut out.
 
-Null text is empty. doc_id names a document: rows that repeat an id and text
-get equal results. Results do not depend on the order or partitioning of rows.
+Null text is empty. doc_id and a hash of the text name a document: rows that
+repeat both get equal results. Results do not depend on the order or partitioning of rows.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return row[heads], heads - offsets[row[heads]], count, grams[anchor[heads].astype(np.int64)], content
 
 
-def first_of_equal(content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_of_equal(content: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first run of each content, and of the runs that an earlier one covers."""
     order = np.argsort(content, kind="stable")
     same = content[order][1:] == content[order][:-1]
@@ -80,11 +81,11 @@ def first_of_equal(content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> t
     tied[1:] |= same
     tied[:-1] |= same
     single, order = order[~tied], order[tied]
-    order = order[np.lexsort((start[order], doc[order], content[order]))]
+    order = order[np.lexsort((start[order], tag[order], doc[order], content[order]))]
     head = np.ones(len(order), bool)
     head[1:] = content[order][1:] != content[order][:-1]
     first = order[head][np.cumsum(head) - 1]
-    later = ~head & ((doc[order] != doc[first]) | (start[order] != start[first]))
+    later = ~head & ((doc[order] != doc[first]) | (tag[order] != tag[first]) | (start[order] != start[first]))
     return np.concatenate([single, order[head]]), order[later]
 
 
@@ -179,8 +180,8 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, most: int) -> np.ndarr
     return np.minimum(out, most)
 
 
-def covered_windows(doc: np.ndarray, start: np.ndarray, segments: list[bytes], length: int):
-    """(doc, start, count) of windows in the segments of which an equal one comes earlier."""
+def covered_windows(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, segments: list[bytes], length: int):
+    """(doc, tag, start, count) of windows in the segments of which an equal one comes earlier."""
     text = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments], np.int64)
     words = big_endian_words(text)
@@ -195,34 +196,34 @@ def covered_windows(doc: np.ndarray, start: np.ndarray, segments: list[bytes], l
     tied[1:] |= same
     tied[:-1] |= same
     order, group = order[tied], group[tied]
-    where, docs = start[owner[order]] + inner[order], doc[owner[order]]
-    rank = np.lexsort((where, docs, group))
-    order, group, where, docs = order[rank], group[rank], where[rank], docs[rank]
+    where, docs, tags = start[owner[order]] + inner[order], doc[owner[order]], tag[owner[order]]
+    rank = np.lexsort((where, tags, docs, group))
+    order, group, where, docs, tags = order[rank], group[rank], where[rank], docs[rank], tags[rank]
     head = np.ones(len(order), bool)
     head[1:] = group[1:] != group[:-1]
     first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else np.zeros(0, np.int64)
-    hit = np.sort(order[(docs != docs[first]) | (where != where[first])])
+    hit = np.sort(order[(docs != docs[first]) | (tags != tags[first]) | (where != where[first])])
     new = np.ones(len(hit), bool)
     new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
     heads = np.flatnonzero(new)
-    return doc[owner[hit[heads]]], start[owner[hit[heads]]] + inner[hit[heads]], np.diff(np.append(heads, len(hit)))
+    return doc[owner[hit[heads]]], tag[owner[hit[heads]]], start[owner[hit[heads]]] + inner[hit[heads]], np.diff(np.append(heads, len(hit)))
 
 
-_RUN = "doc_id long, start int, count int, content long, key long, wide boolean"
+_RUN = "doc_id long, tag long, start int, count int, content long, key long, wide boolean"
 
 
 def _matched_runs(docs: DataFrame, length: int, gram: int, flush: int = 1 << 19) -> DataFrame:
     """Covered runs (key null) and the runs whose key holds other contents too."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ("key", "content", "doc", "start", "count")
-    kinds = (np.uint64, np.uint64, np.int64, np.int32, np.int16)
+    names = ("key", "content", "doc", "tag", "start", "count")
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int16)
 
     def emit(batches):
         held, size = [], 0
 
         def flushed():
             column = {name: np.concatenate([h[k] for h in held]) for k, name in enumerate(names)}
-            first, later = first_of_equal(column["content"], column["doc"], column["start"])
+            first, later = first_of_equal(column["content"], column["doc"], column["tag"], column["start"])
             take = np.concatenate([first, later])
             column = {name: a[take] for name, a in column.items()}
             done = np.arange(len(take)) >= len(first)
@@ -237,13 +238,13 @@ def _matched_runs(docs: DataFrame, length: int, gram: int, flush: int = 1 << 19)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in row_runs(offsets):
                 found = window_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
                 if found:
                     row, start, count, key, content = found
-                    held.append((key, content, ids[lo + row], start.astype(np.int32), count.astype(np.int16)))
+                    held.append((key, content, ids[lo + row], tags[lo + row], start.astype(np.int32), count.astype(np.int16)))
                     size += len(row)
                 if size >= flush:
                     yield flushed()
@@ -255,63 +256,63 @@ def _matched_runs(docs: DataFrame, length: int, gram: int, flush: int = 1 << 19)
         parts: dict[str, list] = {name: [] for name in (*names, "done")}
         for blob in table.column("blob"):
             blob, at = blob.as_py(), 0
-            n = len(blob) // 31
+            n = len(blob) // 39
             for name, kind in zip((*names, "done"), (*kinds, np.bool_)):
                 parts[name].append(np.frombuffer(blob, kind, n, at))
                 at += n * np.dtype(kind).itemsize
         column = {name: np.concatenate(a) for name, a in parts.items()}
         done = column.pop("done")
-        out = [(column["doc"][done], column["start"][done], column["count"][done], column["content"][done], None, None)]
+        out = [(column["doc"][done], column["tag"][done], column["start"][done], column["count"][done], column["content"][done], None, None)]
         column = {name: a[~done] for name, a in column.items()}
-        first, later = first_of_equal(column["content"], column["doc"], column["start"])
-        out.append((column["doc"][later], column["start"][later], column["count"][later], column["content"][later], None, None))
+        first, later = first_of_equal(column["content"], column["doc"], column["tag"], column["start"])
+        out.append((column["doc"][later], column["tag"][later], column["start"][later], column["count"][later], column["content"][later], None, None))
         first = first[np.argsort(column["key"][first], kind="stable")]
         key = column["key"][first]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(heads, len(key)))
         sizes = np.repeat(sizes, sizes)
         open_ = first[sizes > 1]
-        out.append((column["doc"][open_], column["start"][open_], column["count"][open_], column["content"][open_], column["key"][open_].view(np.int64), sizes[sizes > 1] > WIDE_KEY))
+        out.append((column["doc"][open_], column["tag"][open_], column["start"][open_], column["count"][open_], column["content"][open_], column["key"][open_].view(np.int64), sizes[sizes > 1] > WIDE_KEY))
 
         def joined(k, kind):
             return pa.concat_arrays([pa.nulls(len(o[0]), kind) if o[k] is None else pa.array(o[k].view(np.int64) if o[k].dtype == np.uint64 else o[k]).cast(kind) for o in out])
 
-        return pa.table({"doc_id": joined(0, pa.int64()), "start": joined(1, pa.int32()), "count": joined(2, pa.int32()), "content": joined(3, pa.int64()), "key": joined(4, pa.int64()), "wide": joined(5, pa.bool_())})
+        return pa.table({"doc_id": joined(0, pa.int64()), "tag": joined(1, pa.int64()), "start": joined(2, pa.int32()), "count": joined(3, pa.int32()), "content": joined(4, pa.int64()), "key": joined(5, pa.int64()), "wide": joined(6, pa.bool_())})
 
     return docs.mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, _RUN)
 
 
 def covered_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, count): windows of docs(doc_id, text) that occur earlier."""
+    """(doc_id, tag, start, count): windows of docs(doc_id, tag, text) that occur earlier."""
     gram = max(1, length * 36 // 100)
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = cut(_matched_runs(docs, length, gram))
-    asked = runs.where("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count", "key", "wide")).alias("asked"))
-    wanted = members_of(asked, "doc_id")
+    asked = runs.where("key is not null").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count", "key", "wide")).alias("asked"))
+    wanted = members_of(asked, "tag")
 
     def pick(batches):
         for batch in batches:
-            yield batch.filter(pa.array(wanted(batch.column("doc_id"))))
+            yield batch.filter(pa.array(wanted(batch.column("tag"))))
 
     def segments(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for doc, text, asks in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
+            out = [[], [], [], [], [], []]
+            for doc, tag, text, asks in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
                 raw = (text or "").encode()
                 for ask in asks:
                     end = ask["start"] + ask["count"] + length - 1
                     if end <= len(raw):
-                        for column, value in zip(out, (doc, ask["start"], ask["key"], ask["wide"], raw[ask["start"] : end])):
+                        for column, value in zip(out, (doc, tag, ask["start"], ask["key"], ask["wide"], raw[ask["start"] : end])):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], ["doc_id", "start", "key", "wide", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.binary())], ["doc_id", "tag", "start", "key", "wide", "bytes"])
 
-    texts = docs.mapInArrow(pick, docs.schema).join(asked, "doc_id")
-    pieces = cut(texts.mapInArrow(segments, "doc_id long, start int, key long, wide boolean, bytes binary"))
+    texts = docs.mapInArrow(pick, docs.schema).join(asked, ["doc_id", "tag"])
+    pieces = cut(texts.mapInArrow(segments, "doc_id long, tag long, start int, key long, wide boolean, bytes binary"))
 
     def sort(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         key = table.column("key").to_numpy()
-        doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy().astype(np.int64)
+        doc, tag, start = table.column("doc_id").to_numpy(), table.column("tag").to_numpy(), table.column("start").to_numpy().astype(np.int64)
         held = [b.as_py() for b in table.column("bytes")]
         ends = np.cumsum([len(b) for b in held])
         stops = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # a batch holds whole keys
@@ -319,27 +320,27 @@ def covered_ranges(docs: DataFrame, length: int) -> DataFrame:
         while lo < len(key):
             k = np.searchsorted(ends[stops - 1], (ends[lo - 1] if lo else 0) + SORT_BYTES, "right") - 1
             hi = int(stops[max(k, np.searchsorted(stops, lo, "right"))])
-            out.append(covered_windows(doc[lo:hi], start[lo:hi], held[lo:hi], length))
+            out.append(covered_windows(doc[lo:hi], tag[lo:hi], start[lo:hi], held[lo:hi], length))
             lo = hi
-        return pa.table({"doc_id": np.concatenate([o[0] for o in out]), "start": np.concatenate([o[1] for o in out]).astype(np.int32), "count": np.concatenate([o[2] for o in out]).astype(np.int32)})
+        return pa.table({"doc_id": np.concatenate([o[0] for o in out]), "tag": np.concatenate([o[1] for o in out]), "start": np.concatenate([o[2] for o in out]).astype(np.int32), "count": np.concatenate([o[3] for o in out]).astype(np.int32)})
 
     def windows(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("bytes").cast(pa.large_binary()))
-            docs_, starts = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()
+            docs_, tags, starts = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy(), batch.column("start").to_numpy()
             for lo, hi in row_runs(offsets):
                 part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 counts = np.diff(off) - length + 1
                 row = np.repeat(np.arange(hi - lo), counts)
                 inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 at = off[row] + inner
-                yield pa.RecordBatch.from_arrays([pa.array(span_hash(prefix_sums(part), at, at + length).view(np.int64)), pa.array(docs_[lo + row]), pa.array((starts[lo + row] + inner).astype(np.int32))], ["window", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(span_hash(prefix_sums(part), at, at + length).view(np.int64)), pa.array(docs_[lo + row]), pa.array(tags[lo + row]), pa.array((starts[lo + row] + inner).astype(np.int32))], ["window", "doc_id", "tag", "start"])
 
-    sorted_ = pieces.where("not wide").groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, "doc_id long, start int, count int")
-    each = pieces.where("wide").mapInArrow(windows, "window long, doc_id long, start int")
-    firsts = each.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = each.join(firsts, "window").where("struct(doc_id, start) <> first").select("doc_id", "start", F.lit(1).alias("count"))
-    return cut(runs.where("key is null").select("doc_id", "start", "count").union(sorted_).union(later))
+    sorted_ = pieces.where("not wide").groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(sort, "doc_id long, tag long, start int, count int")
+    each = pieces.where("wide").mapInArrow(windows, "window long, doc_id long, tag long, start int")
+    firsts = each.groupBy("window").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"))
+    later = each.join(firsts, "window").where("struct(doc_id, tag, start) <> first").select("doc_id", "tag", "start", F.lit(1).alias("count"))
+    return cut(runs.where("key is null").select("doc_id", "tag", "start", "count").union(sorted_).union(later))
 
 
 def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -347,10 +348,10 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
 
     kept is bytes, or with as_text a string without characters that a cut broke.
     """
-    base = identified(docs, "text", F.struct(F.lit(1).alias("_"), *carry).alias("row"))
-    narrow = base.select("doc_id", "text")
-    covered = covered_ranges(narrow, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
-    touched = members_of(covered, "doc_id")
+    base = identified(docs, F.xxhash64("text").alias("tag"), "text", F.struct(F.lit(1).alias("_"), *carry).alias("row"))
+    narrow = base.select("doc_id", "tag", "text")
+    covered = covered_ranges(narrow, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
+    touched = members_of(covered, "tag")
 
     def keep(text: str | None, ranges):
         raw = (text or "").encode()
@@ -374,14 +375,14 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
 
     def untouched(batches):
         for batch in batches:
-            yield batch.filter(pa.array(~touched(batch.column("doc_id"))))
+            yield batch.filter(pa.array(~touched(batch.column("tag"))))
 
     def maybe(batches):
         for batch in batches:
-            yield batch.filter(pa.array(touched(batch.column("doc_id"))))
+            yield batch.filter(pa.array(touched(batch.column("tag"))))
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), base.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    changed = base.mapInArrow(maybe, base.schema).join(covered, "doc_id", "left").mapInArrow(finish, schema)
+    changed = base.mapInArrow(maybe, base.schema).join(covered, ["doc_id", "tag"], "left").mapInArrow(finish, schema)
     same = base.mapInArrow(untouched, base.schema).mapInArrow(finish, schema)
     return changed.union(same)
 
