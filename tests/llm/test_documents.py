@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, jaccard, media, packing, quality, secrets, suffix, toxicity
 from tidewell.llm.jaccard import divide_skip, jaccard_components
+from tidewell.llm.shared import connected_components
 from tidewell.llm.queries import QUERIES, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +64,30 @@ def test_heavy_neighbourhoods_keep_their_links(spark, monkeypatch, block):
     assert {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()} == want
 
 
+def test_frequent_shingles_keep_links(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}
+    seen = []
+    monkeypatch.setattr(jaccard, "FREQUENT_CLASSES", 1 << 40)  # then all that four classes of a task have are frequent
+    known = jaccard.frequent_shingles
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda *a: seen.append(known(*a)) or seen[-1])
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()} == want
+    assert len(seen[0]) > 100
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_connected_components(spark, one_task):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-60, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7)]
+    root = {n: n for p in pairs if p[0] != p[1] for n in p}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long"), one_task=one_task).collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == root
+
+
 def test_divide_skip_links_components():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))

@@ -4,14 +4,19 @@ Two texts link when `100 * |A & B| >= percent * |A | B|` over their sets of
 distinct n-word shingles. Equal sets are one *class*; all work is done on
 classes, so a group of exact copies costs one member.
 
-1. Each class is cut into parts of the hash space. Texts that link differ in at
-   most d shingles, so of d + 1 + s parts at least s + 1 are equal, and one of
-   these is not among the s smallest. Hashes of the larger parts are inverted
-   lists; classes on one list form a candidate neighbourhood. This step keeps
-   every link, emits one edge for each list member and no pairs.
+1. Inverted lists: shingles are cut to tokens and each token's list of classes
+   is formed in one of a number of buckets that follows the number of shingles.
+   Only tokens of two classes or more go on. A class that links must share
+   `percent` of its shingles, so of its tokens, ordered by the length of their
+   lists, the first `n - T + 1` hold one that the other class has among its own
+   first. A class's unshared tokens come first in that order and need no list:
+   most classes have too few shared tokens and end here. Classes on one of the
+   lists left form a candidate neighbourhood, by one edge for each list member
+   and no pairs. Tokens on more lists than one class in 512 are not listed in a
+   bucket: they come last in the order and are told apart by class.
 2. Inside a neighbourhood (in blocks of bounded weight, each with the pivots of
    its neighbourhood; blocks meet only where several components are left, after
-   another cut by other ranges) DivideSkip finds the
+   another cut by ranges of the hash space) DivideSkip finds the
    links: of a query's inverted lists, the T - 1 longest are set aside, the
    short ones are heap-merged, and each text met there is counted up in the
    long lists by binary probes until it reaches the required overlap T or can
@@ -21,7 +26,8 @@ classes, so a group of exact copies costs one member.
 Shingles are 64-bit hashes. Null or blank texts have no shingles, link with
 nothing and are their own component. Rows that repeat a doc_id are one
 document's rows and get that document's component; a null doc_id is kept as
-null. Ties need no rule: the answer is a set property.
+null. Ties need no rule: the answer is a set property. A text of any length is
+read whole; its shingles (8 bytes a word) must fit a task.
 """
 
 from __future__ import annotations
@@ -38,8 +44,14 @@ from pyspark.sql import functions as F
 from .flat import LOWER, mix, prefix_sums, row_runs, span_hash, text_bytes, word_spans
 from .shared import connected_components, cut, identified, members_of, restored
 
-#: Shingles of one side of a verification block (8 bytes each).
-BLOCK_SHINGLES = 1 << 18
+#: Shingles of one side of a verification block (8 bytes each), and of one bucket of inverted lists.
+BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 18, 1 << 21
+#: Shingles that a task holds before it sends them on.
+HELD_SHINGLES = 1 << 19
+#: A shingle is frequent when more than one class in so many has it, and more than one shingle in so many is it: at most 2 MiB of them.
+FREQUENT_CLASSES, FREQUENT_SHINGLES = 512, 1 << 18
+#: Stands for the length of a frequent token's list.
+_LAST = np.uint16(65535)
 
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64))
 
@@ -113,15 +125,196 @@ class Parts:
         return np.concatenate(out) if out else shingles[:0]
 
 
+_CLASSES = "doc_id long, text_id long, n_shingles long, class_id long, often binary"
+
+
 def shingle_classes(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, text_id, n_shingles, class_id): equal sets share a class; it is null for an empty set."""
+    """(doc_id, text_id, n_shingles, class_id, often): equal sets share a class; it is null for an empty set.
+
+    Rows with `often` are no documents: they tell shingles that many classes of
+    a task have, and how many (see `frequent_shingles`).
+    """
+    names = ["doc_id", "text_id", "n_shingles", "class_id", "often"]
 
     def run(batches):
+        held, size, classes = [], 0, set()
+
+        def told():
+            shingles, counts = np.unique(np.concatenate(held), return_counts=True)
+            pick = counts >= max(4, len(classes) / FREQUENT_CLASSES)
+            blob = shingles[pick].tobytes() + counts[pick].astype(np.int64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([blob], pa.binary())], names)
+
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "text_id", "n_shingles", "class_id"])
+            counts, ids = [], []
+            for shingles in shingle_sets(batch.column("text"), words):
+                own = class_id(shingles) if len(shingles) else None
+                counts.append(len(shingles))
+                ids.append(own)
+                if own and own not in classes:
+                    classes.add(own)
+                    held.append(shingles)
+                    size += len(shingles)
+                if size >= HELD_SHINGLES:
+                    yield told()
+                    held, size, classes = [], 0, set()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(len(batch), pa.binary())], names)
+        if held:
+            yield told()
+
+    return identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, _CLASSES)
+
+
+def frequent_shingles(classes: DataFrame, documents: int, total: int) -> np.ndarray:
+    """Shingles that very many classes have, sorted.
+
+    Every shingle of more than one class in FREQUENT_CLASSES / 2 is among them, but for 4
+    classes a task and flush. Any set would do for right results: this one bounds the lists.
+    """
+    def apart(batches):
+        for batch in batches:
+            blobs = [b.as_py() for b in batch.column(0)]
+            both = [(np.frombuffer(b, np.int64, len(b) // 16), np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2)) for b in blobs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in both])) for k in (0, 1)], ["shingle", "n"])
+
+    told = classes.where("often is not null").select("often").mapInArrow(apart, "shingle long, n long")
+    least = max(documents / FREQUENT_CLASSES, total / FREQUENT_SHINGLES)
+    found = told.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(float(least))).select("shingle").toArrow()
+    return np.sort(found.column("shingle").to_numpy().view(np.uint64))
+
+
+def _tokens_of(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The first 32 + bits bits of sorted shingles, each once."""
+    tokens = shingles >> np.uint64(32 - bits)
+    return tokens[np.append(True, tokens[1:] != tokens[:-1])] if len(tokens) else tokens
+
 
-    return identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, "doc_id long, text_id long, n_shingles long, class_id long")
+def _dealt(bucket: np.ndarray, columns: list[np.ndarray]):
+    """(bucket, columns of its rows) of each bucket that has rows."""
+    order = np.argsort(bucket, kind="stable")
+    columns = [c[order] for c in columns]
+    heads = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else order
+    for a, z in zip(heads, [*heads[1:], len(order)]):
+        yield int(bucket[order[a]]), [c[a:z] for c in columns]
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    return len(columns[0]).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns)
+
+
+def _unpacked(blobs, kinds) -> list[np.ndarray]:
+    """The columns of all blobs that `_packed` made, one after the other; a blob may hold several parts of these kinds."""
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in blobs:
+        n, at = int.from_bytes(blob[:8], "little"), 8
+        for column, kind in zip(out, kinds):
+            column.append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds)]
+
+
+#: Columns of what is sent to the buckets of classes: class, token, length of the token's list; token 0 tells the class's sizes.
+_SENT = (np.int64, np.uint64, np.uint16)
+
+
+def candidate_lists(docs: DataFrame, frequent: np.ndarray, total: int, words: int, percent: int) -> DataFrame:
+    """(token, node): inverted lists such that two linking classes (nodes) are together on one at least."""
+    bits = min(24, max(6, int(total // BUCKET_SHINGLES).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_tokens_of(frequent, bits))
+    names = ["bucket", "listed", "known"]
+
+    def emit(batches):
+        often, seen = shared.value, set()
+        held: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+
+        def flushed():
+            owners = np.array([own for own, _, _ in held], np.int64)
+            sizes = np.array([len(t) for _, _, t in held])
+            tokens, own = np.concatenate([t for _, _, t in held]), np.repeat(np.arange(len(held)), sizes)
+            spot = np.searchsorted(often, tokens)
+            last = often[np.minimum(spot, len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
+            rows: dict[int, list] = {}
+            for bucket, (t, o) in _dealt((tokens[~last] >> np.uint64(32)).astype(np.uint32), [tokens[~last].astype(np.uint32), own[~last]]):
+                rows[bucket] = [_packed([t, owners[o]]), None]
+            # frequent tokens and the classes' sizes are dealt by class: they only pass through
+            n = np.array([[n, len(t)] for _, n, t in held], np.uint64).reshape(-1, 2)
+            known = [np.concatenate([owners[own[last]], owners, owners]), np.concatenate([tokens[last] + np.uint64(2), n[:, 0] << np.uint64(1), n[:, 1] << np.uint64(1) | np.uint64(1)]), np.concatenate([np.full(last.sum(), _LAST), np.zeros(2 * len(held), np.uint16)])]
+            for bucket, columns in _dealt((mix(known[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32), known):
+                rows.setdefault(bucket, [None, None])[1] = _packed(columns)
+            return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in (0, 1))], names)
+
+        for batch in batches:
+            for shingles in shingle_sets(batch.column("text"), words):
+                own = class_id(shingles) if len(shingles) else 0
+                if own and own not in seen:  # copies met in this task are skipped
+                    if len(seen) < 1 << 20:
+                        seen.add(own)
+                    held.append((own, len(shingles), _tokens_of(shingles, bits)))
+                    size += len(shingles)
+                if size >= HELD_SHINGLES:
+                    yield flushed()
+                    held, size = [], 0
+        if held:
+            yield flushed()
+
+    def listed(table: pa.Table) -> pa.Table:
+        """Tokens of two classes or more, with the length of their lists, for the buckets of the classes."""
+        bucket = table.column("bucket")[0].as_py()
+        token, own = _unpacked((b.as_py() for b in table.column("listed") if b.is_valid), (np.uint32, np.int64))
+        order = np.argsort(token, kind="stable")
+        token, own = token[order], own[order]
+        tied = np.zeros(len(token), bool)
+        same = token[1:] == token[:-1]
+        tied[1:] |= same
+        tied[:-1] |= same
+        token, own = token[tied], own[tied]
+        order = np.lexsort((own, token))  # a class may come from several tasks
+        token, own = token[order], own[order]
+        once = np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])) if len(token) else tied[:0]
+        token, own = token[once], own[once]
+        _, where, lengths = np.unique(token, return_inverse=True, return_counts=True)
+        lengths = lengths[where]
+        keep = lengths > 1
+        token = (token[keep].astype(np.uint64) | np.uint64(bucket << 32)) + np.uint64(2)
+        sent = [own[keep], token, np.minimum(lengths[keep], 65534).astype(np.uint16)]
+        blobs = {}
+        for target, columns in _dealt((mix(sent[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32), sent):
+            blobs.setdefault(target, []).append(_packed(columns))
+        for known in table.column("known"):
+            if known.is_valid:
+                blobs.setdefault(bucket, []).append(known.as_py())
+        rows = [(target, blob) for target, several in blobs.items() for blob in several]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+    def first(table: pa.Table) -> pa.Table:
+        """Of each class that has enough shared tokens, those among its first n - T + 1."""
+        own, token, length = _unpacked((b.as_py() for b in table.column("blob")), _SENT)
+        told = length == 0
+        ids, where = np.unique(own, return_inverse=True)
+        n, distinct = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for out, odd in ((n, 0), (distinct, 1)):
+            pick = told & (token & np.uint64(1) == odd)
+            out[where[pick]] = token[pick] >> np.uint64(1)
+        order = np.lexsort((token, length, where))
+        order = order[~told[order]]
+        once = np.append(True, (where[order][1:] != where[order][:-1]) | (token[order][1:] != token[order][:-1])) if len(order) else order.astype(bool)
+        order = order[once]
+        shared = np.bincount(where[order], minlength=len(ids))
+        take = n + 1 - -(-percent * n // 100) - (distinct - shared)
+        place = np.arange(len(order)) - (np.cumsum(shared) - shared)[where[order]]
+        order = order[place < take[where[order]]]
+        return pa.table({"token": token[order].view(np.int64), "node": own[order]})
+
+    sent = identified(docs, "text").mapInArrow(emit, "bucket int, listed binary, known binary")
+    dealt = sent.groupBy("bucket").applyInArrow(listed, "bucket int, blob binary")
+    return dealt.groupBy("bucket").applyInArrow(first, "token long, node long")
+
+
+def candidate_edges(lists: DataFrame) -> DataFrame:
+    """An edge (a, b) from each class of a list to the list's least class."""
+    hubs = lists.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("token", "a")
+    return lists.join(hubs, "token").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def _signature_rows(sets, buckets: int, percent: int, salt: int = 0, flush: int = 1 << 19):
@@ -170,31 +363,6 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
 
-def _buckets(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) of classes that put any two linking classes in one neighbourhood."""
-    buckets = _buckets(docs)
-
-    def emit(batches):
-        seen = set()
-
-        def sets():
-            for batch in batches:
-                for shingles in shingle_sets(batch.column("text"), words):
-                    own = class_id(shingles) if len(shingles) else 0
-                    if own and own not in seen:  # copies met in this task are skipped
-                        if len(seen) < 1 << 20:
-                            seen.add(own)
-                        yield own, 0, shingles
-
-        yield from _signature_rows(sets(), buckets, percent)
-
-    return identified(docs, "text").mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct()
-
-
 def refined(rest: DataFrame, percent: int, salt: int) -> DataFrame:
     """(node, root) of rest(node, root, shingles) after its neighbourhoods are cut again by other ranges.
 
@@ -202,7 +370,7 @@ def refined(rest: DataFrame, percent: int, salt: int) -> DataFrame:
     together, while classes that only chance had put on one list part. Classes
     left alone link with nothing and get no row.
     """
-    buckets = _buckets(rest)
+    buckets = 1 + rest.agg(F.sum(F.length("shingles")).alias("n")).first().n // (8 * BUCKET_SHINGLES)
 
     def emit(batches):
         def sets():
@@ -280,34 +448,36 @@ def _block_of(blocks: str):
 
 
 def class_components(docs: DataFrame, classes: DataFrame, neighbourhoods: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root): components of the links between classes(node, weight) within neighbourhoods(node, root).
+    """(node, root): components of the links between classes(node, text_id, weight) within neighbourhoods(node, root).
 
-    The sets are shuffled by block once. Each block is searched with the pivots
+    Only one text of each class is read again. The sets are shuffled by block once. Each block is searched with the pivots
     of its neighbourhood, which join the blocks of one group of near copies.
     What is then one component is settled; only other neighbourhoods go on to
     `_across_blocks`.
     """
-    wanted = members_of(neighbourhoods, "node")
+    members = cut(neighbourhoods.join(classes, "node"))
+    wanted = members_of(members, "text_id")
 
     def sets(batches):
         seen = set()
         for batch in batches:
-            ids, blobs = [], []
-            for shingles in shingle_sets(batch.column("text"), words):
-                own = class_id(shingles) if len(shingles) else 0
-                if own and own not in seen and wanted([own])[0]:
+            ids, texts = batch.column("text_id").to_numpy(), batch.column("text")
+            pick = []
+            for k in np.flatnonzero(wanted(ids)).tolist():
+                if ids[k] not in seen:
                     if len(seen) < 1 << 20:
-                        seen.add(own)
-                    ids.append(own)
-                    blobs.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
-
-    members = cut(neighbourhoods.join(classes, "node"))
-    places = members.join(members.groupBy("root").agg(_in_blocks("weight").alias("blocks")), "root")
+                        seen.add(ids[k])
+                    pick.append(k)
+            blobs = [(class_id(s), s.tobytes()) for s in shingle_sets(texts.take(pa.array(pick, pa.int64())), words) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int64()), pa.array([b[1] for b in blobs], pa.binary())], ["node", "shingles"])
+
+    # few neighbourhoods have several blocks; the others need no join by their root
+    large = members.groupBy("root").agg(_in_blocks("weight").alias("blocks")).where("blocks > 1")
+    places = members.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # an eighth of a block, at random, is searched with every block of the neighbourhood
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), 8 * F.col("blocks")) == 0)
     spots = F.when(pivot, F.expr("sequence(0, blocks - 1)")).otherwise(F.array(_block_of("blocks")))
-    found = identified(docs, "text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     stored = cut(found.join(places.select("node", "root", "weight", "blocks", spots.alias("spots")), "node"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -363,13 +533,18 @@ def _across_blocks(rest: DataFrame, groups: DataFrame, percent: int) -> DataFram
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, text_id) for each row of docs(doc_id, text)."""
-    classes = cut(shingle_classes(docs, words))
-    neighbourhoods = cut(connected_components(candidate_edges(docs, words, percent)))
-    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("weight"))
-    found = class_components(docs, first.select(F.col("class_id").alias("node"), "weight"), neighbourhoods, words, percent)
+    told = cut(shingle_classes(docs, words))
+    classes = told.where("often is null").drop("often")
+    documents, total = (int(x or 0) for x in classes.agg(F.count("class_id"), F.sum("n_shingles")).first())
+    lists = cut(candidate_lists(docs, frequent_shingles(told, documents, total), total, words, percent))
+    neighbourhoods = cut(connected_components(candidate_edges(lists)))
+    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min("text_id").alias("text_id"), F.min("n_shingles").alias("weight"))
+    found = class_components(docs, first.select(F.col("class_id").alias("node"), "text_id", "weight"), neighbourhoods, words, percent)
     groups = found.select(F.col("node").alias("class_id"), "root")
-    rooted = first.drop("weight").join(groups, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    rooted = first.select("class_id", "first_id").join(groups, "class_id")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("class_id", "component_id")
+    # only classes that link with others are joined to the rows by component
+    linked = rooted.join(smallest, "root").select("class_id", "component_id")
+    labels = first.select("class_id", "first_id").join(linked, "class_id", "left").select("class_id", F.coalesce("component_id", "first_id").alias("component_id"))
     out = classes.join(labels, "class_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select(restored(), "n_shingles", restored("component_id"), "class_id", "text_id")

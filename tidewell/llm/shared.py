@@ -15,6 +15,8 @@ from .flat import Membership
 BATCH_BYTES = 4 << 20
 #: Edges of one task of a connected-components step, and the fewest tasks it has.
 TASK_EDGES, LEAST_TASKS = 1 << 17, 32
+#: Edges (16 bytes each) that one task labels without any rounds.
+ONE_TASK_EDGES = 1 << 20
 #: Bits of the filters that pick rows before a shuffle: 2 MiB, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -25,14 +27,16 @@ NULL_ID = -(1 << 63)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a single machine) is a temporary
-    folder of this machine set instead.
+    Only where that setting is absent and the master is local (tests, a single
+    machine) is a temporary folder of this machine set instead.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -78,10 +82,31 @@ def restored(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _labelled(batches):
+    """(node, root) of all edges of a task, by minimum labels and pointer jumping."""
+    batches = [b for b in batches if len(b)]
+    if not batches:
+        return
+    a, b = (np.concatenate([x.column(k).to_numpy() for x in batches]) for k in (0, 1))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], least)
+            np.minimum.at(label, end, least)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 40, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the component's least node.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014),
+    At most `one_task` edges are labelled by one task. For more, it alternates the large-star and small-star steps of Kiveris et al. (2014),
     which need a number of rounds logarithmic in the component size and never
     hold a component in one task: each step is one aggregation with partial
     results before its shuffle and one join. Few edges are read by few tasks, so
@@ -106,6 +131,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(pairs)
+    if before[0] <= one_task:
+        return pairs.coalesce(1).mapInArrow(_labelled, "node long, root long")
     for _ in range(max_rounds):
         tasks = max(LEAST_TASKS, before[0] // TASK_EDGES)
         pairs = cut(star(star(pairs.coalesce(tasks), True, tasks), False, tasks))
