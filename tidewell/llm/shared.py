@@ -92,10 +92,8 @@ def _labelled(batches):
     a, b = ends[: len(a)], ends[len(a) :]
     label = np.arange(len(nodes))
     while len(a):
-        least = np.minimum(label[a], label[b])
-        for end in (a, b):
-            np.minimum.at(label, label[end], least)
-            np.minimum.at(label, end, least)
+        # only roots are hung below others, so what is joined stays joined
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
         while (label[label] != label).any():
             label = label[label]
         open_ = label[a] != label[b]
