@@ -13,11 +13,13 @@ even one that a third of all pieces have, is gathered in a task.
 
 Where no filling is full, one that ends at a power of two is preferred, as such
 sequences need no padding. Null text is empty: its document is the end id alone.
-Rows that repeat a doc_id are packed each.
+Rows that repeat a doc_id are packed each. A text is encoded whole, however long:
+the ids of one text (4 bytes each) must fit a task.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, identified, restored
 
+#: How words are split (fixed value); white space is dropped.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker remembers with their ids; beyond that it starts anew.
 REMEMBERED = 1 << 19
 
@@ -35,8 +39,9 @@ REMEMBERED = 1 << 19
 class WordEncoder:
     """Ids of whole texts by way of the library, each distinct word encoded once.
 
-    For vocabularies whose pre-tokeniser drops white space: then the ids of a
-    text are those of its space-separated words, one after the other.
+    For vocabularies that lower-case and whose pre-tokeniser drops white space:
+    then the ids of a text are those of its space-separated words, one after the
+    other. Others are refused.
     """
 
     def __init__(self, path: str):
@@ -44,6 +49,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        said = json.loads(self.library.to_str())
+        normal, pieces = ((said[k] or {}).get(f"{name}s", [said[k] or {}]) for k, name in (("normalizer", "normalizer"), ("pre_tokenizer", "pretokenizer")))
+        if [n.get("type") for n in normal] != ["NFC", "Replace", "Lowercase"] or normal[1]["pattern"] != {"Regex": r"\s+"} or normal[1]["content"] != " ":
+            raise ValueError(f"{path}: only vocabularies that compose, join white space and lower-case are read here")
+        if (pieces[0].get("type"), pieces[0].get("behavior"), pieces[0].get("invert"), pieces[0].get("pattern")) != ("Split", "Removed", True, {"Regex": PATTERN}) or any(p.get("add_prefix_space") or p.get("use_regex") for p in pieces[1:]):
+            raise ValueError(f"{path}: only vocabularies that split by {PATTERN} are read here")
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] for t in said["added_tokens"]):
+            raise ValueError(f"{path}: added tokens must stand for themselves")
+        self.added = [t["content"].lower() for t in said["added_tokens"]]
         self.library.no_truncation()
         self.library.no_padding()
         suffix = getattr(self.library.model, "end_of_word_suffix", None) or "\0"
@@ -54,13 +68,14 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        split = [(t.lower() if t.isascii() and not any(a in t.lower() for a in self.added) else t).replace("\n", " ").split(" ") for t in texts]
         self.learn({w for words in split for w in words}.difference(self.known))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def learn(self, words: set[str]) -> None:
         # a mark after a letter is a token run of its own, and its word is often known
-        marked = [w for w in words if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()]
+        # (U+0130 lower-cases to a letter and a mark, which joins the next one; letters above U+024F may be newer than the library's)
+        marked = [w for w in words if len(w) > 1 and w[-1] in ",." and w[-2] < "\u0250" and w[-2].isalpha() and w[-2] != "\u0130"]
         words = (words.difference(marked) | {w[:-1] for w in marked} | {w[-1] for w in marked}).difference(self.known)
         plain, rest = [], []
         for w in words:
