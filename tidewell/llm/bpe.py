@@ -10,6 +10,7 @@ occurrence at a time.
 
 Null text is empty and has no ids. A special token's string in a text is that
 token, as the library has it. Ids are joined as little-endian unsigned 32-bit.
+A text is encoded whole, however long: its ids (8 bytes each) must fit a task.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
+        # the pattern above is the byte-level pre-tokeniser's own; no other is read here
+        if said.get("normalizer") or {k: (said.get("pre_tokenizer") or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")} != {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}:
+            raise ValueError(f"{path}: not a plain byte-level vocabulary")
         vocabulary, merges = said["model"]["vocab"], said["model"]["merges"]
         stand_in = printable_bytes()
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
