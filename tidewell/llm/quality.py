@@ -7,7 +7,8 @@ dropping tests from its end, and kept if its precision there is high enough.
 The rules become one ordered Spark CASE expression: the first that fits decides.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the whole text. Null text has none, so all
-its statistics are 0. Ties in gain take the test that comes first by name,
+its statistics are 0. Texts are read whole, one at a time; rows that repeat a
+doc_id are judged each. Ties in gain take the test that comes first by name,
 threshold and direction, so equal inputs give equal lists.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import SPACE, text_bytes
-from .shared import hash_sample, small_batches
+from .shared import agreed_labels, hash_sample, labelled_texts, small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios that rules may test, as SQL over the counts and a few more (fixed list).
@@ -203,15 +204,15 @@ def learn_list(values: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray,
 
 
 def fit_list(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DecisionList:
-    """Learn from labels.quality = 0 on at most `sample` labelled rows, the first by a hash of doc_id.
+    """Learn from labels.quality = 0 on at most `sample` labelled documents, the first by a hash of doc_id.
 
-    The bound is for the fit alone: statistics and verdicts cover all rows.
-    Rows without a label, id or text are not learned from.
+    The bound is for the fit alone: statistics and verdicts cover all rows. Of
+    each document only its nine numbers reach the driver, after rows that repeat
+    a doc_id have become one (see `labelled_texts`). Ids with both labels, and
+    rows without a label, id or text are not learned from.
     """
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("__quality"))
-    chosen = hash_sample(known, sample, 7, "__quality")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
-    stats = with_counts(rows, ("doc_id", "__quality"))
+    chosen = hash_sample(agreed_labels(labels, "quality"), sample, 7)
+    stats = with_counts(labelled_texts(docs, chosen).withColumnRenamed("label", "__quality"), ("doc_id", "__quality"))
     flat = stats.select("row.doc_id", F.col("row.__quality").alias("quality"), "stats.*").selectExpr("doc_id", "quality", *(f"double({sql}) AS f_{n}" for n, sql in FEATURES.items())).toPandas()
     if flat.empty:
         return DecisionList(())

@@ -78,6 +78,22 @@ def hash_sample(rows: DataFrame, most: int, seed: int, *ties: str) -> DataFrame:
     return rows.orderBy(place, "doc_id", *ties).limit(most)
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, label, text): one text for each row of chosen(doc_id, label), whose size is bounded by its fit.
+
+    Of several different texts of one doc_id the one with the least hash is
+    taken, so repeated rows add nothing to a fit. Null texts are left out.
+    """
+    rows = small_batches(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+def agreed_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of 0/1 labels; ids with both are left out, as are nulls and other values."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).cast("int").alias("label"), F.max(column).cast("int").alias("most"))
+    return known.where("label = most").drop("most")
+
+
 def restored(column: str = "doc_id"):
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(column)
 
