@@ -319,6 +319,52 @@ def test_decision_list_matches_its_sql(spark):
     assert quality.DecisionList(()).sql() == "false"
 
 
+def test_decision_list_case_equals_its_hits(spark, small):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counted = quality.with_counts(docs, ("doc_id",)).select("row.doc_id", "stats")
+    rows = counted.selectExpr("doc_id", *(f"double({sql}) AS {n}" for n, sql in {n: re.sub(r"\b(n_\w+|word_chars)\b", r"stats.\1", sql) for n, sql in quality.FEATURES.items()}.items())).toPandas().sort_values("doc_id")
+    values = {n: rows[n].to_numpy() for n in quality.FEATURES}
+    middle = {n: float(np.quantile(v, 0.6)) for n, v in values.items()}
+    names = list(values)
+    rules = quality.DecisionList(tuple((quality.Test(a, True, middle[a]), quality.Test(b, False, middle[b])) for a, b in zip(names, names[3:])))
+    got = counted.select("doc_id", rules.rejects().alias("hit")).toPandas().sort_values("doc_id")
+    assert got["hit"].tolist() == rules.hits(values).tolist() and 0 < got["hit"].sum() < len(got)
+
+
+def test_fits_take_each_document_once(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    more = docs.union(docs).union(docs)
+    assert quality.fit_list(docs, labels) == quality.fit_list(more, labels.union(labels))
+    one, three = (toxicity.fit_toxicity(d, labels) for d in (docs, more))
+    assert one.bias == three.bias and one.weights.tolist() == three.weights.tolist()
+    bounded = toxicity.fit_toxicity(docs, labels, sample_bytes=4096)
+    assert len(bounded.features) < len(one.features)
+
+
+def test_word_encoder_equals_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rng = random.Random(5)
+    words = ["AL\u0130.", "\u0130,", "<|ENDOFTEXT|>", "<|endoftext|>", "a<|endoftext|>b.", "it's.", "it's,", "x\u0301.", "\u00b4", "\u0301a", "e\u0301,", "\u00df.", "12.", "a1,", "1a.", "...", ",", ".", "a..", "\u4f60\u597d.", "\ud55c\uae00,", "\u0645\u0631\u062d\u0628\u0627.", "A", "The", "don't", "\t", "\u00a0", "\u2028x.", "\x1c", "\u01c5.", "\ufb01,", "\u212b.", "\u1e9e."]
+    letters = "abcXYZ\u0130\u0131\u00e9\u00c9\u03a3\u03c3\u044f.,'- \n\t\u0307\u0301<|>0\u4e2d"
+    texts = [rng.choice([" ", "\n", "  ", ""]).join(rng.choices(words, k=rng.randint(1, 8))) if k % 2 else "".join(rng.choices(letters, k=rng.randint(0, 24))) for k in range(10_000)]
+    for lo in range(0, len(texts), 500):
+        some = texts[lo : lo + 500]
+        for text, got, want in zip(some, own.encode(some), library.encode_batch(some, add_special_tokens=False)):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        packing.WordEncoder(vocabulary("byte_bpe_50k.json"))
+    with pytest.raises(ValueError):
+        bpe.ByteBpe(vocabulary("word_bpe_49k.json"))
+
+
 def test_toxicity_held_out(spark):
     got = QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     right = sum(r.predicted == r.toxic for r in got)

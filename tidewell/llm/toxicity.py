@@ -7,7 +7,9 @@ most weights at exactly zero, so the model is a short list of (feature, weight)
 whose size is bounded by `bits`, and is broadcast.
 
 Words here are runs of ASCII letters, digits and bytes of other scripts, A-Z
-lowered. Null or empty texts have the bias alone. Repeated rows are scored each.
+lowered. Null or empty texts have the bias alone. Repeated rows are scored each,
+with equal scores for equal texts; a null doc_id stays null. Texts of any length
+are scored whole, in runs of 256 KiB or one text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, mix, prefix_sums, row_runs, span_hash, text_bytes, word_spans
-from .shared import hash_sample, identified, restored, small_batches
+from .shared import agreed_labels, hash_sample, identified, labelled_texts, restored
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -91,17 +93,20 @@ class Ftrl:
         return ToxicityModel(self.bits, float(w[-1]), kept, w[kept])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bits: int = 20, passes: int = 5, min_texts: int = 3) -> ToxicityModel:
-    """Train on labels(doc_id, toxic): at most `sample` rows of each label, the first by a hash of doc_id.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, sample_bytes: int = 128 << 20, bits: int = 20, passes: int = 5, min_texts: int = 3) -> ToxicityModel:
+    """Train on labels(doc_id, toxic): at most `sample` documents of each label, the first by a hash of doc_id.
 
-    The bound is for the fit alone. Rows without an id, a label or a text are
-    not learned from. One task walks through the sample; it is bounded by `sample`.
+    The bounds are for the fit alone. One task walks through the sample; it
+    holds `sample_bytes` of features at most (4 bytes for each distinct gram of
+    a text), the first texts in hash order that fit. A doc_id counts once (see
+    `labelled_texts`); ids with both labels, and rows without an id, a 0/1 label
+    or a text are not learned from. Texts are read whole. Equal hashes are
+    walked in the order of doc_id, so the fit does not depend on the order of rows.
     Features of fewer than `min_texts` sampled texts are left out, and both labels
     weigh the same in all.
     """
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    known = agreed_labels(labels, "toxic")
     chosen = hash_sample(known.where("label = 1"), sample, 5).union(hash_sample(known.where("label = 0"), sample, 5))
-    texts = small_batches(docs).select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
 
     def grams(batches):
         for batch in batches:
@@ -116,25 +121,41 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bits:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(features, pa.binary())], ["doc_id", "label", "features"])
 
     def walk(batches):
-        rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), b.column("features").to_pylist())]
-        if rows:
-            rows.sort(key=lambda r: (int(r[0]) * 0x9E3779B97F4A7C15 % (1 << 64), r[1], r[2]))
-            positive = sum(r[1] for r in rows)
-            importance = max(1.0, (len(rows) - positive) / max(1, positive))
-            walked = [(label, np.frombuffer(f, np.int32).astype(np.int64)) for _, label, f in rows]
-            seen = np.zeros(1 << bits, np.int32)
-            for _, features in walked:
-                seen[features] += 1  # distinct within a text
-            state = Ftrl(bits)
-            walked = [(label, features[seen[features] >= min_texts]) for label, features in walked]
-            for _ in range(passes):
-                for label, features in walked:
-                    state.learn(features, label, importance if label else 1.0)
-            model = state.model()
-            yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([model.features.astype(np.int64).tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "features", "weights"])
-
-    spread = texts.mapInArrow(grams, "doc_id long, label int, features binary")
-    found = spread.repartition(1).mapInArrow(walk, "bias double, features binary, weights binary").collect()
+        labels, parts, sizes, room = [], [], [], sample_bytes // 4
+        for batch in batches:
+            column = batch.column("features")
+            each = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(batch) + 1, 4 * column.offset)) // 4
+            fit = int(np.searchsorted(np.cumsum(each), room, "right"))
+            if fit:
+                first = column.slice(0, fit)
+                start = np.frombuffer(first.buffers()[1], np.int32, 1, 4 * first.offset)[0]
+                parts.append(np.frombuffer(first.buffers()[2], np.int32, int(each[:fit].sum()), int(start)).copy())
+                labels.append(batch.column("label").to_numpy()[:fit])
+                sizes.append(each[:fit])
+                room -= len(parts[-1])
+            if fit < len(batch):
+                break
+        if not labels:
+            return
+        labels, sizes = np.concatenate(labels), np.concatenate(sizes)
+        features = np.concatenate(parts)
+        parts.clear()
+        keep = np.bincount(features, minlength=1 << bits)[features] >= min_texts  # distinct within a text
+        ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+        features = features[keep]
+        del keep
+        positive = int(labels.sum())
+        importance = max(1.0, (len(labels) - positive) / max(1, positive))
+        state = Ftrl(bits)
+        for _ in range(passes):
+            for label, a, z in zip(labels.tolist(), ends.tolist(), ends[1:].tolist()):
+                state.learn(features[a:z], label, importance if label else 1.0)
+        model = state.model()
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias], pa.float64()), pa.array([model.features.astype(np.int64).tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary())], ["bias", "features", "weights"])
+
+    spread = labelled_texts(docs, chosen).select("doc_id", "label", "text").mapInArrow(grams, "doc_id long, label int, features binary")
+    walked = spread.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(9)), "doc_id")
+    found = walked.mapInArrow(walk, "bias double, features binary, weights binary").collect()
     if not found:
         return ToxicityModel(bits, 0.0, np.zeros(0, np.int64), np.zeros(0))
     return ToxicityModel(bits, found[0].bias, np.frombuffer(found[0].features, np.int64), np.frombuffer(found[0].weights, np.float64))
