@@ -1,8 +1,10 @@
 """Operators on pages: URL rules and main text."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import html, urls
+from tidewell.llm.urls import host_and_path
 from tidewell.llm.queries import ORACLES, QUERIES, URL_RULES
 
 
@@ -129,6 +131,35 @@ def test_empty_tables(spark):
     assert html.main_texts(empty).count() == 0 and urls.judged(empty, URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("unnamed", ["", "<p>Read this fine magazine every morning with your coffee and tell a friend.</p>"])
+def test_repeats_equal_brute_force(spark, unnamed):
+    """The table as it is (its furniture is all named), and with a line of furniture that only its repetition tells."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("html", F.regexp_replace("html", "</(article|main)>", f"{unnamed}</$1>"))
+    rows = table.select("page_id", "url", "html").collect()
+    once = {(r.page_id, r.url, r.html) for r in rows}
+    on, of = {}, {}
+    words = {p: [w for zone, text, _ in html.blocks(p[2] or "") if zone in html.JUDGED for w in text.split()] for p in once}
+    for p, own in words.items():
+        host = host_and_path(p[1])[0]
+        if len(own) >= 6:
+            of[host] = of.get(host, 0) + 1
+        for window in {tuple(own[k : k + 6]) for k in range(len(own) - 5)}:
+            on[host, window] = on.get((host, window), 0) + 1
+    want, plain = {}, {}
+    for p, own in words.items():
+        host = host_and_path(p[1])[0]
+        counts = [on[host, tuple(own[k : k + 6])] for k in range(len(own) - 5)]
+        ranges = [{"start": k, "count": 1} for k, n in enumerate(counts) if n >= 3 and 2 * n > of[host]]
+        want[p], plain[p] = html.page_text(p[2], ranges), html.page_text(p[2])
+    got = html.main_texts(table).collect()
+    assert len(got) == len(rows)
+    texts: dict = {}
+    for (page_id, url, _), text in want.items():
+        texts.setdefault((page_id, url), set()).add(text)
+    assert [(r.page_id, r.text) for r in got if r.text not in texts[r.page_id, r.url]] == []
+    assert bool(unnamed) == (sum(want[p] != plain[p] for p in once) > len(once) // 4)
+
+
 def test_pages_query(spark, small):
     got = QUERIES["op10_html_extraction"](spark, small).collect()
     assert len(got) == spark.read.parquet(f"{small}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in got)

@@ -212,9 +212,10 @@ def _page_runs(page: str | None, address: str | None, width: int):
 
 
 def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: str = "url", least: int = 3, common: float = 0.5) -> DataFrame:
-    """(page, start, count) of token windows that `least` pages and more than `common` of the pages of the host have.
+    """(page, twice, start, count) of token windows that `least` pages and more than `common` of the pages of the host have.
 
-    pages has one row for each page. Of equal windows of a page only the first is told.
+    pages has one row for each page. Of equal windows of a page only the first is told;
+    `twice` says that the page has such.
     """
     spark = pages.sparkSession
 
@@ -240,12 +241,13 @@ def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: s
                 if not (found := _page_runs(source, address, width)):
                     continue
                 tokens, host, heads, lasts, keys = found
+                twice = int((lasts - heads).sum()) + len(heads) < len(tokens) - width + 1
                 for k in np.flatnonzero(shared(keys)).tolist():
                     run = tokens[heads[k] : lasts[k] + width].tobytes()
-                    rows.append((int(keys[k].view(np.uint64) % np.uint64(buckets)), page, int(heads[k]), xxhash.xxh64_intdigest(run, host) - (1 << 63), host - (1 << 63), run))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "page", "start", "content", "host", "tokens"])
+                    rows.append((int(keys[k].view(np.uint64) % np.uint64(buckets)), page, twice, int(heads[k]), xxhash.xxh64_intdigest(run, host) - (1 << 63), host - (1 << 63), run))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "page", "twice", "start", "content", "host", "tokens"])
 
     def sort(table: pa.Table) -> pa.Table:
         runs = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
@@ -268,14 +270,14 @@ def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: s
         at = hit[heads]
         return pa.table({"content": table.column("content").to_numpy()[owner[at]], "host": table.column("host").to_numpy()[owner[at]], "start": inner[at].astype(np.int32), "count": np.diff(np.append(heads, len(hit))).astype(np.int32), "pages": seen[heads]})
 
-    runs = pages.select("page", url, html).mapInArrow(emit, "bucket int, page long, start int, content long, host long, tokens binary")
+    runs = pages.select("page", url, html).mapInArrow(emit, "bucket int, page long, twice boolean, start int, content long, host long, tokens binary")
     # equal runs of a host are sorted once, however many pages have them
     once = runs.groupBy("bucket", "host", "content").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
     covered = once.groupBy("bucket").applyInArrow(sort, "content long, host long, start int, count int, pages long")
     hosts = told.where("host").select(F.col("key").bitwiseXOR(F.lit(-(1 << 63))).alias("host"), F.col("pages").alias("of"))
     covered = covered.join(hosts, "host").where(F.col("pages") > F.lit(common) * F.col("of"))
-    places = runs.select("page", "host", "content", F.col("start").alias("first"))
-    return places.join(covered.select("host", "content", "start", "count"), ["host", "content"]).select("page", (F.col("first") + F.col("start")).alias("start"), "count")
+    places = runs.select("page", "twice", "host", "content", F.col("start").alias("first"))
+    return places.join(covered.select("host", "content", "start", "count"), ["host", "content"]).select("page", "twice", (F.col("first") + F.col("start")).alias("start"), "count")
 
 
 def _window_ranks(codes: np.ndarray, width: int) -> np.ndarray:
@@ -296,24 +298,27 @@ def _named_away(page: str | None) -> str:
     return max((" ".join(t) for t in texts.values()), key=lambda t: len(t.split()), default="")
 
 
-def page_text(page: str | None, ranges=(), width: int = 6, share: float = 0.8) -> str:
-    """The text of a page of which the ranges (start, count) of windows are covered."""
+def page_text(page: str | None, ranges=(), width: int = 6, share: float = 0.8, twice: bool = True) -> str:
+    """The text of a page of which the ranges (start, count) of windows are covered; `twice`: some windows may be equal."""
     own = [(zone, where, text) for zone, text, where in blocks(page or "") if zone in JUDGED]
     if not own:
         return _named_away(page)
-    counts = np.array([len(text.split()) for _, _, text in own], np.int64)
+    counts = np.array([text.count(" ") + 1 for _, _, text in own], np.int64)  # one space between words
     hidden = np.zeros(len(own), np.int64)
     if ranges:
-        tokens = _page_tokens(page)
-        windows = _window_hashes(tokens, width)
-        told = np.zeros(len(windows), bool)
-        for r in ranges:
-            told[r["start"] : r["start"] + r["count"]] = True
-        # equal windows of the page go the same way
-        step = np.zeros(len(tokens) + 1, np.int64)
-        hit = np.flatnonzero(np.isin(windows, windows[told]))
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + width, -1)
+        step = np.zeros(int(counts.sum()) + 1, np.int64)
+        if twice:  # equal windows of the page go the same way
+            windows = _window_hashes(_token_hashes([w for _, _, text in own for w in text.split(" ")]), width)
+            told = np.zeros(len(windows), bool)
+            for r in ranges:
+                told[r["start"] : r["start"] + r["count"]] = True
+            hit = np.flatnonzero(np.isin(windows, windows[told]))
+            np.add.at(step, hit, 1)
+            np.add.at(step, hit + width, -1)
+        else:
+            for r in ranges:
+                step[r["start"]] += 1
+                step[r["start"] + r["count"] + width - 1] -= 1
         gone = np.append(0, np.cumsum(np.cumsum(step)[:-1] > 0))
         ends = np.cumsum(counts)
         hidden = gone[ends] - gone[ends - counts]
@@ -349,13 +354,13 @@ def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFram
     if not repeated.isEmpty():
         again = members_of(repeated, "page")
         once = base.mapInArrow(chosen(lambda c: ~again(c)), base.schema).union(base.mapInArrow(chosen(again), base.schema).dropDuplicates(["page"]))
-    covered = cut(repeated_tokens(once, width).groupBy("page").agg(F.collect_list(F.struct("start", "count")).alias("ranges")))
+    covered = cut(repeated_tokens(once, width).groupBy("page").agg(F.max("twice").alias("twice"), F.collect_list(F.struct("start", "count")).alias("ranges")))
     touched = members_of(covered, "page")
 
     def finish(batches):
         for batch in batches:
-            ranges = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * len(batch)
-            texts = [page_text(h, r, width, share) for h, r in zip(batch.column("html").to_pylist(), ranges)]
+            ranges, twice = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(batch) for c in ("ranges", "twice"))
+            texts = [page_text(h, r, width, share, t) for h, r, t in zip(batch.column("html").to_pylist(), ranges, twice)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = "page_id long, url string, text string, n_chars long"
