@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import mix
-from .shared import cut, members_of, small_batches
+from .shared import cut, members_of, small_batches, trimmed
 from .suffix import sliding_min
 from .urls import host_and_path
 
@@ -359,11 +359,13 @@ def main_texts(pages: DataFrame, width: int = 6, share: float = 0.8) -> DataFram
 
     def finish(batches):
         for batch in batches:
+            if "ranges" not in batch.schema.names:
+                batch = batch.filter(pa.array(~touched(batch.column("page"))))
             ranges, twice = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(batch) for c in ("ranges", "twice"))
             texts = [page_text(h, r, width, share, t) for h, r, t in zip(batch.column("html").to_pylist(), ranges, twice)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = "page_id long, url string, text string, n_chars long"
-    changed = base.mapInArrow(chosen(touched), base.schema).join(covered, "page", "left").mapInArrow(finish, schema)
-    same = base.mapInArrow(chosen(lambda c: ~touched(c)), base.schema).mapInArrow(finish, schema)
+    changed = base.mapInArrow(chosen(touched), base.schema).join(covered, "page", "left").mapInArrow(trimmed(finish), schema)
+    same = base.mapInArrow(trimmed(finish), schema)
     return changed.union(same)

@@ -42,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, mix, prefix_sums, row_runs, span_hash, text_bytes, word_spans
-from .shared import connected_components, cut, identified, members_of, restored
+from .shared import connected_components, cut, give_back, identified, members_of, restored, trimmed
 
 #: Shingles of one side of a verification block (8 bytes each), and of one bucket of inverted lists.
-BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 18, 1 << 21
+BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 18, 1 << 20
 #: Shingles that a task holds before it sends them on.
 HELD_SHINGLES = 1 << 19
 #: A shingle is frequent when more than one class in so many has it, and more than one shingle in so many is it: at most 2 MiB of them.
@@ -162,7 +162,7 @@ def shingle_classes(docs: DataFrame, words: int = 4) -> DataFrame:
         if held:
             yield told()
 
-    return identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(run, _CLASSES)
+    return identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(trimmed(run), _CLASSES)
 
 
 def frequent_shingles(classes: DataFrame, documents: int, total: int) -> np.ndarray:
@@ -285,6 +285,7 @@ def candidate_lists(docs: DataFrame, frequent: np.ndarray, total: int, words: in
             if known.is_valid:
                 blobs.setdefault(bucket, []).append(known.as_py())
         rows = [(target, blob) for target, several in blobs.items() for blob in several]
+        give_back()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def first(table: pa.Table) -> pa.Table:
@@ -306,7 +307,7 @@ def candidate_lists(docs: DataFrame, frequent: np.ndarray, total: int, words: in
         order = order[place < take[where[order]]]
         return pa.table({"token": token[order].view(np.int64), "node": own[order]})
 
-    sent = identified(docs, "text").mapInArrow(emit, "bucket int, listed binary, known binary")
+    sent = identified(docs, "text").mapInArrow(trimmed(emit), "bucket int, listed binary, known binary")
     dealt = sent.groupBy("bucket").applyInArrow(listed, "bucket int, blob binary")
     return dealt.groupBy("bucket").applyInArrow(first, "token long, node long")
 
@@ -477,7 +478,7 @@ def class_components(docs: DataFrame, classes: DataFrame, neighbourhoods: DataFr
     # an eighth of a block, at random, is searched with every block of the neighbourhood
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), 8 * F.col("blocks")) == 0)
     spots = F.when(pivot, F.expr("sequence(0, blocks - 1)")).otherwise(F.array(_block_of("blocks")))
-    found = identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = identified(docs, "text", F.xxhash64("text").alias("text_id")).mapInArrow(trimmed(sets), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     stored = cut(found.join(places.select("node", "root", "weight", "blocks", spots.alias("spots")), "node"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, identified, restored
+from .shared import cut, identified, restored, trimmed
 
 #: How words are split (fixed value); white space is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,15 +49,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        said = json.loads(self.library.to_str())
-        normal, pieces = ((said[k] or {}).get(f"{name}s", [said[k] or {}]) for k, name in (("normalizer", "normalizer"), ("pre_tokenizer", "pretokenizer")))
+        normal, pieces = ([json.loads(part.__getstate__()) if part else {}] for part in (self.library.normalizer, self.library.pre_tokenizer))
+        normal, pieces = normal[0].get("normalizers", normal), pieces[0].get("pretokenizers", pieces)
         if [n.get("type") for n in normal] != ["NFC", "Replace", "Lowercase"] or normal[1]["pattern"] != {"Regex": r"\s+"} or normal[1]["content"] != " ":
             raise ValueError(f"{path}: only vocabularies that compose, join white space and lower-case are read here")
         if (pieces[0].get("type"), pieces[0].get("behavior"), pieces[0].get("invert"), pieces[0].get("pattern")) != ("Split", "Removed", True, {"Regex": PATTERN}) or any(p.get("add_prefix_space") or p.get("use_regex") for p in pieces[1:]):
             raise ValueError(f"{path}: only vocabularies that split by {PATTERN} are read here")
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] for t in said["added_tokens"]):
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word or " " in t.content or "\n" in t.content for t in added):
             raise ValueError(f"{path}: added tokens must stand for themselves")
-        self.added = [t["content"].lower() for t in said["added_tokens"]]
+        self.added = [t.content.lower() for t in added]
         self.library.no_truncation()
         self.library.no_padding()
         suffix = getattr(self.library.model, "end_of_word_suffix", None) or "\0"
@@ -181,7 +182,7 @@ def token_pieces(docs: DataFrame, path: str, window: int, end_id: int = 1, with_
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns)], names)
         own.known = {"": b""}  # the worker may serve other stages next
 
-    return identified(docs, "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return identified(docs, "text").mapInArrow(trimmed(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:

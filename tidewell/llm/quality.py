@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import SPACE, text_bytes
-from .shared import agreed_labels, hash_sample, labelled_texts, small_batches
+from .shared import agreed_labels, hash_sample, labelled_texts, small_batches, trimmed
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios that rules may test, as SQL over the counts and a few more (fixed list).
@@ -111,7 +111,7 @@ def with_counts(docs: DataFrame, keep: tuple[str, ...], as_struct: str = "stats"
             columns = list(zip(*(text_counts(data[a:z].tobytes()) for a, z in zip(ends, ends[1:])))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))], ["row", as_struct])
 
-    return base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField(as_struct, stats)]))
+    return base.mapInArrow(trimmed(run), T.StructType([base.schema["row"], T.StructField(as_struct, stats)]))
 
 
 @dataclass(frozen=True)

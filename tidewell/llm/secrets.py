@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import row_runs, text_bytes, word_spans
-from .shared import identified, restored, small_batches
+from .shared import identified, restored, small_batches, trimmed
 
 # Fixed patterns; a match counts when the named part is long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -169,7 +169,7 @@ def fit_random_strings(docs: DataFrame) -> RandomStringModel:
         label, before, after = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(counts[label, before, after])], ["label", "before", "after", "n"])
 
-    told = small_batches(docs).select("text").mapInArrow(run, "label int, before int, after int, n long")
+    told = small_batches(docs).select("text").mapInArrow(trimmed(run), "label int, before int, after int, n long")
     counts = np.zeros((2, size + 1, size))
     for r in told.groupBy("label", "before", "after").agg(F.sum("n").alias("n")).collect():
         counts[r.label, r.before, r.after] = r.n
@@ -222,7 +222,7 @@ def secret_report(docs: DataFrame, model: RandomStringModel) -> DataFrame:
             n = list(zip(*counts)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in n[:3]), pa.array(base, pa.string()), pa.array(all_spans, pa.string()), pa.array(n[3], pa.int64())], names)
 
-    out = identified(docs, "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    out = identified(docs, "text").mapInArrow(trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
     return out.withColumn("doc_id", restored())
 
 
@@ -245,4 +245,4 @@ def redacted(docs: DataFrame, model: RandomStringModel, mark: str = "[SECRET]")
             new = pa.array([None if null else t for t, null in zip(out, old.is_null().to_pylist())], old.type)
             yield batch.set_column(where, batch.schema.field(where), new)
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(trimmed(run), docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -65,6 +66,26 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), *columns)
 
 
+def trimmed(step):
+    """step, a generator over batches, with the memory it freed given back to the system when it ends.
+
+    Python workers serve one stage after the other; what each keeps for reuse
+    adds up in a small executor.
+    """
+    def run(batches):
+        yield from step(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def hash_sample(rows: DataFrame, most: int, seed: int, *ties: str) -> DataFrame:
     """The `most` rows that come first by a hash of doc_id; for fits, whose bound is a parameter.
 

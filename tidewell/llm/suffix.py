@@ -5,6 +5,9 @@ in a document with a smaller doc_id, or earlier in the same document. Different
 texts of one doc_id, or of none, are documents in the order of a hash of theirs. Strings
 are judged on the input and never cross documents.
 
+Texts may have any length; a task holds one whole text of a batch at a time.
+`length` is at most 50,000.
+
 1. Every window of `length` bytes is keyed by the least hash among its k-grams,
    so equal windows have equal keys. Consecutive windows keyed by the same
    k-gram form a *run*; a run is sent on as 38 bytes. Of equal runs all but the first are
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import mix, prefix_sums, row_runs, span_hash, text_bytes
-from .shared import cut, identified, members_of, restored
+from .shared import cut, give_back, identified, members_of, restored, trimmed
 
 #: Different runs of one key from which its windows are grouped one by one.
 WIDE_KEY = 20_000
@@ -279,11 +282,13 @@ def _matched_runs(docs: DataFrame, length: int, gram: int, flush: int = 1 << 19)
 
         return pa.table({"doc_id": joined(0, pa.int64()), "tag": joined(1, pa.int64()), "start": joined(2, pa.int32()), "count": joined(3, pa.int32()), "content": joined(4, pa.int64()), "key": joined(5, pa.int64()), "wide": joined(6, pa.bool_())})
 
-    return docs.mapInArrow(emit, "bucket int, blob binary").groupBy("bucket").applyInArrow(match, _RUN)
+    return docs.mapInArrow(trimmed(emit), "bucket int, blob binary").groupBy("bucket").applyInArrow(match, _RUN)
 
 
 def covered_ranges(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, tag, start, count): windows of docs(doc_id, tag, text) that occur earlier."""
+    if not 1 <= length <= 50_000:
+        raise ValueError("length must be from 1 to 50,000 bytes: runs tell their windows in 16 bits")
     gram = max(1, length * 36 // 100)
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = cut(_matched_runs(docs, length, gram))
@@ -306,8 +311,8 @@ def covered_ranges(docs: DataFrame, length: int) -> DataFrame:
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.binary())], ["doc_id", "tag", "start", "key", "wide", "bytes"])
 
-    texts = docs.mapInArrow(pick, docs.schema).join(asked, ["doc_id", "tag"])
-    pieces = cut(texts.mapInArrow(segments, "doc_id long, tag long, start int, key long, wide boolean, bytes binary"))
+    texts = docs.mapInArrow(trimmed(pick), docs.schema).join(asked, ["doc_id", "tag"])
+    pieces = cut(texts.mapInArrow(trimmed(segments), "doc_id long, tag long, start int, key long, wide boolean, bytes binary"))
 
     def sort(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
@@ -322,6 +327,7 @@ def covered_ranges(docs: DataFrame, length: int) -> DataFrame:
             hi = int(stops[max(k, np.searchsorted(stops, lo, "right"))])
             out.append(covered_windows(doc[lo:hi], tag[lo:hi], start[lo:hi], held[lo:hi], length))
             lo = hi
+        give_back()
         return pa.table({"doc_id": np.concatenate([o[0] for o in out]), "tag": np.concatenate([o[1] for o in out]), "start": np.concatenate([o[2] for o in out]).astype(np.int32), "count": np.concatenate([o[3] for o in out]).astype(np.int32)})
 
     def windows(batches):
@@ -366,6 +372,8 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
 
     def finish(batches):
         for batch in batches:
+            if "ranges" not in batch.schema.names:
+                batch = batch.filter(pa.array(~touched(batch.column("tag"))))
             ranges = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * len(batch)
             done = [keep(t, r) for t, r in zip(batch.column("text").to_pylist(), ranges)]
             if as_text:
@@ -373,17 +381,13 @@ def without_repeats(docs: DataFrame, length: int = 100, carry: tuple[str, ...] =
             columns = [pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    def untouched(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(~touched(batch.column("tag"))))
-
     def maybe(batches):
         for batch in batches:
             yield batch.filter(pa.array(touched(batch.column("tag"))))
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), base.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    changed = base.mapInArrow(maybe, base.schema).join(covered, ["doc_id", "tag"], "left").mapInArrow(finish, schema)
-    same = base.mapInArrow(untouched, base.schema).mapInArrow(finish, schema)
+    changed = base.mapInArrow(trimmed(maybe), base.schema).join(covered, ["doc_id", "tag"], "left").mapInArrow(trimmed(finish), schema)
+    same = base.mapInArrow(trimmed(finish), schema)
     return changed.union(same)
 
 
