@@ -150,3 +150,10 @@ def summary_line(frontier: DataFrame, ledger: DataFrame) -> DataFrame:
     states = counts_by(frontier, "state").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "state", F.col("n").cast("string")))), " ").alias("queue"))
     stages = top(ledger, "stage", 5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "stage", "n"))), lambda x: F.concat_ws("=", x["stage"], x["n"].cast("string"))), " ").alias("stages"))
     return states.join(stages, F.lit(True)).select(F.concat_ws(" | ", "queue", "stages").alias("line"))
+
+
+def host_share(articles: DataFrame) -> DataFrame:
+    """AG25: how many sources share each host of articles(url, source_id)."""
+    from ..functions.urls import host_of
+
+    return articles.groupBy(host_of(F.col("url")).alias("host")).agg(F.countDistinct("source_id").alias("sources"))

@@ -86,3 +86,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
     facts = right.select(key, time, F.lit(0).alias("__left"), value, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (key, time)])
     order = Window.partitionBy(key).orderBy(time, "__left").rowsBetween(Window.unboundedPreceding, 0)
     return marked.union(facts).withColumn(value, F.last(value, ignorenulls=True).over(order)).where("__left = 1").drop("__left")
+
+
+def vocabulary_union(*vocabularies: DataFrame) -> DataFrame:
+    """ST2, ST3: each tag of vocabularies(tag) once, with the place of the first vocabulary that has it."""
+    placed = [v.select("tag", F.lit(k).alias("place")) for k, v in enumerate(vocabularies)]
+    out = placed[0]
+    for other in placed[1:]:
+        out = out.union(other)
+    return out.groupBy("tag").agg(F.min("place").alias("place"))

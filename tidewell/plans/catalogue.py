@@ -36,6 +36,14 @@ def day(column: str):
     return F.col(column).cast("string").alias(column)
 
 
+def made(by: int, *values, other="title"):
+    """The value at id % by; past the last, `other`."""
+    out = F
+    for k, v in enumerate(values):
+        out = out.when(F.col("id") % by == k, v if not isinstance(v, str) else F.lit(v))
+    return out.otherwise(F.col(other) if isinstance(other, str) else other)
+
+
 def dated(t: Tables) -> DataFrame:
     return browsing.dated(t.articles())
 
@@ -124,9 +132,9 @@ def _(t):
     return t.articles().join(latest, "run_id", "left_semi").select("id")
 
 
-@query("source_scan", "SELECT id, url FROM articles WHERE source_id = 7 AND run_id = 2")
+@query("source_scan", "SELECT id, url FROM articles WHERE source_id = 1 AND run_id = 2")
 def _(t):
-    return t.articles().where("source_id = 7 AND run_id = 2").select("id", "url")
+    return t.articles().where("source_id = 1 AND run_id = 2").select("id", "url")
 
 
 @query("point_lookup", "SELECT id, content_hash FROM (SELECT id, sha256(content) AS content_hash FROM articles) x WHERE content_hash = (SELECT sha256(content) FROM articles WHERE id = 5)")
@@ -157,9 +165,15 @@ def _(t):
     return t.articles().where(dates.at_floor(published, F.lit("2024-06-15").cast("date"), F.col("issue_url").isNull())).select("id")
 
 
-@query("blocked_flag", r"SELECT id, regexp_matches(coalesce(title, '') || chr(10) || substr(content, 1, 600), '(?i)just a moment|attention required|are you a robot|\bcaptcha\b|access denied|checking your browser') AS blocked FROM articles")
+_CHALLENGES = ["Just a moment", "Attention required!", "verify that you are a human", "Verifying you're human", "Enable JavaScript and cookies", "please enable js", "checking your browser", "Are you a robot", "the captcha", "captchas", "Access denied", "DDoS protection by x", "cf-browser-verification", "performing security verification", "checking if the site connection is secure"]
+
+
+@query("blocked_flag", r"""SELECT id, regexp_matches(coalesce(title, '') || chr(10) || substr(x, 1, 600), '(?i)just a moment|attention required|verif(y|ying) (that )?you(''| a)?re (a )?human|enable javascript and cookies|please enable (js|javascript|cookies)|checking your browser|are you a robot|\bcaptcha\b|access denied|ddos protection by|cf-browser-verification|performing security verification|checking if the site connection is secure') AS blocked
+  FROM (SELECT id, title, coalesce(CASE id % 30 """ + " ".join("WHEN {} THEN '{}'".format(k, v.replace("'", "''")) for k, v in enumerate(_CHALLENGES)) + " END || ' ', '') || content AS x FROM articles) y")
 def _(t):
-    return t.articles().select("id", text.is_blocked_page(F.col("title"), F.col("content")).alias("blocked"))
+    said = F.coalesce(made(30, *_CHALLENGES, other=F.lit(None).cast("string")), F.lit(""))
+    body = F.concat(F.when(said != "", F.concat(said, F.lit(" "))).otherwise(""), "content")
+    return t.articles().select("id", text.is_blocked_page(F.col("title"), body).alias("blocked"))
 
 
 @query("nav_menu_flag", r"""SELECT id, len(p) >= 4 AND len(list_filter(p[1:4], lambda x: length(trim(x)) > 24 OR regexp_matches(x, '[:.]'))) = 0 AND len(list_filter(p[2:4], lambda x: trim(x) = '')) = 0 AS menu
@@ -178,15 +192,15 @@ def _(t):
     return t.events().select("event_id", text.is_json_page(F.col("props")).alias("is_json"))
 
 
-@query("sponsor_flag", r"SELECT id FROM articles WHERE regexp_matches(concat_ws(' ', title, blurb), '(?i)\bsponsor(?:ed|ship)?\b|\bpatrocin|\bpublieditorial\b|the')")
+@query("sponsor_flag", r"SELECT id FROM (SELECT id, concat_ws(' ', title, CASE id % 9 WHEN 0 THEN 'Sponsored by x' WHEN 1 THEN 'sponsors' WHEN 2 THEN 'Patrocinado' WHEN 3 THEN 'a publieditorial' WHEN 4 THEN 'publieditorials' ELSE blurb END) AS x FROM articles) y WHERE regexp_matches(x, '(?i)\bsponsor(ed|ship)?\b|\bpatrocin|\bpublieditorial\b')")
 def _(t):
-    hit = text.is_sponsor(F.col("title"), F.lit(None).cast("string"), F.col("blurb"))
-    return t.articles().where(hit | F.concat_ws(" ", "title", "blurb").rlike("(?i)the")).select("id")
+    blurb = made(9, "Sponsored by x", "sponsors", "Patrocinado", "a publieditorial", "publieditorials", other="blurb")
+    return t.articles().where(text.is_sponsor(F.col("title"), F.lit(None).cast("string"), blurb)).select("id")
 
 
-@query("real_item_flag", r"SELECT id FROM articles WHERE length(trim(coalesce(blurb, ''))) >= 30 AND length(trim(title)) >= 6")
+@query("real_item_flag", r"SELECT id FROM (SELECT id, blurb, trim(CASE id % 9 WHEN 0 THEN 'Release notes.' WHEN 1 THEN ' Documentation ' WHEN 2 THEN 'more info' WHEN 3 THEN 'Changelog of x' WHEN 4 THEN 'short' ELSE title END) AS x FROM articles) y WHERE length(trim(coalesce(blurb, ''))) >= 30 AND length(x) >= 6 AND NOT regexp_matches(x, '(?i)^(demo\.?|release notes?\.?|changelog|docs?|documentation|more info\.?|info|here|link|website|homepage|github|announcement|blog|details)$')")
 def _(t):
-    return t.articles().where(text.is_real_item(F.col("title"), F.col("blurb"))).select("id")
+    return t.articles().where(text.is_real_item(made(9, "Release notes.", " Documentation ", "more info", "Changelog of x", "short"), F.col("blurb"))).select("id")
 
 
 # ---- metadata and joins ----
@@ -475,9 +489,9 @@ def _(t):
     return ordering.in_batches(t.articles(), 40, "source_id", "id").select("source_id", "batch", "id")
 
 
-@query("kind_order", "SELECT id, CASE kind WHEN 'news' THEN 0 WHEN 'tool' THEN 1 WHEN 'release' THEN 2 ELSE 3 END AS place FROM articles ORDER BY place, id LIMIT 200")
+@query("kind_order", "SELECT id, CASE kind WHEN 'news' THEN 0 WHEN 'tool' THEN 1 WHEN 'release' THEN 2 ELSE 3 END AS place FROM articles")
 def _(t):
-    return t.articles().select("id", tags.kind_rank(F.col("kind")).alias("place")).orderBy("place", "id").limit(200)
+    return t.articles().select("id", tags.kind_rank(F.col("kind")).alias("place")).orderBy("place", "id")
 
 
 # ---- writes ----
@@ -496,10 +510,10 @@ def _(t):
     return writes.insert_or_ignore(old, t.articles().select((F.col("id") + 500).alias("id"), F.lit("new").alias("origin")), ["id"], "origin")
 
 
-@query("merge_fields", "SELECT coalesce(a.id, b.id) AS id, coalesce(b.kind, a.kind) AS kind FROM (SELECT id, kind FROM articles WHERE id % 2 = 0) a FULL JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN 'x' END AS kind FROM articles WHERE id % 3 = 0) b ON a.id = b.id")
+@query("merge_fields", "SELECT coalesce(a.id, b.id) AS id, coalesce(b.kind, a.kind) AS kind FROM (SELECT id, kind FROM articles) a FULL JOIN (SELECT 3 * id AS id, CASE WHEN id % 5 = 0 THEN 'x' END AS kind FROM articles) b ON a.id = b.id")
 def _(t):
-    old = t.articles().where("id % 2 = 0").select("id", "kind")
-    new = t.articles().where("id % 3 = 0").select("id", F.when(F.col("id") % 5 == 0, "x").alias("kind"))
+    old = t.articles().select("id", "kind")
+    new = t.articles().select((3 * F.col("id")).alias("id"), F.when(F.col("id") % 5 == 0, "x").alias("kind"))
     return writes.merge_fields(old, new, "id")
 
 
@@ -663,9 +677,9 @@ _WORDS = ["thing", "stupid", "ation", "para"]
 _N = " + ".join(f"CAST(contains(lower(concat_ws(' ', title, blurb)), '{w}') AS INTEGER)" for w in _WORDS)
 
 
-@query("spec_priority", f"SELECT id, {_N} AS overlap FROM articles ORDER BY {_N} DESC, id LIMIT 100")
+@query("spec_priority", f"SELECT id, {_N} AS overlap FROM articles")
 def _(t):
-    return ordering.by_spec(t.articles().withColumn("pos", F.col("id")), _WORDS).select("id", "overlap").limit(100)
+    return ordering.by_spec(t.articles().withColumn("pos", F.col("id")), _WORDS).select("id", "overlap")
 
 
 _M = " + ".join(f"CAST(contains(lower(concat_ws(' ', title, substr(content, 1, 8000))), '{w}') AS INTEGER)" for w in _WORDS)
@@ -777,3 +791,148 @@ def _(t):
     return t.events().groupBy("run_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("k")).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
+# ---- guards, cleaning and conversions on made-up edge rows beside the table's own ----
+
+
+@query("html_like", r"""SELECT id, regexp_matches(x, '(?i)<[a-z][\w-]*\s+[a-z][\w-]*\s*=|</[a-z][\w-]*\s*>') AS html FROM (SELECT id, CASE id % 4 WHEN 0 THEN '<p class = x>' WHEN 1 THEN 'a < b' WHEN 2 THEN 'end</P >' ELSE title END AS x FROM articles) y""")
+def _(t):
+    return t.articles().select("id", text.looks_like_html(made(4, "<p class = x>", "a < b", "end</P >")).alias("html"))
+
+
+@query("html_capped", "SELECT page_id, length(substr(html, 1, 1500)) AS n FROM pages")
+def _(t):
+    return t.raw("pages").select("page_id", F.length(text.capped(F.col("html"), 1500)).alias("n"))
+
+
+@query("truncated_end", r"""SELECT id, regexp_matches(right(trim(regexp_replace(x, '\s+', ' ', 'g')), 100), '(?i)view changes on github|view on github|view all( \d+)? changes?|show more|read more') AS cut FROM (
+  SELECT id, CASE id % 4 WHEN 0 THEN content || ' Read  more' WHEN 1 THEN 'View all 12 changes. ' || content WHEN 2 THEN 'View on GitHub' ELSE content END AS x FROM articles) y""")
+def _(t):
+    return t.articles().select("id", text.ends_truncated(made(4, F.concat("content", F.lit(" Read  more")), F.concat(F.lit("View all 12 changes. "), "content"), "View on GitHub", other="content")).alias("cut"))
+
+
+@query("github_releases", r"""SELECT id, regexp_matches(u, '^https://(www\.)?github\.com/[^/]+/[^/]+$') AS root, CASE WHEN regexp_matches(u, '^https://(www\.)?github\.com/[^/]+/[^/]+$') THEN 'https://github.com/' || regexp_extract(u, 'github\.com/(.*)$', 1) || '/releases' END AS releases FROM (
+  SELECT id, CASE id % 4 WHEN 0 THEN 'https://github.com/o' || id || '/r' WHEN 1 THEN 'https://github.com/o/r/issues' WHEN 2 THEN 'https://www.github.com/a/b' ELSE url END AS u FROM articles) y""")
+def _(t):
+    url = made(4, F.concat(F.lit("https://github.com/o"), F.col("id").cast("string"), F.lit("/r")), "https://github.com/o/r/issues", "https://www.github.com/a/b", other="url")
+    return t.articles().select("id", urls.is_repository_root(url).alias("root"), urls.releases_url(url).alias("releases"))
+
+
+@query("release_notes", r"""SELECT id, length(trim(x)) >= 50 AND (regexp_matches(x, '(?m)^\s*v?\d+\.\d+(\.\d+)?([-\s].*)?$') OR regexp_matches(x, '(?i)what''?s changed|full changelog') OR regexp_matches(x, '(?i)by @[a-z0-9-]+ in #\d+') OR regexp_matches(x, '\(\s*#\d{3,}\s*\)')) AS notes FROM (
+  SELECT id, CASE id % 5 WHEN 0 THEN 'v1.2.3' || chr(10) || content WHEN 1 THEN content || ' Whats changed' WHEN 2 THEN 'by @me in #1' WHEN 3 THEN content || ' ( #1234 )' ELSE content END AS x FROM articles) y""")
+def _(t):
+    body = made(5, F.concat(F.lit("v1.2.3\n"), "content"), F.concat("content", F.lit(" Whats changed")), "by @me in #1", F.concat("content", F.lit(" ( #1234 )")), other="content")
+    return t.articles().select("id", text.is_release_note(body).alias("notes"))
+
+
+@query("verdict_clamps", "SELECT id, CASE WHEN r IN ('direct', 'similar') THEN r ELSE 'none' END AS relation, CASE WHEN kind = 'tool' THEN 'tool' ELSE 'news' END AS kind, CASE WHEN v IN ('ok', 'junk') THEN v ELSE 'suspect' END AS verify FROM (SELECT id, kind, CASE id % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'similar' WHEN 2 THEN 'other' END AS r, CASE id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'junk' END AS v FROM articles) y")
+def _(t):
+    none = F.lit(None).cast("string")
+    return t.articles().select("id", tags.clamp_relation(made(4, "direct", "similar", "other", other=none)).alias("relation"), tags.clamp_kind(F.col("kind")).alias("kind"), tags.clamp_verify(made(3, "ok", "junk", other=none)).alias("verify"))
+
+
+@query("issue_date_choice", "SELECT id, CASE WHEN id % 3 = 0 THEN '2024-05-01' WHEN id % 3 = 1 THEN '2024-07-03' ELSE '2024-06-02' END AS issue, CASE WHEN issue_url IS NOT NULL THEN '2024-05-01' ELSE published_at END AS anchor FROM articles")
+def _(t):
+    none = F.lit(None).cast("string")
+    issue = dates.issue_date(made(3, "2024-05-01", other=none), made(3, "2024-06-02", "never", other=F.lit("2024-06-02")), F.lit("2024-07-03"))
+    return t.articles().select("id", issue.alias("issue"), dates.anchor_date(F.col("issue_url"), F.lit("2024-05-01"), F.col("published_at")).alias("anchor"))
+
+
+@query("shown_date", "SELECT id, strftime(date_iso, '%d/%m/%Y') AS shown FROM articles")
+def _(t):
+    return dated(t).select("id", dates.shown_date(F.col("date_iso")).alias("shown"))
+
+
+@query("source_types", "SELECT id, CASE WHEN id % 9 >= 5 AND id % 7 >= id % 5 THEN 'index' WHEN id % 5 > id % 7 OR id % 3000 > 1500 THEN 'listing' ELSE 'index' END AS type FROM articles")
+def _(t):
+    part = lambda n: F.col("id") % n
+    return t.articles().select("id", tags.source_type(part(7), part(5), part(9), part(3000)).alias("type"))
+
+
+@query("masked_keys", "SELECT id, CASE WHEN length(k) > 8 THEN left(k, 4) || '…' || right(k, 4) WHEN k <> '' THEN '…' END AS masked FROM (SELECT id, substr(content, 1, CAST(id % 13 AS INTEGER)) AS k FROM articles) y")
+def _(t):
+    return t.articles().select("id", text.masked(F.expr("substring(content, 1, int(id % 13))")).alias("masked"))
+
+
+@query("pdf_links", r"SELECT id, regexp_matches(u, '(?i)^[^?#]*\.pdf([?#]|$)') AS pdf FROM (SELECT id, url || CASE id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF?x=1' WHEN 2 THEN '?f=a.pdf' ELSE '' END AS u FROM articles) y")
+def _(t):
+    return t.articles().select("id", urls.is_pdf(F.concat("url", made(4, ".pdf", ".PDF?x=1", "?f=a.pdf", other=F.lit("")))).alias("pdf"))
+
+
+@query("floor_clamp", "SELECT id, CAST(greatest(coalesce(CASE id % 3 WHEN 1 THEN DATE '2023-01-01' WHEN 2 THEN DATE '2024-09-01' END, DATE '2024-01-01'), DATE '2024-01-01') AS VARCHAR) AS since FROM articles")
+def _(t):
+    since = F.to_date(made(3, F.lit(None).cast("string"), "2023-01-01", other=F.lit("2024-09-01")))
+    return t.articles().select("id", dates.clamped_floor(since, F.to_date(F.lit("2024-01-01"))).cast("string").alias("since"))
+
+
+_ERROR = r"(?i)\b(404|403|500|502|503)\b.*\b(error|not found|forbidden)\b|page not found|not found$|internal server error|bad gateway|service unavailable"
+
+
+@query("error_page", rf"""SELECT id, regexp_matches(x, '{_ERROR}') OR (length(y) < 300 AND regexp_matches(y, '{_ERROR}')) AS error FROM (
+  SELECT id, CASE id % 4 WHEN 0 THEN 'Page Not Found' WHEN 1 THEN '404: an error' ELSE coalesce(title, '') END AS x, CASE id % 5 WHEN 0 THEN '502 Bad Gateway' WHEN 1 THEN content || ' bad gateway' ELSE coalesce(content, '') END AS y FROM articles) z""")
+def _(t):
+    return t.articles().select("id", text.is_error_page(made(4, "Page Not Found", "404: an error"), made(5, "502 Bad Gateway", F.concat("content", F.lit(" bad gateway")), other="content")).alias("error"))
+
+
+@query("well_formed_url", "SELECT id, NOT regexp_matches(u, '%20[A-Za-z_]+=') AS fine FROM (SELECT id, url || CASE id % 3 WHEN 0 THEN '?a=1%20b_c=2' WHEN 1 THEN '?a=%20b' ELSE '' END AS u FROM articles) y")
+def _(t):
+    return t.articles().select("id", urls.is_well_formed(F.concat("url", made(3, "?a=1%20b_c=2", "?a=%20b", other=F.lit("")))).alias("fine"))
+
+
+@query("collection_flag", "SELECT id, id % 80 BETWEEN 10 AND 60 AND length(content) < 1500 AND id % 5 < 3 AND NOT (id % 2 = 0) AS collection, (id % 9 < 5 OR length(content) < 500) AS script FROM articles")
+def _(t):
+    n = F.col("id")
+    return t.articles().select("id", text.is_collection(n % 80, F.length("content"), n % 5, n % 2 == 0).alias("collection"), text.needs_script(n % 9, F.length("content")).alias("script"))
+
+
+@query("external_links", r"""SELECT page_url, u AS url, min(id) AS pos FROM (SELECT id, 'https://src' || (id % 7) || '.example.com/' AS page_url, CASE id % 4 WHEN 0 THEN 'https://other.org/' || (id % 5) WHEN 1 THEN 'https://src' || (id % 7) || '.example.com/x' WHEN 2 THEN 'mailto:a@b.org' ELSE 'HTTP://c.org/' || (id % 3) END AS u FROM articles) y
+  WHERE regexp_matches(u, '(?i)^https?://') AND id % 4 <> 1 GROUP BY 1, 2""")
+def _(t):
+    own = F.concat(F.lit("https://src"), (F.col("id") % 7).cast("string"), F.lit(".example.com/"))
+    url = made(4, F.concat(F.lit("https://other.org/"), (F.col("id") % 5).cast("string")), F.concat(own, F.lit("x")), "mailto:a@b.org", other=F.concat(F.lit("HTTP://c.org/"), (F.col("id") % 3).cast("string")))
+    return filters.external_links(t.articles().select(own.alias("page_url"), url.alias("url"), F.col("id").alias("pos")))
+
+
+@query("remaining_time", "SELECT id, CASE WHEN retries > 0 THEN 1000.0 * source_id / retries * (10 - retries) END AS ms FROM frontier")
+def _(t):
+    return t.frontier().select("id", ordering.remaining_ms(1000.0 * F.col("source_id"), F.col("retries"), F.lit(10)).alias("ms"))
+
+
+@query("skip_reasons", "SELECT count(*) FILTER (r = 'sponsor') AS sponsor, count(*) FILTER (r = 'job') AS job, count(*) FILTER (r = 'other') AS other, count(*) FILTER (r = 'internal') AS internal, count(*) FILTER (r = 'invalid') AS invalid FROM (SELECT CASE id % 7 WHEN 0 THEN 'sponsor' WHEN 1 THEN 'job' WHEN 2 THEN 'other' WHEN 3 THEN 'internal' WHEN 4 THEN 'invalid' END AS r FROM articles) y")
+def _(t):
+    return agg.skip_reasons(t.articles().select(made(7, "sponsor", "job", "other", "internal", "invalid", other=F.lit(None).cast("string")).alias("reason")))
+
+
+@query("token_cost", "SELECT event_id, (event_id % 100 * pi + event_id % 1000 * pm + event_id % 10 * po) / 1e6 AS cost_usd FROM ledger LEFT JOIN (VALUES ('flash', 0.5, 2.0, 4.0), ('pro', 1.0, 8.0, 16.0)) AS p(model, pi, pm, po) ON p.model = CASE event_id % 3 WHEN 0 THEN 'flash' WHEN 1 THEN 'pro' ELSE 'none' END".replace("pi +", "CAST(pi AS DOUBLE) +").replace("* pm", "* CAST(pm AS DOUBLE)").replace("* po", "* CAST(po AS DOUBLE)"))
+def _(t):
+    prices = t.spark.createDataFrame([("flash", 0.5, 2.0, 4.0), ("pro", 1.0, 8.0, 16.0)], "model string, price_hit double, price_in double, price_out double")
+    n = F.col("event_id")
+    usage = t.events().select("event_id", F.when(n % 3 == 0, "flash").when(n % 3 == 1, "pro").otherwise("none").alias("model"), (n % 100).alias("hit_tokens"), (n % 1000).alias("miss_tokens"), (n % 10).alias("out_tokens"))
+    return agg.token_cost(usage, prices).select("event_id", "cost_usd")
+
+
+@query("furthest_sources", "SELECT source_id, count(*) AS n FROM frontier GROUP BY 1 ORDER BY n DESC, source_id LIMIT 5")
+def _(t):
+    return agg.top(t.frontier(), "source_id", 5)
+
+
+@query("section_titles", "SELECT id, CASE id % 5 WHEN 0 THEN 'News of ' || id WHEN 1 THEN 'Tools' END AS label FROM articles")
+def _(t):
+    line = made(5, F.concat(F.lit("## News of "), F.col("id").cast("string"), F.lit(" ##")), "**Tools:**", "see https://a.b", "", other=F.lit("A sentence that ends here."))
+    return t.articles().select("id", text.section_title(line).alias("label"))
+
+
+@query("vocabulary_union", "SELECT tag, min(p) AS place FROM (SELECT tag, CASE facet WHEN 'domain' THEN 0 WHEN 'content-type' THEN 1 ELSE 2 END AS p FROM tags) y GROUP BY tag")
+def _(t):
+    vocabularies = [t.tags().where(F.col("facet") == "domain"), t.tags().where(F.col("facet") == "content-type"), t.tags().where(~F.col("facet").isin("domain", "content-type"))]
+    return joins.vocabulary_union(*(v.select("tag") for v in vocabularies))
+
+
+@query("host_share", "SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(DISTINCT source_id) AS sources FROM articles GROUP BY 1")
+def _(t):
+    return agg.host_share(t.articles())
+
+
+@query("newest_matches", "SELECT article_id, count(DISTINCT tag) AS matches FROM tags WHERE tag IN ('en', 'tutorial', 'spark') GROUP BY 1 ORDER BY matches DESC, article_id DESC LIMIT 50")
+def _(t):
+    counted = t.tags().where(F.col("tag").isin("en", "tutorial", "spark")).groupBy("article_id").agg(F.countDistinct("tag").alias("matches"))
+    return ordering.page(counted, 50, 0, F.desc("matches"), F.desc("article_id"))
