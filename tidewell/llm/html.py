@@ -13,7 +13,8 @@ least as many words of its own as its open blocks have, the article's alone:
 1. The words of article and open blocks form one token stream a page. Every window of
    `width` tokens is keyed by its least hash of half as many tokens, and runs of
    windows with one key go to that key of their host, so no host is ever gathered
-   in one task. Keys that fewer than three pages have are not sent on.
+   in one task. A covered window's key is on as many pages as the window, so keys
+   on too few pages are not sent on, nor windows whose hash is on too few.
 2. The runs of a batch of keys are concatenated and their suffixes sorted by
    prefix doubling, and the pages of equal windows are counted. Windows on three
    pages or more, and on more than half of the pages of the host, are covered: a
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import mix
+from .flat import CHUNK_BYTES, mix, prefix_sums, span_hash
 from .shared import cut, members_of, small_batches, trimmed
 from .suffix import sliding_min
 from .urls import host_and_path
@@ -73,7 +75,9 @@ MODIFIERS = frozenset("has have no non not with without is show hide js".split()
 GENERIC = frozenset("area bar block body bottom box btn button buttons column container content form group icons inner item items left links list main outer panel primary right row secondary section text top wrap wrapper".split())
 #: Zones whose tokens are looked for on other pages of the host.
 JUDGED = frozenset(["open", "article"])
-#: Keys that several pages share, for each bucket of runs that are sorted together.
+#: Bits of a key that tell its host.
+HOST_BITS = 24
+#: Keys that most pages of a host share, for each bucket of runs that are sorted together.
 BUCKET_KEYS = 20_000
 
 
@@ -158,21 +162,21 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-class _Hashes(dict):
-    """Hashes of words, kept for the next page; bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 16:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
-
-
-def _token_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def _text_tokens(text: str) -> np.ndarray:
+    """Hashes of the words of a text in which one space parts two words."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(text.encode(), np.uint8)
+    spaces = np.flatnonzero(data == 0x20)
+    starts, ends = np.append(0, spaces + 1), np.append(spaces, len(data))
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, "right")))
+        first = starts[lo]
+        out[lo:hi] = span_hash(prefix_sums(data[first : ends[hi - 1]]), starts[lo:hi] - first, ends[lo:hi] - first)
+        lo = hi
+    return out
 
 
 def token_suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,67 +198,131 @@ def _window_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def _page_tokens(page: str | None) -> np.ndarray:
-    return _token_hashes([w for zone, text, _ in blocks(page or "") if zone in JUDGED for w in text.split()])
-
-
-def _page_runs(page: str | None, address: str | None, width: int):
-    """Tokens, host hash, and first, last and key of the runs of windows that are new on the page."""
-    tokens, host = _page_tokens(page), xxhash.xxh64_intdigest(host_and_path(address)[0])
-    if len(tokens) < width:
+@dataclass
+class _Runs:
+    """Runs of windows of a batch of pages that are new on their page and have one key."""
+
+    tokens: np.ndarray
+    hosts: np.ndarray  # hash of each page's host
+    first: np.ndarray  # first token of each page
+    windows: np.ndarray  # windows of each page
+    different: np.ndarray  # different ones
+    page: np.ndarray  # from here on one for each run
+    heads: np.ndarray
+    lasts: np.ndarray
+    keys: np.ndarray
+
+
+def _batch_runs(batch: pa.RecordBatch, width: int, html: str, url: str) -> _Runs | None:
+    """Runs of a batch, whose keys carry the first HOST_BITS bits of the host's hash."""
+    texts = [" ".join([text for zone, text, _ in blocks(page or "") if zone in JUDGED]) for page in batch.column(html).to_pylist()]
+    sizes = np.array([text.count(" ") + 1 if text else 0 for text in texts], np.int64)
+    tokens = _text_tokens(" ".join([text for text in texts if text]))
+    n = len(tokens) - width + 1
+    if n < 1:
+        return None
+    hosts = np.array([xxhash.xxh64_intdigest(host_and_path(address)[0]) for address in batch.column(url).to_pylist()], np.uint64)
+    page, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    at = np.flatnonzero(np.arange(n) + width <= ends[page[:n]])
+    if not len(at):
         return None
     gram = max(1, width // 2)
-    keys = sliding_min(mix(_window_hashes(tokens, gram) ^ np.uint64(host)), width - gram + 1)
-    at = np.sort(np.unique(_window_hashes(tokens, width), return_index=True)[1])
-    cuts = (np.diff(at) != 1) | (keys[at[1:]] != keys[at[:-1]])
+    grams = _window_hashes(tokens, gram)
+    host = hosts[page[: len(grams)]]
+    low = np.uint64(64 - HOST_BITS)
+    keys = sliding_min(host >> low << low | mix(grams ^ host) >> np.uint64(HOST_BITS), width - gram + 1)
+    windows = np.bincount(page[at], minlength=len(sizes))
+    at = np.sort(at[np.unique(mix(_window_hashes(tokens, width)[at] ^ mix(page[at].astype(np.uint64))), return_index=True)[1]])
+    cuts = (np.diff(at) != 1) | (keys[at[1:]] != keys[at[:-1]]) | (page[at[1:]] != page[at[:-1]])
     heads = at[np.append(True, cuts)]
-    return tokens, host, heads, at[np.append(cuts, True)], keys[heads].view(np.int64)
+    return _Runs(tokens, hosts, ends - sizes, windows, np.bincount(page[at], minlength=len(sizes)), page[heads], heads, at[np.append(cuts, True)], keys[heads])
+
+
+def _side_by_side(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all rows of table(host, tokens), told apart by host, the row of each, and its place in the row."""
+    tokens = table.column("tokens").to_pylist()
+    sizes = np.array([len(t) // 8 for t in tokens], np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    codes = np.frombuffer(b"".join(tokens), np.uint64) ^ mix(table.column("host").to_numpy().view(np.uint64))[owner]
+    return codes, owner, np.arange(len(codes)) - (np.cumsum(sizes) - sizes)[owner]
 
 
 def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: str = "url", least: int = 3, common: float = 0.5) -> DataFrame:
     """(page, twice, start, count) of token windows that `least` pages and more than `common` of the pages of the host have.
 
     pages has one row for each page. Of equal windows of a page only the first is told;
-    `twice` says that the page has such.
+    `twice` says that the page has such. Keys, and then windows, that too few pages
+    have to be covered are left out before the sort, so what is sorted for a key
+    stays within 1 / common of what one page has of it, however many pages share it.
     """
     spark = pages.sparkSession
 
     def tell(batches):
         for batch in batches:
-            keys, hosts = [np.zeros(0, np.int64)], []
-            for address, source in zip(batch.column(url).to_pylist(), batch.column(html).to_pylist()):
-                if found := _page_runs(source, address, width):
-                    hosts.append(found[1])
-                    keys.append(np.unique(found[4]))
-            keys = np.concatenate([*keys, np.array(hosts, np.uint64).view(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys)) >= len(keys) - len(hosts))], ["key", "host"])
+            if (runs := _batch_runs(batch, width, html, url)) is None:
+                continue
+            once = np.unique(mix(runs.keys ^ mix(runs.page.astype(np.uint64))), return_index=True)[1]
+            hosts = runs.hosts[runs.windows > 0]
+            keys = np.concatenate([runs.keys[once], hosts])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.arange(len(keys)) >= len(once))], ["key", "host"])
+
+    def often(rows: DataFrame, of: DataFrame, on: str) -> DataFrame:
+        return rows.join(of, on).where((F.col("pages") >= least) & (F.col("pages") > F.lit(common) * F.col("of")))
 
     # one row a page and key, so the count is that of pages
     told = cut(pages.select(url, html).mapInArrow(tell, "key long, host boolean").groupBy("key", "host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least))
-    shared = members_of(told.where("not host"), "key")
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), told.count() // BUCKET_KEYS)
+    code = F.shiftrightunsigned("key", 64 - HOST_BITS)
+    hosts = told.where("host").select("key", F.col("pages").alias("of"))
+    # hosts of one code: the one with fewer pages, which keeps more keys
+    wanted = cut(often(told.where("not host").select("key", "pages", code.alias("code")), hosts.groupBy(code.alias("code")).agg(F.min("of").alias("of")), "code").select("key"))
+    hosts = hosts.withColumnRenamed("key", "host")
+    shared = members_of(wanted, "key")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), wanted.count() // BUCKET_KEYS)
 
     def emit(batches):
         for batch in batches:
-            rows = []
-            for page, address, source in zip(*(batch.column(c).to_pylist() for c in ("page", url, html))):
-                if not (found := _page_runs(source, address, width)):
-                    continue
-                tokens, host, heads, lasts, keys = found
-                twice = int((lasts - heads).sum()) + len(heads) < len(tokens) - width + 1
-                for k in np.flatnonzero(shared(keys)).tolist():
-                    run = tokens[heads[k] : lasts[k] + width].tobytes()
-                    rows.append((int(keys[k].view(np.uint64) % np.uint64(buckets)), page, twice, int(heads[k]), xxhash.xxh64_intdigest(run, host) - (1 << 63), host - (1 << 63), run))
-            columns = list(zip(*rows)) or [()] * 7
+            if (runs := _batch_runs(batch, width, html, url)) is None:
+                continue
+            known, rows = set(), []
+            pick = np.flatnonzero(shared(runs.keys))
+            of = runs.page[pick]
+            columns = (runs.keys[pick] % np.uint64(buckets), of, runs.different[of] < runs.windows[of], runs.heads[pick] - runs.first[of], runs.hosts[of], runs.heads[pick], runs.lasts[pick])
+            for bucket, page, twice, start, host, head, last in zip(*(c.tolist() for c in columns)):
+                run = runs.tokens[head : last + width].tobytes()
+                content = xxhash.xxh64_intdigest(run, host)
+                # a batch tells the tokens of a content once
+                rows.append((bucket, batch.column("page")[page].as_py(), twice, start, content - (1 << 63), host if host < 1 << 63 else host - (1 << 64), None if content in known else run))
+                known.add(content)
+            values = list(zip(*rows)) or [()] * 7
             kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "page", "twice", "start", "content", "host", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(values, kinds)], ["bucket", "page", "twice", "start", "content", "host", "tokens"])
+
+    def windows(batches):
+        for batch in batches:
+            codes, owner, inner = _side_by_side(batch)
+            sizes = np.bincount(owner, minlength=len(batch))
+            at = np.flatnonzero(inner + width <= sizes[owner])
+            row = owner[at]
+            columns = [_window_hashes(codes, width)[at].view(np.int64), batch.column("host").to_numpy()[row], batch.column("pages").to_numpy()[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["window", "host", "pages"])
+
+    def narrowed(batches):
+        for batch in batches:
+            codes, owner, inner = _side_by_side(batch)
+            sizes = np.bincount(owner, minlength=len(batch))
+            at = np.flatnonzero(inner + width <= sizes[owner])
+            at = at[common_windows(_window_hashes(codes, width)[at].view(np.int64))]
+            cuts = (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])
+            heads, lasts = at[np.append(True, cuts)[: len(at)]], at[np.append(cuts, True)[: len(at)]]
+            row = owner[heads]
+            tokens = batch.column("tokens").to_pylist()
+            parts = [tokens[r][8 * a : 8 * (a + length)] for r, a, length in zip(row.tolist(), inner[heads].tolist(), (lasts - heads + width).tolist())]
+            columns = [batch.column(c).take(pa.array(row)) for c in ("bucket", "host", "content", "pages")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(inner[heads], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "host", "content", "pages", "start", "tokens"])
 
     def sort(table: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
-        sizes = np.array([len(r) for r in runs])
-        codes = np.concatenate(runs) ^ mix(np.repeat(table.column("host").to_numpy().view(np.uint64), sizes))
-        owner = np.repeat(np.arange(len(runs)), sizes)
-        inner = np.arange(len(codes)) - (np.cumsum(sizes) - sizes)[owner]
+        codes, owner, inner = _side_by_side(table)
+        sizes = np.bincount(owner, minlength=len(table))
         order, rank = token_suffix_array(codes, width)
         # doubling may compare more than `width` tokens: neighbours need not, so equal windows are grouped by their own rank
         window = rank if width & (width - 1) == 0 else _window_ranks(codes, width)
@@ -268,14 +336,17 @@ def repeated_tokens(pages: DataFrame, width: int = 6, html: str = "html", url: s
         new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]) | (seen[1:] != seen[:-1])
         heads = np.flatnonzero(new)
         at = hit[heads]
-        return pa.table({"content": table.column("content").to_numpy()[owner[at]], "host": table.column("host").to_numpy()[owner[at]], "start": inner[at].astype(np.int32), "count": np.diff(np.append(heads, len(hit))).astype(np.int32), "pages": seen[heads]})
+        row = owner[at]
+        start = (inner[at] + table.column("start").to_numpy()[row]).astype(np.int32)
+        return pa.table({"content": table.column("content").to_numpy()[row], "host": table.column("host").to_numpy()[row], "start": start, "count": np.diff(np.append(heads, len(hit))).astype(np.int32), "pages": seen[heads]})
 
-    runs = pages.select("page", url, html).mapInArrow(emit, "bucket int, page long, twice boolean, start int, content long, host long, tokens binary")
+    runs = cut(pages.select("page", url, html).mapInArrow(emit, "bucket int, page long, twice boolean, start int, content long, host long, tokens binary"))
     # equal runs of a host are sorted once, however many pages have them
-    once = runs.groupBy("bucket", "host", "content").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
-    covered = once.groupBy("bucket").applyInArrow(sort, "content long, host long, start int, count int, pages long")
-    hosts = told.where("host").select(F.col("key").bitwiseXOR(F.lit(-(1 << 63))).alias("host"), F.col("pages").alias("of"))
-    covered = covered.join(hosts, "host").where(F.col("pages") > F.lit(common) * F.col("of"))
+    once = cut(runs.groupBy("bucket", "host", "content").agg(F.first("tokens", ignorenulls=True).alias("tokens"), F.count("*").alias("pages")))
+    counted = once.mapInArrow(windows, "window long, host long, pages long").groupBy("window", "host").agg(F.sum("pages").alias("pages"))
+    common_windows = members_of(often(counted, hosts, "host"), "window")
+    pieces = once.mapInArrow(narrowed, "bucket int, host long, content long, pages long, start int, tokens binary")
+    covered = often(pieces.groupBy("bucket").applyInArrow(sort, "content long, host long, start int, count int, pages long"), hosts, "host")
     places = runs.select("page", "twice", "host", "content", F.col("start").alias("first"))
     return places.join(covered.select("host", "content", "start", "count"), ["host", "content"]).select("page", "twice", (F.col("first") + F.col("start")).alias("start"), "count")
 
@@ -308,7 +379,7 @@ def page_text(page: str | None, ranges=(), width: int = 6, share: float = 0.8, t
     if ranges:
         step = np.zeros(int(counts.sum()) + 1, np.int64)
         if twice:  # equal windows of the page go the same way
-            windows = _window_hashes(_token_hashes([w for _, _, text in own for w in text.split(" ")]), width)
+            windows = _window_hashes(_text_tokens(" ".join([text for _, _, text in own])), width)
             told = np.zeros(len(windows), bool)
             for r in ranges:
                 told[r["start"] : r["start"] + r["count"]] = True
