@@ -129,6 +129,12 @@ def query_tags(query: str, vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(F.col("tag").isin(*words) if words else F.lit(False)).select("facet", "tag")
 
 
+def by_query_tags(query: str, vocabulary: DataFrame, tags: DataFrame) -> DataFrame:
+    """Articles with the number of different tags of theirs that the query names."""
+    wanted = query_tags(query, vocabulary).distinct()
+    return tags.join(wanted, ["facet", "tag"]).groupBy("article_id").agg(F.countDistinct("facet", "tag").alias("matches"))
+
+
 def junk_spans(text: Column) -> Column:
     """Lines of the text that come more than once."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda s: F.length(s) >= 4)

@@ -101,6 +101,14 @@ def hybrid_mode(query: str, n_scope: int, lexical: int, dense: int, pool: int =
     return "hybrid" if lexical and dense else "lexical" if lexical else "dense"
 
 
+def prefiltered(scope: DataFrame, query: str, found: DataFrame, pool: int = POOL) -> DataFrame:
+    """The rows of scope that found(id) has; all of them where nothing is asked, the scope is within the pool, or none is found."""
+    if not (query or "").strip():
+        return scope
+    hit = scope.join(found.select("id").distinct(), "id", "left_semi")
+    return scope if len(scope.select("id").take(pool + 1)) <= pool or hit.isEmpty() else hit
+
+
 def reordered(rows: DataFrame, scores: DataFrame, keep: int = RERANKED) -> DataFrame:
     """By aligned scores, missing ones last, ties as they were (pos)."""
     return rows.join(scores.select("id", "rerank"), "id", "left").orderBy(F.coalesce("rerank", F.lit(float("-inf"))).desc(), "pos").limit(keep)

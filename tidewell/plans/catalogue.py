@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, pages, tags, text, urls
 from ..operators import aggregates as agg
-from ..operators import filters, joins, judge, ordering, retrieval, writes
+from ..operators import curation, filters, joins, judge, ordering, retrieval, writes
 from ..sources.tables import SQL, Tables
 from . import browse as browsing
-from . import export
+from . import export, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -936,3 +936,201 @@ def _(t):
 def _(t):
     counted = t.tags().where(F.col("tag").isin("en", "tutorial", "spark")).groupBy("article_id").agg(F.countDistinct("tag").alias("matches"))
     return ordering.page(counted, 50, 0, F.desc("matches"), F.desc("article_id"))
+
+
+# ---- cleaning, curation, upkeep and judged results whose rows the tables do not have ----
+
+
+def expr(**columns: str) -> dict:
+    return {name: F.expr(sql) for name, sql in columns.items()}
+
+
+_TRIGGERS = "view changes on github|view on github|view all( \\d+)? changes?|show more|read more"
+_BUTTONS = r"CASE id % 5 WHEN 0 THEN 'All of it. Read more' WHEN 1 THEN 'Changes: ' || id || chr(10) || ' View all 12 changes.' WHEN 2 THEN 'please read more' WHEN 3 THEN 'Show more' ELSE coalesce(content, '') END"
+
+
+@query("spans_removed", r"""SELECT id, CASE WHEN found AND fine THEN tidy ELSE c END AS text, CASE WHEN found AND fine THEN 1 ELSE 0 END AS applied, CASE WHEN wanted AND NOT found THEN 1 ELSE 0 END AS not_found, found AND NOT fine AS rejected
+  FROM (SELECT *, m > 0 AND m >= floor(least(greatest(200, n * 0.15), n * 0.6)) AND m <= n * 1.2 + 500 AS fine
+  FROM (SELECT *, length(trim(c)) AS n, length(trim(tidy)) AS m, length(trim(s)) >= 4 AS wanted, length(trim(s)) >= 4 AND contains(c, s) AS found
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(c, s, ' '), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS tidy
+  FROM (SELECT id, content AS c, CASE id % 4 WHEN 0 THEN 'nowhere to be found' WHEN 1 THEN substr(content, 21, 30) WHEN 2 THEN content ELSE 'abc' END AS s FROM articles WHERE content <> '') a) b) d) e""")
+def _(t):
+    span = made(4, "nowhere to be found", F.substring("content", 21, 30), F.col("content"), other=F.lit("abc"))
+    return t.articles().where("content <> ''").select("id", text.without_spans(F.col("content"), F.array(span)).alias("cleaned")).select("id", "cleaned.*")
+
+
+@query("trigger_removed", rf"""SELECT id, CASE WHEN ended THEN regexp_replace(bare, '\s+$', '') ELSE x END AS text FROM (
+  SELECT *, regexp_replace(x, '^\s+|\s+$', '', 'g') AS w, regexp_matches(w, '(?i)(^|[.!?]\s+|\n\s*)({_TRIGGERS})[.!]?\s*$') AS ended,
+    regexp_replace(w, '(?i)(^|([.!?])\s+|\n\s*)({_TRIGGERS})[.!]?\s*$', '\2') AS bare FROM (SELECT id, {_BUTTONS} AS x FROM articles) a) b""")
+def _(t):
+    return t.articles().select("id", text.without_trigger(F.expr(_BUTTONS.replace("chr(10)", "char(10)"))).alias("text"))
+
+
+@query("tolerant_json", r"""SELECT id, CASE WHEN id % 4 < 2 THEN id END AS value FROM articles""")
+def _(t):
+    said = F.expr("""CASE id % 4 WHEN 0 THEN '{"a": ' || id || '}' WHEN 1 THEN 'Sure: {"a": ' || id || ', "b": [1]} as asked' WHEN 2 THEN 'nothing' ELSE '{"a": ' || id END""")
+    return t.articles().select("id", F.try_variant_get(text.tolerant_json(said), "$.a", "long").alias("value"))
+
+
+@query("wrong_language", "SELECT id, id % 5 IN (0, 2) AS wrong FROM articles")
+def _(t):
+    title = made(5, "a 日 b", "plain", "plain", other=F.lit("plain"))
+    summary = made(5, "plain", "eight 日本 words", "日本 ab", other=F.lit(None).cast("string"))
+    return t.articles().select("id", F.coalesce(tags.wrong_language(title, summary), F.lit(False)).alias("wrong"))
+
+
+@query("classification_status", "SELECT id, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'partial' WHEN 2 THEN 'partial' ELSE 'done' END AS status FROM articles")
+def _(t):
+    must = ", ".join(f"'{f}', 1" for f in tags.MANDATORY)
+    errored = F.expr(f"CASE id % 5 WHEN 0 THEN array('{tags.MANDATORY[0]}') WHEN 1 THEN array('another') ELSE cast(array() as array<string>) END")
+    counts = F.expr(f"CASE WHEN id % 5 = 2 THEN map('{tags.MANDATORY[0]}', 1) ELSE map({must}) END")
+    return t.articles().select("id", tags.classification_status(errored, counts).alias("status"))
+
+
+@query("grouped_page", "SELECT a.id, s.name AS source_name FROM articles a LEFT JOIN sources s ON a.source_id = s.id ORDER BY date_iso DESC, s.name, a.id LIMIT 24")
+def _(t):
+    rows = joins.with_source(dated(t), t.sources())
+    return ordering.grouped_order(rows).select("id", "source_name").limit(24)
+
+
+@query("scroll_harvest", """SELECT url, CAST(date_iso AS VARCHAR) AS date FROM articles UNION ALL
+  SELECT 'https://H.example/' || id, CAST(date_iso AS VARCHAR) FROM articles WHERE id % 3 = 1 AND date_iso >= DATE '2024-06-01'""")
+def _(t):
+    items = dated(t).select("id", "url", day("date_iso")).withColumnRenamed("date_iso", "date")
+    found = items.withColumns(expr(url="CASE id % 3 WHEN 0 THEN url WHEN 1 THEN 'https://H.example/' || id ELSE 'https://x.org/' || id END", page_url="CASE id % 3 WHEN 0 THEN url ELSE 'https://h.example/list' END"))
+    return joins.harvested(items, found, "2024-06-01")
+
+
+_CURATED = """SELECT id AS pos, 'https://issue.example/' || (id % 50) AS issue_url, CASE id % 11 WHEN 0 THEN 'mailto:a@b.org' WHEN 1 THEN 'https://issue.example/x' ELSE 'https://other.example/a' || (id % 300) || '#part' END AS url,
+  CASE id % 13 WHEN 0 THEN 'Sponsored by  x' ELSE ' Title   ' || id END AS title, CASE id % 7 WHEN 0 THEN 'tool' WHEN 1 THEN 'weird' WHEN 2 THEN 'job' ELSE 'news' END AS kind, CASE id % 17 WHEN 0 THEN 'Who is hiring' WHEN 1 THEN ' ' ELSE 'News' END AS section, 'plain words' AS blurb"""
+_CURATED_SQL = f"""SELECT *, CASE WHEN url = 'mailto:a@b.org' THEN 'invalid' WHEN url = 'https://issue.example/x' THEN 'internal' WHEN title LIKE 'Sponsored%' THEN 'sponsor'
+  WHEN kind = 'job' OR section = 'Who is hiring' THEN 'job' WHEN kind = 'weird' THEN 'other' END AS reason FROM ({_CURATED} FROM articles) a"""
+
+
+def _curated(t):
+    return curation.consolidated(t.spark.sql(_CURATED + " FROM {rows}", rows=t.articles()))
+
+
+@query("curated_items", f"""SELECT issue_url, replace(url, '#part', '') AS url, trim(regexp_replace(title, ' +', ' ', 'g')) AS title, kind, nullif(trim(section), '') AS section
+  FROM (SELECT *, row_number() OVER (PARTITION BY issue_url, url ORDER BY pos) AS n FROM ({_CURATED_SQL}) b WHERE reason IS NULL) c WHERE n = 1""")
+def _(t):
+    return _curated(t)[0].select("issue_url", "url", "title", "kind", "section")
+
+
+@query("curated_skips", f"SELECT issue_url, reason, count(*) AS n FROM ({_CURATED_SQL}) b WHERE reason IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    return _curated(t)[1]
+
+
+@query("link_leftovers", """SELECT page_url, url, pos FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY pos) AS n FROM (
+  SELECT 'https://p.example/' || (id % 7) AS page_url, 'https://l.example/' || id AS url, id AS pos FROM articles) a
+  WHERE url NOT IN (SELECT 'https://l.example/' || (2 * id) FROM articles)) b WHERE n <= 40""")
+def _(t):
+    links = t.articles().select(*[e.alias(n) for n, e in expr(page_url="'https://p.example/' || (id % 7)", url="'https://l.example/' || id", pos="id").items()])
+    return curation.leftovers(links, t.articles().select(F.expr("'https://l.example/' || (2 * id)").alias("url")))
+
+
+@query("truncation_repair", rf"""SELECT id, CASE WHEN NOT cut THEN x WHEN length(r) > length(bare) THEN r ELSE bare END AS text FROM (
+  SELECT id, x, CASE WHEN id % 2 = 0 THEN 'A much longer text of the release, told from its start to its end' ELSE 'short' END AS r,
+    regexp_matches(right(trim(regexp_replace(x, '\s+', ' ', 'g')), 100), '(?i){_TRIGGERS}') AS cut,
+    CASE WHEN regexp_matches(x, '(?i)(^|[.!?]\s+|\n\s*)({_TRIGGERS})[.!]?\s*$') THEN regexp_replace(regexp_replace(trim(x), '(?i)(^|([.!?])\s+|\n\s*)({_TRIGGERS})[.!]?\s*$', '\2'), '\s+$', '') ELSE x END AS bare
+  FROM (SELECT id, {_BUTTONS} AS x FROM articles) a) b""")
+def _(t):
+    content, release = F.expr(_BUTTONS.replace("chr(10)", "char(10)")), made(2, "A much longer text of the release, told from its start to its end", other=F.lit("short"))
+    return t.articles().select("id", curation.repaired(content, release).alias("text"))
+
+
+@query("fetched_new", """WITH f AS (SELECT id, 'https://k.example/' || (id % 200) AS url, content FROM articles),
+  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS n FROM f) a WHERE n = 1),
+  c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY id) AS m FROM u) a WHERE m = 1)
+  SELECT id, url FROM c WHERE url NOT IN (SELECT 'https://k.example/' || id FROM sources)""".replace("WITH f", ", f", 1))
+def _(t):
+    fetched = t.articles().select("id", F.expr("'https://K.example/' || (id % 200) || '/'").alias("url"), "content")
+    known = t.sources().select(F.expr("'https://k.example/' || id").alias("url"), text.content_hash(F.col("name")).alias("content_hash"))
+    return curation.new_articles(fetched, known, "id").select("id", "url")
+
+
+@query("robots_allowed", "SELECT id FROM frontier WHERE NOT (id % 20 < 3 AND id % 4 = 1) AND NOT (id % 20 = 5)")
+def _(t):
+    requests = t.frontier().select("id", F.expr("'https://src' || (id % 20) || '.example.com/' || CASE id % 4 WHEN 1 THEN 'private/' WHEN 2 THEN 'privat' ELSE '' END || id").alias("url"))
+    rules = [(f"src{k}.example.com", "/private/") for k in range(3)] + [("src5.example.com", "/"), ("src6.example.com", "")]
+    return curation.allowed(requests, t.spark.createDataFrame(rules, "host string, disallow string")).select("id")
+
+
+@query("host_facts", "SELECT id, CASE WHEN id % 20 < 3 THEN 'index' ELSE 'listing' END AS fact FROM frontier")
+def _(t):
+    facts = t.spark.createDataFrame([(f"src{k}.example.com", "index") for k in range(3)], "host string, fact string")
+    return curation.with_host_fact(t.frontier().select("id", "url"), facts, "fact", "listing").select("id", "fact")
+
+
+_JUDGED_KIND = "CASE id % 5 WHEN 0 THEN 'tool' WHEN 1 THEN 'news' END"
+
+
+@query("hits_strict", "SELECT search_id, id FROM hits WHERE relation = 'direct'")
+def _(t):
+    return judge.shown(t.searches().select("search_id", F.inline("hits")), strict=True).select("search_id", "id")
+
+
+@query("hits_of_kind", f"SELECT search_id, id FROM hits WHERE relation IN ('direct', 'similar') AND coalesce({_JUDGED_KIND}, kind) = 'tool'")
+def _(t):
+    return judge.shown(t.searches().select("search_id", F.inline("hits")).withColumn("judged_kind", F.expr(_JUDGED_KIND)), kind="tool").select("search_id", "id")
+
+
+@query("reranked_top", "SELECT id FROM articles ORDER BY CASE WHEN id % 10 > 0 THEN id * 7919 % 1000 ELSE -1 END DESC, id LIMIT 128")
+def _(t):
+    scores = t.articles().select("id", F.expr("CASE WHEN id % 10 > 0 THEN cast(id * 7919 % 1000 AS double) END").alias("rerank"))
+    return retrieval.reordered(t.articles().select("id", F.col("id").alias("pos")), scores).select("id")
+
+
+@query("snapshot_changed", "SELECT id FROM (SELECT id FROM articles WHERE id % 3 = 0 UNION SELECT 2 * id FROM articles WHERE 2 * id NOT IN (SELECT id FROM articles) UNION SELECT id FROM articles WHERE id NOT IN (SELECT 2 * id FROM articles)) a")
+def _(t):
+    old = t.articles().select("id", F.lit("told").alias("title"), F.lit(1).alias("run_id"))
+    new = t.articles().select((2 * F.col("id")).alias("id"), F.when(2 * F.col("id") % 3 == 0, "changed").otherwise("told").alias("title"), F.col("run_id").cast("int").alias("run_id"))
+    return export.changed(old, new, "id", ("run_id",))
+
+
+@query("resumed_verdicts", "SELECT id, id IN (SELECT 2 * id FROM articles) AS kept FROM articles")
+def _(t):
+    todo, kept = report.resumed_verdicts(t.articles().select("id"), t.articles().select((2 * F.col("id")).alias("id")))
+    return todo.select("id", F.lit(False).alias("kept")).union(kept.select("id", F.lit(True).alias("kept")))
+
+
+@query("model_names", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'flash-native' ELSE 'm' || (event_id % 3) END AS native FROM ledger")
+def _(t):
+    names = t.spark.createDataFrame([("m0", "flash-native"), ("m1", None)], "model string, native string")
+    return report.translated(t.events().select("event_id", F.expr("'m' || (event_id % 3)").alias("model")), names).select("event_id", "native")
+
+
+@query("download_errors", "SELECT id, id % 4 < 2 AS download FROM articles")
+def _(t):
+    said = made(4, "page.goto: Download is starting", "x NET::err_aborted at y", "net::ERR_FAILED", other=F.lit(None).cast("string"))
+    return t.articles().select("id", urls.is_download_error(said).alias("download"))
+
+
+@query("settled_frontier", """SELECT id, CASE o WHEN 0 THEN 'done' WHEN 1 THEN 'pending' WHEN 2 THEN CASE WHEN id % 2 = 0 THEN 'done' WHEN retries < 3 THEN 'pending' ELSE 'failed' END
+  WHEN 3 THEN CASE WHEN retries < 3 THEN 'pending' ELSE 'failed' END ELSE state END AS state, CAST(retries + CASE WHEN retries < 3 AND (o = 3 OR o = 2 AND id % 2 = 1) THEN 1 ELSE 0 END AS INTEGER) AS retries
+  FROM (SELECT *, id % 5 AS o FROM frontier) a""")
+def _(t):
+    outcomes = t.frontier().select("id", made(5, "success", "budget", "timeout", "error", other=F.lit(None).cast("string")).alias("outcome"), (F.col("id") % 2 == 0).alias("curated"))
+    return writes.settled(t.frontier(), outcomes).select("id", "state", "retries")
+
+
+@query("resumed_frontier", "SELECT state, count(*) AS n FROM (SELECT CASE state WHEN 'in_progress' THEN 'pending' ELSE state END AS state FROM frontier) a GROUP BY 1")
+def _(t):
+    return agg.counts_by(writes.resumed(t.frontier()), "state")
+
+
+@query("query_tag_matches", "SELECT article_id, count(DISTINCT facet || '=' || tag) AS matches FROM tags WHERE tag IN ('en', 'spark', 'tutorial', 'src3') GROUP BY 1")
+def _(t):
+    return judge.by_query_tags("Spark tutorial EN src3 unknown", t.tags().select("facet", "tag").distinct(), t.tags())
+
+
+@query("prefiltered_scope", "SELECT id FROM articles WHERE contains(lower(title || ' ' || coalesce(content, '')), 'tion')")
+def _(t):
+    lexical = filters.by_terms(t.articles(), "tion", "title", "content").select("id")
+    return retrieval.prefiltered(t.articles(), "tion", lexical, pool=20).select("id")
+
+
+@query("prefilter_open", "SELECT id FROM articles")
+def _(t):
+    return retrieval.prefiltered(t.articles(), "zzzz", t.articles().where("title = 'no such title'").select("id"), pool=20).select("id")
