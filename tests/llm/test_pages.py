@@ -160,6 +160,25 @@ def test_repeats_equal_brute_force(spark, unnamed):
     assert bool(unnamed) == (sum(want[p] != plain[p] for p in once) > len(once) // 4)
 
 
+def test_tokens_do_not_depend_on_their_place():
+    words = ["a", "ÄÖ", "x" * (html.CHUNK_BYTES + 5), "日本"] + [f"w{k % 1000}" for k in range(100_000)] + ["a", "ÄÖ"]
+    got = html._text_tokens(" ".join(words))
+    assert len(got) == len(words) and len(html._text_tokens("")) == 0
+    assert len(set(got.tolist())) == len(set(words)) == len(set(zip(words, got.tolist())))
+    assert [html._text_tokens(w)[0] for w in words[:4]] == got[:4].tolist()
+
+
+def test_furniture_beside_other_words_on_each_page(spark):
+    """Every page's run at the edge of the furniture is different; a rare host, a long page and repeated rows beside it."""
+    line = "<p>Posted by the editors of this fine paper on a day in May</p>"
+    story = "Story {0} tells of thing {1} and {2} and then of {3} at length"
+    rows = [(k, f"http://hot/{k}", f"{line}<p>{story.format(k, 3 * k, 5 * k, 7 * k)}</p>", None, None) for k in range(300)]
+    long = " ".join(f"word{k}" for k in range(200_000))
+    rows += [(900, "http://hot/long", f"{line}<p>{long}</p>", None, None)] * 3 + [(901, "http://cold/", line, None, None)]
+    got = [(r.page_id, r.text) for r in html.main_texts(page_table(spark, rows)).collect()]
+    assert sorted(got) == sorted([(k, story.format(k, 3 * k, 5 * k, 7 * k)) for k in range(300)] + [(900, long)] * 3 + [(901, line[3:-4])])
+
+
 def test_pages_query(spark, small):
     got = QUERIES["op10_html_extraction"](spark, small).collect()
     assert len(got) == spark.read.parquet(f"{small}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in got)
