@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +43,17 @@ def mean_positive_cost(ledger: DataFrame, least: int = 3) -> DataFrame:
     return ledger.where("cost_usd > 0").groupBy("stage").agg(F.avg("cost_usd").alias("mean_cost"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def cost_ema(ledger: DataFrame, order: str, seed: float = 0.005, alpha: float = 0.2, most: float = 0.25, last: int = 64) -> DataFrame:
-    """AG20: the moving average of costs by stage, from the seed, and the reserve clamp(2 * ema, seed / 10, most).
+def cost_ema(ledger: DataFrame, order: str, seed: float = 0.005, alpha: float = 0.2, most: float = 0.25) -> DataFrame:
+    """AG20: the moving average of all costs by stage, from the seed, and the reserve clamp(2 * ema, seed / 10, most).
 
-    The oldest of `last` costs weigh less than 1e-6, so a stage's array is bounded.
+    A cost's weight is alpha * (1 - alpha) ^ (costs after it). Only costs whose weight is zero as a
+    double are left before the shuffle, so no stage's whole history meets in one task. 0 < alpha < 1.
     """
-    recent = ledger.withColumn("__rn", F.row_number().over(Window.partitionBy("stage").orderBy(F.desc(order)))).where(F.col("__rn") <= last)
-    listed = recent.groupBy("stage").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("cost_usd").alias("c")))).alias("costs"))
-    ema = F.aggregate("costs", F.lit(float(seed)), lambda acc, x: acc * (1 - alpha) + x["c"] * alpha)
-    return listed.select("stage", ema.alias("ema")).withColumn("reserve", F.least(F.greatest(2 * F.col("ema"), F.lit(seed / 10)), F.lit(most)))
+    last = math.ceil(math.log(5e-324) / math.log1p(-alpha)) + 1
+    recent = ledger.where("cost_usd is not null").withColumn("__rn", F.row_number().over(Window.partitionBy("stage").orderBy(F.desc(order)))).where(F.col("__rn") <= last)
+    weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("__rn") - 1)
+    ema = F.sum(F.col("cost_usd") * weight) + F.lit(float(seed)) * F.pow(F.lit(1 - alpha), F.count("*"))
+    return recent.groupBy("stage").agg(ema.alias("ema")).withColumn("reserve", F.least(F.greatest(2 * F.col("ema"), F.lit(seed / 10)), F.lit(most)))
 
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:

@@ -331,8 +331,8 @@ def _(t):
     return agg.mean_positive_cost(t.events()).select("stage", F.round("mean_cost", 6).alias("mean_cost"), "n")
 
 
-@query("cost_ema", """SELECT stage, round(list_reduce(list_prepend(0.005, list(CAST(cost_usd AS DOUBLE) ORDER BY event_id)), lambda a, x: a * 0.8 + x * 0.2), 5) AS ema
-  FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY event_id DESC) AS rn FROM ledger) l WHERE rn <= 64 GROUP BY 1""")
+@query("cost_ema", """SELECT stage, round(sum(CAST(cost_usd AS DOUBLE) * 0.2 * pow(0.8, rn - 1)) + 0.005 * pow(0.8, count(*)), 5) AS ema
+  FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY event_id DESC) AS rn FROM ledger) l GROUP BY 1""")
 def _(t):
     return agg.cost_ema(t.events(), "event_id").select("stage", F.round("ema", 5).alias("ema"))
 
