@@ -653,24 +653,24 @@ def _(t):
     return nearest(t, 20).select("id", F.round("distance", 6).alias("distance"))
 
 
-_FUSED = f"""(SELECT id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM (SELECT 0 AS list, id, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM (SELECT * FROM {_BM25} s ORDER BY score, id LIMIT 50) a
-  UNION ALL SELECT 1, id, row_number() OVER (ORDER BY distance, id) - 1 FROM (SELECT * FROM {_KNN} k ORDER BY distance, id LIMIT 50) b) r GROUP BY 1)"""
+_FUSED = f"""(SELECT id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM (SELECT 0 AS list, id, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM (SELECT * FROM {_BM25} s ORDER BY score, id LIMIT {retrieval.POOL}) a
+  UNION ALL SELECT 1, id, row_number() OVER (ORDER BY distance, id) - 1 FROM (SELECT * FROM {_KNN} k ORDER BY distance, id LIMIT {retrieval.POOL}) b) r GROUP BY 1)"""
 
 
 def lexical(t: Tables) -> DataFrame:
     a = t.articles()
-    return retrieval.bm25(retrieval.postings(a), retrieval.corpus_stats(a), _TERMS, 50)
+    return retrieval.bm25(retrieval.postings(a), retrieval.corpus_stats(a), _TERMS, retrieval.POOL)
 
 
 @query("rrf_fusion", f"SELECT id, round(score, 8) AS score FROM {_FUSED} f")
 def _(t):
-    both = retrieval.ranked(lexical(t), 0, "score").union(retrieval.ranked(nearest(t, 50), 1, "distance"))
+    both = retrieval.ranked(lexical(t), 0, "score").union(retrieval.ranked(nearest(t, retrieval.POOL), 1, "distance"))
     return ordering.reciprocal_ranks(both).select("id", F.round("score", 8).alias("score"))
 
 
 @query("hybrid_topk", f"SELECT id, round(score, 8) AS score FROM {_FUSED} f WHERE id IN (SELECT id FROM articles WHERE source_id < 12) ORDER BY f.score DESC, seen LIMIT 30")
 def _(t):
-    return retrieval.hybrid(t.articles().where("source_id < 12"), lexical(t), nearest(t, 50), 30).select("id", F.round("score", 8).alias("score"))
+    return retrieval.hybrid(t.articles().where("source_id < 12"), lexical(t), nearest(t, retrieval.POOL), 30).select("id", F.round("score", 8).alias("score"))
 
 
 _WORDS = ["thing", "stupid", "ation", "para"]
