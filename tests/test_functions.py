@@ -55,6 +55,11 @@ def test_redact(spark, secret):
     assert once == "a [REDACTED] b" and value(spark, text.redact(F.col("x")), x=once) == once
 
 
+def test_redact_leaves_other_texts(spark):
+    for kept in (None, "", "plain text with hf_short and sk-short", "12345678: no token"):
+        assert value(spark, text.redact(F.col("x").cast("string")), x=kept) == kept
+
+
 @pytest.mark.parametrize(
     "body, want",
     [("Website • / Docs • / Community • / Blog • / Changelog", True), ("• Home • Docs • Blog • About", True), ("https://a/b/c/d plain", False), ("One / two", False), ("a | | b | c | d", True), ("Version 1.2 | x | y | z", False), (None, False)],

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,6 +32,8 @@ TOKENS = [
     r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----(?s:.*?)-----END (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----",
 ]
+TOKEN_MARKS = ["hf_", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "AKIA", "ASIA", "xox", "_live_", "AIza", "npm_", "shpat_", "eyJ", "-----BEGIN "]
+TOKEN_FIRST = "[-0-9AaSsegrhnx]"
 BLOCKED = [
     r"just a moment", r"attention required", r"verify(?:ing)? (?:that )?you(?:'| a)?re (?:a )?human", r"enable javascript and cookies",
     r"please enable (?:js|javascript|cookies)", r"checking your browser", r"are you a robot", r"\bcaptcha\b", r"access denied",
@@ -139,8 +143,10 @@ def masked(key: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Tokens become [REDACTED]; null stays null."""
-    return F.regexp_replace(text, "|".join(TOKENS), "[REDACTED]")
+    """Tokens become [REDACTED]; null stays null. Texts without any mark of a token skip the pattern, positions without a first character its branches."""
+    marks = [F.contains(text, F.lit(m)) for m in TOKEN_MARKS]
+    marked = reduce(or_, marks, text.rlike("[0-9]{8}:") | F.contains(F.lower(text), F.lit("secret_access_key")))
+    return F.when(marked, F.regexp_replace(text, f"(?={TOKEN_FIRST})(?:{'|'.join(TOKENS)})", "[REDACTED]")).otherwise(text)
 
 
 # ---- guards ----

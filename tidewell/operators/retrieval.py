@@ -25,7 +25,7 @@ POOL, RERANKED = 200, 128
 
 def tokens(text: Column) -> Column:
     """Lower-cased letter or digit runs."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -36,16 +36,17 @@ def stemmed(terms: pd.Series) -> pd.Series:
     return terms.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 
 
-def postings(articles: DataFrame, fields: dict[str, float] = WEIGHTS, porter: bool = False) -> DataFrame:
-    """(id, term, wtf, len): field-weighted term frequency, and the length over all fields."""
+def postings(articles: DataFrame, fields: dict[str, float] = WEIGHTS, porter: bool = False, terms: list[str] | None = None) -> DataFrame:
+    """(id, term, wtf, len): field-weighted term frequency, and the length over all fields; with `terms` theirs alone, picked before the shuffle."""
     have = [f for f in fields if f in articles.columns]
+    cut = articles.select("id", *((stemmed(tokens(F.col(f))) if porter else tokens(F.col(f))).alias(f) for f in have))
 
     def weighed(field: str) -> Column:
-        terms = stemmed(tokens(F.col(field))) if porter else tokens(F.col(field))
-        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(fields[field]).alias("w")))
+        wanted = F.col(field) if terms is None else F.filter(field, lambda t: t.isin(*terms))
+        return F.transform(wanted, lambda t: F.struct(t.alias("term"), F.lit(fields[field]).alias("w")))
 
-    entries = F.flatten(F.array(*map(weighed, have)))
-    rows = articles.select("id", entries.alias("e")).select("id", F.size("e").alias("len"), F.inline("e"))
+    length = sum((F.size(f) for f in have), F.lit(0))
+    rows = cut.select("id", length.alias("len"), F.inline(F.flatten(F.array(*map(weighed, have)))))
     return rows.groupBy("id", "len", "term").agg(F.sum("w").alias("wtf"))
 
 
