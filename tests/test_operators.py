@@ -159,3 +159,55 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_slots_of_a_hot_key_equal_one_window(spark, monkeypatch):
+    """Slots of 8 numbers or a day, a key with most rows, null keys and keys with a gap between slots."""
+    import datetime
+    import random
+
+    from tidewell.operators import joins, ordering
+
+    monkeypatch.setattr(ordering, "SLOT_NUMBERS", 8)
+    draw = random.Random(3)
+    start = datetime.datetime(2024, 3, 1)
+    rows = []
+    for seq in range(300):
+        key = draw.choice([1, 1, 1, 1, 2, None])
+        rows.append((key, seq if key != 2 else 3 * seq, start + datetime.timedelta(hours=draw.choice([5, 7]) * seq, minutes=seq), seq, draw.choice("ab"), draw.choice([1, 2, 40]), float(draw.choice([1, 2, 4]))))
+    df = spark.createDataFrame(rows, "run_id long, seq long, ts timestamp, event_id long, stage string, gap long, cost_usd double").cache()
+    of = {key: sorted(r for r in rows if r[0] == key) for key in (1, 2)} | {None: sorted(r[1:] for r in rows if r[0] is None)}
+    of[None] = [(None, *r) for r in of[None]]
+
+    free, spent, starts, calls = {}, {}, [], []
+    for key, own in of.items():
+        for r in own:
+            at = max(2 * r[1], free.get(key, 2 * r[1]))
+            free[key] = at + r[5]
+            starts.append((str(key), r[1], at))
+            calls.append((str(key), r[1], spent.get(key, 0.0), key not in spent or spent[key] + r[6] <= 90))
+            spent[key] = spent.get(key, 0.0) + r[6]
+    got = ordering.host_timeline(df.withColumn("arrival", 2 * F.col("seq")), "run_id")
+    assert sorted((str(r.run_id), r.seq, r.start) for r in got.collect()) == sorted(starts)
+    assert sorted((str(r.run_id), r.seq, r.spent, r.admitted) for r in ordering.admitted(df, 90.0).collect()) == sorted(calls)
+
+    islands = []
+    for key, own in of.items():
+        before, n = None, 0
+        for r in sorted(own, key=lambda r: (r[2], r[3])):
+            n += before is None or before[4] != r[4] or r[2] - before[2] > datetime.timedelta(hours=9)
+            islands.append((str(key), n))
+            before = r
+    got = ordering.coalesced(df, 9 * 3_600_000)
+    assert {(str(r.run_id), r.island): r.n for r in got.collect()} == {i: islands.count(i) for i in islands}
+
+    asked, told = df.where("stage = 'a'").select("run_id", "ts", "event_id"), df.where("stage = 'b' AND event_id % 5 < 3").select("run_id", "ts", F.when(F.col("event_id") % 5 > 0, F.col("event_id")).alias("told"))
+    want = []
+    for key, own in of.items():
+        for r in own:
+            if r[4] == "a":
+                earlier = [(o[2], o[3]) for o in own if o[4] == "b" and o[3] % 5 in (1, 2) and o[2] <= r[2]]
+                want.append((r[3], max(earlier)[1] if earlier else -1))
+    got = joins.as_of(asked, told, "run_id", "ts", "told")
+    assert sorted((r.event_id, -1 if r.told is None else r.told) for r in got.collect()) == sorted(want)
+    df.unpersist()

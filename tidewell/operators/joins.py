@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import slotted, with_earlier
+
 
 def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """JN1: source_name, null where the source is unknown. The optimizer broadcasts sources while they are small."""
@@ -81,11 +83,16 @@ def harvested(items: DataFrame, harvest: DataFrame, since: str) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """The last value of right at or before each row of left, by one union and a window instead of a range join."""
+    """The last value of right at or before each row of left, by one union and a window instead of a range join.
+
+    The window is of a slot of a key's time; a slot takes over the last value of the slots before it.
+    """
     marked = left.select(key, time, F.lit(1).alias("__left"), F.lit(None).cast(right.schema[value].dataType).alias(value), *[c for c in left.columns if c not in (key, time)])
     facts = right.select(key, time, F.lit(0).alias("__left"), value, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (key, time)])
-    order = Window.partitionBy(key).orderBy(time, "__left").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.union(facts).withColumn(value, F.last(value, ignorenulls=True).over(order)).where("__left = 1").drop("__left")
+    order = Window.partitionBy("__at").orderBy(time, "__left").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col(value).isNotNull(), F.struct(time))
+    both = with_earlier(slotted(marked.union(facts), key, time), {"__end": F.max_by(value, known)}, {"__before": F.last("__end", ignorenulls=True)})
+    return both.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(order), "__before")).where("__left = 1").drop("__left", "__at", "__before")
 
 
 def vocabulary_union(*vocabularies: DataFrame) -> DataFrame:

@@ -4,6 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
+
+#: Numbers of a sequence that one slot holds.
+SLOT_NUMBERS = 1 << 16
+
+
+def slotted(df: DataFrame, by: str, order: str) -> DataFrame:
+    """df with __at = (key, slot): a day of a time, the first 10 characters of a string, 65,536 numbers of a sequence.
+
+    A hot key's rows so meet in many tasks. As a struct the pair equals itself where the key or the slot is null.
+    """
+    kind = df.schema[order].dataType
+    if isinstance(kind, TimestampType | TimestampNTZType | DateType):
+        slot = F.to_date(order)
+    else:
+        slot = F.substring(order, 1, 10) if isinstance(kind, StringType) else F.floor(F.col(order) / SLOT_NUMBERS)
+    return df.withColumn("__at", F.struct(F.col(by).alias("by"), slot.alias("slot")))
+
+
+def with_earlier(rows: DataFrame, totals: dict[str, Column], earlier: dict[str, Column]) -> DataFrame:
+    """Slotted rows with what the earlier slots of their key hold: aggregates `earlier`, each over the `totals` of the slots before."""
+    slots = rows.groupBy("__at").agg(*(c.alias(name) for name, c in totals.items()))
+    before = Window.partitionBy("__at.by").orderBy("__at.slot").rowsBetween(Window.unboundedPreceding, -1)
+    for name, c in earlier.items():
+        slots = slots.withColumn(name, c.over(before))
+    return rows.join(slots.select("__at", *earlier), "__at")
 
 
 def round_robin(df: DataFrame, date: str = "date_iso", source: str = "source_name") -> DataFrame:
@@ -38,23 +64,32 @@ def recent(df: DataFrame, most: int, *order: str) -> DataFrame:
 
 def coalesced(events: DataFrame, within_ms: int = 1200, by: str = "run_id") -> DataFrame:
     """WN6: runs of equal neighbours less than `within_ms` after the one before, within each `by`: first time, last time, count."""
-    order = Window.partitionBy(by).orderBy("ts", "event_id")
+    order = Window.partitionBy("__at").orderBy("ts", "event_id")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    gap = (ms - F.lag(ms).over(order)) > within_ms
-    new = F.when(F.lag("stage").over(order).isNull() | (F.lag("stage").over(order) != F.col("stage")) | gap, 1).otherwise(0)
-    runs = events.withColumn("__new", new).withColumn("island", F.sum("__new").over(order))
+    rows = slotted(events, by, "ts").withColumn("__row", F.struct(ms.alias("ms"), F.col("stage").alias("stage")))
+    rows = with_earlier(rows, {"__end": F.max_by("__row", F.struct("ts", "event_id"))}, {"__last": F.last("__end")})
+    rows = rows.withColumn("__last", F.coalesce(F.lag("__row").over(order), "__last"))
+    gap = F.col("__row.ms") - F.col("__last.ms") > within_ms
+    new = F.when(F.col("__last.stage").isNull() | (F.col("__last.stage") != F.col("stage")) | gap, 1).otherwise(0)
+    runs = rows.withColumn("__new", new).withColumn("island", F.sum("__new").over(order))
+    runs = with_earlier(runs, {"__n": F.sum("__new")}, {"__before": F.sum("__n")}).withColumn("island", F.col("island") + F.coalesce("__before", F.lit(0)))
     return runs.groupBy(by, "island").agg(F.first("stage").alias("stage"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
 def host_timeline(requests: DataFrame, host: str = "host") -> DataFrame:
     """WN7, T8: start = max(arrival, the host's previous start + its gap), from (host, seq, arrival, gap).
 
-    start_i = G + max over earlier j of (arrival_j - G_j), with G the gaps before: a running sum and a running maximum.
+    start_i = G_i + max over j up to i of (arrival_j - G_j), with G the gaps before: running sums and maxima of
+    a slot, and those of the slots before it.
     """
-    before = Window.partitionBy(host).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    until = Window.partitionBy(host).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    summed = requests.withColumn("__g", F.coalesce(F.sum("gap").over(before), F.lit(0)))
-    return summed.withColumn("start", F.col("__g") + F.max(F.col("arrival") - F.col("__g")).over(until)).drop("__g")
+    order = Window.partitionBy("__at").orderBy("seq")
+    before, until = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    summed = slotted(requests, host, "seq").withColumn("__g", F.coalesce(F.sum("gap").over(before), F.lit(0)))
+    summed = summed.withColumn("__lead", F.col("arrival") - F.col("__g"))
+    base = F.coalesce("__base", F.lit(0))
+    whole = with_earlier(summed, {"__gaps": F.sum("gap"), "__most": F.max("__lead")}, {"__base": F.sum("__gaps"), "__ahead": F.max(F.col("__most") - base)})
+    start = F.col("__g") + F.greatest(F.max("__lead").over(until), F.col("__ahead") + base)
+    return whole.withColumn("start", start).select(*requests.columns, "start")
 
 
 def host_gap(crawl_delay: Column, base: Column, u: Column) -> Column:
@@ -83,10 +118,13 @@ def paging_stop(pages: DataFrame, max_pages: int) -> DataFrame:
 
 def admitted(calls: DataFrame, limit: float) -> DataFrame:
     """WN9 without reservations: calls by run whose spend so far and estimate stay within the limit; the first always."""
-    before = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))
-    first = F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) == 1
-    return calls.withColumn("spent", spent).withColumn("admitted", first | (F.col("spent") + F.col("cost_usd") <= limit))
+    order = Window.partitionBy("__at").orderBy("seq")
+    spent = F.coalesce(F.sum("cost_usd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = slotted(calls, "run_id", "seq").withColumn("spent", spent).withColumn("__nth", F.row_number().over(order))
+    rows = with_earlier(rows, {"__cost": F.sum("cost_usd")}, {"__before": F.sum("__cost"), "__slots": F.count(F.lit(1))})
+    rows = rows.withColumn("spent", F.coalesce("__before", F.lit(0.0)) + F.col("spent"))
+    first = (F.col("__slots") == 0) & (F.col("__nth") == 1)
+    return rows.withColumn("admitted", first | (F.col("spent") + F.col("cost_usd") <= limit)).select(*calls.columns, "spent", "admitted")
 
 
 def remaining_ms(elapsed: Column, scanned: Column, total: Column) -> Column:
