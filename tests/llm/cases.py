@@ -1,5 +1,8 @@
 """Documents with the awkward cases every operator must take, beside the small test table."""
 
+import random
+from string import ascii_lowercase
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sid string, node long, text_2 string"
 LONG = "lorem ipsum dolor sit amet " * 3000
 SHARED = "one passage that many of these documents share word for word, long enough to be found again by all of them; " * 2
@@ -26,3 +29,11 @@ def documents(spark):
 
 def plain(docs):
     return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def long_documents(spark):
+    """Texts of one to two million characters: many words, one word, one letter, one repeated word; and a short one."""
+    draw = random.Random(4)
+    words = " ".join(f"{draw.choice('abcdefgh')}{draw.randrange(90_000)}" for _ in range(200_000))
+    texts = [words, words + " and an end", "".join(draw.choices(ascii_lowercase, k=1_000_000)), "=" * 1_000_000, "one word\n" * 200_000, "short"]
+    return spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, sid string")

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cases import documents, plain
+from cases import documents, long_documents, plain
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, jaccard, media, packing, quality, secrets, suffix, toxicity
@@ -19,14 +19,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 @pytest.fixture(scope="module")
 def tables(spark, small):
-    return {"small": spark.read.parquet(f"{small}/documents.parquet"), "cases": documents(spark), "empty": documents(spark).limit(0)}
+    return {"small": spark.read.parquet(f"{small}/documents.parquet"), "cases": documents(spark), "long": long_documents(spark), "empty": documents(spark).limit(0)}
 
 
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text)
 
 
-@pytest.mark.parametrize("name", ["small", "cases", "empty"])
+@pytest.mark.parametrize("name", ["small", "cases", "long", "empty"])
 def test_jaccard(tables, name):
     docs = tables[name]
     sets = {}
@@ -104,7 +104,7 @@ def test_divide_skip_links_components():
     assert root == want and len(set(want)) < len(sets)
 
 
-@pytest.mark.parametrize("name", ["small", "cases", "empty"])
+@pytest.mark.parametrize("name", ["small", "cases", "long", "empty"])
 def test_repeats(tables, name):
     docs = tables[name]
     rows = sorted(set(plain(docs)), key=lambda r: (-1 if r[0] is None else r[0]))
@@ -156,7 +156,7 @@ def test_suffix_array_orders_suffixes():
             assert n == next((k for k in range(20) if x[k] != y[k]), 20) or min(len(text) - a, len(text) - b) < 20
 
 
-@pytest.mark.parametrize("name", ["small", "cases", "empty"])
+@pytest.mark.parametrize("name", ["small", "cases", "long", "empty"])
 def test_packing(tables, name):
     from tokenizers import Tokenizer
 
@@ -202,7 +202,7 @@ def test_fill_window_is_best():
         assert sum(n * k for n, k in chosen.items()) == max(sums)
 
 
-@pytest.mark.parametrize("name", ["small", "cases", "empty"])
+@pytest.mark.parametrize("name", ["small", "cases", "long", "empty"])
 def test_bpe(tables, name):
     from tokenizers import Tokenizer
 
@@ -220,7 +220,19 @@ def test_bpe(tables, name):
     assert back == set(plain(docs))
 
 
-@pytest.mark.parametrize("name", ["small", "cases", "empty"])
+def test_rounds_of_long_pieces_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, own, draw = Tokenizer.from_file(path), bpe.ByteBpe(path), np.random.default_rng(5)
+    words = ["the", "ion", "aaaa", "aaaaa", "banana", "mississippi", "漢字かな", "éè", "==", "\n\n", " ", " ", "  x"]
+    monkeypatch.setattr(bpe, "LONG_PIECE", 0)
+    texts = ["".join(draw.choice(words, draw.integers(0, 30))) for _ in range(500)] + ["".join(draw.choice(list("etaoinshr"), 20_000))]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("name", ["small", "cases", "long", "empty"])
 def test_secrets(tables, name):
     docs = tables[name]
     model = secrets.fit_random_strings(docs)
@@ -285,7 +297,7 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
 
 
-@pytest.mark.parametrize("name", ["small", "cases", "empty"])
+@pytest.mark.parametrize("name", ["small", "cases", "long", "empty"])
 def test_quality_counts(spark, tables, small, name):
     docs = tables[name]
     rules = quality.fit_list(tables["small"], spark.read.parquet(f"{small}/labels.parquet"))
@@ -374,13 +386,13 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_cases(spark, tables, small):
     model = toxicity.fit_toxicity(tables["small"], spark.read.parquet(f"{small}/labels.parquet"))
-    for name in ("cases", "empty"):
+    for name in ("cases", "long", "empty"):
         assert toxicity.scored(tables[name], model).count() == tables[name].count()
     none = toxicity.fit_toxicity(tables["empty"], spark.read.parquet(f"{small}/labels.parquet"))
     assert toxicity.scored(tables["cases"], none).where("score = 0.5").count() == tables["cases"].count()
 
 
-@pytest.mark.parametrize("name", ["small", "cases", "empty"])
+@pytest.mark.parametrize("name", ["small", "cases", "long", "empty"])
 def test_media(tables, name):
     docs = tables[name]
     rows = media.stored(docs)

@@ -6,7 +6,8 @@ neighbouring pair's rank by binary search over the sorted pair keys, finds the
 least rank of each piece, and merges all its occurrences in that piece from the
 left; pieces without a known pair leave. A later merge never makes a pair of
 lower rank than the merge that made its symbol, so this equals merging one
-occurrence at a time.
+occurrence at a time. A long piece may need a round for every merge; the rounds of
+such pieces go by rank over all of them and look only at the pairs that changed.
 
 Null text is empty and has no ids. A special token's string in a text is that
 token, as the library has it. Ids are joined as little-endian unsigned 32-bit.
@@ -16,6 +17,7 @@ A text is encoded whole, however long: its ids (8 bytes each) must fit a task.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -31,6 +33,15 @@ REMEMBERED = 1 << 19
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _NEVER = np.int64(1) << 40
+#: Characters of a piece from which its rounds look only at what changed: it may need a round for every merge.
+LONG_PIECE = 1 << 10
+
+
+def _by_piece(owner: np.ndarray, symbols: np.ndarray, n: int) -> list[bytes]:
+    """Symbols of each of n pieces, in the order of their owners."""
+    flat = symbols.astype("<u4").tobytes()
+    ends = np.searchsorted(owner, np.arange(n), "right") * 4
+    return [flat[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def printable_bytes() -> dict[str, int]:
@@ -119,9 +130,54 @@ class ByteBpe:
             return [b""] * len(pieces)
         owner, symbols = np.concatenate(done_owner), np.concatenate(done_symbols)
         order = np.argsort(owner, kind="stable")
-        flat = symbols[order].astype("<u4").tobytes()
-        ends = np.searchsorted(owner[order], np.arange(len(pieces)), "right") * 4
-        return [flat[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return _by_piece(owner[order], symbols[order], len(pieces))
+
+    def merge_ranks(self, pieces: list[bytes]) -> list[bytes]:
+        """As merge_rounds, for long pieces: a round is one rank over all pieces, and looks only at the pairs that changed."""
+        symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(symbols)
+        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, alive = np.full(n, _NEVER), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def offer(at: np.ndarray):
+            rank[at] = _NEVER
+            at = at[after[at] < n]
+            at = at[owner[at] == owner[after[at]]]
+            pair = symbols[at] * self.size + symbols[after[at]]
+            spot = np.searchsorted(self.keys, pair)
+            spot[spot == len(self.keys)] = 0
+            known = self.keys[spot] == pair
+            at, found = at[known], self.ranks[spot[known]]
+            rank[at] = found
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            heads = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(at) else at
+            for k, lo, hi in zip(found[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(at)]):
+                if k not in waiting:
+                    heapq.heappush(ranks, k)
+                waiting.setdefault(k, []).append(at[lo:hi])
+
+        offer(np.arange(n))
+        while ranks:
+            least = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(least)))
+            at = at[rank[at] == least]
+            if not len(at):
+                continue
+            chained = np.append(False, at[1:] == after[at[:-1]])
+            nth = np.arange(len(at))
+            at = at[(nth - np.maximum.accumulate(np.where(chained, 0, nth))) % 2 == 0]  # of overlapping pairs every other
+            gone = after[at]
+            symbols[at], alive[gone], rank[gone] = self.made[least], False, _NEVER
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left = before[at]
+            offer(np.unique(np.concatenate([at, left[left >= 0]])))
+        return _by_piece(owner[alive], symbols[alive], len(pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -130,8 +186,9 @@ class ByteBpe:
             self.known[token] = int(k).to_bytes(4, "little")
         split = [self.pieces(t) for t in texts]
         new = list({p for ps in split for p in ps}.difference(self.known))
-        if new:
-            self.known.update(zip(new, self.merge_rounds([p.encode() for p in new])))
+        for merge, part in ((self.merge_rounds, [p for p in new if len(p) <= LONG_PIECE]), (self.merge_ranks, [p for p in new if len(p) > LONG_PIECE])):
+            if part:
+                self.known.update(zip(part, merge([p.encode() for p in part])))
         return [b"".join(map(self.known.__getitem__, ps)) for ps in split]
 
     def decode(self, ids: bytes) -> str:
