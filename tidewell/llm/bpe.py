@@ -12,6 +12,7 @@ such pieces go by rank over all of them and look only at the pairs that changed.
 Null text is empty and has no ids. A special token's string in a text is that
 token, as the library has it. Ids are joined as little-endian unsigned 32-bit.
 A text is encoded whole, however long: its ids (8 bytes each) must fit a task.
+Rows that repeat a doc_id are encoded each; a null doc_id stays null.
 """
 
 from __future__ import annotations

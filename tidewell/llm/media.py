@@ -10,6 +10,8 @@ of the first 33 bytes; payloads and features a range read of the member.
 
 Null text is empty: 64 zero bytes. Equal texts have equal values in every column
 that does not say where a member lies.
+A text is stored and read back whole, however long: its payload and its member must
+fit a task. Rows that repeat a doc_id have a row each; a null doc_id stays null.
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Two character models, one of random strings and one of ordinary identifiers,
 give the log-likelihood ratio of each part of long runs of identifier characters.
 The best parts whose ratio, in all and for each character, passes its threshold
 are added to the pattern spans unless they overlap one. Spans are (kind, start, end) in code
-points, end exclusive. Null text is empty and has none.
+points, end exclusive. Null text is empty and has none. A text is read whole, however
+long, one at a time. Rows that repeat a doc_id are scanned each, with equal spans for
+equal texts; a null doc_id stays null. Of equally good segments the first is taken.
 """
 
 from __future__ import annotations
