@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, fim, html, media, packing, quality, secrets, suffix, toxicity, urls
+from . import bpe, divergence, fim, html, lm, media, packing, quality, secrets, suffix, toxicity, urls
 from .jaccard import jaccard_components
 
 #: Rules of the URL query: host, path, verdict (fixed values).
@@ -80,6 +80,13 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_texts(_table(spark, folder, "pages"))
 
 
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model, words = lm.fit_language_model(docs.where(~lm.held_out()), vocabulary("byte_bpe_50k.tiktoken"))
+    scores = lm.scored(docs, model, words)
+    return scores.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fim.transformed(_table(spark, folder, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(fim.rebuilt(), 256).alias("restored_sha256"))
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_html_extraction": op10_html_extraction,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_source_divergence": op13_source_divergence,
 }
