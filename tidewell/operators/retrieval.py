@@ -50,11 +50,14 @@ def postings(articles: DataFrame, fields: dict[str, float] = WEIGHTS, porter: bo
     return rows.groupBy("id", "len", "term").agg(F.sum("w").alias("wtf"))
 
 
+def lengths(articles: DataFrame, fields: dict[str, float] = WEIGHTS) -> Column:
+    """A document's tokens over all fields."""
+    return sum((F.size(tokens(F.col(f))) for f in fields if f in articles.columns), F.lit(0))
+
+
 def corpus_stats(articles: DataFrame, fields: dict[str, float] = WEIGHTS) -> DataFrame:
     """One row: the number of documents and their mean length."""
-    have = [f for f in fields if f in articles.columns]
-    length = sum((F.size(tokens(F.col(f))) for f in have), F.lit(0))
-    return articles.agg(F.count("*").alias("docs"), F.avg(length).alias("avg_len"))
+    return articles.agg(F.count("*").alias("docs"), F.avg(lengths(articles, fields)).alias("avg_len"))
 
 
 def bm25(posted: DataFrame, stats: DataFrame, terms: list[str], most: int | None = None) -> DataFrame:

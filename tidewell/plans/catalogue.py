@@ -6,6 +6,7 @@ after the entity definitions of sources.tables.SQL and run by DuckDB.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, pages, tags, text, urls
 from ..operators import aggregates as agg
 from ..operators import curation, filters, joins, judge, ordering, retrieval, writes
+from ..operators.index import TextIndex
+from ..session import shared_folder
 from ..sources.tables import SQL, Tables
 from . import browse as browsing
 from . import export, report
@@ -647,6 +650,21 @@ def _(t):
     return found.select("id", F.round("score", 6).alias("score"))
 
 
+_CHANGED = "(SELECT id, CASE WHEN kind = 'tool' THEN 'the stupid password ' || title ELSE title END AS title, content FROM articles WHERE kind IS NULL OR kind <> 'release')"
+
+
+@query("index_after_changes", f"SELECT id, round(score, 6) AS score FROM {_BM25.replace('FROM articles', f'FROM {_CHANGED} changed')} s")
+def _(t):
+    """Four runs are indexed; the fifth comes with new titles of all tools and the removal of all releases; then segments are merged."""
+    a, index = t.articles().select("id", "title", "content", "kind", "run_id"), TextIndex(t.spark, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}")
+    op = F.when(F.col("kind") == "release", "delete").otherwise("put")
+    retitled = F.when(F.col("kind") == "tool", F.concat(F.lit("the stupid password "), "title")).otherwise(F.col("title"))
+    index.apply(a.where("run_id < 5").withColumns({"op": F.lit("put"), "seq": F.lit(1)}))
+    index.apply(a.where("run_id = 5 OR kind IN ('tool', 'release')").withColumns({"op": op, "seq": F.lit(2), "title": retitled}))
+    index.merge(growth=100.0)
+    return index.search(_TERMS).select("id", F.round("score", 6).alias("score"))
+
+
 _KNN = "(SELECT e.vec_id AS id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +26,14 @@ def session(app: str = "tidewell", master: str | None = None, **conf: str) -> Sp
 def setting(spark: SparkSession, flag: str | None, key: str, default: str) -> str:
     """SC17: an explicit flag, else the session's setting, else the default."""
     return flag if flag is not None else spark.conf.get(key, default)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines reach; a temporary one under a local master alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
