@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, pages, tags, text, urls
+from ..functions import dates, pages, shapes, tags, text, urls
 from ..operators import aggregates as agg
 from ..operators import curation, filters, joins, judge, ordering, retrieval, writes
 from ..operators.index import TextIndex
@@ -632,6 +632,47 @@ def _(t):
     return t.articles().select("id", F.array_join(v["tags"], ",").alias("tags"), F.array_join(F.array_distinct(v["dropped"]), ",").alias("dropped"))
 
 
+_ANSWER = """'{"title": ' || {title} || ', "lang": ' || {lang} || CASE WHEN kind IS NULL THEN '' ELSE ', "kind": "' || kind || '"' END
+  || CASE WHEN run_id = 3 THEN '' ELSE ', "items": [{"id": ' || id || ', "note": ' || {blurb} || '}, {"id": ' || CASE WHEN needs_enrich THEN '"7"' ELSE '7' END || '}]' END
+  || CASE enrich_attempts WHEN 0 THEN '' WHEN 1 THEN ', "score": null' WHEN 2 THEN ', "score": 0.5' ELSE ', "score": "3"' END || CASE WHEN lang = 'es' AND run_id = 4 THEN '' ELSE '}' END"""
+_SHAPE = shapes.Record({
+    "title": shapes.Key(shapes.Text()),
+    "kind": shapes.Key(shapes.Text(("tool", "news")), default="news"),
+    "items": shapes.Key(shapes.Items(shapes.Record({"id": shapes.Key(shapes.Number(whole=True)), "note": shapes.Key(shapes.Text(), optional=True)})), default=()),
+    "score": shapes.Key(shapes.Number(), optional=True),
+})
+
+
+def answers(t: Tables) -> DataFrame:
+    """(id, answer): a JSON text made of each article; some have numbers for titles, wrong or absent keys, or no end."""
+    quoted = {c: f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)" for c in ("title", "lang", "blurb")}
+    quoted["title"] = f"CASE WHEN lang = 'fr' AND run_id = 2 THEN '12' ELSE {quoted['title']} END"
+    text_of = _ANSWER
+    for c, q in quoted.items():
+        text_of = text_of.replace("{" + c + "}", f"coalesce({q}, 'null')")
+    return t.articles().select("id", F.expr(text_of).alias("answer"))
+
+
+_JSON = _ANSWER.replace("{title}", "CASE WHEN lang = 'fr' AND run_id = 2 THEN '12' ELSE CAST(to_json(title) AS VARCHAR) END").replace("{lang}", "CAST(to_json(lang) AS VARCHAR)").replace("{blurb}", "coalesce(CAST(to_json(blurb) AS VARCHAR), 'null')")
+
+
+@query("validated_answers", f"""SELECT id, status, CASE WHEN kept THEN j ->> '$.title' END AS title, CASE WHEN kept THEN CASE WHEN kind_ok THEN j ->> '$.kind' ELSE 'news' END END AS kind,
+  CASE WHEN kept THEN CASE WHEN items_ok THEN json_array_length(j, '$.items') ELSE 0 END END AS items, CASE WHEN kept AND items_ok THEN j ->> '$.items[0].note' END AS note,
+  CASE WHEN kept AND json_type(j, '$.score') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(j ->> '$.score' AS DOUBLE) END AS score, dropped, CASE WHEN kept THEN defaulted ELSE '' END AS defaulted
+  FROM (SELECT *, CASE WHEN j IS NULL THEN 'broken' WHEN NOT title_ok THEN 'invalid' WHEN dropped <> '' OR defaulted <> '' THEN 'tolerant' ELSE 'strict' END AS status, status IN ('strict', 'tolerant') AS kept
+  FROM (SELECT *, CASE WHEN j IS NULL THEN '' ELSE concat_ws(',', CASE WHEN NOT title_ok THEN 'title' END, CASE WHEN NOT kind_ok AND kind_type IS NOT NULL THEN 'kind' END, CASE WHEN NOT items_ok AND items_type IS NOT NULL THEN 'items' END, CASE WHEN NOT score_ok THEN 'score' END) END AS dropped,
+    CASE WHEN j IS NULL THEN '' ELSE concat_ws(',', CASE WHEN NOT kind_ok THEN 'kind' END, CASE WHEN NOT items_ok THEN 'items' END) END AS defaulted
+  FROM (SELECT *, json_type(j, '$.kind') AS kind_type, json_type(j, '$.items') AS items_type, coalesce(json_type(j, '$.title') = 'VARCHAR', false) AS title_ok,
+    coalesce(json_type(j, '$.kind') = 'VARCHAR' AND j ->> '$.kind' IN ('tool', 'news'), false) AS kind_ok, coalesce(json_type(j, '$.score') IN ('NULL', 'UBIGINT', 'BIGINT', 'DOUBLE'), true) AS score_ok,
+    coalesce(json_type(j, '$.items') = 'ARRAY' AND list_bool_and(list_transform(json_extract(j, '$.items[*]'), lambda e: json_type(e) = 'OBJECT' AND coalesce(json_type(e, '$.id') IN ('UBIGINT', 'BIGINT'), false) AND coalesce(json_type(e, '$.note') IN ('NULL', 'VARCHAR'), true))), false) AS items_ok
+  FROM (SELECT id, CASE WHEN json_valid(answer) THEN CAST(answer AS JSON) END AS j FROM (SELECT id, {_JSON} AS answer FROM articles)))))""")
+def _(t):
+    c = F.col("checked")
+    v = c["value"]
+    told = shapes.validated(answers(t), "answer", _SHAPE)
+    return told.select("id", c["status"].alias("status"), v["title"].alias("title"), v["kind"].alias("kind"), F.when(v.isNotNull(), F.size(v["items"])).alias("items"), F.try_element_at(v["items"], F.lit(1))["note"].alias("note"), v["score"].alias("score"), F.array_join(c["dropped"], ",").alias("dropped"), F.array_join(c["defaulted"], ",").alias("defaulted"))
+
+
 # ---- retrieval and judging ----
 _TERMS = ["the", "and", "ation", "the", "stupid", "password"]
 _BM25 = r"""(WITH toks AS (SELECT id, 'w' AS f, unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term, 10.0 AS w FROM articles
