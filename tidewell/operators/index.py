@@ -120,16 +120,13 @@ class TextIndex:
         at, name = version + 1, uuid.uuid4().hex
         have = [f for f in self.fields if f in changes.columns]
         row = F.struct("op", *have)
-        last = changes.where("id IS NOT NULL").groupBy(F.col("id").cast("long").alias("id")).agg(F.max_by(row, "seq").alias("row")).select("id", "row.*").persist()
-        try:
-            hidden = self._live(self._table("docs", _DOCS, parts), parts).join(last.select("id"), "id", "left_semi").select("id", F.lit(at).cast("long").alias("at"), "len")
-            hidden.select("id", "at").write.parquet(f"{self.folder}/removed/{name}")
-            removed = self.spark.read.schema(_REMOVED).parquet(f"{self.folder}/removed/{name}").count()
-            lost = hidden.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first().n if removed else 0
-            new = last.where("op IS NULL OR op <> 'delete'").drop("op")
-            added = self._write(new.select("id", retrieval.lengths(new, self.fields).alias("len")), retrieval.postings(new, self.fields, self.porter), at, name)
-        finally:
-            last.unpersist()
+        known = changes.where("id IS NOT NULL").withColumn("id", F.col("id").cast("long"))
+        hidden = self._live(self._table("docs", _DOCS, parts), parts).join(known.select("id"), "id", "left_semi").select("id", F.lit(at).cast("long").alias("at"), "len")
+        hidden.select("id", "at").write.parquet(f"{self.folder}/removed/{name}")
+        removed = self.spark.read.schema(_REMOVED).parquet(f"{self.folder}/removed/{name}").count()
+        lost = hidden.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first().n if removed else 0
+        new = known.groupBy("id").agg(F.max_by(row, "seq").alias("row")).select("id", "row.*").where("op IS NULL OR op <> 'delete'").drop("op")
+        added = self._write(new.select("id", retrieval.lengths(new, self.fields).alias("len")), retrieval.postings(new, self.fields, self.porter), at, name)
         stats = next((p for p in parts if p.kind == "stats"), Part("stats", 0, "", 0))
         keep = [p for p in parts if p.kind != "stats" and not (p.kind == "stream" and p.name == stream)]
         keep += [Part("removed", at, name, removed)] if removed else []
@@ -142,7 +139,7 @@ class TextIndex:
         """Write a segment; the numbers of its postings and documents, and their total length."""
         where = f"segment={segment}/name={name}"
         # a bucket that holds much of the rows is split when the shuffle is read
-        posted.withColumn("bucket", self.bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.folder}/postings/{where}")
+        posted.withColumn("bucket", self.bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/postings/{where}")
         docs.write.parquet(f"{self.folder}/docs/{where}")
         part = [Part("segment", segment, name, 0)]
         written = self._table("docs", _DOCS, part).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
