@@ -126,6 +126,39 @@ def test_names_close_furniture():
     assert html.page_text(page + "<p>Body</p>") == "Body" and html.page_text("<nav>Home</nav><footer>End</footer>") == ""
 
 
+BODY = " ".join(f"Word{k} of the body," for k in range(15))  # 60 words, expected texts below are written by hand
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<form id='aspnetForm'><input type=hidden name=v><nav>Home</nav><article><p>{}</p></article></form>", "{}"),
+        ("<form><div class='content'><p>{}</p></div><fieldset><label>Name <input></label><button>Send</button></fieldset></form>", "{}"),
+        ("<form id='form1'><div><input name=q><button>Go</button></div><div><p>{}</p></div></form>", "{}"),
+        ("<article><p>{}</p><form><p>Leave a reply, your address stays with us</p><input><textarea></textarea></form></article>", "{}"),
+        ("<p>{}</p><form><p>{}</p></form>", "{}"),
+        ("<form><p>Name and password</p><input><input></form>", ""),
+        ("<div class='overflow-hidden'><p>{}</p></div>", "{}"),
+        ("<article><div class='overflow-hidden'><p>{}</p></div><p>Tail</p></article>", "{} Tail"),
+        ("<div data-x='hidden'><p title='the hidden truth'>{}</p></div>", "{}"),
+        ("<div hidden><p>Secret</p></div><div HIDDEN=hidden>Secret</div><p aria-hidden='true'>Secret</p><div style='color:red; display : none'>Secret</div><p>{}</p>", "{}"),
+        ("<div hidden=false aria-hidden=false><p>{}</p></div>", "{}"),
+        ("<article><h1>Head</h1><fieldset><p>{}</p></fieldset></article>", "Head {}"),
+        ("<article><p>{}</p><section id='cookies'><p>Bake them for ten minutes.</p></section></article>", "{} Bake them for ten minutes."),
+        ("<article><p>{}</p><section class='cookies'><p>We use cookies.</p></section></article>", "{}"),
+        ("<article><h1>Head</h1><div class='legal'><div><p>{}</p></div><nav>Next</nav></div></article>", "Head {}"),
+        ("<article><h1>Head</h1><div class='product-form'><p>{}</p></div></article>", "Head {}"),
+        ("<article><p>Head</p><section id='comments'><p>{}</p></section></article>", "Head"),
+        ("<article><p>{}</p><div class='promo'><p>Buy one, get one.</p></div></article>", "{}"),
+        ("<body><nav><ul><li>Home<li>News</ul><article><p>{}</p></article></body>", "{}"),
+        ("<body><nav><ul><li>Home</ul><article><p>Teaser</p></article></nav><article><p>{}</p></article></body>", "{}"),
+        ("<aside>Note<main><p>{}</p></main>", "{}"),
+    ],
+)
+def test_hand_written_texts(page, want):
+    assert html.page_text(page.replace("{}", BODY)) == want.replace("{}", BODY)
+
+
 def test_empty_tables(spark):
     empty = page_table(spark, [])
     assert html.main_texts(empty).count() == 0 and urls.judged(empty, URL_RULES).count() == 0

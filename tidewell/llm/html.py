@@ -5,7 +5,13 @@ A page is read as blocks, each in a zone: *article* (inside article or main),
 forms or reader comments, by tag, role, or a whole name in class, id or label; a
 closed one holds no article of the page's own) or *open*. Names do not close
 main or article, and where they leave no block, the largest container they took
-is the text. Scripts, styles
+is the text. In an article they take no container of at least 30 words that has more
+words than all the rest of it, unless it is named as comments or related pages, nor
+a section by its id. A form or fieldset goes unless it wraps the content: more words
+than all else around it, and 20 and 10 more for each of its controls. An element
+that is never closed does not close a main or article within it. An element is hidden by an
+attribute `hidden`, by aria-hidden=true or by a style of display:none, and by no
+other attribute's value. Scripts, styles
 and other unseen elements are no blocks. The text of a page is its article and
 open blocks without those that a host's pages repeat; where its article has at
 least as many words of its own as its open blocks have, the article's alone:
@@ -54,7 +60,9 @@ _MARKUP = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MAY_HIDE = re.compile(r"hidden|display", re.IGNORECASE)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -62,17 +70,23 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("div section nav header footer aside form article main ul ol dl table tbody thead tfoot tr td th figure details dialog menu search fieldset blockquote body center button".split())
-CHROME_TAGS = frozenset("nav aside form dialog menu search button fieldset footer".split())
+CHROME_TAGS = frozenset("nav aside dialog menu search button footer".split())
+FORM_TAGS = frozenset(["form", "fieldset"])
+CONTROLS = frozenset("input button select textarea".split())
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies disqus respond widget widgets pagination pager toolbar skip masthead copyright legal complementary contentinfo form search dialog".split()
 )
 HEADER_WORDS = frozenset(["header", "topbar"])
 #: Containers whose inner articles are not the page's own.
-CLOSED_TAGS = frozenset("nav aside form dialog menu search footer".split())
+CLOSED_TAGS = frozenset("nav aside dialog menu search footer".split())
 CLOSED_WORDS = frozenset("comment comments reply replies respond disqus related recommended recommendations sidebar aside footer".split())
 #: First words of a name that says what else the element has, and last words that say no more than the first.
 MODIFIERS = frozenset("has have no non not with without is show hide js".split())
 GENERIC = frozenset("area bar block body bottom box btn button buttons column container content form group icons inner item items left links list main outer panel primary right row secondary section text top wrap wrapper".split())
+#: Words that a form has to hold, and as many more for each of its controls, to be the content.
+FORM_WORDS, CONTROL_WORDS = 20, 10
+#: Words of a container inside an article that its name does not take if it has most of the article's.
+BODY_WORDS = 30
 #: Zones whose tokens are looked for on other pages of the host.
 JUDGED = frozenset(["open", "article"])
 #: Bits of a key that tell its host.
@@ -97,11 +111,78 @@ def furniture(value: str, label: bool = False) -> set[str]:
     return out
 
 
+@dataclass(slots=True)
+class _Open:
+    """An element that is open, as the blocks within it see it."""
+
+    tag: str
+    zone: str
+    number: int
+    forms: tuple[int, ...] = ()  # forms and fieldsets around it, outermost first
+    article: int = 0  # outermost article or main
+    named: int = 0  # outermost container in the article that has only a name of furniture
+
+
+@dataclass(slots=True)
+class _Block:
+    zone: str
+    text: str
+    at: _Open
+
+    @property
+    def words(self) -> int:
+        return self.text.count(" ") + 1
+
+
+def _is_hidden(attributes: str) -> bool:
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
+def _own_bodies(found: list[_Block]) -> None:
+    """Give back what a name alone took from an article, where it is most of the article's words."""
+    total: dict[int, int] = {}
+    taken: dict[tuple[int, int], int] = {}
+    for b in found:
+        if b.at.article and (b.zone == "article" or b.zone == "chrome by name"):
+            total[b.at.article] = total.get(b.at.article, 0) + b.words
+            if b.zone != "article" and b.at.named:
+                key = (b.at.article, b.at.named)
+                taken[key] = taken.get(key, 0) + b.words
+    bodies = {key for key, n in taken.items() if n >= BODY_WORDS and 2 * n > total[key[0]]}
+    for b in found if bodies else ():
+        if b.zone == "chrome by name" and (b.at.article, b.at.named) in bodies:
+            b.zone = "article"
+
+
+def _without_forms(found: list[_Block], controls: dict[int, int]) -> None:
+    """Close the forms that do not wrap the content; one in another is held against what the other has."""
+    words: dict[int, int] = {}
+    around: dict[int, int] = {}
+    for b in found:
+        n = b.words if b.zone in JUDGED else 0
+        outer = 0
+        for form in (0, *b.at.forms):
+            words[form] = words.get(form, 0) + n
+            around[form], outer = outer, form
+    content = {f for f in controls if 2 * words.get(f, 0) > words.get(around.get(f, 0), 0) and words[f] >= FORM_WORDS + CONTROL_WORDS * controls[f]}
+    for b in found:
+        if not content.issuperset(b.at.forms):
+            b.zone = "closed"
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(zone, text, number of its container) of each block that has text, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, int]] = [("", "open", 0)]
+    out: list[_Block] = []
+    stack = [_Open("", "open", 0)]
     containers = 0
+    controls: dict[int, int] = {}  # of each form, those of forms within it not counted
+    last_close: dict[str, int] = {}
     text: list[str] = []
     paragraph = ""  # zone of a chrome paragraph that is open
 
@@ -109,9 +190,14 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append((paragraph or stack[-1][1], joined, stack[-1][2]))
+                out.append(_Block(paragraph or stack[-1].zone, joined, stack[-1]))
             text.clear()
 
+    def closed_after(tag: str, at: int) -> bool:
+        if tag not in last_close:
+            last_close[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", page, re.IGNORECASE)), default=-1)
+        return last_close[tag] > at
+
     at = 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
@@ -121,10 +207,15 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if tag is None:
             if m["unseen"]:
                 text.append(" ")
+                if stack[-1].forms and m["unseen"].lower() in CONTROLS:
+                    controls[stack[-1].forms[-1]] += 1
             continue
         tag = tag.lower()
         if tag in INLINE:
             continue
+        attributes = m["attributes"]
+        if tag in CONTROLS and stack[-1].forms and not m["close"] and not re.search(r"""\btype\s*=\s*["']?hidden""", attributes, re.IGNORECASE):
+            controls[stack[-1].forms[-1]] += 1
         if tag in ("br", "hr", "input"):
             text.append(" ")
             continue
@@ -132,34 +223,54 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         paragraph = ""
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
             continue
-        zone, attributes = stack[-1][1], m["attributes"]
-        named = set()
+        outer = stack[-1]
+        zone, inside = outer.zone, outer.article
+        named: set[str] = set()
         if "=" in attributes:
             for kind, *values in _NAMED.findall(attributes):
-                named |= furniture("".join(values), kind.lower() == "aria-label")
-        hidden = bool(attributes and _HIDDEN.search(attributes))
+                words = furniture("".join(values), kind.lower() == "aria-label")
+                if tag == "section" and zone == "article" and kind.lower() == "id":
+                    words &= CLOSED_WORDS  # an anchor names what the section is about
+                elif tag in FORM_TAGS:
+                    words.discard("form")
+                named |= words
+        hidden = bool(attributes) and _is_hidden(attributes)
         chrome = tag in CHROME_TAGS or bool(named & CHROME_WORDS) or zone != "article" and (tag == "header" or bool(named & HEADER_WORDS)) or hidden
         sure = tag in CHROME_TAGS or tag == "header" or hidden
         if tag in CONTAINERS and tag != "body" and not attributes.endswith("/"):
+            containers += 1
+            if zone == "closed" and tag in ("article", "main"):
+                first = next(k for k, e in enumerate(stack) if e.zone == "closed")
+                if not any(e.tag not in CLOSED_TAGS or closed_after(e.tag, at) for e in stack[first:]):
+                    zone = stack[first - 1].zone
             if zone == "closed" or tag in CLOSED_TAGS:
                 zone = "closed"
+            elif hidden and zone != "closed by name":
+                zone = "chrome"
             elif tag == "main" or tag == "article" and zone != "closed by name":
-                zone = "article"
+                zone, inside = "article", inside or containers
             elif zone == "closed by name" or named & CLOSED_WORDS:
                 zone = "closed" if sure else "closed by name"
             elif chrome:
                 zone = "chrome" if sure or zone == "chrome" else "chrome by name"
-            containers += 1
-            stack.append((tag, zone, containers))
+            forms = outer.forms
+            if tag in FORM_TAGS:
+                forms += (containers,)
+                controls[containers] = 0
+            opens_named = outer.zone == "article" and zone == "chrome by name"
+            stack.append(_Open(tag, zone, containers, forms, inside, containers if opens_named else outer.named if zone == "chrome by name" else 0))
         elif chrome and tag not in VOID and tag != "body":
             paragraph = "chrome" if sure else "chrome by name"
     text.append(page[at:] if at < len(page) else "")
     end_block()
-    return out
+    _own_bodies(out)
+    if controls:
+        _without_forms(out, controls)
+    return [(b.zone, b.text, b.at.number) for b in out]
 
 
 def _text_tokens(text: str) -> np.ndarray:
