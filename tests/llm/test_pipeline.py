@@ -77,3 +77,14 @@ def test_a_repeated_id_loses_only_its_duplicate_text(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     docs = spark.createDataFrame([(1, text), (2, text), (2, "quite another text that nothing else in the table has")], "doc_id long, text string")
     assert {tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {(1, text), (2, "quite another text that nothing else in the table has")}
+
+
+def test_each_group_keeps_one_document(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"term{k}" for k in range(40))
+    rows = [(1, text), (1, text + " end"), (5, text), (None, other), (None, other + " end"), (None, other), (7, ""), (7, None), (None, ""), (8, "lone text of its own words and no copy"), (8, text + " last end")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    of = lambda start: [r for r in kept if (r.text or "").startswith(start)]
+    assert len(of("word0 ")) == 1 and of("word0 ")[0].doc_id == 1
+    assert len({r.text for r in of("term0 ")}) == 1 and all(r.doc_id is None for r in of("term0 "))
+    assert len(of("lone")) == 1 and len([r for r in kept if not r.text]) == 3

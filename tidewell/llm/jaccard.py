@@ -533,7 +533,11 @@ def _across_blocks(rest: DataFrame, groups: DataFrame, percent: int) -> DataFram
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, text_id) for each row of docs(doc_id, text)."""
+    """(doc_id, n_shingles, component_id, class_id, text_id, group_id) for each row of docs(doc_id, text).
+
+    group_id is one number for the documents that links reach from each other, also
+    where several texts have one id or none has an id; null for empty sets.
+    """
     told = cut(shingle_classes(docs, words))
     classes = told.where("often is null").drop("often")
     documents, total = (int(x or 0) for x in classes.agg(F.count("class_id"), F.sum("n_shingles")).first())
@@ -545,7 +549,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     rooted = first.select("class_id", "first_id").join(groups, "class_id")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # only classes that link with others are joined to the rows by component
-    linked = rooted.join(smallest, "root").select("class_id", "component_id")
-    labels = first.select("class_id", "first_id").join(linked, "class_id", "left").select("class_id", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked = rooted.join(smallest, "root").select("class_id", "component_id", "root")
+    joined = first.select("class_id", "first_id").join(linked, "class_id", "left")
+    labels = joined.select("class_id", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "class_id").alias("group_id"))
     out = classes.join(labels, "class_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(restored(), "n_shingles", restored("component_id"), "class_id", "text_id")
+    return out.select(restored(), "n_shingles", restored("component_id"), "class_id", "text_id", "group_id")

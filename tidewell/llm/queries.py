@@ -30,7 +30,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_components(_table(spark, folder, "documents"), words=4, percent=85).drop("class_id", "text_id")
+    return jaccard_components(_table(spark, folder, "documents"), words=4, percent=85).drop("class_id", "text_id", "group_id")
 
 
 def held_out():
