@@ -30,10 +30,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates, null ids last; of texts with that id one stays."""
     groups = jaccard_components(docs, words=5, percent=80)
-    later = groups.where("NOT component_id <=> doc_id").select(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__text_id")).distinct()
-    return docs.join(later, (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_id")), "left_anti").select(*docs.columns)
+    heads = groups.where("component_id <=> doc_id AND group_id IS NOT NULL").select("group_id", "doc_id", "text_id")
+    several = heads.groupBy("group_id").agg(F.min("text_id").alias("first_text"), F.max("text_id").alias("last_text")).where("first_text <> last_text")
+    also = heads.join(several, "group_id").where("text_id <> first_text").select("doc_id", "text_id")
+    later = groups.where("NOT component_id <=> doc_id").select("doc_id", "text_id").union(also)
+    later = later.select(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__text_id")).distinct()
+    return docs.join(later, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.xxhash64("text") == F.col("__text_id")), "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
