@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, pages, shapes, tags, text, urls
 from ..operators import aggregates as agg
-from ..operators import curation, filters, joins, judge, ordering, retrieval, writes
+from ..operators import curation, filters, joins, judge, ordering, retrieval, robots, writes
 from ..operators.index import TextIndex
 from ..session import shared_folder
 from ..sources.tables import SQL, Tables
+from ..streaming.derived import Derived, PostSave
 from . import browse as browsing
 from . import export, report
 
@@ -1200,3 +1201,57 @@ def _(t):
 @query("prefilter_open", "SELECT id FROM articles")
 def _(t):
     return retrieval.prefiltered(t.articles(), "zzzz", t.articles().where("title = 'no such title'").select("id"), pool=20).select("id")
+
+
+# ---- robots rules, tables derived from a stream ----
+
+_ROBOTS = """concat('# source ', k, chr(10), 'Disallow: /', chr(10), 'User-agent: *', chr(10), 'Disallow: /a/*', (k + 3) % 10, chr(10), 'Disallow: /a/*', k % 10, '$ # its last digit', chr(10), 'Allow: /a/', k % 7, chr(10),
+  'Crawl-delay: ', k % 4, chr(10), 'Sitemap: https://x/map', chr(10), chr(10), 'USER-AGENT: ', CASE WHEN k % 3 = 0 THEN 'Tidewell/1.0' ELSE 'otherbot' END, chr(10), 'user-agent: third', chr(10), 'Disallow: /*.pdf$', chr(10),
+  'Disallow: /a/1', chr(10), 'Allow: /a/1', chr(10), 'Disallow:', chr(10), 'Disallow: /a/2*?q=', chr(10), 'Crawl-delay: soon', chr(10), 'Crawl-delay: 0.5', chr(10), 'User-agent: last', chr(10), 'Disallow: /')"""
+_ASKED = "CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '/x.pdf' ELSE concat('?q=', id) END"
+
+
+@query("robots_rules", f"""SELECT id, coalesce(best, true) AS allowed, CAST(coalesce(delay * 1000, 0) AS BIGINT) AS delay_ms FROM (
+  WITH lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM (SELECT id AS k, {_ROBOTS} AS text FROM sources) f),
+  fields AS (SELECT k, pos, lower(trim(split_part(l, ':', 1))) AS field, trim(substr(l, strpos(l, ':') + 1)) AS value FROM (SELECT k, pos, regexp_replace(line, '#.*', '') AS l FROM lines) c WHERE contains(l, ':')),
+  told AS (SELECT *, CASE WHEN field = 'user-agent' AND lag(field) OVER (PARTITION BY k ORDER BY pos) IS DISTINCT FROM 'user-agent' THEN 1 ELSE 0 END AS starts FROM fields WHERE field IN ('user-agent', 'allow', 'disallow', 'crawl-delay')),
+  grouped AS (SELECT *, sum(starts) OVER (PARTITION BY k ORDER BY pos) AS grp FROM told),
+  named AS (SELECT k, grp, lower(trim(split_part(value, '/', 1))) AS agent FROM grouped WHERE field = 'user-agent'),
+  chosen AS (SELECT DISTINCT k, grp FROM named n WHERE agent = CASE WHEN k IN (SELECT k FROM named WHERE agent = 'tidewell') THEN 'tidewell' ELSE '*' END),
+  mine AS (SELECT g.* FROM grouped g JOIN chosen c ON g.k = c.k AND g.grp = c.grp),
+  rules AS (SELECT k, value AS pattern, field = 'allow' AS allow, '^' || replace(regexp_escape(regexp_replace(value, '\\$$', '')), '\\*', '.*') || CASE WHEN value LIKE '%$' THEN '$' ELSE '' END AS regex FROM mine WHERE field IN ('allow', 'disallow') AND value <> ''),
+  delays AS (SELECT k, arg_max(TRY_CAST(value AS DOUBLE), pos) AS delay FROM mine WHERE field = 'crawl-delay' AND TRY_CAST(value AS DOUBLE) IS NOT NULL GROUP BY 1),
+  asked AS (SELECT id, id % 20 AS k, '/a/' || id || {_ASKED} AS target FROM frontier)
+  SELECT a.id, max(d.delay) AS delay, arg_max(r.allow, length(r.pattern) * 2 + CAST(r.allow AS INTEGER)) AS best FROM asked a LEFT JOIN rules r ON a.k = r.k AND regexp_matches(a.target, r.regex) LEFT JOIN delays d ON a.k = d.k GROUP BY 1) j""")
+def _(t):
+    """The files of all sources, read for one agent, and every job of the queue."""
+    files = t.sources().select(F.col("id").alias("k")).select(F.expr("concat('https://src', k, '.example.com')").alias("origin"), F.expr(_ROBOTS).alias("text"))
+    asked = t.frontier().select("id", F.concat("url", F.expr(_ASKED)).alias("url"))
+    return robots.judged(asked, robots.rules_for(files, "Tidewell")).select("id", "allowed", "delay_ms")
+
+
+@query("post_save_tables", """SELECT id, CASE WHEN length(trim(coalesce(content, ''))) < 300 THEN 'thin' ELSE 'ok' END AS status, split_part(content, '.', 1) AS summary,
+  CASE WHEN kind IS NULL THEN 'sweep' ELSE 'stream' END AS summary_by, coalesce(kind, 'other') AS kind FROM articles""")
+def _(t):
+    """A stream of saved articles feeds three tables; summaries are refused to articles without a kind, and a sweep makes these."""
+
+    def statuses(rows):
+        return rows.select("id", F.when(text.is_thin(F.col("content"), 300), "thin").otherwise("ok").alias("status"))
+
+    def summaries(rows):
+        return rows.select("id", F.substring_index("content", ".", 1).alias("summary"))
+
+    def kinds(rows):
+        return rows.select("id", F.coalesce("kind", F.lit("other")).alias("kind"))
+
+    made_of = {
+        "statuses": Derived("id long, status string", statuses),
+        "summaries": Derived("id long, summary string", lambda rows: summaries(rows.where("kind IS NOT NULL"))),
+        "kinds": Derived("id long, kind string", kinds),
+    }
+    post = PostSave(t.spark, f"{shared_folder(t.spark)}/derived-{uuid.uuid4().hex}", made_of, order="extracted_at")
+    columns = ["id", "content", "kind", "extracted_at"]
+    post.follow(Tables(t.spark, t.folder, live=True).articles().select(*columns)).awaitTermination()
+    post.sweep(t.articles().select(*columns), "after", {"summaries": summaries})
+    by = F.when(F.col("tx").startswith("sweep"), "sweep").otherwise("stream").alias("summary_by")
+    return post.table("statuses").drop("tx").join(post.table("summaries").select("id", "summary", by), "id", "full").join(post.table("kinds").drop("tx"), "id", "full")

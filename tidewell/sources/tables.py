@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 class Tables:
-    """Entities over one folder of test tables."""
+    """Entities over one folder of test tables; `live`: as streams of their files."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, live: bool = False):
+        self.spark, self.folder, self.live = spark, folder, live
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # a file source takes one file only by a pattern
+        return self.spark.readStream.schema(table.schema).parquet(f"{self.folder}/{name}[.]parquet") if self.live else table
 
     def articles(self) -> DataFrame:
         """Without verify_status, which needs a join: see verified()."""
