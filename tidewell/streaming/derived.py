@@ -70,8 +70,10 @@ class PostSave:
 
     def land(self, batch: DataFrame, number: int) -> None:
         """Derive every table's rows of a micro-batch; to be given to foreachBatch."""
-        last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in batch.columns]), self.order).alias("row")
-        rows = batch.where(F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("__key")).agg(last).select("row.*").persist()
+        others = [c for c in batch.columns if c != self.key]
+        last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), self.order).alias("__row")
+        # the rows stay dealt by key, so no table's join shuffles them again
+        rows = batch.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(last).select(self.key, "__row.*").persist()
         try:
             for name in self.tables:
                 self._commit(name, rows, f"batch-{number:012d}")
