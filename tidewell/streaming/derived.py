@@ -63,20 +63,20 @@ class PostSave:
         done = self.table(name).where((F.col("tx") != tx) & F.col(self.key).between(low, high)).select(F.col(self.key).alias("__key"))
         return saved.join(done, F.col(self.key) == F.col("__key"), "left_anti")
 
-    def _commit(self, name: str, saved: DataFrame, tx: str) -> None:
-        derived = self.tables[name]
-        columns = self.spark.createDataFrame([], derived.schema).columns
-        derived.derive(self.lacking(name, saved, tx)).select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/tx={tx}")
+    def _commit(self, name: str, derived: DataFrame, tx: str) -> None:
+        columns = self.spark.createDataFrame([], self.tables[name].schema).columns
+        derived.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/tx={tx}")
 
     def land(self, batch: DataFrame, number: int) -> None:
         """Derive every table's rows of a micro-batch; to be given to foreachBatch."""
+        tx = f"batch-{number:012d}"
         others = [c for c in batch.columns if c != self.key]
         last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), self.order).alias("__row")
         # the rows stay dealt by key, so no table's join shuffles them again
         rows = batch.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(last).select(self.key, "__row.*").persist()
         try:
-            for name in self.tables:
-                self._commit(name, rows, f"batch-{number:012d}")
+            for name, table in self.tables.items():
+                self._commit(name, table.derive(self.lacking(name, rows, tx)), tx)
         finally:
             rows.unpersist()
 
@@ -86,6 +86,11 @@ class PostSave:
 
     def sweep(self, saved: DataFrame, run: str, derive: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
         """Derive what tables still lack of saved (one row for each key), with other derivations if told; a repeated sweep of a run replaces its own."""
+        rows, tx = saved.where(F.col(self.key).isNotNull()), f"sweep-{run}"
         for name, table in self.tables.items():
-            wanted = PostSave(self.spark, self.folder, {name: Derived(table.schema, (derive or {}).get(name, table.derive))}, self.key, self.order)
-            wanted._commit(name, saved.where(F.col(self.key).isNotNull()), f"sweep-{run}")
+            missing = self.lacking(name, rows.select(self.key), tx).persist()  # keys alone: whole rows are read for these
+            try:
+                if missing.count():
+                    self._commit(name, (derive or {}).get(name, table.derive)(rows.join(missing, self.key, "left_semi")), tx)
+            finally:
+                missing.unpersist()
