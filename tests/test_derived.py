@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tidewell.streaming import derived
 from tidewell.streaming.derived import Derived, PostSave
 
 SCHEMA = "id long, seq long, text string"
@@ -48,7 +49,9 @@ def test_killed_between_tables(spark, tmp_path):
     assert found(post, "sizes") == [(1, 2), (2, 3), (3, 5)]
 
 
-def test_replayed_batch_and_sweep(spark, tmp_path):
+@pytest.mark.parametrize("most", [derived.BROADCAST_BYTES, 0])
+def test_replayed_batch_and_sweep(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(derived, "BROADCAST_BYTES", most)
     post = tables(str(tmp_path), spark)
     batch = spark.createDataFrame([(1, 1, "ab"), (2, 1, "ba")], SCHEMA)
     post.land(batch, 0)

@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+#: Bytes of lacking keys up to which a sweep broadcasts them; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
+
 
 @dataclass(frozen=True)
 class Derived:
@@ -90,7 +93,9 @@ class PostSave:
         for name, table in self.tables.items():
             missing = self.lacking(name, rows.select(self.key), tx).persist()  # keys alone: whole rows are read for these
             try:
-                if missing.count():
-                    self._commit(name, (derive or {}).get(name, table.derive)(rows.join(missing, self.key, "left_semi")), tx)
+                count, size = missing.agg(F.count("*"), F.sum(F.octet_length(F.col(self.key).cast("string")))).first()
+                if count:
+                    keys = F.broadcast(missing) if size + 16 * count <= BROADCAST_BYTES else missing
+                    self._commit(name, (derive or {}).get(name, table.derive)(rows.join(keys, self.key, "left_semi")), tx)
             finally:
                 missing.unpersist()
