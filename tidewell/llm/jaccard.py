@@ -213,15 +213,30 @@ def _unpacked(blobs, kinds) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds)]
 
 
-#: Columns of what is sent to the buckets of classes: class, token, length of the token's list; token 0 tells the class's sizes.
-_SENT = (np.int64, np.uint64, np.uint16)
-
-
-def candidate_lists(docs: DataFrame, frequent: np.ndarray, total: int, words: int, percent: int) -> DataFrame:
-    """(token, node): inverted lists such that two linking classes (nodes) are together on one at least."""
+#: What a flush tells of its texts: class, n shingles, distinct tokens; and of their frequent tokens: place in the flush, token.
+_KNOWN, _OFTEN = (np.int64, np.int64, np.int64), (np.uint16, np.uint64)
+#: Rows of one bucket of tokens that come from one flush: token without its bucket, place of its text in the flush.
+_LISTED = (np.uint32, np.uint16)
+#: The same on the way back to the flush, with the length of the token's list.
+_SENT = (np.uint32, np.uint16, np.uint16)
+#: The bucket of rows that only pass through on their way to a flush.
+_PASSING = -1
+
+
+def candidate_lists(docs: DataFrame, frequent: np.ndarray, owners: DataFrame, documents: int, total: int, words: int, percent: int) -> DataFrame:
+    """(token, node): inverted lists such that two linking classes (nodes) are together on one at least.
+
+    A text is known by its place in what a task sends at once (a *flush*, known by
+    a hash of its content, so a repeated task sends it under the same name) and
+    not by the 8 bytes of its class: a token takes 6 bytes on its way to its
+    bucket and 8 back to the flush, whatever the number of buckets. `owners(key)`
+    tells one row of each class by `_row_key`; a class of which several rows get
+    through is on its lists several times, which changes nothing but their length.
+    """
     bits = min(24, max(6, int(total // BUCKET_SHINGLES).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(_tokens_of(frequent, bits))
-    names = ["bucket", "listed", "known"]
+    chosen = members_of(owners, "key", documents)
+    names = ["bucket", "flush", "listed", "known", "often"]
 
     def emit(batches):
         often, seen = shared.value, set()
@@ -229,39 +244,42 @@ def candidate_lists(docs: DataFrame, frequent: np.ndarray, total: int, words: in
         size = 0
 
         def flushed():
-            owners = np.array([own for own, _, _ in held], np.int64)
-            sizes = np.array([len(t) for _, _, t in held])
-            tokens, own = np.concatenate([t for _, _, t in held]), np.repeat(np.arange(len(held)), sizes)
+            known = [np.array([h[k] for h in held], np.int64) for k in (0, 1)] + [np.array([len(t) for _, _, t in held], np.int64)]
+            flush = class_id(np.concatenate(known))
+            tokens, place = np.concatenate([t for _, _, t in held]), np.repeat(np.arange(len(held), dtype=np.uint16), known[2])
             spot = np.searchsorted(often, tokens)
             last = often[np.minimum(spot, len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
-            rows: dict[int, list] = {}
-            for bucket, (t, o) in _dealt((tokens[~last] >> np.uint64(32)).astype(np.uint32), [tokens[~last].astype(np.uint32), own[~last]]):
-                rows[bucket] = [_packed([t, owners[o]]), None]
-            # frequent tokens and the classes' sizes are dealt by class: they only pass through
-            n = np.array([[n, len(t)] for _, n, t in held], np.uint64).reshape(-1, 2)
-            known = [np.concatenate([owners[own[last]], owners, owners]), np.concatenate([tokens[last] + np.uint64(2), n[:, 0] << np.uint64(1), n[:, 1] << np.uint64(1) | np.uint64(1)]), np.concatenate([np.full(last.sum(), _LAST), np.zeros(2 * len(held), np.uint16)])]
-            for bucket, columns in _dealt((mix(known[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32), known):
-                rows.setdefault(bucket, [None, None])[1] = _packed(columns)
-            return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array([r[k] for r in rows.values()], pa.binary()) for k in (0, 1))], names)
+            rows = [(bucket, _packed(columns)) for bucket, columns in _dealt((tokens[~last] >> np.uint64(32)).astype(np.uint32), [tokens[~last].astype(np.uint32), place[~last]])]
+            # frequent tokens and the texts' sizes only pass through
+            ids = [bucket for bucket, _ in rows] + [flush % (1 << bits)]
+            blobs = [blob for _, blob in rows] + [None]
+            passing = [[None] * len(rows) + [_packed(columns)] for columns in (known, [place[last], tokens[last]])]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([flush] * len(ids), pa.int64()), *(pa.array(b, pa.binary()) for b in (blobs, *passing))], names)
 
         for batch in batches:
-            for shingles in shingle_sets(batch.column("text"), words):
+            wanted = np.flatnonzero(chosen(batch.column("key")))
+            for shingles in shingle_sets(batch.column("text").take(pa.array(wanted, pa.int64())), words):
                 own = class_id(shingles) if len(shingles) else 0
                 if own and own not in seen:  # copies met in this task are skipped
                     if len(seen) < 1 << 20:
                         seen.add(own)
                     held.append((own, len(shingles), _tokens_of(shingles, bits)))
                     size += len(shingles)
-                if size >= HELD_SHINGLES:
+                if size >= HELD_SHINGLES or len(held) == 1 << 16:
                     yield flushed()
                     held, size = [], 0
         if held:
             yield flushed()
 
     def listed(table: pa.Table) -> pa.Table:
-        """Tokens of two classes or more, with the length of their lists, for the buckets of the classes."""
+        """Tokens of two texts or more, with the length of their lists, for the flushes of the texts."""
         bucket = table.column("bucket")[0].as_py()
-        token, own = _unpacked((b.as_py() for b in table.column("listed") if b.is_valid), (np.uint32, np.int64))
+        flushes = table.column("flush").to_numpy()
+        blobs = [(f, b.as_py()) for f, b in zip(flushes.tolist(), table.column("listed")) if b.is_valid]
+        token, place = _unpacked((b for _, b in blobs), _LISTED)
+        ids, ordinal = np.unique(np.array([f for f, _ in blobs], np.int64), return_inverse=True)
+        own = np.repeat(ordinal.astype(np.int64) << 16, [int.from_bytes(b[:8], "little") for _, b in blobs]) | place
+        del place
         order = np.argsort(token, kind="stable")
         token, own = token[order], own[order]
         tied = np.zeros(len(token), bool)
@@ -269,47 +287,48 @@ def candidate_lists(docs: DataFrame, frequent: np.ndarray, total: int, words: in
         tied[1:] |= same
         tied[:-1] |= same
         token, own = token[tied], own[tied]
-        order = np.lexsort((own, token))  # a class may come from several tasks
+        order = np.lexsort((own, token))  # equal flushes are one
         token, own = token[order], own[order]
-        once = np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])) if len(token) else tied[:0]
+        once = np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])) if len(token) else np.zeros(0, bool)
         token, own = token[once], own[once]
         _, where, lengths = np.unique(token, return_inverse=True, return_counts=True)
         lengths = lengths[where]
         keep = lengths > 1
-        token = (token[keep].astype(np.uint64) | np.uint64(bucket << 32)) + np.uint64(2)
-        sent = [own[keep], token, np.minimum(lengths[keep], 65534).astype(np.uint16)]
-        blobs = {}
-        for target, columns in _dealt((mix(sent[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32), sent):
-            blobs.setdefault(target, []).append(_packed(columns))
-        for known in table.column("known"):
+        sent = [token[keep], (own[keep] & 65535).astype(np.uint16), np.minimum(lengths[keep], 65534).astype(np.uint16)]
+        rows = [(int(ids[k]), bucket, _packed(columns), None) for k, columns in _dealt(own[keep] >> 16, sent)]
+        for flush, known, often in zip(flushes.tolist(), table.column("known"), table.column("often")):
             if known.is_valid:
-                blobs.setdefault(bucket, []).append(known.as_py())
-        rows = [(target, blob) for target, several in blobs.items() for blob in several]
+                rows.append((flush, _PASSING, known.as_py(), often.as_py()))
         give_back()
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(("flush", "bucket", "blob", "often"), kinds))})
 
     def first(table: pa.Table) -> pa.Table:
-        """Of each class that has enough shared tokens, those among its first n - T + 1."""
-        own, token, length = _unpacked((b.as_py() for b in table.column("blob")), _SENT)
-        told = length == 0
-        ids, where = np.unique(own, return_inverse=True)
-        n, distinct = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for out, odd in ((n, 0), (distinct, 1)):
-            pick = told & (token & np.uint64(1) == odd)
-            out[where[pick]] = token[pick] >> np.uint64(1)
+        """Of each text of a flush that has enough shared tokens, those among its first n - T + 1."""
+        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), table.column("often").to_pylist()), key=lambda r: r[0])
+        told = next(r for r in rows if r[0] == _PASSING)  # equal flushes tell the same
+        ids, n, distinct = _unpacked([told[1]], _KNOWN)
+        often, last = _unpacked([told[2]], _OFTEN)
+        sent = [r for r in rows if r[0] != _PASSING]
+        low, place, length = _unpacked((r[1] for r in sent), _SENT)
+        high = np.repeat(np.array([r[0] for r in sent], np.uint64) << np.uint64(32), [int.from_bytes(r[1][:8], "little") for r in sent])
+        token, where, length = np.concatenate([high | low, last]), np.concatenate([place, often]).astype(np.int64), np.concatenate([length, np.full(len(last), _LAST)])
         order = np.lexsort((token, length, where))
-        order = order[~told[order]]
-        once = np.append(True, (where[order][1:] != where[order][:-1]) | (token[order][1:] != token[order][:-1])) if len(order) else order.astype(bool)
-        order = order[once]
-        shared = np.bincount(where[order], minlength=len(ids))
+        shared = np.bincount(where, minlength=len(ids))
         take = n + 1 - -(-percent * n // 100) - (distinct - shared)
-        place = np.arange(len(order)) - (np.cumsum(shared) - shared)[where[order]]
-        order = order[place < take[where[order]]]
-        return pa.table({"token": token[order].view(np.int64), "node": own[order]})
+        rank = np.arange(len(order)) - (np.cumsum(shared) - shared)[where[order]]
+        order = order[rank < take[where[order]]]
+        return pa.table({"token": token[order].view(np.int64), "node": ids[where[order]]})
+
+    texts = identified(docs, "text", F.xxhash64("text").alias("text_id")).select("text", _row_key())
+    sent = texts.mapInArrow(trimmed(emit), "bucket int, flush long, listed binary, known binary, often binary")
+    dealt = sent.groupBy("bucket").applyInArrow(listed, "flush long, bucket int, blob binary, often binary")
+    return dealt.groupBy("flush").applyInArrow(first, "token long, node long").distinct()
+
 
-    sent = identified(docs, "text").mapInArrow(trimmed(emit), "bucket int, listed binary, known binary")
-    dealt = sent.groupBy("bucket").applyInArrow(listed, "bucket int, blob binary")
-    return dealt.groupBy("bucket").applyInArrow(first, "token long, node long")
+def _row_key():
+    """A hash of a row's id and text, as column `key`."""
+    return F.xxhash64("doc_id", "text_id").alias("key")
 
 
 def candidate_edges(lists: DataFrame) -> DataFrame:
@@ -457,7 +476,7 @@ def class_components(docs: DataFrame, classes: DataFrame, neighbourhoods: DataFr
     `_across_blocks`.
     """
     members = cut(neighbourhoods.join(classes, "node"))
-    wanted = members_of(members, "text_id")
+    wanted = members_of(members, "text_id", members.count())
 
     def sets(batches):
         seen = set()
@@ -537,13 +556,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
 
     group_id is one number for the documents that links reach from each other, also
     where several texts have one id or none has an id; null for empty sets.
+    A task that is repeated must read its rows in the order of its first time, as
+    from files; write docs to a table first if they come from a shuffle.
     """
     told = cut(shingle_classes(docs, words))
     classes = told.where("often is null").drop("often")
     documents, total = (int(x or 0) for x in classes.agg(F.count("class_id"), F.sum("n_shingles")).first())
-    lists = cut(candidate_lists(docs, frequent_shingles(told, documents, total), total, words, percent))
+    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min("text_id").alias("text_id"), F.min("n_shingles").alias("weight"), F.min(_row_key()).alias("key"))
+    lists = cut(candidate_lists(docs, frequent_shingles(told, documents, total), first, documents, total, words, percent))
     neighbourhoods = cut(connected_components(candidate_edges(lists)))
-    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min("text_id").alias("text_id"), F.min("n_shingles").alias("weight"))
     found = class_components(docs, first.select(F.col("class_id").alias("node"), "text_id", "weight"), neighbourhoods, words, percent)
     groups = found.select(F.col("node").alias("class_id"), "root")
     rooted = first.select("class_id", "first_id").join(groups, "class_id")

@@ -18,8 +18,8 @@ BATCH_BYTES = 4 << 20
 TASK_EDGES, LEAST_TASKS = 1 << 17, 32
 #: Edges (16 bytes each) that one task labels without any rounds.
 ONE_TASK_EDGES = 1 << 20
-#: Bits of the filters that pick rows before a shuffle: 2 MiB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of the filters that pick rows before a shuffle: 2 MiB where the number of keys isn't told, at most 32 MiB where it is.
+FILTER_BITS, LARGEST_FILTER_BITS = 1 << 24, 1 << 28
 
 #: Stands for a null doc_id inside the operators; results carry the null again.
 NULL_ID = -(1 << 63)
@@ -181,31 +181,34 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, one_task: int =
     return roots.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().join(roots.select("node"), "node", "left_anti"))
 
 
-def members_of(df: DataFrame, column: str):
+def members_of(df: DataFrame, column: str, keys: int | None = None):
     """A function from an Arrow column to booleans: false where a value is surely not in df[column].
 
-    A Bloom filter of fixed size, filled in tasks and merged by pieces; where it
-    fills up, more rows pass and the join that follows drops them.
+    A Bloom filter of some 16 bits for each of the `keys` told, filled in tasks and
+    merged by pieces. Its size has a bound; beyond some 30 million keys it fills
+    up, more rows pass and the join that follows drops them.
     """
+    filter_bits = FILTER_BITS if keys is None else min(LARGEST_FILTER_BITS, max(1 << 16, 1 << (16 * keys).bit_length()))
+
     def filled(batches):
-        found = Membership(FILTER_BITS)
+        found = Membership(filter_bits)
         for batch in batches:
             found.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
         pieces = found.table.reshape(64, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "bits"])
 
     def merged(table: pa.Table) -> pa.Table:
-        bits = np.zeros(FILTER_BITS // 512, np.uint8)
+        bits = np.zeros(filter_bits // 512, np.uint8)
         for piece in table.column("bits"):
             bits |= np.frombuffer(piece.as_py(), np.uint8)
         return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
     pieces = df.select(column).coalesce(64).mapInArrow(filled, "piece int, bits binary").groupBy("piece").applyInArrow(merged, "piece int, bits binary").collect()
     table = np.frombuffer(b"".join(bytes(r.bits) for r in sorted(pieces, key=lambda r: r.piece)), np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(table if len(table) else np.zeros(FILTER_BITS // 8, np.uint8))
+    shared = df.sparkSession.sparkContext.broadcast(table if len(table) else np.zeros(filter_bits // 8, np.uint8))
 
     def has(values) -> np.ndarray:
         keys = np.asarray(values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values, np.int64).view(np.uint64)
-        return Membership(FILTER_BITS, shared.value).has(keys)
+        return Membership(filter_bits, shared.value).has(keys)
 
     return has
