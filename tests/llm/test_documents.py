@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, jaccard, media, packing, quality, secrets, suffix, toxicity
 from tidewell.llm.jaccard import divide_skip, jaccard_components
-from tidewell.llm.shared import connected_components
+from tidewell.llm.shared import connected_components, members_of
 from tidewell.llm.queries import QUERIES, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,14 +56,33 @@ def test_jaccard(tables, name):
         assert r.component_id == find(r.doc_id)
 
 
-@pytest.mark.parametrize("block", [40, 2000])
-def test_heavy_neighbourhoods_keep_their_links(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, roots", [(40, 0), (2000, 1 << 16)])
+def test_heavy_neighbourhoods_keep_their_links(spark, monkeypatch, block, roots):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROOTS", roots)
     assert {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()} == want
 
 
+def test_small_flushes_and_copies_in_several_tasks_keep_links(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}
+    monkeypatch.setattr(jaccard, "HELD_SHINGLES", 3000)
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 1 << 10)
+    # every row is listed, so copies are on their lists from each task
+    monkeypatch.setattr(jaccard, "members_of", lambda *_: lambda keys: np.ones(len(keys), bool))
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()} == want
+
+
+def test_filters_grow_with_their_keys(spark):
+    members = members_of(spark.range(2_000_000).select(F.xxhash64("id").alias("key")), "key", 2_000_000)
+    rng = np.random.default_rng(1)
+    assert members(rng.integers(-(2**63), 2**63, 100_000)).mean() < 0.02
+    inside = [r.key for r in spark.range(1000).select(F.xxhash64("id").alias("key")).collect()]
+    assert members(np.array(inside)).all()
+
+
 def test_frequent_shingles_keep_links(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {(r.doc_id, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}

@@ -50,6 +50,8 @@ BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 18, 1 << 20
 HELD_SHINGLES = 1 << 19
 #: A shingle is frequent when more than one class in so many has it, and more than one shingle in so many is it: at most 2 MiB of them.
 FREQUENT_CLASSES, FREQUENT_SHINGLES = 512, 1 << 18
+#: Neighbourhoods (8 bytes each) up to which their names are broadcast; more are joined by a shuffle.
+BROADCAST_ROOTS = 1 << 16
 #: Stands for the length of a frequent token's list.
 _LAST = np.uint16(65535)
 
@@ -384,13 +386,13 @@ def _stars(table: pa.Table) -> pa.Table:
 
 
 def refined(rest: DataFrame, percent: int, salt: int) -> DataFrame:
-    """(node, root) of rest(node, root, shingles) after its neighbourhoods are cut again by other ranges.
+    """(node, root) of rest(node, root, weight, shingles) after its neighbourhoods are cut again by other ranges.
 
     Two linking classes share a range under any choice of ranges, so they stay
     together, while classes that only chance had put on one list part. Classes
     left alone link with nothing and get no row.
     """
-    buckets = 1 + rest.agg(F.sum(F.length("shingles")).alias("n")).first().n // (8 * BUCKET_SHINGLES)
+    buckets = 1 + rest.agg(F.sum("weight").alias("n")).first().n // BUCKET_SHINGLES
 
     def emit(batches):
         def sets():
@@ -508,9 +510,12 @@ def class_components(docs: DataFrame, classes: DataFrame, neighbourhoods: DataFr
     groups = cut(connected_components(links))
     several = stored.where("blocks > 1").select("node", "root").join(groups.select("node", F.col("root").alias("part")), "node", "left")
     several = cut(_with_parts(several).select("root"))
-    if several.isEmpty():
+    count = several.count()
+    if not count:
         return groups
-    rest = stored.join(several, "root", "left_semi").select("node", "root", "weight", "shingles")
+    few = count <= BROADCAST_ROOTS
+    rest = stored.join(F.broadcast(several) if few else several, "root", "left_semi").select("node", "root", "weight", "shingles")
+    rest = rest if few else cut(rest)  # read several times
     return connected_components(links.union(_across_blocks(rest, groups, percent)))
 
 
