@@ -17,6 +17,7 @@ from ..operators import aggregates as agg
 from ..operators import curation, filters, joins, judge, ordering, retrieval, robots, writes
 from ..operators.index import TextIndex
 from ..session import shared_folder
+from ..sources import ledger
 from ..sources.tables import SQL, Tables
 from ..streaming.derived import Derived, PostSave
 from . import browse as browsing
@@ -1255,3 +1256,17 @@ def _(t):
     post.sweep(t.articles().select(*columns), "after", {"summaries": summaries})
     by = F.when(F.col("tx").startswith("sweep"), "sweep").otherwise("stream").alias("summary_by")
     return post.table("statuses").drop("tx").join(post.table("summaries").select("id", "summary", by), "id", "full").join(post.table("kinds").drop("tx"), "id", "full")
+
+
+# ---- ledgers ----
+
+
+@query("usage_ledger", "SELECT event_id, run_id, stage, cost_usd FROM ledger")
+def _(t):
+    """Calls are appended to a ledger in two transactions, the second twice; what the pointer leads to holds each once."""
+    calls = t.events().select("event_id", "run_id", "stage", "cost_usd")
+    folder = f"{shared_folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    early = F.coalesce(F.col("event_id") % 2 == 0, F.lit(False))
+    for batch, part in ((0, early), (1, ~early), (1, ~early)):
+        ledger.append(calls.where(part), folder, "usage", batch)
+    return ledger.table(t.spark, folder)
