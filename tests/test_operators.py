@@ -211,3 +211,11 @@ def test_slots_of_a_hot_key_equal_one_window(spark, monkeypatch):
     got = joins.as_of(asked, told, "run_id", "ts", "told")
     assert sorted((r.event_id, -1 if r.told is None else r.told) for r in got.collect()) == sorted(want)
     df.unpersist()
+
+
+def test_pages_that_share_a_url_have_signals_of_their_own(spark, tmp_path):
+    from tidewell.plans.catalogue import QUERIES
+
+    link = '<a href="/p/1">x</a>'
+    spark.createDataFrame([(1, "https://h.com/a", link), (2, "https://h.com/a", 3 * link), (3, "https://h.com/b", link)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(map(tuple, QUERIES["page_signals"](spark, str(tmp_path)).collect())) == [(1, 1), (2, 3), (3, 1)]

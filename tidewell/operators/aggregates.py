@@ -99,12 +99,12 @@ def phases(frontier: DataFrame) -> DataFrame:
 
 
 def page_signals(links: DataFrame) -> DataFrame:
-    """AG27: internal, external and issue-like links of each page."""
+    """AG27: internal, external and issue-like links of each page, by its id, as pages may share a URL."""
     from ..functions.urls import host_of
 
     own = host_of(F.col("url")) == host_of(F.col("page_url"))
     issue = F.col("url").rlike(r"(?i)/(issues?|editions?|archive|p)/|\d{2,}")
-    return links.groupBy("page_url").agg(F.count_if(own).alias("internal"), F.count_if(~own).alias("external"), F.count_if(own & issue).alias("issue_like"))
+    return links.groupBy("page_id").agg(F.count_if(own).alias("internal"), F.count_if(~own).alias("external"), F.count_if(own & issue).alias("issue_like"))
 
 
 def relevance_scores(records: DataFrame, strict: bool = False) -> DataFrame:
