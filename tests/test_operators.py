@@ -219,3 +219,13 @@ def test_pages_that_share_a_url_have_signals_of_their_own(spark, tmp_path):
     link = '<a href="/p/1">x</a>'
     spark.createDataFrame([(1, "https://h.com/a", link), (2, "https://h.com/a", 3 * link), (3, "https://h.com/b", link)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(map(tuple, QUERIES["page_signals"](spark, str(tmp_path)).collect())) == [(1, 1), (2, 3), (3, 1)]
+
+
+def test_rounding_by_slots_decides_no_admission(spark, monkeypatch):
+    from tidewell.operators import ordering
+
+    monkeypatch.setattr(ordering, "SLOT_NUMBERS", 8)
+    costs = [(1, 0.1), (8, 0.2), (9, 0.3), (10, 0.0), (17, 0.0)]  # in order 0.6000000000000001, but 0.1 + (0.2 + 0.3) is 0.6
+    calls = spark.createDataFrame([(run, seq, cost) for run in (1, None) for seq, cost in costs], "run_id long, seq long, cost_usd double")
+    got = sorted((str(r.run_id), r.seq, r.admitted) for r in ordering.admitted(calls, 0.6).collect())
+    assert got == [(run, seq, seq < 9) for run in ("1", "None") for seq, _ in costs]

@@ -117,14 +117,31 @@ def paging_stop(pages: DataFrame, max_pages: int) -> DataFrame:
 
 
 def admitted(calls: DataFrame, limit: float) -> DataFrame:
-    """WN9 without reservations: calls by run whose spend so far and estimate stay within the limit; the first always."""
+    """WN9 without reservations: calls by run whose spend so far and estimate stay within the limit; the first always.
+
+    Sums of slots round otherwise than one sum in order. Where that could decide a call, its run is summed in order
+    up to there: those rows make one slot, which comes first.
+    """
     order = Window.partitionBy("__at").orderBy("seq")
-    spent = F.coalesce(F.sum("cost_usd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = slotted(calls, "run_id", "seq").withColumn("spent", spent).withColumn("__nth", F.row_number().over(order))
-    rows = with_earlier(rows, {"__cost": F.sum("cost_usd")}, {"__before": F.sum("__cost"), "__slots": F.count(F.lit(1))})
-    rows = rows.withColumn("spent", F.coalesce("__before", F.lit(0.0)) + F.col("spent"))
-    first = (F.col("__slots") == 0) & (F.col("__nth") == 1)
-    return rows.withColumn("admitted", first | (F.col("spent") + F.col("cost_usd") <= limit)).select(*calls.columns, "spent", "admitted")
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        spent = F.coalesce(F.sum("cost_usd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rows = rows.withColumns({"spent": spent, "__nth": F.row_number().over(order), "__size": F.sum(F.abs("cost_usd")).over(until)})
+        totals = {"__cost": F.sum("cost_usd"), "__sizes": F.sum(F.abs("cost_usd")), "__rows": F.count(F.lit(1))}
+        rows = with_earlier(rows, totals, {"__before": F.sum("__cost"), "__past": F.sum("__sizes"), "__n": F.sum("__rows")})
+        return rows.withColumn("spent", F.coalesce("__before", F.lit(0.0)) + F.col("spent"))
+
+    slots = slotted(calls, "run_id", "seq")
+    first, total = summed(slots), F.col("spent") + F.col("cost_usd")
+    # two sums of n terms in any order differ by less than 2 n 2^-53 times the sum of their sizes; twice that is allowed
+    n, size = F.coalesce("__n", F.lit(0)) + F.col("__nth"), F.coalesce("__past", F.lit(0.0)) + F.col("__size")
+    close = first.where(F.abs(total - limit) <= n * size * 2.0**-51).groupBy(F.struct(F.col("run_id").alias("by")).alias("__run")).agg(F.max("seq").alias("__until"))
+    again = slots.withColumn("__run", F.struct(F.col("run_id").alias("by"))).join(close, "__run", "left")
+    slot = F.when(F.col("seq") <= F.col("__until"), F.lit(None)).otherwise(F.col("__at.slot"))
+    rows = summed(again.withColumn("__at", F.struct(F.col("run_id").alias("by"), slot.alias("slot"))))
+    is_first = F.col("__n").isNull() & (F.col("__nth") == 1)
+    return rows.withColumn("admitted", is_first | (total <= limit)).select(*calls.columns, "spent", "admitted")
 
 
 def remaining_ms(elapsed: Column, scanned: Column, total: Column) -> Column:
