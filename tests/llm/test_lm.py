@@ -163,3 +163,9 @@ def test_long_words_are_encoded_in_parts(monkeypatch):
 def test_query(spark, small):
     rows = QUERIES["op11_lm_scoring"](spark, small).collect()
     assert len(rows) == 200 and all(r.held_out == is_held_out(r.doc_id) for r in rows)
+
+
+def test_the_head_learns_from_every_document(tables):
+    outside = tables["small"].where("pmod(xxhash64(doc_id, 3), 16) <> 0").where(~lm.held_out())
+    model, _ = lm.fit_language_model(outside.limit(40), vocabulary(RANKS))  # none of each 16th, which it once learned from alone
+    assert np.abs(model.scorer.out).max() > 0

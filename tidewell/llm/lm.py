@@ -10,9 +10,9 @@ The model is one causal attention head over the ids of a window: the block of
 id is scored once, in batches under one mask. What the head finds is added, in both
 steps, to the log-odds after the last id, which are counted. Counts of words and of
 neighbouring ids come from all documents learned from, in Spark; the weights are
-trained in numpy in the tasks that hold the windows of every `every`-th of these
-documents, in rounds whose results Spark averages. So all that is gathered grows
-with the input, and nothing but tables of fixed size reaches the driver.
+trained in numpy on all windows of these documents, each once, by the tasks that
+read them, in rounds whose results Spark averages. Nothing but tables of fixed size
+reaches the driver, and no window is written anywhere.
 
 Base scores need the count of each word of a text. The words that make up more
 than 1 in 2^18 of all (fewer than 2^18, 4 MiB) are broadcast, the rest are joined.
@@ -276,8 +276,8 @@ class Attention:
         cuts = np.cumsum([p.size for p in self.parts()])[:-1]
         return Attention(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), self.parts())))
 
-    def gradient(self, inputs, first, targets, members, valid, odds) -> tuple[float, Attention]:
-        """Mean loss of the valid places of windows (inputs n x 2 BLOCK, the others n x BLOCK) and its gradient."""
+    def gradient(self, inputs, first, targets, members, valid, odds, sizes=(MEMBERS,) * CLASSES) -> tuple[float, Attention]:
+        """Mean loss of the valid places of windows (inputs n x 2 BLOCK, the others n x BLOCK) and its gradient; `sizes`: members that each class has."""
         apart = _distances()
         x = self.embed[inputs]
         xq = x[:, BLOCK:]
@@ -305,10 +305,12 @@ class Attention:
         loss, p = step(h @ self.out + odds[0][last], targets, use / count)
         dh, d_inner = p @ self.out.T, np.zeros_like(self.inner)
         for c, rows in _by_class(np.where(use, targets, -1)):
-            more, slope = step(h[rows] @ self.inner[c] + odds[1][last[rows], c], members[rows], use[rows] / count)
-            loss += more
-            d_inner[c] = h[rows].T @ slope
-            dh[rows] += slope @ self.inner[c].T
+            if (n := sizes[c]) > 1:  # the only member of a class is certain
+                own, found = self.inner[c, :, :n], h[rows]
+                more, slope = step(found @ own + odds[1][last[rows], c, :n], members[rows], use[rows] / count)
+                loss += more
+                d_inner[c, :, :n] = found.T @ slope
+                dh[rows] += slope @ own.T
         dh = dh.astype(np.float32).reshape(q.shape)
         da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
         ds = a * (da - (a * da).sum(axis=2, keepdims=True))
@@ -446,47 +448,46 @@ class LanguageModel:
         return np.log10((counts + 0.1) / (self.train_tokens + 0.1 * (self.distinct + 1)))
 
 
-def _fitted(docs: DataFrame, classes: Classes, odds, file, every: int, rounds: int, batch_windows: int, task_windows: int, rate: float) -> Attention:
-    """The head's weights after `rounds` rounds: tasks train on their windows from common weights, Spark averages theirs."""
+def _fitted(docs: DataFrame, classes: Classes, odds, file, every: int, rounds: int, batch_windows: int, tasks: int, rate: float) -> Attention:
+    """The head's weights after `rounds` rounds: tasks train on the windows of a round's texts from common weights, Spark averages theirs."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((classes, odds))
-    names = ("inputs", "targets", "members", "valid")
-
-    def cut_up(batches):
-        segmenter = Segmenter(file.value)
-        for batch in batches:
-            for _, _, keys, bounds, words in token_runs(batch.column("text")):
-                blocks, first, *others, _ = windows(*row_ids(keys, bounds, words, segmenter), shared.value[0])
-                inputs = np.concatenate([blocks[:-1], blocks[1:]], axis=1)
-                for a in range(0, len(inputs), 1 << 12):
-                    k = slice(a, a + (1 << 12))
-                    blobs = [pa.array([row.tobytes() for row in x[k].astype(np.int16)], pa.binary()) for x in (inputs, *others)]
-                    yield pa.RecordBatch.from_arrays([*blobs, pa.array(first[k])], [*names, "first"])
-
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(every)) == 0).select("text")
-    cuts = chosen.mapInArrow(trimmed(cut_up), ", ".join(f"{c} binary" for c in names) + ", first boolean")
-    turns = cut(cuts.withColumn("turn", F.pmod(F.xxhash64(*names), F.lit(rounds)).cast("int")))
-    tasks = max(1, turns.count() // task_windows)
+    turn_of = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(rounds))
+    texts = docs if every == 1 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(every)) == 0)
     weights = Attention.fresh()
     for turn in range(rounds):
         start = context.broadcast(weights)
 
         def train(batches, turn=turn, start=start):
-            now, odds = start.value, shared.value[1]
-            flat, adam, seen = now.flat(), Adam(rate / 2**turn), 0
+            segmenter, (classes, odds) = Segmenter(file.value), shared.value
+            now = start.value
+            flat, adam, seen, held, room = now.flat(), Adam(rate / 2**turn), 0, [], 0
+
+            def learn(parts):
+                nonlocal now, flat, seen
+                inputs, first, targets, members, valid = parts
+                _, slope = now.gradient(inputs.astype(np.int64), first, targets.astype(np.int64), members.astype(np.int64), valid.astype(np.float32), odds, classes.sizes)
+                flat = adam.step(flat, slope.flat())
+                now = now.filled(flat)
+                seen += len(inputs)
+
             for batch in batches:
-                parts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int16).reshape(len(batch), -1).astype(np.int64) for c in names]
-                first = batch.column("first").to_numpy(zero_copy_only=False)
-                for a in range(0, len(batch), batch_windows):
-                    inputs, targets, members, valid = (p[a : a + batch_windows] for p in parts)
-                    _, slope = now.gradient(inputs, first[a : a + batch_windows], targets, members, valid.astype(np.float32), odds)
-                    flat = adam.step(flat, slope.flat())
-                    now = now.filled(flat)
-                    seen += len(inputs)
+                for _, _, keys, bounds, words in token_runs(batch.column("text")):
+                    blocks, first, *others, _ = windows(*row_ids(keys, bounds, words, segmenter), classes)
+                    held.append((np.concatenate([blocks[:-1], blocks[1:]], axis=1), first, *others))
+                    room += len(first)
+                    if room >= batch_windows:
+                        parts = [np.concatenate(x) for x in zip(*held)]
+                        whole = room - room % batch_windows
+                        for a in range(0, whole, batch_windows):
+                            learn([x[a : a + batch_windows] for x in parts])
+                        held, room = [tuple(x[whole:] for x in parts)], room - whole
+            if room:
+                learn([np.concatenate(x) for x in zip(*held)])
             if seen:  # whole numbers add up to the same sum in any order
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.append(seen, np.rint(flat.astype(np.float64) * seen * 4096).astype(np.int64)))], ["place", "w"])
 
-        mine = turns.where(F.col("turn") == turn).select(*names, "first").coalesce(tasks)
+        mine = texts.where(turn_of == turn).select("text").coalesce(tasks)
         found = mine.mapInArrow(trimmed(train), "place int, w long").groupBy("place").agg(F.sum("w").alias("w")).toArrow()
         if len(found):
             sums = np.zeros(len(found))
@@ -495,13 +496,13 @@ def _fitted(docs: DataFrame, classes: Classes, odds, file, every: int, rounds: i
     return weights
 
 
-def fit_language_model(docs: DataFrame, path: str, every: int = 16, rounds: int = 4, batch_windows: int = 128, task_windows: int = 1 << 17, rate: float = 0.02) -> tuple[LanguageModel, DataFrame]:
+def fit_language_model(docs: DataFrame, path: str, every: int = 1, rounds: int = 4, batch_windows: int = 256, task_windows: int = 1 << 15, rate: float = 0.02) -> tuple[LanguageModel, DataFrame]:
     """The model of docs(doc_id, text) and the counts (key, n) of their words.
 
-    `path` is a vocabulary file of ranks. Counts cover all docs. The head is
-    trained on all windows of each `every`-th document by a hash of doc_id, so
-    its sample grows with the docs; so does the number of tasks, of
-    `task_windows` windows or more each, that train it.
+    `path` is a vocabulary file of ranks. Counts cover all docs, and the head is
+    trained on all windows of all of them (a caller may have it learn from each
+    `every`-th document by a hash of doc_id alone). The number of tasks that train
+    it, of `task_windows` windows or more each in a round, grows with the docs.
     """
     docs = small_batches(docs)
     with open(path, "rb") as f:
@@ -534,7 +535,8 @@ def fit_language_model(docs: DataFrame, path: str, every: int = 16, rounds: int
     after = np.zeros(INPUTS * CLASSES * MEMBERS)
     after[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     odds = classes.log_odds(after)
-    weights = _fitted(docs, classes, odds, file, every, rounds, batch_windows, task_windows, rate)
+    tasks = max(1, int(ids.sum()) // (BLOCK * every * rounds * task_windows))
+    weights = _fitted(docs, classes, odds, file, every, rounds, batch_windows, tasks, rate)
     model = LanguageModel(content, classes, Scorer(weights, odds, classes.sizes), total.n, total.v, keys[order], frequent.column("n").to_numpy()[order])
     return model, words
 
