@@ -146,3 +146,21 @@ def test_titles_of_the_query_keep_references_that_its_sql_keeps(spark, tmp_path)
     got = {r.page_id: r.title for r in QUERIES["html_titles"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(["a && b&amp", "key = &quot;7&#33;", "&lt; <b>", "two words"]))
     assert pages.title("<h1>a &quot;b&quot; &amp</h1>") == 'a "b" &'  # the operator itself decodes as a browser does
+
+
+@pytest.mark.parametrize("name", ["html_text", "html_markdown"])
+def test_batches_of_pages_are_bounded_by_their_bytes(spark, tmp_path, name):
+    """8,000 pages of 4 KB would come as one batch of 32 MB."""
+    from tidewell.plans.catalogue import QUERIES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        spark.range(0, 8000, 1, 1).select(F.col("id").alias("page_id"), F.lit("https://h.com").alias("url"), F.repeat(F.lit("<p>a"), 1000).alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+        QUERIES[name](spark, str(tmp_path))
+        rows = spark.read.parquet(str(tmp_path / "pages.parquet")).select("html").mapInPandas(lambda frames: (f.assign(html=str(len(f))) for f in frames), "html string")
+        assert max(int(r.html) for r in rows.distinct().collect()) <= 1200
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +28,18 @@ def setting(spark: SparkSession, flag: str | None, key: str, default: str) -> st
     return flag if flag is not None else spark.conf.get(key, default)
 
 
+def small_batches(df: DataFrame, most: str = "4194304b") -> DataFrame:
+    """df, with its session's Arrow batches bounded to `most` bytes unless they were set otherwise.
+
+    Where whole texts go to Python workers, the usual bounds of 10,000 rows or 64 MiB, held by every task as
+    a batch, its pandas copy and its results, grow an executor with its files until all batches are full.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) in (None, "67108864b", "64m", "64MB"):
+        df.sparkSession.conf.set(key, most)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all machines reach; a temporary one under a local master alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
