@@ -112,3 +112,15 @@ def test_lookups_read_the_buckets_of_their_terms(spark, articles, tmp_path):
     assert "EqualTo(term,run)" in plan or "In(term, [run])" in plan
     whole = spark.read.parquet(str(tmp_path / "index/postings"))
     assert {r.bucket for r in whole.where("term = 'run'").select("bucket").distinct().collect()} == {own}
+
+
+def test_tasks_that_cut_texts_follow_the_batch(spark, articles, tmp_path, monkeypatch):
+    from tidewell.operators import index as module
+
+    monkeypatch.setattr(module, "TASK_BYTES", 1 << 14, raising=False)
+    seen, write = [], TextIndex._write
+    monkeypatch.setattr(TextIndex, "_write", lambda self, docs, posted, *where: seen.append(docs.rdd.getNumPartitions()) or write(self, docs, posted, *where))
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=8)
+    index.apply(put(articles))
+    size = articles.agg(F.sum(F.octet_length("title") + F.octet_length("content"))).first()[0]
+    assert seen == [1 + size // (1 << 14)] and seen[0] > 4 and scores(index) == rebuilt(articles)

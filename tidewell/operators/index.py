@@ -30,6 +30,8 @@ _MANIFEST = "version long, kind string, segment long, name string, rows long, to
 _POSTINGS = "id long, term string, wtf double, len int, segment long, name string, bucket int"
 _DOCS = "id long, len int, segment long, name string"
 _REMOVED = "id long, at long"
+#: Bytes of text that one task cuts into postings: it holds a row for each document and term, some thirty times as much.
+TASK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,9 @@ class TextIndex:
         hidden.select("id", "at").write.parquet(f"{self.folder}/removed/{name}")
         removed = self.spark.read.schema(_REMOVED).parquet(f"{self.folder}/removed/{name}").count()
         lost = hidden.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first().n if removed else 0
-        new = known.groupBy("id").agg(F.max_by(row, "seq").alias("row")).select("id", "row.*").where("op IS NULL OR op <> 'delete'").drop("op")
+        size = known.agg(F.sum(sum((F.coalesce(F.octet_length(f), F.lit(0)) for f in have), F.lit(0)))).first()[0]
+        dealt = known.repartition(1 + (size or 0) // TASK_BYTES, "id")  # their number follows the batch, so no task grows with it
+        new = dealt.groupBy("id").agg(F.max_by(row, "seq").alias("row")).select("id", "row.*").where("op IS NULL OR op <> 'delete'").drop("op")
         added = self._write(new.select("id", retrieval.lengths(new, self.fields).alias("len")), retrieval.postings(new, self.fields, self.porter), at, name)
         stats = next((p for p in parts if p.kind == "stats"), Part("stats", 0, "", 0))
         keep = [p for p in parts if p.kind != "stats" and not (p.kind == "stream" and p.name == stream)]
