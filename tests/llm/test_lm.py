@@ -169,3 +169,43 @@ def test_the_head_learns_from_every_document(tables):
     outside = tables["small"].where("pmod(xxhash64(doc_id, 3), 16) <> 0").where(~lm.held_out())
     model, _ = lm.fit_language_model(outside.limit(40), vocabulary(RANKS))  # none of each 16th, which it once learned from alone
     assert np.abs(model.scorer.out).max() > 0
+
+
+def test_a_run_of_blocks_has_the_gradient_of_its_windows():
+    draw = np.random.default_rng(5)
+    classes = lm.Classes(10**5 // np.arange(1, 3001))
+    ids = draw.zipf(1.3, 4000).clip(1, 2999) - 1
+    bounds = np.array([0, 700, 701, 2500, 4000])
+    ids[bounds[1:] - 1] = 2999
+    blocks, first, targets, members, valid, _ = lm.windows(ids, bounds, classes)
+    after = draw.integers(0, 3, (lm.INPUTS, lm.CLASSES, lm.MEMBERS)).astype(float)
+    after[:, np.arange(lm.MEMBERS) >= classes.sizes[:, None]] = 0
+    odds = classes.log_odds(after)
+    weights = lm.Attention.fresh()
+    weights = weights.filled(weights.flat() + draw.normal(0, 0.1, len(weights.flat())))
+    alone, one = weights.gradient(np.concatenate([blocks[:-1], blocks[1:]], axis=1), first, targets, members, valid.astype(np.float32), odds, classes.sizes)
+    run, two = weights.gradient(blocks, first, targets, members, valid, lm.by_width(odds, classes.sizes), classes.sizes)
+    assert run == pytest.approx(alone, rel=1e-4)
+    for a, b in zip(one.parts(), two.parts()):
+        assert np.abs(a - b).max() <= 1e-4 * np.abs(a).max()
+    assert np.abs(two.inner).sum(axis=(1, 2))[: len(classes.sizes)][classes.sizes == 1].sum() == 0  # the only member of a class is certain
+
+
+def test_distinct():
+    keys = np.random.default_rng(0).integers(0, 50, 400).astype(np.uint64) << np.uint64(58)
+    for some in (keys, keys[:1], keys[:0]):
+        for got, want in zip(lm.distinct(some), np.unique(some, return_index=True, return_inverse=True, return_counts=True)):
+            assert got.tolist() == want.tolist()
+
+
+def test_scoring_reads_texts_once(tables, fitted):
+    plan = lm.scored(tables["small"], *fitted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_repeated_rows_are_scored_each(spark, tables, fitted):
+    docs = tables["small"].limit(3).select("doc_id", "text")
+    once, thrice = (lm.scored(d, *fitted).collect() for d in (docs, docs.union(docs).union(docs)))
+    want = {r.doc_id: r for r in once}
+    assert len(want) == 3 and len(thrice) == 9
+    assert all(r.n_known == want[r.doc_id].n_known and r.base_score == pytest.approx(want[r.doc_id].base_score) and r.score == pytest.approx(want[r.doc_id].score, rel=1e-5) for r in thrice)

@@ -37,12 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, prefix_sums, row_runs, span_hash, text_bytes, word_spans
-from .shared import cut, small_batches, trimmed
+from .shared import cut, reusing, small_batches
 
 #: Ids scored together, classes and members of one at most, ids with an embedding of their own, and its width.
 BLOCK, CLASSES, MEMBERS, INPUTS, WIDTH = 16, 64, 64, 512, 16
-#: Blocks of a batch of the attention.
-SCORED = 512
+#: Blocks of a batch of the attention, and places of one class that are learned from together.
+SCORED, CHUNK = 512, 32
+#: Classes are learned from as if they had one of these numbers of members.
+WIDTHS = (8, 32, MEMBERS)
 #: Words that are encoded in one piece have at most so many characters.
 LONG_WORD = 256
 #: Words that a task remembers the ids of, and counts that it holds.
@@ -123,6 +125,17 @@ def token_runs(column: pa.Array):
         yield lo, hi, keys, bounds + np.arange(len(bounds)), (part, starts, ends)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What np.unique returns with first places, places and counts; keys are hashed and only the different ones sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    known, where = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(where), prepend=-1))  # the codes count up as keys appear
+    order = np.argsort(known)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return known[order], first[order], place.take(where), np.bincount(where, minlength=len(order))[order]
+
+
 class _Sums:
     """Counts of 64-bit keys, held sorted and distinct once there are many."""
 
@@ -163,21 +176,22 @@ def corpus_counts(docs: DataFrame, file) -> DataFrame:
         segmenter, words, pairs = Segmenter(file.value), _Sums(), _Sums()
         for batch in batches:
             for _, _, keys, _, (data, starts, ends) in token_runs(batch.column("text")):
-                known, first, where, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+                known, first, where, n = distinct(keys)
                 words.add(known, n)
                 segmenter.learn(known, data, starts[first], ends[first])
                 flat, at, sizes = segmenter.of(known)
                 inner = spread(at, sizes - 1)
                 pairs.add(flat[inner].astype(np.int64) * _PAIR + flat[inner + 1], np.repeat(n, sizes - 1))
                 last = np.append(segmenter.end, flat[at + sizes - 1][where[:-1]]).astype(np.int64)
-                pairs.add(*np.unique(last * _PAIR + flat[at][where], return_counts=True))
+                pair, _, _, n = distinct(last * _PAIR + flat[at][where])
+                pairs.add(pair, n)
                 for sums, kind in ((words, 0), (pairs, 1)):
                     if sums.held > HELD:
                         yield from sums.batches(kind)
         yield from words.batches(0)
         yield from pairs.batches(1)
 
-    told = docs.select("text").mapInArrow(trimmed(run), "kind int, key long, n long")
+    told = docs.select("text").mapInArrow(reusing(run), "kind int, key long, n long")
     return told.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -274,57 +288,110 @@ class Attention:
 
     def filled(self, flat: np.ndarray) -> Attention:
         cuts = np.cumsum([p.size for p in self.parts()])[:-1]
-        return Attention(*(x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), self.parts())))
+        return Attention(*(x.reshape(p.shape).astype(np.float32, copy=False) for x, p in zip(np.split(flat, cuts), self.parts())))
 
     def gradient(self, inputs, first, targets, members, valid, odds, sizes=(MEMBERS,) * CLASSES) -> tuple[float, Attention]:
-        """Mean loss of the valid places of windows (inputs n x 2 BLOCK, the others n x BLOCK) and its gradient; `sizes`: members that each class has."""
-        apart = _distances()
-        x = self.embed[inputs]
-        xq = x[:, BLOCK:]
-        q, k, v = xq @ self.query / np.float32(WIDTH**0.5), x @ self.key, x @ self.value
-        s = q @ k.transpose(0, 2, 1) + self.near[np.maximum(apart, 0)]
-        s[:, apart < 0] = -np.inf
-        s[first, :, :BLOCK] = -np.inf
-        a = np.exp(s - s.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        h = (a @ v).reshape(-1, WIDTH)
-        last, targets, members, use = inputs[:, BLOCK:].ravel(), targets.ravel(), members.ravel(), valid.ravel()
-        count = np.float32(max(1, int(use.sum())))
-
-        def step(logits, at, weight):
-            """Loss of a softmax and its slope by the logits."""
-            logits = logits - logits.max(axis=1, keepdims=True)
-            p, rows = np.exp(logits), np.arange(len(at))
-            total = p.sum(axis=1, keepdims=True)
-            loss = float(((np.log(total[:, 0]) - logits[rows, at]) * weight).sum())
-            p /= total
-            p[rows, at] -= 1
-            p *= weight[:, None]
-            return loss, p
-
-        loss, p = step(h @ self.out + odds[0][last], targets, use / count)
-        dh, d_inner = p @ self.out.T, np.zeros_like(self.inner)
-        for c, rows in _by_class(np.where(use, targets, -1)):
-            if (n := sizes[c]) > 1:  # the only member of a class is certain
-                own, found = self.inner[c, :, :n], h[rows]
-                more, slope = step(found @ own + odds[1][last[rows], c, :n], members[rows], use[rows] / count)
+        """Mean loss of the valid places of windows (n x BLOCK) and its gradient; `sizes`: members that each class has.
+
+        `inputs` is a run of blocks, as of `windows`, or n windows of 2 BLOCK that stand alone.
+        `odds` are of `Classes.log_odds`, or of `by_width`, which need not be cut at each step.
+        """
+        if inputs.shape[1] == 2 * BLOCK:  # blocks of no valid place between the windows
+            first, targets, members, valid = (np.repeat(x, 2, axis=0)[:-1] for x in (first, targets, members, valid))
+            first[1::2], valid[1::2] = True, 0
+            inputs = inputs.reshape(-1, BLOCK)
+        n, apart, root = len(first), _distances(), np.float32(WIDTH**-0.5)
+        mine = inputs[1:].ravel()
+        # what is mapped is one table a map, not each place
+        tables = self.embed @ self.query * root, self.embed @ self.key, np.append(self.embed @ self.value, np.ones((INPUTS, 1), np.float32), axis=1)
+        around = np.concatenate([inputs[:-1], inputs[1:]], axis=1)
+        q, k, v = tables[0].take(inputs[1:], axis=0), tables[1].take(around, axis=0), tables[2].take(around, axis=0)
+        e = q @ k.transpose(0, 2, 1)
+        if _longest(tables[0]) * _longest(tables[1]) > 60:  # no exponent may overflow
+            np.minimum(e, 60, out=e)
+        np.exp(e, out=e)
+        e *= np.where(apart < 0, 0, np.exp(np.minimum(self.near, 20)[np.maximum(apart, 0)]))
+        e[first, :, :BLOCK] = 0
+        h = e @ v  # the last column adds up the weights
+        total = 1 / h[:, :, WIDTH:]
+        h = h[:, :, :WIDTH] * total
+        weight = valid.ravel() / np.float32(max(1, int(valid.sum())))
+
+        # places in the order of their classes; no exponent may overflow
+        high = _longest(tables[2][:, :WIDTH]) * max(_longest(self.out.T), _longest(self.inner.transpose(0, 2, 1))) > 80
+        order = np.argsort(targets.ravel().astype(np.int16), kind="stable")  # small numbers are sorted by radix
+        found, last, at, weight = h.reshape(-1, WIDTH).take(order, axis=0), mine.take(order), targets.ravel().take(order), weight.take(order)
+        loss, dh, d_out = _softmax_slope(found, self.out, odds[0].take(last, axis=0), at, weight, high)
+        d_inner, sizes, low = np.zeros_like(self.inner), np.asarray(sizes), 1
+        inside, bounds = members.ravel().take(order), np.searchsorted(at, np.arange(CLASSES + 1))
+        for width in WIDTHS:  # classes of like size together, CHUNK places of one class at a time
+            some = np.flatnonzero((sizes > low) & (sizes <= width) & (np.diff(bounds)[: len(sizes)] > 0))  # the only member of a class is certain
+            low = width
+            if len(some):
+                count = np.diff(bounds)[some]
+                chunks = -(-count // CHUNK)
+                to = spread((np.cumsum(chunks) - chunks) * CHUNK, count)
+                own, of = spread(bounds[some], count), np.repeat(some, chunks)
+                rows, place = np.zeros(len(of) * CHUNK, np.int64), np.zeros((2, len(of) * CHUNK), np.float32)
+                rows[to], place[0, to], place[1, to] = own, inside[own], weight[own]
+                apiece = odds[1][width] if isinstance(odds[1], dict) else odds[1][:, :, :width].reshape(-1, width)
+                more, back, slope = _softmax_slope(found.take(rows, axis=0).reshape(-1, CHUNK, WIDTH), self.inner[of, :, :width], apiece.take(last[rows].astype(np.int64) * CLASSES + at[rows], axis=0), place[0].astype(np.int64), place[1], high)
                 loss += more
-                d_inner[c, :, :n] = found.T @ slope
-                dh[rows] += slope @ own.T
-        dh = dh.astype(np.float32).reshape(q.shape)
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-        dq, dk = ds @ k / np.float32(WIDTH**0.5), ds.transpose(0, 2, 1) @ q
-        dx = dk @ self.key.T + dv @ self.value.T
-        dx[:, BLOCK:] += dq @ self.query.T
-        flat, rows = inputs.ravel(), dx.reshape(-1, WIDTH)
-        order = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-        d_embed = np.zeros_like(self.embed)
-        d_embed[flat[order][heads]] = np.add.reduceat(rows[order], heads)
+                dh[own] += back.reshape(-1, WIDTH)[to]
+                for j in range(chunks.max()):
+                    more = chunks > j
+                    d_inner[some[more], :, :width] += slope[(np.cumsum(chunks) - chunks)[more] + j]
+        back = np.empty_like(dh)
+        back[order] = dh
+
+        # the same weights lead back
+        g = np.empty((n, BLOCK, WIDTH + 1), np.float32)
+        np.multiply(back.reshape(h.shape), total, out=g[:, :, :WIDTH])
+        g[:, :, WIDTH] = -np.einsum("nij,nij->ni", g[:, :, :WIDTH], h)
+        ds = g @ v.transpose(0, 2, 1)
+        ds *= e
+        d = np.zeros((n + 1, BLOCK, 3 * WIDTH), np.float32)
+        d[1:, :, :WIDTH] = ds @ k
+        both = ds.transpose(0, 2, 1) @ q, e.transpose(0, 2, 1) @ g[:, :, :WIDTH]
+        for at, one in zip((WIDTH, 2 * WIDTH), both):
+            d[1:, :, at : at + WIDTH] = one[:, BLOCK:]
+            d[:-1, :, at : at + WIDTH] += one[:, :BLOCK]
+        flat = inputs.ravel()
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        known = flat[order]
+        heads = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
+        slopes = np.zeros((INPUTS, 3 * WIDTH), np.float32)
+        slopes[known[heads]] = np.add.reduceat(d.reshape(-1, 3 * WIDTH).take(order, axis=0), heads)
+        dq, dk, dv = np.split(slopes, 3, axis=1)
+        dq = dq * root
+        d_embed = dq @ self.query.T + dk @ self.key.T + dv @ self.value.T
         d_near = np.bincount(np.maximum(apart, 0).ravel(), np.where(apart < 0, 0, ds.sum(axis=0)).ravel(), 2 * BLOCK).astype(np.float32)
-        across = [np.tensordot(one, two, ((0, 1), (0, 1))) for one, two in ((xq, dq), (x, dk), (x, dv))]
-        return loss, Attention(d_embed, *across, d_near, h.T @ p, d_inner)
+        return loss, Attention(d_embed, self.embed.T @ dq, self.embed.T @ dk, self.embed.T @ dv, d_near, d_out, d_inner)
+
+
+def by_width(odds: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Odds for learning: those of members, by input and class, cut to each of WIDTHS; a member that a class doesn't have gets none."""
+    there = np.arange(MEMBERS) < np.append(sizes, np.zeros(CLASSES - len(sizes), np.int64))[:, None]
+    inner = np.where(there, odds[1], np.float32(-1e9))
+    return odds[0], {width: inner[:, :, :width].reshape(-1, width) for width in WIDTHS}
+
+
+def _softmax_slope(found, out, odds, at, weight, high: bool):
+    """(loss, slope by found, slope by out) of the softmax of found @ out + odds; found and out may be stacks of matrices. `high`: exponents may overflow."""
+    logits = found @ out
+    shape, logits = logits.shape, logits.reshape(odds.shape)
+    logits += odds
+    if high:
+        np.minimum(logits, 80, out=logits)
+    own = np.arange(0, logits.size, logits.shape[1]) + at
+    told = logits.ravel()[own]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    loss = float(((np.log(total) - told) * weight).sum())
+    logits *= (weight / total)[:, None]
+    logits.ravel()[own] -= weight
+    slope = logits.reshape(shape)
+    return loss, (slope @ np.swapaxes(out, -2, -1)).reshape(-1, WIDTH), np.swapaxes(found, -2, -1) @ slope
 
 
 @dataclass
@@ -333,14 +400,25 @@ class Adam:
 
     rate: float
     steps: int = 0
-    mean: np.ndarray | float = 0.0
-    square: np.ndarray | float = 0.0
+    mean: np.ndarray | None = None
+    square: np.ndarray | None = None
 
     def step(self, flat: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """The weights after one step; what `gradient` holds is lost."""
         self.steps += 1
-        self.mean = 0.9 * self.mean + 0.1 * gradient
-        self.square = 0.99 * self.square + 0.01 * gradient * gradient
-        return flat - self.rate * (self.mean / (1 - 0.9**self.steps)) / (np.sqrt(self.square / (1 - 0.99**self.steps)) + 1e-8)
+        if self.steps == 1:
+            self.mean, self.square = np.zeros_like(gradient), np.zeros_like(gradient)
+        self.mean += 0.1 * (gradient - self.mean)
+        gradient *= gradient
+        gradient -= self.square
+        gradient *= 0.01
+        self.square += gradient
+        np.sqrt(self.square, out=gradient)
+        gradient *= (1 - 0.99**self.steps) ** -0.5
+        gradient += 1e-8
+        np.divide(self.mean, gradient, out=gradient)
+        gradient *= self.rate / (1 - 0.9**self.steps)
+        return flat - gradient
 
 
 class Scorer:
@@ -424,7 +502,7 @@ def windows(ids: np.ndarray, bounds: np.ndarray, classes: Classes):
 
 def row_ids(keys: np.ndarray, bounds: np.ndarray, words, segmenter: Segmenter) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all tokens of a run of rows, and their bounds by row."""
-    known, first, where = np.unique(keys, return_index=True, return_inverse=True)
+    known, first, where, _ = distinct(keys)
     data, starts, ends = words
     segmenter.learn(known, data, starts[first], ends[first])
     flat, at, sizes = segmenter.of(known)
@@ -460,35 +538,40 @@ def _fitted(docs: DataFrame, classes: Classes, odds, file, every: int, rounds: i
 
         def train(batches, turn=turn, start=start):
             segmenter, (classes, odds) = Segmenter(file.value), shared.value
-            now = start.value
+            odds, now = by_width(odds, classes.sizes), start.value
             flat, adam, seen, held, room = now.flat(), Adam(rate / 2**turn), 0, [], 0
+            before = np.zeros((1, BLOCK), np.int16)
 
             def learn(parts):
                 nonlocal now, flat, seen
-                inputs, first, targets, members, valid = parts
-                _, slope = now.gradient(inputs.astype(np.int64), first, targets.astype(np.int64), members.astype(np.int64), valid.astype(np.float32), odds, classes.sizes)
+                _, slope = now.gradient(*parts, odds, classes.sizes)
                 flat = adam.step(flat, slope.flat())
                 now = now.filled(flat)
-                seen += len(inputs)
+                seen += len(parts[1])
+
+            def together():
+                blocks, *others = (np.concatenate(x) for x in zip(*held))
+                return [np.concatenate([before, blocks]), *others]
 
             for batch in batches:
                 for _, _, keys, bounds, words in token_runs(batch.column("text")):
-                    blocks, first, *others, _ = windows(*row_ids(keys, bounds, words, segmenter), classes)
-                    held.append((np.concatenate([blocks[:-1], blocks[1:]], axis=1), first, *others))
-                    room += len(first)
+                    blocks, *others, _ = windows(*row_ids(keys, bounds, words, segmenter), classes)
+                    held.append((blocks[1:], *others))
+                    room += len(blocks) - 1
                     if room >= batch_windows:
-                        parts = [np.concatenate(x) for x in zip(*held)]
+                        blocks, *others = together()
                         whole = room - room % batch_windows
                         for a in range(0, whole, batch_windows):
-                            learn([x[a : a + batch_windows] for x in parts])
-                        held, room = [tuple(x[whole:] for x in parts)], room - whole
+                            learn([blocks[a : a + batch_windows + 1], *(x[a : a + batch_windows] for x in others)])
+                        before = blocks[whole : whole + 1]
+                        held, room = [(blocks[whole + 1 :], *(x[whole:] for x in others))], room - whole
             if room:
-                learn([np.concatenate(x) for x in zip(*held)])
+                learn(together())
             if seen:  # whole numbers add up to the same sum in any order
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.append(seen, np.rint(flat.astype(np.float64) * seen * 4096).astype(np.int64)))], ["place", "w"])
 
         mine = texts.where(turn_of == turn).select("text").coalesce(tasks)
-        found = mine.mapInArrow(trimmed(train), "place int, w long").groupBy("place").agg(F.sum("w").alias("w")).toArrow()
+        found = mine.mapInArrow(reusing(train), "place int, w long").groupBy("place").agg(F.sum("w").alias("w")).toArrow()
         if len(found):
             sums = np.zeros(len(found))
             sums[found.column("place").to_numpy()] = found.column("w").to_numpy()  # the number of windows, place -1, comes last
@@ -531,7 +614,7 @@ def fit_language_model(docs: DataFrame, path: str, every: int = 1, rounds: int =
         for a in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[a : a + (1 << 16)]), pa.array(found[at[a : a + (1 << 16)]])], ["cell", "n"])
 
-    counted = pairs.mapInArrow(trimmed(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = pairs.mapInArrow(reusing(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     after = np.zeros(INPUTS * CLASSES * MEMBERS)
     after[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     odds = classes.log_odds(after)
@@ -541,66 +624,68 @@ def fit_language_model(docs: DataFrame, path: str, every: int = 1, rounds: int =
     return model, words
 
 
-def _rest_of_base(docs: DataFrame, model, words: DataFrame) -> DataFrame:
-    """(text_key, rare_known, rare_base) for each different text: what its words beyond the frequent ones add."""
-
-    def run(batches):
-        frequent = model.value.frequent
-        for batch in batches:
-            text_key = batch.column("text_key").to_numpy()
-            for lo, hi, keys, bounds, _ in token_runs(batch.column("text")):
-                row = np.repeat(np.arange(lo, hi), np.diff(bounds))
-                at = np.minimum(np.searchsorted(frequent, keys), max(0, len(frequent) - 1))
-                rare = frequent[at] != keys if len(frequent) else np.ones(len(keys), bool)
-                keys, row = keys[rare], row[rare]
-                order = np.argsort(keys, kind="stable")
-                keys, row = keys[order], row[order]
-                heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))[: len(keys)])
-                n = np.diff(np.append(heads, len(keys)))
-                # and one row for each copy of the text, spread by its key
-                columns = (np.append(text_key[row[heads]], text_key[lo:hi]), np.append(keys[heads].view(np.int64), text_key[lo:hi]), np.append(n, np.full(hi - lo, -1)))
-                for a in range(0, len(columns[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], ["text_key", "key", "tf"])
-
-    shown = docs.select("text", "text_key").mapInArrow(trimmed(run), "text_key long, key long, tf long")
-    rare = words.where(F.col("n") <= F.lit(model.value.train_tokens // FREQUENT))
-    count = F.coalesce("n", F.lit(0))
-    base = F.log10((count + 0.1) / F.lit(model.value.train_tokens + 0.1 * (model.value.distinct + 1)))
-    word = F.col("tf") > 0
-    sums = shown.join(rare, "key", "left").groupBy("text_key").agg(
-        F.sum(F.when(word & (count > 0), F.col("tf")).otherwise(0)).alias("known"), F.sum(F.when(word, F.col("tf") * base).otherwise(0.0)).alias("base"), F.sum(F.when(word, 0).otherwise(1)).alias("copies")
-    )
-    return sums.select("text_key", F.expr("known div copies").alias("rare_known"), (F.col("base") / F.col("copies")).alias("rare_base"))
+def _rare(keys: np.ndarray, row: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, n) of the words that are not `hit`, each once a row."""
+    keys, row = keys[~hit], row[~hit]
+    order = np.argsort(keys, kind="stable")
+    keys, row = keys[order], row[order]
+    heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))[: len(keys)])
+    return row[heads], keys[heads], np.diff(np.append(heads, len(keys)))
 
 
 def scored(docs: DataFrame, model: LanguageModel, words: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text); scores are log10."""
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, text); scores are log10.
+
+    Texts are read once. A task sends a row for each document and, for the counts
+    that it doesn't hold, one for each of its rare words; they meet again by doc_id
+    and text, so a row that is repeated is summed with its copies and then divided.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     log10 = np.log(10)
+    names = ["n_tokens", "held", "frequent_base", "score"]
 
     def run(batches):
         model = shared.value
         segmenter = Segmenter(model.file)
+        weights = model.base(model.frequent_counts)
         for batch in batches:
             n_tokens, known, base, score = (np.zeros(len(batch), kind) for kind in (np.int64, np.int64, np.float64, np.float64))
+            text_key = batch.column("text_key").to_numpy()
             for lo, hi, keys, bounds, words in token_runs(batch.column("text")):
                 n_tokens[lo:hi] = np.diff(bounds)
+                hit = np.zeros(len(keys), bool)
                 if len(model.frequent):
                     at = np.minimum(np.searchsorted(model.frequent, keys), len(model.frequent) - 1)
                     hit = model.frequent[at] == keys
                     known[lo:hi] = np.add.reduceat(hit.astype(np.int64), bounds[:-1])
-                    base[lo:hi] = np.add.reduceat(np.where(hit, model.base(model.frequent_counts)[at], 0), bounds[:-1])
+                    base[lo:hi] = np.add.reduceat(np.where(hit, weights[at], 0), bounds[:-1])
+                row, rare, n = _rare(keys, np.repeat(np.arange(lo, hi), np.diff(bounds)), hit)
+                for a in range(0, len(row), 1 << 16):
+                    k = row[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(k)), pa.array(text_key[k]), pa.array(rare[a : a + (1 << 16)].view(np.int64)), pa.array(n[a : a + (1 << 16)]), pa.nulls(len(k), own)], ["doc_id", "text_key", "key", "tf", "own"]
+                    )
                 ids, ends = row_ids(keys, bounds, words, segmenter)
                 score[lo:hi] = np.add.reduceat(model.classes.share.take(ids), ends[:-1])
                 blocks, first, targets, members, valid, _ = windows(ids, ends, model.classes)
                 logs = model.scorer.log_ids(blocks, first, targets, members, valid).astype(np.float64)
                 score[lo:hi] += np.add.reduceat(logs, ends[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(x) for x in (n_tokens, known, base, score / log10))], ["doc_id", "text_key", "n_tokens", "known", "base", "score"])
-
-    own = given.mapInArrow(trimmed(run), "doc_id long, text_key long, n_tokens long, known long, base double, score double")
-    both = own.join(_rest_of_base(given, shared, words), "text_key", "left")
-    return both.select("doc_id", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("rare_base")).alias("base_score"), "score")
+            found = pa.StructArray.from_arrays([pa.array(x) for x in (n_tokens, known, base, score / log10)], names)
+            # the document's own row is spread by its text
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("text_key"), pa.nulls(len(batch), pa.int64()), found], ["doc_id", "text_key", "key", "tf", "own"])
+
+    own = pa.struct(list(zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))))
+    told = given.mapInArrow(reusing(run), "doc_id long, text_key long, key long, tf long, own struct<n_tokens: long, held: long, frequent_base: double, score: double>")
+    rare = words.where(F.col("n") <= F.lit(model.train_tokens // FREQUENT))
+    count, word = F.coalesce("n", F.lit(0)), F.col("tf").isNotNull()
+    base = F.log10((count + 0.1) / F.lit(model.train_tokens + 0.1 * (model.distinct + 1)))
+    sums = told.join(rare, "key", "left").groupBy("doc_id", "text_key").agg(
+        F.sum(F.when(word & (count > 0), F.col("tf")).otherwise(0)).alias("known"), F.sum(F.when(word, F.col("tf") * base).otherwise(0.0)).alias("base"), F.count("own.score").alias("copies"), *(F.max(f"own.{name}").alias(name) for name in names)
+    )
+    return sums.select(
+        "doc_id", "n_tokens", (F.col("held") + F.expr("known div copies")).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), (F.col("frequent_base") + F.col("base") / F.col("copies")).alias("base_score"), "score", F.explode(F.expr("sequence(1L, copies)")).alias("copy")
+    ).drop("copy")
 
 
 def held_out(fold: int = 10) -> Column:

@@ -79,6 +79,23 @@ def trimmed(step):
     return run
 
 
+def reusing(step):
+    """step, trimmed, which keeps what it frees at hand while it runs.
+
+    Steps that make and drop arrays of some megabytes all the time else get them from the system,
+    and clear them, each time.
+    """
+    def run(batches):
+        option = getattr(ctypes.CDLL(None), "mallopt", lambda *_: 0)  # glibc has it
+        option(-3, 32 << 20)  # smaller arrays are not mapped on their own
+        option(-1, 256 << 20)  # so much may be free before any is given back
+        yield from step(batches)
+        option(-1, 64 << 20)
+        give_back()
+
+    return run
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
